@@ -11,7 +11,12 @@ In a range all sequences are full but the last ones: what is left is cut into po
 
 from __future__ import annotations
 
+import itertools
+import os
+import re
+import unicodedata
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,37 +28,94 @@ from . import common
 
 LENGTH, END, VOCABULARY = 2048, 1, "word_bpe_49k.json"
 #: Tokens of a range, about; buckets of the hashed vector; bits of each of the three dimensions; histogram cells.
-RANGE_TOKENS, HASHED, BITS, CELLS = 3_000_000, 256, 10, 1 << 14
+RANGE_TOKENS, HASHED, BITS, CELLS = 1_500_000, 256, 10, 1 << 14
 #: Words whose ids a task remembers.
-REMEMBERED = 300_000
+REMEMBERED = 600_000
 _ENCODERS: dict[str, Encoder] = {}
 
 
+#: Byte-level models read bytes as characters: printable ones as themselves, the others from 256 on, in order.
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_AS_CHARACTERS = {b: b for b in _PRINTABLE} | {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
+_STOPS = re.compile(rb"(?<=[a-z])(?=[.,][ \n])")
+
+
+def _units(text: str) -> list[bytes]:
+    """Parts of a text that are tokenised apart, for fewer different ones: words, and the stop after a word.
+
+    The vocabulary lower-cases and cuts there by itself. Where a special token may stand, nothing but white space counts.
+    """
+    data = text.encode("utf-8", "replace")
+    return data.split() if b"<|" in data else _STOPS.sub(b" ", data.lower()).split()
+
+
 class Encoder:
     """Ids of whole texts. No token of this vocabulary crosses white space, so words are encoded once and remembered."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.ids = Tokenizer.from_file(path), {}
+        # a task has one core; threads of the library would only wait for each other
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        self._forget()
         rng = np.random.default_rng(29)
         self.axes = rng.normal(0, 1, (HASHED, 3)).astype(np.float32)
         self.slot = rng.integers(0, HASHED, 1 << 17)
 
     def encode(self, texts) -> list[np.ndarray]:
-        split = [t.encode("utf-8", "replace").split() if t else [] for t in texts]
-        if len(self.ids) > REMEMBERED:
-            self.ids = {}
-        known, new = self.ids, []
-        for words in split:
-            new += [w for w in set(words) if w not in known]
-        new = list(dict.fromkeys(new))
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in part], add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, np.uint32).tobytes()
-        last = np.array([END], np.uint32).tobytes()
-        return [np.frombuffer(b"".join([*map(known.__getitem__, words), last]), np.uint32) for words in split]
+        """Ids of each text and the end id."""
+        if len(self.place) > REMEMBERED:
+            self._forget_rare()
+        words = [np.fromiter(map(self.place.__getitem__, _units(t) if t else ()), np.int64) for t in texts]
+        self._learn()
+        counts = [len(w) + 1 for w in words]
+        flat = np.zeros(sum(counts), np.int64)  # word 0 stands for the end id
+        for w, at in zip(words, np.cumsum(counts) - counts, strict=True):
+            flat[at : at + len(w)] = w
+        self.hits += np.bincount(flat, minlength=len(self.hits))
+        sizes = self.sizes[flat]
+        ends = np.cumsum(sizes)
+        ids = self.flat[np.arange(ends[-1]) + np.repeat(self.starts[flat] - (ends - sizes), sizes)] if len(flat) else np.zeros(0, np.uint32)
+        return np.split(ids, ends[np.cumsum(counts) - 1][:-1]) if counts else []
+
+    def _forget(self):
+        """Words are numbered as they come; starts, sizes and flat hold the ids of each number."""
+        self.place = defaultdict()
+        self.place.default_factory = self.place.__len__
+        self.place[b""]  # no word is empty
+        self.sizes, self.starts, self.flat, self.hits = np.array([1]), np.array([0]), np.array([END], np.uint32), np.array([0])
+
+    def _forget_rare(self):
+        """Keep the words seen more than once, and of these at most half of what may be remembered."""
+        keep = np.flatnonzero(self.hits[1:] > 1) + 1
+        keep = np.sort(keep[np.argsort(-self.hits[keep], kind="stable")[: REMEMBERED // 2]])
+        words, sizes, starts, flat, hits = list(self.place), self.sizes[keep], self.starts[keep], self.flat, self.hits[keep]
+        self._forget()
+        for i in keep.tolist():
+            self.place[words[i]]
+        ends = np.cumsum(sizes)
+        part = flat[np.arange(ends[-1]) + np.repeat(starts - (ends - sizes), sizes)] if len(keep) else flat[:0]
+        self.starts = np.concatenate([self.starts, len(self.flat) + ends - sizes])
+        self.sizes, self.hits = np.concatenate([self.sizes, sizes]), np.concatenate([self.hits, hits // 2 + 1])
+        self.flat = np.concatenate([self.flat, part])
+
+    def _learn(self):
+        new = list(itertools.islice(self.place, len(self.sizes), None))
+        found = []
+        for w in new:
+            text = w.decode("utf-8")
+            # lower-case letters alone are one word to the model, which reads bytes as characters; else the whole way
+            if text.isalpha() and text.lower() == text and unicodedata.is_normalized("NFC", text):
+                found.append([t.id for t in self.model.tokenize(text if text.isascii() else w.decode("latin-1").translate(_AS_CHARACTERS))])
+            else:
+                found.append(self.tokenizer.encode(text, add_special_tokens=False).ids)
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
+        self.sizes = np.concatenate([self.sizes, sizes])
+        self.hits = np.concatenate([self.hits, np.zeros(len(sizes), np.int64)])
+        self.flat = np.concatenate([self.flat, np.fromiter(itertools.chain.from_iterable(found), np.uint32, int(sizes.sum()))])
 
     def point(self, ids: np.ndarray) -> np.ndarray:
         """Three numbers in 0 .. 2 ** BITS - 1: the projected hashed vector of a document."""

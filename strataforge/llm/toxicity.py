@@ -71,28 +71,18 @@ class Classifier:
         return float(1 / (1 + np.exp(-min(max(z, -30), 30))))
 
 
-def train(rows: list[set[str]], labels: np.ndarray, swaps: Counter, prior: float, fairness: float = 5.0, rounds: int = 80, l1: float = 2e-4) -> Classifier:
-    """Proximal gradient with momentum. swaps: sentences per identity term; prior: share of toxic rows in all labels."""
+def train(names: list[str], rows: list[np.ndarray], labels: np.ndarray, swaps: Counter, prior: float, fairness: float = 5.0, rounds: int = 80, l1: float = 2e-4) -> Classifier:
+    """Proximal gradient with momentum. rows: places in ``names`` of a document's features; swaps: sentences per identity
+    term; prior: share of toxic rows in all labels."""
     if len(rows) == 0 or labels.min() == labels.max():
         p = (labels.sum() + 0.5) / (len(labels) + 2) if len(rows) else 0.25
         return Classifier({}, float(np.log(p / (1 - p))))
-    pos, neg = Counter(), Counter()
-    for r, y in zip(rows, labels, strict=True):
-        (pos if y else neg).update(r)
     n1, n0 = labels.sum(), (1 - labels).sum()
-
-    def evidence(f):
-        a, b = (pos[f] + 0.5) / (n1 + 1), (neg[f] + 0.5) / (n0 + 1)
-        return abs(np.log(a / b)) * np.sqrt(min(pos[f] + neg[f], 400))
-
-    held = {f for t in swaps for f in term_features(t)}
-    names = sorted((f for f in pos.keys() | neg.keys() if pos[f] + neg[f] >= SUPPORT), key=lambda f: (-evidence(f), f))[:FEATURES]
     place = {f: i for i, f in enumerate(names)}
-    index = [np.array([place[f] for f in r if f in place], np.int64) for r in rows]
-    sizes = np.array([len(i) for i in index])
-    flat, of = np.concatenate(index), np.repeat(np.arange(len(rows)), sizes)
+    sizes = np.array([len(i) for i in rows])
+    flat, of = np.concatenate(rows).astype(np.int64), np.repeat(np.arange(len(rows)), sizes)
     # each term against every other one and against none
-    terms = sorted(t for t in swaps if set(term_features(t)) & place.keys()) if held else []
+    terms = sorted(t for t in swaps if set(term_features(t)) & place.keys())
     swap = np.zeros((len(terms), len(names)))
     for i, t in enumerate(terms):
         for f in term_features(t):
@@ -102,7 +92,7 @@ def train(rows: list[set[str]], labels: np.ndarray, swaps: Counter, prior: float
     weight = np.where(labels == 1, 0.5 / n1, 0.5 / n0)
     w, b = np.zeros(len(names)), 0.0
     v, vb = w.copy(), b
-    spread = np.bincount(flat, weight[of], len(names)).max() * max(np.median(sizes), 1)
+    spread = np.bincount(flat, weight[of], len(names)).max(initial=0) * max(np.median(sizes), 1)
     rate = 4.0 / (spread + 1)
     for k in range(rounds):
         z = np.bincount(of, v[flat], len(rows)) + vb
@@ -123,8 +113,8 @@ def train(rows: list[set[str]], labels: np.ndarray, swaps: Counter, prior: float
 
 def _sample_rows(batches):
     for b in batches:
-        found = [(features(t), mentions(t)) for t in b["text"]]
-        yield pd.DataFrame({"y": b["y"], "names": ["\x00".join(sorted(f)) for f, _ in found], "terms": ["\x00".join(sorted(m.elements())) for _, m in found]})
+        found = [(sorted(features(t)), sorted(mentions(t).elements())) for t in b["text"]]
+        yield pd.DataFrame({"k": b["k"], "y": b["y"], "names": [f for f, _ in found], "terms": [m for _, m in found]})
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, learn_from, held_out, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", seed: int = 11) -> DataFrame:
@@ -143,12 +133,21 @@ def score_documents(docs: DataFrame, labels: DataFrame, learn_from, held_out, id
     sample = [known.where(F.col("y") == y).orderBy("h", "k").limit(n) for y, n in ((1, POSITIVES), (0, NEGATIVES))]
     picked = sample[0].unionByName(sample[1]).select("k", "y")  # at most POSITIVES + NEGATIVES rows
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(picked), F.col("id") == F.col("k")).select("k", "y", "text")
-    got = texts.mapInPandas(lambda it: (pd.concat([x, b[["k"]]], axis=1) for b in it for x in _sample_rows([b])), "y int, names string, terms string, k long").toPandas()
-    got = got.sort_values(["k", "names"], kind="stable").reset_index(drop=True)
-    swaps = Counter(t for x in got["terms"] for t in x.split("\x00") if t)
+    seen = common.materialise(texts.mapInPandas(_sample_rows, "k long, y int, names array<string>, terms array<string>"), "toxicity-sample")
+    swaps = Counter({r.t: r.n for r in seen.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count("*").alias("n")).collect()})
+    n1, n0 = ((seen.where(F.col("y") == y).count()) for y in (1, 0))
+    # the features with the most evidence: difference of their shares in toxic and other documents, and their number
+    pairs = seen.select("k", "y", F.explode("names").alias("f"))
+    tally = pairs.groupBy("f").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b")).where(F.col("a") + F.col("b") >= SUPPORT)
+    evidence = F.abs(F.log((F.col("a") + 0.5) / (n1 + 1)) - F.log((F.col("b") + 0.5) / (n0 + 1))) * F.sqrt(F.least(F.col("a") + F.col("b"), F.lit(400)))
+    names = [r.f for r in tally.select("f", F.round(evidence, 9).alias("e")).orderBy(F.desc("e"), "f").limit(FEATURES).collect()]
+    place = spark.createDataFrame(list(enumerate(names)), "i int, f string")
+    held = pairs.join(F.broadcast(place), "f").groupBy("k", "y").agg(F.sort_array(F.collect_list("i")).alias("i")).orderBy("k").toPandas()
+    bare = [int(n1 - held["y"].sum()), int(n0 - (1 - held["y"]).sum())]  # documents without any of the features
     n = sum(totals.values())
     prior = totals.get(1, 0) / n if n else 0.25
-    model = train([set(x.split("\x00")) - {""} for x in got["names"]], got["y"].to_numpy(np.float64), swaps, prior)
+    index = [np.asarray(i, np.int64) for i in held["i"]] + [np.zeros(0, np.int64)] * sum(bare)
+    model = train(names, index, np.concatenate([held["y"].to_numpy(np.float64), np.repeat([1.0, 0.0], bare)]), swaps, prior)
 
     def score(texts: pd.Series) -> pd.Series:
         return pd.Series([model.score(t) for t in texts], dtype=float)

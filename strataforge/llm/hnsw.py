@@ -136,6 +136,8 @@ class Graph:
 
     def _back(self, links, node, new, width):
         """Links from ``node`` back to ``new``; a full node keeps its diverse ones."""
+        if not len(node):
+            return
         sim = np.einsum("kd,kd->k", self.vectors[node], self.vectors[new])
         order = np.lexsort((-sim, node))
         node, new = node[order], new[order]

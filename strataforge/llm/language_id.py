@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter, defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -23,16 +24,21 @@ from . import common
 
 PER_LANGUAGE, LANGUAGES, WINDOWS, SPAN, CHAIN = 250, 200, 4, 32, 64
 #: Hashed features and words of a language's lexicon; words whose scores a task remembers.
-WIDTH, LEXICON, REMEMBERED = 1 << 15, 400, 200_000
+WIDTH, LEXICON, REMEMBERED = 1 << 15, 400, 150_000
 
 
-def split(text: str | None) -> list[str]:
-    return [w.decode("utf-8", "replace") for w in text.lower().encode("utf-8", "replace").split()] if text else []
+#: ASCII characters that stand in no word: all but letters and the apostrophe.
+_APART = bytes(b if b > 127 or chr(b).isalpha() or b == 39 else 32 for b in range(256))
 
 
-def word_features(word: str) -> list[int]:
+def split(text: str | None) -> list[bytes]:
+    """Lower-case words as UTF-8: runs of ASCII letters, apostrophes and characters beyond ASCII."""
+    return text.lower().encode("utf-8", "replace").translate(_APART).split() if text else []
+
+
+def word_features(word: bytes) -> list[int]:
     """Hashed affixes to three letters, trigrams, and the word."""
-    w = word[:64] if len(word) > 64 else word  # one word of a text; longer ones are no words of a language
+    w = word.decode("utf-8", "replace")
     marked = f"^{w}$"
     names = [f"p{w[:k]}" for k in (1, 2, 3)] + [f"s{w[-k:]}" for k in (1, 2, 3)] + [marked]
     names += [marked[i : i + 3] for i in range(len(marked) - 2)]
@@ -68,7 +74,7 @@ class Field:
     def __init__(self, labels, weights, lexicon, lexicon_weights, trans, start):
         self.labels, self.weights, self.lexicon, self.lexicon_weights, self.trans, self.start = labels, weights, lexicon, lexicon_weights, trans, start
 
-    def _emit(self, words: list[str]) -> np.ndarray:
+    def _emit(self, words: list[bytes]) -> np.ndarray:
         lists = [word_features(w) for w in words]
         sizes = np.array([len(x) for x in lists])
         flat = np.fromiter((f for x in lists for f in x), np.int64, sizes.sum())
@@ -88,7 +94,7 @@ class Field:
         if len(held) > len(self._table):
             new = list(held)[len(self._table) :]
             self._table = np.concatenate([self._table, self._emit(new).astype(np.float32)])
-            lettered = np.array([any(c.isalpha() for c in w) for w in new])
+            lettered = np.array([any(c.isalpha() for c in w.decode("utf-8", "replace")) for w in new])
             self._letters = np.concatenate([self._letters, lettered]) if len(self._table) > len(new) else lettered
         out = []
         if not self.labels or not held:
@@ -129,7 +135,7 @@ def train(docs: list[tuple[str, str]], rounds: int = 60, rate: float = 0.08, dec
     rng = np.random.default_rng(seed)
     labels = sorted({lang for lang, _ in docs})
     counts = {lang: Counter() for lang in labels}
-    spans: list[tuple[int, list[str]]] = []
+    spans: list[tuple[int, list[bytes]]] = []
     for lang, text in docs:
         words = split(text)
         counts[lang].update(words)
@@ -208,7 +214,7 @@ def learn(docs: DataFrame, learn_from, id_col: str = "doc_id", text_col: str = "
             for text in b["text"]:
                 words = split(text)
                 n = min(WINDOWS, -(-len(words) // SPAN))
-                keep.append("\n".join(" ".join(words[at : at + SPAN]) for at in np.linspace(0, max(len(words) - SPAN, 0), max(n, 1)).astype(int)))
+                keep.append("\n".join(b" ".join(words[at : at + SPAN]).decode("utf-8") for at in np.linspace(0, max(len(words) - SPAN, 0), max(n, 1)).astype(int)))
             yield pd.DataFrame({"lang": b["lang"], "h": b["h"], "text": keep})
 
     got = picked.mapInPandas(windows, "lang string, h long, text string").toPandas().sort_values(["lang", "h", "text"], kind="stable").groupby("lang").head(PER_LANGUAGE)
@@ -217,17 +223,13 @@ def learn(docs: DataFrame, learn_from, id_col: str = "doc_id", text_col: str = "
 
 def predict(docs: DataFrame, field: Field, text_col: str = "text") -> DataFrame:
     """``docs`` with a struct column ``_language`` of lang and score."""
-    def run(batches):
+    def typed(batches):
         for texts in batches:
             yield pd.DataFrame(field.predict(list(texts)), columns=["lang", "score"])
 
-    def typed(batches):
-        yield from run(batches)
-
-    from collections.abc import Iterator
-
     typed.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
-    return docs.withColumn("_language", F.pandas_udf(typed, "lang string, score double")(F.col(text_col)))
+    # not deterministic, to the optimiser: so that it runs once, however often its column is used
+    return docs.withColumn("_language", F.pandas_udf(typed, "lang string, score double").asNondeterministic()(F.col(text_col)))
 
 
 def identify(docs: DataFrame, learn_from, held_out, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from strataforge.llm import common, language_id, mixing, packing, secrets, simhash
 
-#: A document stays if at least this share of its words is in the predicted language.
-LEAST_SCORE = 0.35
+#: A document stays if this share or more of its words is in the predicted language.
+LEAST_SCORE = 0.3
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

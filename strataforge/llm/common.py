@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,3 +51,16 @@ def words_of(text: str | None) -> list[bytes]:
 def crc_mod(doc_id: str, n: int) -> Column:
     """crc32 of the id's decimal text, modulo ``n`` (null id: null)."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % n
+
+
+_named: dict[int, int] = {}
+
+
+def next_name() -> int:
+    """Inside a task: a number that no other row of the stage has; a task that runs again gives the same ones."""
+    context = TaskContext.get()
+    task = context.taskAttemptId()
+    if task not in _named:
+        _named.clear()
+    _named[task] = _named.get(task, -1) + 1
+    return context.partitionId() << 32 | _named[task]

@@ -105,8 +105,7 @@ def _blocks(batches):
 
 
 def _block_rows(rows) -> pd.DataFrame:
-    # a block is named by what is in it, so a task that runs again names it alike
-    return pd.DataFrame([{"block": xxhash.xxh64_intdigest(data + meta) >> 1, "role": int(role), "tokens": n, "data": data, "meta": meta} for role, data, meta, n in rows])
+    return pd.DataFrame([{"block": common.next_name(), "role": int(role), "tokens": n, "data": data, "meta": meta} for role, data, meta, n in rows])
 
 
 def _asker(ranges: int):

@@ -91,7 +91,7 @@ def _shelves(batches):
         ids, rows = (np.array(x, np.int64) for x in held.pop(dim))
         data = _pack(ids, rows.reshape(len(ids), dim))
         rows = rows.reshape(len(ids), dim)
-        return {"shelf": xxhash.xxh64_intdigest(data) >> 1, "dim": dim, "n": len(ids), "data": data, "extremes": _pack(rows.max(0), rows.min(0))}
+        return {"shelf": common.next_name(), "dim": dim, "n": len(ids), "data": data, "extremes": _pack(rows.max(0), rows.min(0))}
 
     for b in batches:
         out = []
@@ -126,7 +126,7 @@ def _groups(every: int, k: int):
                 for at in range(0, len(own), GROUP):
                     part = own[at : at + GROUP]
                     data = _pack(ids[part], rows[part], floors[at : at + GROUP])
-                    out.append({"grp": xxhash.xxh64_intdigest(data) >> 1, "dim": dim, "queries": data})
+                    out.append({"dim": dim, "queries": data})
             if out:
                 yield pd.DataFrame(out)
 
@@ -182,7 +182,7 @@ def top_k(vectors: DataFrame, k: int = 5, query_every: int = 50, scale: int = 25
     rows = rows.withColumn("term", F.array_position(F.transform("v", F.abs), top)).withColumn("peak", F.get(F.col("v"), (F.col("term") - 1).cast("int")))
     ordered = rows.repartitionByRange("term", "peak", "vec_id").sortWithinPartitions("term", "peak", "vec_id").select("vec_id", "v")
     shelves = common.materialise(ordered.mapInPandas(_shelves, "shelf long, dim int, n long, data binary, extremes binary"), "shelves")
-    groups = common.materialise(shelves.select("dim", "data").mapInPandas(_groups(query_every, k), "grp long, dim int, queries binary"), "query-groups")
+    groups = common.materialise(shelves.select("dim", "data").mapInPandas(_groups(query_every, k), "dim int, queries binary"), "query-groups")
     pages = max(1, -(-shelves.count() // PAGE))
     paged = shelves.select("dim", "shelf", "extremes").groupBy("dim", F.pmod("shelf", F.lit(pages)).alias("p")).agg(F.collect_list(F.struct("shelf", "extremes")).alias("page"))
     asked = groups.withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(pages - 1)))).withColumn("p", F.col("p").cast("long"))

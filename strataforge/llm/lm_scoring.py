@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Tokens of a block, at least, when it is closed; distinct hashes of a hash range, about.
-BLOCK_TOKENS, RANGE_ENTRIES = 2_000_000, 1_500_000
+BLOCK_TOKENS, RANGE_ENTRIES = 1_000_000, 1_000_000
 MAIN, DEV, NONE = 0, 1, 2
 _END = b""  # no word is empty
 _MIX = np.uint64(0x9E3779B97F4A7C15)

@@ -30,14 +30,14 @@ LENGTH, END, VOCABULARY = 2048, 1, "word_bpe_49k.json"
 #: Tokens of a range, about; buckets of the hashed vector; bits of each of the three dimensions; histogram cells.
 RANGE_TOKENS, HASHED, BITS, CELLS = 1_500_000, 256, 10, 1 << 14
 #: Words whose ids a task remembers.
-REMEMBERED = 300_000
+REMEMBERED = 400_000
 _ENCODERS: dict[str, Encoder] = {}
 
 
 #: Byte-level models read bytes as characters: printable ones as themselves, the others from 256 on, in order.
 _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _AS_CHARACTERS = {b: b for b in _PRINTABLE} | {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
-_STOPS = re.compile(rb"(?<=[a-z])(?=[.,][ \n])")
+_STOPS = re.compile(rb"([.,])(?=[ \n])(?<=[a-z].)")
 
 
 def _units(text: str) -> list[bytes]:
@@ -46,7 +46,7 @@ def _units(text: str) -> list[bytes]:
     The vocabulary lower-cases and cuts there by itself. Where a special token may stand, nothing but white space counts.
     """
     data = text.encode("utf-8", "replace")
-    return data.split() if b"<|" in data else _STOPS.sub(b" ", data.lower()).split()
+    return data.split() if b"<|" in data else _STOPS.sub(rb" \1", data.lower()).split()
 
 
 class Encoder:

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-PATH, WORDS, SHAPE, HIDDEN = 96, 24, 12, 20
+PATH, WORDS, SHAPE, HIDDEN = 192, 24, 12, 20
 WIDE = PATH + WORDS + SHAPE
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|</?[A-Za-z](?:[^>\"']|\"[^\"]*\"|'[^']*')*>|[^<]+|<", re.S)
 _TAG = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9:-]*)")
@@ -191,7 +191,7 @@ def make_page(rng: np.random.Generator) -> str:
         elif kind == "form":
             inner = f"<label>{no}{short()}</label><input name=q><button>{no}{short()}</button>" + (f"<p>{no}{sentences(1, 2)}</p>" if rng.random() < 0.3 else "")
         elif kind == "header":
-            inner = (f"<a href=\"/\">{no}{short()}</a>" if rng.random() < 0.5 else f"<h2>{no}{short()}</h2>") + (f"<p>{no}{words(2, 9)}</p>" if rng.random() < 0.5 else "") + (junk("nav") if rng.random() < 0.3 else "")
+            inner = (f"<a href=\"/\">{no}{short()}</a>" if rng.random() < 0.5 else "<h{0}>{1}{2}</h{0}>".format(rng.integers(1, 3), no, short())) + (f"<p>{no}{sentences(1, 3) if rng.random() < 0.5 else words(2, 9)}</p>" if rng.random() < 0.5 else "") + (junk("nav") if rng.random() < 0.3 else "")
         else:
             text = sentences(1, 4) if rng.random() < 0.7 else short()
             inner = f"{no}{'&copy; ' if kind == 'footer' and rng.random() < 0.5 else ''}{text}" if rng.random() < 0.5 else f"<p>{no}{text}</p>"
@@ -202,22 +202,24 @@ def make_page(rng: np.random.Generator) -> str:
         out = [f"<h1>{yes}{words(2, 12)}</h1>"] if rng.random() < 0.8 else []
         for _ in range(int(rng.integers(1, 14))):
             kind = rng.random()
-            if kind < 0.72:
+            if kind < 0.66:
                 text = sentences(1, 7) if rng.random() < 0.8 else words(1, 5)
                 text = f"<b>{yes}{text}<br>" if rng.random() < 0.07 else f"{yes}{text}"
                 out.append(f"<p>{text}" + ("</p>" if rng.random() < 0.9 else ""))
-            elif kind < 0.8:
+            elif kind < 0.73:
                 out.append(f"<h2>{yes}{words(1, 7)}</h2>")
-            elif kind < 0.86:
+            elif kind < 0.78:
                 out.append("<ul>" + "".join(f"<li>{yes}{sentences(1, 2) if rng.random() < 0.5 else words(1, 5)}</li>" for _ in range(int(rng.integers(2, 5)))) + "</ul>")
-            elif kind < 0.9:
+            elif kind < 0.82:
                 out.append(f"<blockquote>{yes}{sentences(1, 3)}</blockquote>")
-            elif kind < 0.94:
+            elif kind < 0.85:
                 out.append("<table>" + "".join(f"<tr><td>{yes}{words(1, 3)}</td><td>{yes}{words(1, 3)}</td></tr>" for _ in range(2)) + "</table>")
-            elif kind < 0.96:
+            elif kind < 0.87:
                 out.append(f"<pre>{yes}{words(2, 12)}</pre>")
             else:
-                out.append(junk(str(rng.choice(["ad", "side", "share", "notice"]))))
+                out.append(junk(str(rng.choice(["ad", "ad", "side", "share", "notice", "comments", "form", "nav"]))))
+        # junk that pages nest in the article's end
+        out += [junk(k) for k in ("share", "comments", "footer") if rng.random() < 0.15]
         return "".join(out)
 
     before = [junk(k) for k in ("header", "nav", "notice", "ad", "form", "share") if rng.random() < 0.45]
@@ -343,7 +345,7 @@ def _padded(pages):
     return x, mask
 
 
-def train(pages: int = 700, epochs: int = 14, batch: int = 28, rate: float = 0.01, seed: int = 23) -> Labeller:
+def train(pages: int = 1200, epochs: int = 14, batch: int = 28, rate: float = 0.01, seed: int = 23) -> Labeller:
     data = training_set(pages, seed)
     rng, net = np.random.default_rng(seed), Labeller.fresh(seed)
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in net.params]

@@ -27,12 +27,16 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each SimHash component the document with the least doc_id stays; rows that share an id are one document."""
+    """Of each SimHash component the document with the least doc_id stays; rows that share an id are one document.
+
+    A component is named by an id, so of documents without one, those with equal texts are one.
+    """
     groups = simhash.near_duplicates(docs)
-    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    out = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    return out.withColumn("_r", F.row_number().over(first)).where("_r = 1").select(*docs.columns)
+    kept = groups.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_id")).distinct()
+    named = docs.join(kept, F.col("doc_id") == F.col("_id"), "left_semi")
+    named = named.withColumn("_r", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))))
+    bare = docs.where("doc_id IS NULL").withColumn("_r", F.row_number().over(Window.partitionBy(F.xxhash64("text")).orderBy("source")))
+    return named.unionByName(bare).where("_r = 1").select(*docs.columns)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -15,4 +15,4 @@ QUERIES = {
     "op10_html_extraction": html_extraction.op10_html_extraction,
 }
 
-ORACLES = {"op3_topk": topk.OP3_SQL}
+ORACLES = {"op3_topk": topk.OP3_SQL, "op7_secrets": secrets.OP7_SQL}

@@ -243,3 +243,24 @@ def redact(docs: DataFrame, mark: str = "[secret]", text_col: str = "text") -> D
 
 def op7_secrets(spark, sf_dir):
     return digests(common.table(spark, sf_dir, "documents"))
+
+
+def _matches_sql(rule: Rule, rank: int) -> str:
+    quoted = rule.pattern.replace("'", "''")
+    return f"""SELECT rid, {rank} AS rank, '{rule.kind}' AS kind, {rule.least} AS least, regexp_extract_all(text, '{quoted}', 0) AS m,
+       regexp_extract_all(text, '{quoted}', {rule.group}) AS n, regexp_split_to_array(text, '{quoted}') AS g FROM d"""
+
+
+#: Every rule on every text, without an index; a match ends where the gaps and matches up to it add up to.
+OP7_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
+a AS ({" UNION ALL ".join(_matches_sql(r, i) for i, r in enumerate(RULES))}),
+u AS (SELECT rid, rank, kind, least, unnest(m) AS m, unnest(n) AS n, unnest(g[1:len(m)]) AS g, generate_subscripts(m, 1) AS i FROM a WHERE len(m) > 0),
+e AS (SELECT *, CAST(sum(length(g) + length(m)) OVER (PARTITION BY rid, rank ORDER BY i) AS BIGINT) AS stop FROM u),
+s AS (SELECT rid, rank, kind, stop - length(m) AS start, concat_ws(':', kind, stop - length(m), stop) AS span FROM e WHERE length(n) >= least),
+t AS (SELECT rid, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+             string_agg(span, ',' ORDER BY start, rank) FILTER (kind IN ('assign', 'access', 'hex')) AS base, string_agg(span, ',' ORDER BY start, rank) AS spans FROM s GROUP BY rid)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN t USING (rid)
+"""

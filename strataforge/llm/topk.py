@@ -84,19 +84,26 @@ def search(query_ids, queries, floors, ids, rows, k: int):
 
 
 def _shelves(batches):
-    """Sorted rows (vec_id, v) -> shelves (shelf, dim, n, data, high, low) of vectors of one length."""
-    held: dict[int, tuple[list, list]] = {}
+    """Sorted rows (vec_id, v) -> shelves (shelf, dim, n, data, high, low) of vectors of one length.
+
+    data: ids, rows, and which rows are the first of their equals; equal rows follow one another, over shelves too.
+    """
+    held: dict[int, tuple[list, list, list]] = {}
+    last: dict[int, tuple] = {}
 
     def close(dim):
-        ids, rows = (np.array(x, np.int64) for x in held.pop(dim))
-        data = _pack(ids, rows.reshape(len(ids), dim))
+        ids, rows, first = (np.array(x, np.int64) for x in held.pop(dim))
         rows = rows.reshape(len(ids), dim)
+        data = _pack(ids, rows, first == 1)
         return {"shelf": common.next_name(), "dim": dim, "n": len(ids), "data": data, "extremes": _pack(rows.max(0), rows.min(0))}
 
     for b in batches:
         out = []
         for vec_id, v in zip(b["vec_id"], b["v"], strict=True):
-            ids, rows = held.setdefault(len(v), ([], []))
+            ids, rows, first = held.setdefault(len(v), ([], [], []))
+            before = last.get(len(v))
+            first.append(before is None or before[0] != vec_id or not np.array_equal(before[1], v))
+            last[len(v)] = (vec_id, v)
             ids.append(vec_id)
             rows.append(v)
             if len(ids) >= SHELF:
@@ -114,12 +121,10 @@ def _groups(every: int, k: int):
         for b in batches:
             out = []
             for dim, data in zip(b["dim"], b["data"], strict=True):
-                ids, rows = _unpack(data)
-                own = np.flatnonzero(ids % every == 0)
+                ids, rows, first = _unpack(data)
+                own = np.flatnonzero((ids % every == 0) & first)
                 if not len(own):
                     continue
-                _, first = np.unique(np.column_stack([ids[own], rows[own]]), axis=0, return_index=True)
-                own = own[np.sort(first)]
                 none = np.full(len(own), np.iinfo(np.int64).min, np.int64)
                 found = search(ids[own], rows[own], none, ids, rows, k)
                 floors = np.array([int(s[-1]) if len(s) == k else none[0] for _, s in found], np.int64)
@@ -153,7 +158,7 @@ def _visit(k: int):
         for b in batches:
             for queries, data in zip(b["queries"], b["data"], strict=True):
                 qids, qrows, floors = _unpack(queries)
-                ids, rows = _unpack(data)
+                ids, rows, _ = _unpack(data)
                 found = search(qids, qrows, floors, ids, rows, k)
                 sizes = [len(i) for i, _ in found]
                 yield pd.DataFrame({
@@ -180,7 +185,7 @@ def top_k(vectors: DataFrame, k: int = 5, query_every: int = 50, scale: int = 25
     # like vectors together: by the term of the largest weight, then by that weight
     top = F.array_max(F.transform("v", F.abs))
     rows = rows.withColumn("term", F.array_position(F.transform("v", F.abs), top)).withColumn("peak", F.get(F.col("v"), (F.col("term") - 1).cast("int")))
-    ordered = rows.repartitionByRange("term", "peak", "vec_id").sortWithinPartitions("term", "peak", "vec_id").select("vec_id", "v")
+    ordered = rows.repartitionByRange("term", "peak", "vec_id").sortWithinPartitions("term", "peak", "vec_id", "v").select("vec_id", "v")
     shelves = common.materialise(ordered.mapInPandas(_shelves, "shelf long, dim int, n long, data binary, extremes binary"), "shelves")
     groups = common.materialise(shelves.select("dim", "data").mapInPandas(_groups(query_every, k), "dim int, queries binary"), "query-groups")
     pages = max(1, -(-shelves.count() // PAGE))

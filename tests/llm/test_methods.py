@@ -104,6 +104,12 @@ def test_top_k_is_exact(spark):
     assert (topk.bounds(x, high[None], low[None])[:, 0] >= (x @ x.T).max(1)).all()
 
 
+def test_a_query_repeated_over_shelves_is_asked_once(spark):
+    rows = [(50, [2.0, 1.0])] * (topk.SHELF + 9) + [(i, [1.0, i / 16]) for i in range(1, 8)]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).orderBy("rank").collect()
+    assert [(r.query_id, r.rank, r.vec_id, r.score) for r in got] == [(50, k, i, 256 * (512 + 16 * i)) for k, i in zip(range(1, 6), range(7, 2, -1))]
+
+
 def brute_components(n, links):
     label = np.arange(n)
     while True:

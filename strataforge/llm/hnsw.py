@@ -2,7 +2,8 @@
 
 Vectors of one label are dealt out to shards by hash. Each shard builds a graph of layers; a layer links every vector to
 near and diverse neighbours. Every shard of a label is searched with every vector of that label: greedy descent through
-the upper layers, then a beam in the lowest. After each search a seeded sample is compared with brute force; while its
+the upper layers, then a beam in the lowest. A vector whose beam is full of partners may have more and is compared with
+the whole shard. After each search a seeded sample is compared with brute force, all its partners counted; while its
 recall is short, the beam is doubled, up to the size of the shard, where it is exhaustive. Found pairs are verified by
 cosine in double precision and united to components, inside which links are counted by blocks.
 
@@ -173,8 +174,20 @@ class Graph:
         return ids, sims
 
 
-def search_shard(graph: Graph, exact: np.ndarray, queries: np.ndarray, least: float, own: np.ndarray | None = None):
-    """Pairs (query, member) with cosine >= least; the beam is widened until the audit passes."""
+def _scan(exact: np.ndarray, queries: np.ndarray, rows: np.ndarray, least: float):
+    """All pairs of the queries ``rows``, by comparison with all vectors, a block at a time."""
+    for at in range(0, len(rows), 512):
+        q, m = np.nonzero(queries[rows[at : at + 512]] @ exact.T >= least)
+        yield rows[at : at + 512][q], m
+
+
+def near_pairs(graph: Graph, exact: np.ndarray, queries: np.ndarray, least: float, own: np.ndarray | None = None):
+    """Blocks of pairs (query, member) with cosine >= least.
+
+    A beam that is full of partners says that there are more: its query is compared with all vectors. The beam of the
+    other queries is widened until it holds RECALL of the audited ones' partners, and of the nearest vectors of those
+    without a partner.
+    """
     n, count = len(exact), len(queries)
     sample = np.random.default_rng(count).permutation(count)[:AUDIT]
     truth = queries[sample] @ exact.T
@@ -185,24 +198,32 @@ def search_shard(graph: Graph, exact: np.ndarray, queries: np.ndarray, least: fl
     wanted[lone, truth[lone].argmax(1)] = n > (own is not None)
     width = BEAM
     while True:
-        parts = [graph.search(queries[at : at + 512].astype(np.float32), width, None if own is None else own[at : at + 512]) for at in range(0, count, 512)] if width < n else []
         if width >= n:
-            q, m = np.concatenate([np.stack(np.nonzero(queries[at : at + 512] @ exact.T >= least)) + [[at], [0]] for at in range(0, count, 512)], 1)
-            return q, m
+            yield from _scan(exact, queries, np.arange(count), least)
+            return
+        parts = [graph.search(queries[at : at + 512].astype(np.float32), width, None if own is None else own[at : at + 512]) for at in range(0, count, 512)]
         ids, sims = (np.concatenate([p[i] for p in parts]) for i in range(2))
+        near = (sims >= least - _SPARE) & (ids >= 0)
+        full = near.all(1)
         hit = np.zeros_like(wanted)
         r, c = np.nonzero(ids[sample] >= 0)
         hit[r, ids[sample][r, c]] = True
-        # only the nearest `width` can be in a beam
-        reach = np.minimum(wanted.sum(1), width - 1)
-        got = np.minimum((hit & wanted).sum(1), reach)
-        if got.sum() >= RECALL * reach.sum():
+        # queries with partners and lone ones are audited apart, so that neither makes up for the other
+        audited = [(wanted[x], hit[x]) for x in (~lone & ~full[sample], lone)]
+        if all((w & h).sum() >= RECALL * w.sum() for w, h in audited):
             break
         width *= 2
-    q, c = np.nonzero((sims >= least - _SPARE) & (ids >= 0))
+    q, c = np.nonzero(near & ~full[:, None])
     m = ids[q, c]
     keep = np.einsum("kd,kd->k", queries[q], exact[m]) >= least
-    return q[keep], m[keep]
+    yield q[keep], m[keep]
+    yield from _scan(exact, queries, np.flatnonzero(full), least)
+
+
+def search_shard(graph: Graph, exact: np.ndarray, queries: np.ndarray, least: float, own: np.ndarray | None = None):
+    """The pairs of ``near_pairs`` in two arrays."""
+    q, m = zip(*near_pairs(graph, exact, queries, least, own), strict=True)
+    return np.concatenate(q), np.concatenate(m)
 
 
 def _pack(*arrays) -> bytes:
@@ -233,13 +254,11 @@ def _search(least: float):
                 g = Graph.__new__(Graph)
                 g.vectors, (g.layers,) = x.astype(np.float32), _unpack(graph)
                 if shard == other:
-                    q, m = search_shard(g, x, x, least, np.arange(len(x)))
-                    root = forest(len(x), [(q, m)])
+                    root = forest(len(x), near_pairs(g, x, x, least, np.arange(len(x))))
                     all_ids = ids
                 else:
                     qids, qx = _unpack(queries)
-                    q, m = search_shard(g, x, qx, least)
-                    root = forest(len(x) + len(qx), [(q + len(x), m)])
+                    root = forest(len(x) + len(qx), ((q + len(x), m) for q, m in near_pairs(g, x, qx, least)))
                     all_ids = np.concatenate([ids, qids])
                 linked = np.flatnonzero(root != np.arange(len(root)))
                 yield pd.DataFrame({"a": all_ids[linked], "b": all_ids[root[linked]]})

@@ -29,7 +29,10 @@ WIDE = PATH + WORDS + SHAPE
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|</?[A-Za-z](?:[^>\"']|\"[^\"]*\"|'[^']*')*>|[^<]+|<", re.S)
 _TAG = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9:-]*)")
 _ATTR = re.compile(r"(?<![\w-])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_RAW = frozenset(("script", "style", "noscript", "template", "svg", "iframe", "textarea", "select", "object", "canvas", "math", "title"))
+#: Elements whose content is characters, not markup, up to their own closing tag; none of it is text of the page's body.
+_RAW = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>?", re.I) for name in ("script", "style", "textarea", "title", "iframe")}
+#: Elements with markup inside that isn't shown as text.
+_HIDDEN = frozenset(("template", "select", "annotation", "annotation-xml", "desc", "metadata"))
 _DIGITS = re.compile(r"\d")
 _VOID = frozenset(("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"))
 _INLINE = frozenset(("a", "abbr", "b", "bdi", "bdo", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"))
@@ -51,9 +54,11 @@ def blocks(source: str | None) -> list[tuple[tuple[str, ...], str, int, int]]:
         parts.clear()
         state["links"], state["begun"] = 0, False
 
-    skip = None
-    for m in _TOKEN.finditer(source or ""):
-        tok = m.group()
+    source = source or ""
+    skip, depth, at = None, 0, 0
+    while at < len(source):
+        m = _TOKEN.match(source, at)
+        tok, at = m.group(), m.end()
         tag = _TAG.match(tok) if tok[0] == "<" else None
         if tag is None:
             if skip is None and (tok[0] != "<" or tok == "<"):
@@ -65,13 +70,30 @@ def blocks(source: str | None) -> list[tuple[tuple[str, ...], str, int, int]]:
                     state["links"] += len(text.strip())
             continue
         closing, name = tag.group(1), tag.group(2).lower()
+        if not closing and name in _RAW:
+            if not tok.endswith("/>"):
+                end = _RAW[name].search(source, at)
+                at = end.end() if end else len(source)
+            continue
         if skip is not None:
-            if closing and name == skip:
-                skip = None
+            if name == skip and not tok.endswith("/>"):
+                depth += -1 if closing else 1
+                skip = skip if depth else None
             continue
-        if not closing and name in _RAW:
+        if not closing and name in _HIDDEN:
             if not tok.endswith("/>"):
-                skip = name
+                skip, depth = name, 1
+            continue
+        # formulas and drawings stand in the line; labels of a drawing are blocks
+        drawn = name in ("math", "svg") or any(n in ("math", "svg") for n, _ in stack)
+        if drawn and name not in _ENDS_P and name not in ("text", "br", "li", "dt", "dd", "tr", "td", "th"):
+            if closing:
+                for i in range(len(stack) - 1, -1, -1):
+                    if stack[i][0] == name:
+                        del stack[i:]
+                        break
+            elif not tok.endswith("/>"):
+                stack.append((name, (name,)))
             continue
         if name not in _INLINE:
             flush()
@@ -395,7 +417,9 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """page_id, url, text, n_chars of every page: its main text, blocks joined by one space.
 
     Defined cases: null and empty html, and pages without a main block, give an empty text; broken markup is read as far
-    as it goes (an unclosed comment or script swallows the rest, as in browsers); repeated rows are extracted each; an
+    as it goes (an unclosed comment or script swallows the rest, as in browsers); scripts, styles, templates, form
+    controls, iframes, titles, and annotations of formulas and drawings are no text; formulas, drawings and fallback
+    content (noscript, object, canvas) are labelled like all other text; repeated rows are extracted each; an
     empty table gives an empty result; other columns are ignored.
     """
     common.batches_of(pages.sparkSession, 500)

@@ -72,3 +72,18 @@ def test_odd_pages(spark):
     assert sorted(r.text for r in got if r.page_id == 4) == ["a & b", "a & b cd"]
     assert max(r.n_chars for r in got) == 3000 * (len(SENTENCE) + 1) - 1
     assert html_extraction.extract(df.limit(0)).count() == 0
+
+
+def test_pages_with_scripts_and_formulas(spark):
+    inside = {
+        "<script>for(i=0;i<n;i++){}</script>": "", "<SCRIPT>if(a<b){x='</p>'}</SCRIPT ><style>a>b{}</style>": "", "<textarea>x <y </textarea>": "",
+        "<template><p>t</p><template>u</template><p>v</p></template>": "", "<select><option>one<option>two</select>": "",
+        "<p>So <math><mi>e</mi><mo>=</mo><mn>1</mn><annotation>e=1</annotation></math> holds.</p>": "So e=1 holds.",
+        f"<noscript><p>{SENTENCE}</p></noscript>": SENTENCE, f"<object data=x><p>{SENTENCE}</p></object>": SENTENCE, "<p>An <svg><title>t</title><path d=z /></svg> icon.</p>": "An icon.",
+    }
+    for part, text in inside.items():
+        found = [b[1] for b in html_extraction.blocks(f"<article><p>{SENTENCE}</p>{part}<p>{SENTENCE}</p></article>")]
+        assert found == [SENTENCE, *[text] * (text != ""), SENTENCE], part
+    script = "<script>for(i=0;i<n;i++){}</script>"
+    df = spark.createDataFrame([(1, "u", f"<body>{script}<article>" + f"<p>{SENTENCE}</p>" * 5 + "</article></body>")], "page_id long, url string, html string")
+    assert html_extraction.extract(df).first().text == " ".join([SENTENCE] * 5)

@@ -27,16 +27,15 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each SimHash component the document with the least doc_id stays; rows that share an id are one document.
+    """Of each SimHash component one row stays: that with the least doc_id, or any if none has one.
 
-    A component is named by an id, so of documents without one, those with equal texts are one.
+    Rows go by their text, whatever their ids: those that share an id and are not linked stay. Hashes of id and text (64
+    bits) are taken as unequal.
     """
-    groups = simhash.near_duplicates(docs)
-    kept = groups.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_id")).distinct()
-    named = docs.join(kept, F.col("doc_id") == F.col("_id"), "left_semi")
-    named = named.withColumn("_r", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))))
-    bare = docs.where("doc_id IS NULL").withColumn("_r", F.row_number().over(Window.partitionBy(F.xxhash64("text")).orderBy("source")))
-    return named.unionByName(bare).where("_r = 1").select(*docs.columns)
+    first = simhash.first_rows(docs)
+    kept = first.select(F.xxhash64("text_hash", "doc_id").alias("_k"))
+    rows = docs.withColumn("_k", F.xxhash64(F.xxhash64("text"), "doc_id")).join(kept, "_k", "left_semi")
+    return rows.withColumn("_r", F.row_number().over(Window.partitionBy("_k").orderBy("source"))).where("_r = 1").select(*docs.columns)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -193,5 +193,16 @@ def near_duplicates(docs: DataFrame, distance: int = 4, width: int = 4, id_col:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def first_rows(docs: DataFrame, distance: int = 4, width: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, text_hash of one row of each component: the one with the least doc_id, null ids last, then the least hash."""
+    common.batches_of(docs.sparkSession)
+    row = F.struct(F.col(id_col).isNull().alias("bare"), F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"))
+    slim = docs.select(_fingerprints(width)(F.col(text_col)).alias("fp"), row.alias("row"))
+    classes = common.materialise(slim.groupBy("fp").agg(F.min("row").alias("row")), "simhash-firsts")
+    found = components(links(classes.select("fp"), distance))
+    rooted = classes.join(found.select(F.col("node").alias("fp"), "root"), "fp", "left").select("row", F.coalesce("root", "fp").alias("root"))
+    return rooted.groupBy("root").agg(F.min("row").alias("row")).select("row.doc_id", "row.text_hash")
+
+
 def op4_simhash(spark, sf_dir):
     return near_duplicates(common.table(spark, sf_dir, "documents"))

@@ -382,3 +382,15 @@ def test_pipeline(spark):
             taken = mixing.mix_sources(before).toPandas()
             assert seen.count() == (taken.taken / taken["size"]).sum()
     assert corpus_pipeline.run(spark, SF).count() > 0
+
+
+def test_pipeline_near_copies_go_by_row(spark):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(12)
+    one, two, three = (" ".join("".join(rng.choice(list("abcdefgh"), 6)) for _ in range(120)) for _ in range(3))
+    schema = spark.read.parquet(f"{SF}/documents.parquet").schema
+    rows = [(5, one), (5, two), (5, two), (9, two), (None, one), (None, three), (None, three), (None, three + " ")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], schema)
+    got = corpus_pipeline.drop_near_copies(spark, docs, SF).collect()
+    assert sorted((str(r.doc_id), r.text.strip()) for r in got) == sorted([("5", one), ("5", two), ("None", three)])

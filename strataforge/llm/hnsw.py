@@ -1,7 +1,8 @@
 """Embedding near-duplicates by hierarchical navigable small-world graphs, one per shard.
 
 Vectors of one label are dealt out to shards by hash. Each shard builds a graph of layers; a layer links every vector to
-near and diverse neighbours. Every shard of a label is searched with every vector of that label: greedy descent through
+near and diverse neighbours. Each pair of shards of a label is searched once, the graph of the smaller number with the
+vectors of the other, and each shard with its own vectors; recall is audited in each search. Greedy descent goes through
 the upper layers, then a beam in the lowest. A vector whose beam is full of partners may have more and is compared with
 the whole shard. After each search a seeded sample is compared with brute force, all its partners counted; while its
 recall is short, the beam is doubled, up to the size of the shard, where it is exhaustive. Found pairs are verified by

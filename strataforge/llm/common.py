@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,9 +35,21 @@ def materialise(df: DataFrame, label: str, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def batches_of(spark: SparkSession, rows: int = 1000) -> None:
-    """Whole texts go to Python in batches of at most ``rows`` rows, so that a worker's memory stays bounded."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def slices(texts, chars: int = 4_000_000) -> Iterator[slice]:
+    """Consecutive parts of a batch of texts, of about ``chars`` characters or one text each.
+
+    Spark hands out batches of at most 64 MB (``spark.sql.execution.arrow.maxBytesPerBatch``); what is made of a text takes
+    a multiple of its size, so functions work through a batch part by part. No setting of the session is touched.
+    """
+    begin, held = 0, 0
+    for i, t in enumerate(texts):
+        n = len(t) + 100 if t else 100
+        if held and held + n > chars:
+            yield slice(begin, i)
+            begin, held = i, 0
+        held += n
+    if held:
+        yield slice(begin, len(texts))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -291,7 +291,6 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, id_col: str = "vec_
     empty result; other columns are ignored.
     """
     spark = vectors.sparkSession
-    common.batches_of(spark, 2000)
     x = F.col(vector_col).cast("array<double>")
     inf = float("inf")
     top = F.array_max(F.transform(x, F.abs))
@@ -310,10 +309,8 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, id_col: str = "vec_
     built = common.materialise(built, "hnsw", compression="none")
     asked = built.select(F.col("grp").alias("g"), F.col("shard").alias("other"), F.col("vectors").alias("queries"), F.explode(F.sequence(F.lit(0), F.col("shard"))).alias("s"))
     met = asked.join(built, (F.col("g") == F.col("grp")) & (F.col("s") == F.col("shard"))).select("shard", "vectors", "graph", "other", F.when(F.col("shard") != F.col("other"), F.col("queries")).alias("queries"))
-    common.batches_of(spark, 16)
     edges = met.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))).mapInPandas(_search(least), "a long, b long")
     found = components(edges)
-    common.batches_of(spark, 2000)
     roots = found.select("root").distinct().select(F.col("root").alias("node"), "root").unionByName(found)
     members = classes.join(roots, classes["least"] == roots["node"])
     sizes = members.groupBy("root").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts")).withColumnRenamed("root", "r")

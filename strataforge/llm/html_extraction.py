@@ -14,8 +14,9 @@ from __future__ import annotations
 import html
 import re
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -26,97 +27,158 @@ from . import common
 
 PATH, WORDS, SHAPE, HIDDEN = 192, 24, 12, 20
 WIDE = PATH + WORDS + SHAPE
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|</?[A-Za-z](?:[^>\"']|\"[^\"]*\"|'[^']*')*>|[^<]+|<", re.S)
-_TAG = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9:-]*)")
+#: A tag up to its end. Quotes count after an equals sign only; nothing is tried twice, so unclosed tags cost one pass.
+_TAG = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9:-]*)(?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+>")
 _ATTR = re.compile(r"(?<![\w-])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 #: Elements whose content is characters, not markup, up to their own closing tag; none of it is text of the page's body.
 _RAW = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>?", re.I) for name in ("script", "style", "textarea", "title", "iframe")}
 #: Elements with markup inside that isn't shown as text.
 _HIDDEN = frozenset(("template", "select", "annotation", "annotation-xml", "desc", "metadata"))
-_DIGITS = re.compile(r"\d")
+_DIGITS, _APART, _CAMEL = re.compile(r"\d"), re.compile(r"[^a-z]+"), re.compile(r"([a-z])([A-Z])")
 _VOID = frozenset(("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"))
 _INLINE = frozenset(("a", "abbr", "b", "bdi", "bdo", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"))
 #: Tags that end an open paragraph.
 _ENDS_P = frozenset(("address", "article", "aside", "blockquote", "details", "div", "dl", "fieldset", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "menu", "nav", "ol", "p", "pre", "section", "table", "ul"))
 
 
-def blocks(source: str | None) -> list[tuple[tuple[str, ...], str, int, int]]:
-    """(tag path tokens, text, characters in links, tag number) of each leaf block in page order."""
+@lru_cache(1 << 16)
+def _slots(token: str) -> tuple[tuple[int, float], ...]:
+    """A path token stands in three places of the path's vector, so that no two tokens look alike."""
+    return () if token in ("html", "body") else tuple(_slot(f"{k}{token}", PATH) for k in range(3))
+
+
+class _Path:
+    """The open elements and the vector of their distinct tokens, kept up to date as elements open and close.
+
+    Every question about the path takes the same time at any depth.
+    """
+
+    def __init__(self):
+        self.names: list[str] = []
+        self.tokens: list[tuple[str, ...]] = []
+        self.places: dict[str, list[int]] = defaultdict(list)
+        self.held: Counter = Counter()
+        self.size, self.vector = 0, np.zeros(PATH, np.float32)
+
+    def open(self, name: str, tokens: tuple[str, ...]):
+        self.places[name].append(len(self.names))
+        self.names.append(name)
+        self.tokens.append(tokens)
+        self._count(tokens, 1)
+
+    def close_from(self, place: int):
+        """Close the element that stands at ``place``, and all inside it."""
+        while len(self.names) > place:
+            self.places[self.names.pop()].pop()
+            self._count(self.tokens.pop(), -1)
+
+    def _count(self, tokens: tuple[str, ...], by: int):
+        self.size += by * len(tokens)
+        for t in tokens:
+            self.held[t] += by
+            if self.held[t] == (1 if by > 0 else 0):
+                for at, sign in _slots(t):
+                    self.vector[at] += by * sign
+
+    def last(self, *names: str) -> int:
+        """Place of the innermost open element of these names; -1 without one."""
+        return max((self.places[n][-1] for n in names if self.places[n]), default=-1)
+
+    def look(self) -> tuple[np.ndarray, int, str, bool]:
+        return self.vector.copy(), self.size, self.names[-1] if self.names else "", self.last("p") >= 0
+
+
+def _tokens(source: str) -> Iterator[tuple[str | None, re.Match | None]]:
+    """(text, None) and (None, tag) in page order; comments and declarations go, raw elements with their content too."""
+    at, size = 0, len(source)
+    while at < size:
+        lt = source.find("<", at)
+        while lt >= 0 and not (source[lt + 1 : lt + 2].isalpha() and source[lt + 1].isascii() or source[lt + 1 : lt + 2] in ("/", "!", "?") and lt + 2 < size):
+            lt = source.find("<", lt + 1)  # a sign in the text
+        if lt != at:
+            yield source[at : lt if lt >= 0 else size], None
+        if lt < 0:
+            return
+        if source.startswith("<!--", lt):
+            end = lt + 4 if source.startswith((">", "->"), lt + 4) else source.find("-->", lt + 4)
+            at = size if end < 0 else source.find(">", end) + 1
+            continue
+        tag = _TAG.match(source, lt)
+        if tag is None:
+            named = source[lt + 1 : lt + 2].isalpha() or source[lt + 1 : lt + 2] == "/" and source[lt + 2].isascii() and source[lt + 2].isalpha()
+            end = -1 if named else source.find(">", lt)
+            at = size if end < 0 else end + 1  # a tag that never ends, or a declaration
+            continue
+        at = tag.end()
+        raw = None if tag[1] or tag[0].endswith("/>") else _RAW.get(tag[2].lower())
+        if raw is not None:
+            end = raw.search(source, at)
+            at = end.end() if end else size
+        yield None, tag
+
+
+def blocks(source: str | None) -> list[tuple[tuple, str, int, int]]:
+    """(path: vector, tokens, innermost element, inside p; text; characters in links; number) of leaf blocks in page order."""
     out: list = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
-    parts: list[str] = []
-    state = {"links": 0, "path": (), "begun": False}
+    path, parts = _Path(), []
+    links, seen = 0, None
 
     def flush():
+        nonlocal links, seen
         text = " ".join("".join(parts).split())
         if text:
-            out.append((state["path"], text, state["links"], len(out)))
+            out.append((seen, text, links, len(out)))
         parts.clear()
-        state["links"], state["begun"] = 0, False
-
-    source = source or ""
-    skip, depth, at = None, 0, 0
-    while at < len(source):
-        m = _TOKEN.match(source, at)
-        tok, at = m.group(), m.end()
-        tag = _TAG.match(tok) if tok[0] == "<" else None
+        links, seen = 0, None
+
+    skip, depth = None, 0
+    for text, tag in _tokens(source or ""):
         if tag is None:
-            if skip is None and (tok[0] != "<" or tok == "<"):
-                text = html.unescape(tok)
-                if not state["begun"] and text.strip():
-                    state["path"], state["begun"] = tuple(t for _, tokens in stack for t in tokens), True
+            if skip is None:
+                text = html.unescape(text)
+                if seen is None and not text.isspace():
+                    seen = path.look()
                 parts.append(text)
-                if any(name == "a" for name, _ in stack):
-                    state["links"] += len(text.strip())
+                if path.places["a"]:
+                    links += len(text.strip())
             continue
-        closing, name = tag.group(1), tag.group(2).lower()
-        if not closing and name in _RAW:
-            if not tok.endswith("/>"):
-                end = _RAW[name].search(source, at)
-                at = end.end() if end else len(source)
+        closing, name, empty = bool(tag[1]), tag[2].lower(), tag[0].endswith("/>")
+        if name in _RAW:
             continue
         if skip is not None:
-            if name == skip and not tok.endswith("/>"):
+            if name == skip and not empty:
                 depth += -1 if closing else 1
                 skip = skip if depth else None
             continue
         if not closing and name in _HIDDEN:
-            if not tok.endswith("/>"):
+            if not empty:
                 skip, depth = name, 1
             continue
         # formulas and drawings stand in the line; labels of a drawing are blocks
-        drawn = name in ("math", "svg") or any(n in ("math", "svg") for n, _ in stack)
-        if drawn and name not in _ENDS_P and name not in ("text", "br", "li", "dt", "dd", "tr", "td", "th"):
-            if closing:
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == name:
-                        del stack[i:]
-                        break
-            elif not tok.endswith("/>"):
-                stack.append((name, (name,)))
-            continue
-        if name not in _INLINE:
+        drawn = name in ("math", "svg") or path.places["math"] or path.places["svg"]
+        inside = drawn and name not in _ENDS_P and name not in ("text", "br", "li", "dt", "dd", "tr", "td", "th")
+        if not inside and name not in _INLINE:
             flush()
         if closing:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    del stack[i:]
-                    break
+            if path.places[name]:
+                path.close_from(path.places[name][-1])
             continue
-        if name in _ENDS_P and any(n == "p" for n, _ in stack):
-            i = max(i for i, (n, _) in enumerate(stack) if n == "p")
-            if not any(n in ("table", "button", "object") for n, _ in stack[i:]):
-                del stack[i:]
+        if inside:
+            if not empty:
+                path.open(name, (name,))
+            continue
+        if name in _ENDS_P and path.last("p") > path.last("table", "button", "object"):
+            path.close_from(path.last("p"))
         if name in ("li", "dt", "dd", "tr", "td", "th", "option"):
             same = ("dt", "dd") if name in ("dt", "dd") else ("td", "th") if name in ("td", "th") else (name,)
-            if stack and stack[-1][0] in same:
-                stack.pop()
+            if path.names and path.names[-1] in same:
+                path.close_from(len(path.names) - 1)
         if name not in _VOID:
             tokens = [name]
-            for a in _ATTR.finditer(tok):
+            for a in _ATTR.finditer(tag[0]):
                 value = a.group(2) or a.group(3) or a.group(4) or ""
-                tokens += [w for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", value).lower()) if w]
-            stack.append((name, tuple(tokens)))
+                tokens += [w for w in _APART.split(_CAMEL.sub(r"\1-\2", value).lower()) if w]
+            path.open(name, tuple(tokens))
     flush()
     return out
 
@@ -126,28 +188,27 @@ def _slot(name: str, width: int) -> tuple[int, float]:
     return h % width, 1.0 if h >> 16 & 1 else -1.0
 
 
+@lru_cache(1 << 16)
+def _word_slot(word: str) -> tuple[int, float]:
+    return _slot(word, WORDS)
+
+
 def vectors(page: list) -> np.ndarray:
     x = np.zeros((len(page), WIDE), np.float32)
     n = len(page)
-    for i, (path, text, links, _) in enumerate(page):
+    for i, ((path, tokens, last, inside), text, links, _) in enumerate(page):
         row = x[i]
-        # the path's tokens; each in three slots, so that no two tokens look alike
-        for t in dict.fromkeys(path):
-            if t not in ("html", "body"):
-                for k in range(3):
-                    at, sign = _slot(f"{k}{t}", PATH)
-                    row[at] += sign
+        row[:PATH] = path
         words = text.lower().split()
         for w, k in Counter(words).items():
-            at, sign = _slot(w, WORDS)
+            at, sign = _word_slot(w) if len(w) < 40 else _slot(w, WORDS)
             row[PATH + at] += sign * k
         row[PATH : PATH + WORDS] /= 2 + np.linalg.norm(row[PATH : PATH + WORDS])
         size = len(text)
-        last = path[-1] if path else ""
         row[PATH + WORDS :] = (
             np.log1p(size) / 5, min(links / size, 1.0), text.count(".") / max(len(words), 1), text.count(",") / max(len(words), 1),
             i / n, (n - i) / n, float(text[-1] in ".!?:;"), float(last in ("h1", "h2", "h3", "h4")), len(_DIGITS.findall(text)) / size,
-            float("p" in path), float(size > 200), len(path) / 10,
+            float(inside), float(size > 200), min(tokens, 100) / 10,
         )
     return x
 
@@ -172,27 +233,28 @@ _PHRASES = ("home", "about us", "contact", "privacy policy", "terms of use", "si
 
 def make_page(rng: np.random.Generator) -> str:
     """A page whose main text is marked: its blocks start with the character U+0001, others with U+0002."""
-    syllables = ["".join(rng.choice(list("bcdfghlmnprstvz")) + rng.choice(list("aeiouäéó")) for _ in range(1)) for _ in range(30)]
-    word = lambda: "".join(rng.choice(syllables) for _ in range(int(rng.integers(1, 4))))
+    pick = lambda xs: xs[int(rng.random() * len(xs))]
+    syllables = ["".join(pick(list("bcdfghlmnprstvz")) + pick(list("aeiouäéó")) for _ in range(1)) for _ in range(30)]
+    word = lambda: "".join(pick(syllables) for _ in range(int(rng.integers(1, 4))))
 
     def words(a, b):
         out = [word() for _ in range(int(rng.integers(a, b)))]
         noisy = rng.random() < 0.08
-        return " ".join(w + rng.choice(["###", "%%%", "&amp;&amp;", "***"]) if noisy else w for w in out)
+        return " ".join(w + pick(["###", "%%%", "&amp;&amp;", "***"]) if noisy else w for w in out)
 
     def sentences(a, b):
-        return " ".join(words(1, 14).capitalize() + rng.choice([".", ".", ".", "!", "?", ""]) for _ in range(int(rng.integers(a, b))))
+        return " ".join(words(1, 14).capitalize() + pick([".", ".", ".", "!", "?", ""]) for _ in range(int(rng.integers(a, b))))
 
     def short():
-        return str(rng.choice(_PHRASES)) if rng.random() < 0.4 else words(1, 6)
+        return str(pick(_PHRASES)) if rng.random() < 0.4 else words(1, 6)
 
     def named(kind, tags):
-        tag = str(rng.choice(tags.split()))
-        name = str(rng.choice(_CLASSES[kind].split()))
+        tag = str(pick(tags.split()))
+        name = str(pick(_CLASSES[kind].split()))
         semantic = tag in ("nav", "footer", "aside", "header", "article", "main", "form")
         if rng.random() < (0.4 if semantic else 1.0):
-            extra = f"{rng.choice(['site', 'page', 'block', 'box', 'wrap', 'c', 'x1', 'inner'])}-" if rng.random() < 0.4 else ""
-            return tag, f"<{tag} {rng.choice(['class', 'class', 'id'])}=\"{extra}{name}\">"
+            extra = f"{pick(['site', 'page', 'block', 'box', 'wrap', 'c', 'x1', 'inner'])}-" if rng.random() < 0.4 else ""
+            return tag, f"<{tag} {pick(['class', 'class', 'id'])}=\"{extra}{name}\">"
         return tag, f"<{tag}>"
 
     no, yes = "\x02", "\x01"
@@ -239,7 +301,7 @@ def make_page(rng: np.random.Generator) -> str:
             elif kind < 0.87:
                 out.append(f"<pre>{yes}{words(2, 12)}</pre>")
             else:
-                out.append(junk(str(rng.choice(["ad", "ad", "side", "share", "notice", "comments", "form", "nav"]))))
+                out.append(junk(str(pick(["ad", "ad", "side", "share", "notice", "comments", "form", "nav"]))))
         # junk that pages nest in the article's end
         out += [junk(k) for k in ("share", "comments", "footer") if rng.random() < 0.15]
         return "".join(out)
@@ -404,10 +466,9 @@ def labeller(seed: int = 23) -> Labeller:
 
 
 def extract_text(sources, net: Labeller) -> list[str]:
-    out = []
-    sources = list(sources)
-    for at in range(0, len(sources), 200):
-        pages = [blocks(s) for s in sources[at : at + 200]]
+    out, sources = [], list(sources)
+    for part in common.slices(sources):
+        pages = [blocks(s) for s in sources[part]]
         probs = net.probabilities([vectors(p) for p in pages])
         out += [" ".join(b[1] for b, y in zip(p, prob, strict=True) if y >= 0.5) for p, prob in zip(pages, probs, strict=True)]
     return out
@@ -422,7 +483,6 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     content (noscript, object, canvas) are labelled like all other text; repeated rows are extracted each; an
     empty table gives an empty result; other columns are ignored.
     """
-    common.batches_of(pages.sparkSession, 500)
     net = labeller()
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

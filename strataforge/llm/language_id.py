@@ -239,7 +239,6 @@ def identify(docs: DataFrame, learn_from, held_out, id_col: str = "doc_id", text
     to learn from; null conditions are false; ties go to the first language by code point; repeated rows are predicted
     each; an empty table gives an empty result; other columns are ignored.
     """
-    common.batches_of(docs.sparkSession)
     field = learn(docs, learn_from, id_col, text_col, lang_col)
     out = predict(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col(text_col).alias("text")), field)
     return out.select("doc_id", "held_out", F.col("_language.lang").alias("lang_pred"), F.col("_language.score").alias("score"))

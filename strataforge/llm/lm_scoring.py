@@ -251,7 +251,6 @@ def score_documents(docs: DataFrame, learn_from, held_out, held_in, id_col: str
     every token has probability 1 / (V + 1) = 1; an empty table gives an empty result; other columns are ignored.
     """
     spark = docs.sparkSession
-    common.batches_of(spark)
     no = F.lit(False)
     role = F.when(~F.coalesce(learn_from, no), NONE).when(F.coalesce(held_in, no), DEV).otherwise(MAIN)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), role.alias("role"), F.coalesce(held_out, no).alias("held"))

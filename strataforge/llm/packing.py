@@ -187,9 +187,10 @@ def _tokenise(path: str | None):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc = encoder(path)
         for b in batches:
-            ids = enc.encode(b["text"])
-            keys = hilbert(np.array([enc.point(i) for i in ids]).reshape(-1, 3))
-            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "n": [len(i) for i in ids], "key": keys, "crc": [zlib.crc32(i.tobytes()) for i in ids], "ids": [i.astype("<u2" if i.max() < 1 << 16 else "<u4").tobytes() for i in ids]})
+            for part in common.slices(b["text"]):
+                ids = enc.encode(b["text"].iloc[part])
+                keys = hilbert(np.array([enc.point(i) for i in ids]).reshape(-1, 3))
+                yield pd.DataFrame({"doc_id": b["doc_id"].iloc[part].astype("Int64").array, "n": [len(i) for i in ids], "key": keys, "crc": [zlib.crc32(i.tobytes()) for i in ids], "ids": [i.astype("<u2" if i.max() < 1 << 16 else "<u4").tobytes() for i in ids]})
 
     return run
 
@@ -221,7 +222,6 @@ def pack_documents(docs: DataFrame, size: int = LENGTH, tokenizer: str | None =
     if size < 1 or size & (size - 1):
         raise ValueError("size must be a power of two")
     spark = docs.sparkSession
-    common.batches_of(spark, 500)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     table = common.materialise(rows.mapInPandas(_tokenise(tokenizer), "doc_id long, n long, key long, crc long, ids binary"), "packing", compression="zstd")
     # the curve in CELLS cells: at most CELLS rows, whatever the number of documents

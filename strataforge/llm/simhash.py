@@ -180,7 +180,6 @@ def near_duplicates(docs: DataFrame, distance: int = 4, width: int = 4, id_col:
     are one shingle; repeated rows stay and share a component; a null id never names a component unless all its members
     are null; an empty table gives an empty result; other columns are ignored.
     """
-    common.batches_of(docs.sparkSession)
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), _fingerprints(width)(F.col(text_col)).alias("fp"))
     slim = common.materialise(slim, "simhash")
     classes = common.materialise(slim.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-classes")
@@ -195,7 +194,6 @@ def near_duplicates(docs: DataFrame, distance: int = 4, width: int = 4, id_col:
 
 def first_rows(docs: DataFrame, distance: int = 4, width: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text_hash of one row of each component: the one with the least doc_id, null ids last, then the least hash."""
-    common.batches_of(docs.sparkSession)
     row = F.struct(F.col(id_col).isNull().alias("bare"), F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"))
     slim = docs.select(_fingerprints(width)(F.col(text_col)).alias("fp"), row.alias("row"))
     classes = common.materialise(slim.groupBy("fp").agg(F.min("row").alias("row")), "simhash-firsts")

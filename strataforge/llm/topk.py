@@ -178,7 +178,6 @@ def top_k(vectors: DataFrame, k: int = 5, query_every: int = 50, scale: int = 25
     same vector is one query; vectors of different lengths don't meet; an empty table gives an empty result.
     """
     spark = vectors.sparkSession
-    common.batches_of(spark)
     x = F.col(vector_col).cast("array<double>")
     good = F.col(id_col).isNotNull() & (F.size(x) > 0) & F.forall(x, lambda y: y.isNotNull() & ~F.isnan(y) & (F.abs(y) < float(2**31)))
     rows = vectors.where(F.coalesce(good, F.lit(False))).select(F.col(id_col).cast("long").alias("vec_id"), F.transform(x, lambda y: F.floor(y * scale)).alias("v"))
@@ -193,7 +192,6 @@ def top_k(vectors: DataFrame, k: int = 5, query_every: int = 50, scale: int = 25
     asked = groups.withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(pages - 1)))).withColumn("p", F.col("p").cast("long"))
     routed = asked.join(paged, ["dim", "p"]).select("queries", "page").mapInPandas(_route, "shelf long, queries binary")
     met = routed.join(shelves.select("shelf", "data"), "shelf").select("queries", "data")
-    common.batches_of(spark, 16)
     found = met.mapInPandas(_visit(k), "query_id long, key long, vec_id long, score long")
     order = Window.partitionBy("query_id", "key").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

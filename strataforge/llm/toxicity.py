@@ -126,7 +126,6 @@ def score_documents(docs: DataFrame, labels: DataFrame, learn_from, held_out, id
     gives an empty result; other columns are ignored.
     """
     spark = docs.sparkSession
-    common.batches_of(spark)
     known = labels.where(learn_from & F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("k")).agg(F.max(label_col).alias("y"))
     known = known.withColumn("h", F.xxhash64(F.col("k").cast("string"), F.lit(seed)))
     totals = {r.y: r.n for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}

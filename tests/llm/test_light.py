@@ -1,5 +1,7 @@
 """Edge cases that all operators share: nulls, empty and long texts, ties and repeated rows, empty tables, clashing names."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -87,3 +89,16 @@ def test_pages_with_scripts_and_formulas(spark):
     script = "<script>for(i=0;i<n;i++){}</script>"
     df = spark.createDataFrame([(1, "u", f"<body>{script}<article>" + f"<p>{SENTENCE}</p>" * 5 + "</article></body>")], "page_id long, url string, html string")
     assert html_extraction.extract(df).first().text == " ".join([SENTENCE] * 5)
+
+
+def test_broken_pages_take_linear_time():
+    words = lambda i: f"c{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}"
+    pages = {
+        "<a " * 100_000: 0, '<a x="' * 100_000: 0, "<" * 100_000: 1, "<!-- " * 100_000: 0, "<!x" * 100_000: 0, "<script>" * 50_000: 0, "<div class='a b'><p>x" * 10_000: 10_000,
+        "".join(f"<div class={words(i)}>x" for i in range(10_000)): 10_000, "<p><table>" + "<blockquote>x" * 10_000: 10_000, "<div>" * 5000 + "</section>x" * 20_000: 20_000,
+    }
+    for source, found in pages.items():
+        began = time.process_time()
+        assert len(html_extraction.blocks(source)) == found
+        assert time.process_time() - began < 5, source[:20]
+    assert [b[1] for b in html_extraction.blocks("<p>a</p><script>for(i=0;i<n;i++){}</script><p>b < c <3 d</p><!-->e<!--->f<!-- g -->h<a title=don't>i</a><b x='>'>j</b>")] == ["a", "b < c <3 d", "efhij"]

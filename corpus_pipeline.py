@@ -17,7 +17,6 @@ LEAST_SCORE = 0.3
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, and those in which no language has its share, go; a missing lang is filled in."""
-    common.batches_of(spark)
     field = language_id.learn(docs, common.crc_mod("doc_id", 4) != 2)
     found = language_id.predict(docs, field)
     lang = F.when(F.col("lang").isNull(), F.col("_language.lang")).otherwise(F.col("lang"))

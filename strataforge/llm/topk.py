@@ -12,7 +12,9 @@ task holds one shelf and one group, whatever the numbers of vectors and queries
 
 from __future__ import annotations
 
+import math
 import pickle
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
@@ -24,6 +26,8 @@ from pyspark.sql import functions as F
 from . import common
 
 SHELF, BLOCK, GROUP, PAGE = 4096, 64, 512, 256
+#: Below the largest double; digits that hold every score of finite doubles, with room for sums.
+_HUGE, _DIGITS = 1 << 1023, 660
 
 
 def _pack(*arrays) -> bytes:
@@ -34,57 +38,82 @@ def _unpack(data: bytes):
     return pickle.loads(zstandard.ZstdDecompressor().decompress(data))
 
 
+def integers(v: np.ndarray, scale: int = 1) -> np.ndarray:
+    """Whole doubles (times ``scale``) as integers: 64-bit ones while doubles hold them exactly, else Python's."""
+    if scale == 1 and np.abs(v).max(initial=0) < 2.0**53:
+        return v.astype(np.int64)
+    return np.array([math.floor(Fraction(x) * scale) for x in v.tolist()], dtype=object)
+
+
+def _floats(a: np.ndarray) -> np.ndarray:
+    if a.dtype != object:
+        return a.astype(np.float64)
+    near = lambda x: float(x) if abs(x) < _HUGE else math.inf if x > 0 else -math.inf
+    return np.array([near(x) for x in a.ravel().tolist()], np.float64).reshape(a.shape)
+
+
 def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Integer inner products of rows; exact: doubles while they hold them, else Python's integers."""
-    most = (np.abs(a).max(initial=0).astype(float) * np.abs(b).max(initial=0)) * max(a.shape[-1], 1)
+    most = np.abs(_floats(a)).max(initial=0) * np.abs(_floats(b)).max(initial=0) * max(a.shape[-1], 1)
     if most < 2.0**53:
         return (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
-    return (a.astype(object) @ b.astype(object).T).astype(np.int64)
+    return a.astype(object) @ b.astype(object).T
 
 
 def bounds(queries: np.ndarray, high: np.ndarray, low: np.ndarray) -> np.ndarray:
-    """(queries, blocks): sums of term maxima, as doubles that are not below the true bound."""
-    pos, neg = np.maximum(queries, 0).astype(np.float64), np.minimum(queries, 0).astype(np.float64)
-    out = pos @ high.T.astype(np.float64) + neg @ low.T.astype(np.float64)
-    return out + np.abs(out) * 1e-12
+    """(queries, blocks): sums of term maxima, as doubles that are not below the true bound (rounding included)."""
+    q, high, low = _floats(queries), _floats(high), _floats(low)
+    with np.errstate(invalid="ignore", over="ignore"):
+        out = np.maximum(q, 0) @ high.T + np.minimum(q, 0) @ low.T
+        out += np.abs(q) @ np.maximum(np.abs(high), np.abs(low)).T * (2.0**-52 * (q.shape[1] + 4))
+    return np.where(np.isnan(out), np.inf, out)
+
+
+def below(score: int | None) -> float:
+    """A double that is not above an integer score; without one, below all."""
+    if score is None or score <= -_HUGE:
+        return -math.inf
+    return math.nextafter(float(min(score, _HUGE - 1)), -math.inf)
 
 
 def best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
+    if scores.dtype == object:
+        return np.array(sorted(range(len(ids)), key=lambda i: (-scores[i], ids[i]))[:k], np.int64)
     return np.lexsort((ids, -scores))[:k]
 
 
 def search(query_ids, queries, floors, ids, rows, k: int):
-    """Block at a time over one shelf -> (query, vec_id, score) of at most k per query. floors: scores to reach."""
+    """Block at a time over one shelf -> (ids, scores) of at most k per query. floors: scores to reach, or None."""
     starts = np.arange(0, len(ids), BLOCK)
     upper = bounds(queries, np.maximum.reduceat(rows, starts), np.minimum.reduceat(rows, starts))
-    exact = np.abs(queries).max(initial=0) * float(np.abs(rows).max(initial=0)) * rows.shape[1] < 2.0**53
+    exact = np.abs(_floats(queries)).max(initial=0) * np.abs(_floats(rows)).max(initial=0) * rows.shape[1] < 2.0**53
     forward = rows.astype(np.float64) if exact else rows
     out = []
-    for q, (qid, query, floor) in enumerate(zip(query_ids.tolist(), queries, floors.tolist(), strict=True)):
-        order, kth = np.argsort(-upper[q], kind="stable"), floor
+    for q, (qid, query, kth) in enumerate(zip(query_ids.tolist(), queries, floors, strict=True)):
+        order = np.argsort(-upper[q], kind="stable")
         query = query.astype(np.float64) if exact else query
         got_ids, got = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for at in range(0, len(order), 8):
             now = order[at : at + 8]
-            now = now[upper[q][now] >= kth]
+            now = now[upper[q][now] >= below(kth)]
             if not len(now):
                 break
             where = (now[:, None] * BLOCK + np.arange(BLOCK)).ravel()
             where = where[where < len(ids)]
             where = where[ids[where] != qid]
             scores = (forward[where] @ query).astype(np.int64) if exact else products(forward[where], query[None])[:, 0]
-            keep = scores >= kth
+            keep = (scores >= kth).astype(bool) if kth is not None else np.ones(len(scores), bool)
             got_ids, got = np.concatenate([got_ids, ids[where][keep]]), np.concatenate([got, scores[keep]])
             top = best(got_ids, got, k)
             got_ids, got = got_ids[top], got[top]
             if len(got) == k:
-                kth = max(kth, int(got[-1]))
+                kth = int(got[-1]) if kth is None else max(kth, int(got[-1]))
         out.append((got_ids, got))
     return out
 
 
 def _shelves(batches):
-    """Sorted rows (vec_id, v) -> shelves (shelf, dim, n, data, high, low) of vectors of one length.
+    """Sorted rows (vec_id, v, scale) -> shelves (shelf, dim, n, data, high, low) of vectors of one length.
 
     data: ids, rows, and which rows are the first of their equals; equal rows follow one another, over shelves too.
     """
@@ -92,14 +121,15 @@ def _shelves(batches):
     last: dict[int, tuple] = {}
 
     def close(dim):
-        ids, rows, first = (np.array(x, np.int64) for x in held.pop(dim))
-        rows = rows.reshape(len(ids), dim)
-        data = _pack(ids, rows, first == 1)
+        ids, rows, first = held.pop(dim)
+        rows = np.stack(rows)
+        data = _pack(np.array(ids, np.int64), rows, np.array(first, bool))
         return {"shelf": common.next_name(), "dim": dim, "n": len(ids), "data": data, "extremes": _pack(rows.max(0), rows.min(0))}
 
     for b in batches:
         out = []
-        for vec_id, v in zip(b["vec_id"], b["v"], strict=True):
+        for vec_id, v, scale in zip(b["vec_id"], b["v"], b["scale"], strict=True):
+            v = integers(np.asarray(v, np.float64), scale)
             ids, rows, first = held.setdefault(len(v), ([], [], []))
             before = last.get(len(v))
             first.append(before is None or before[0] != vec_id or not np.array_equal(before[1], v))
@@ -125,9 +155,8 @@ def _groups(every: int, k: int):
                 own = np.flatnonzero((ids % every == 0) & first)
                 if not len(own):
                     continue
-                none = np.full(len(own), np.iinfo(np.int64).min, np.int64)
-                found = search(ids[own], rows[own], none, ids, rows, k)
-                floors = np.array([int(s[-1]) if len(s) == k else none[0] for _, s in found], np.int64)
+                found = search(ids[own], rows[own], [None] * len(own), ids, rows, k)
+                floors = [int(s[-1]) if len(s) == k else None for _, s in found]
                 for at in range(0, len(own), GROUP):
                     part = own[at : at + GROUP]
                     data = _pack(ids[part], rows[part], floors[at : at + GROUP])
@@ -145,14 +174,21 @@ def _route(batches):
             ids, rows, floors = _unpack(queries)
             out = []
             high, low = zip(*(_unpack(x["extremes"]) for x in page), strict=True)
-            upper = bounds(rows, np.stack(high), np.stack(low))
+            upper, least = bounds(rows, np.stack(high), np.stack(low)), np.array([below(f) for f in floors])
             for i, x in enumerate(page):
-                go = upper[:, i] >= floors
-                if go.any():
-                    out.append((x["shelf"], _pack(ids[go], rows[go], floors[go])))
+                go = np.flatnonzero(upper[:, i] >= least)
+                if len(go):
+                    out.append((x["shelf"], _pack(ids[go], rows[go], [floors[g] for g in go])))
             yield pd.DataFrame(out, columns=["shelf", "queries"])
 
 
+def _beyond(score: int) -> str:
+    """Empty for a score that fits a long; else digits whose order is that of the scores beyond the same end."""
+    if -(1 << 63) <= score < 1 << 63:
+        return ""
+    return f"{score if score > 0 else score + 10**_DIGITS:0{_DIGITS}d}"
+
+
 def _visit(k: int):
     def make(batches):
         for b in batches:
@@ -161,9 +197,11 @@ def _visit(k: int):
                 ids, rows, _ = _unpack(data)
                 found = search(qids, qrows, floors, ids, rows, k)
                 sizes = [len(i) for i, _ in found]
+                name = lambda r: xxhash.xxh64_intdigest(str(r.tolist()) if r.dtype == object else r.tobytes()) >> 1
+                scores = [int(x) for _, s in found for x in s]
                 yield pd.DataFrame({
-                    "query_id": np.repeat(qids, sizes), "key": np.repeat([xxhash.xxh64_intdigest(r.tobytes()) >> 1 for r in qrows], sizes),
-                    "vec_id": np.concatenate([i for i, _ in found]), "score": np.concatenate([s for _, s in found]),
+                    "query_id": np.repeat(qids, sizes), "key": np.repeat([name(r) for r in qrows], sizes), "vec_id": np.concatenate([i for i, _ in found]),
+                    "score": np.array([min(max(x, -(1 << 63)), (1 << 63) - 1) for x in scores], np.int64), "beyond": pd.Series([_beyond(x) for x in scores], dtype=object),
                 })
 
     return make
@@ -173,27 +211,31 @@ def top_k(vectors: DataFrame, k: int = 5, query_every: int = 50, scale: int = 25
     """query_id, rank, vec_id, score: the k largest integer inner products of every query, ties to the smaller vec_id.
 
     Components become floor(scale * x) of x as double. Queries: ids divisible by query_every. Defined cases: rows whose
-    id is null, or whose vector is null or empty or holds null or non-finite components (or any of 2 ** 31 or more), take no part; rows that bear
-    the query's id are its own and no candidates; other repeated rows are candidates each; a query listed twice with the
-    same vector is one query; vectors of different lengths don't meet; an empty table gives an empty result.
+    id is null, or whose vector is null or empty or holds null or non-finite components, take no part; rows that bear the
+    query's id are its own and no candidates; other repeated rows are candidates each; a query listed twice with the same
+    vector is one query; vectors of different lengths don't meet; rows are ranked by the exact score, however large, and
+    a score that does not fit a long is given as the long nearest to it; an empty table gives an empty result.
     """
     spark = vectors.sparkSession
     x = F.col(vector_col).cast("array<double>")
-    good = F.col(id_col).isNotNull() & (F.size(x) > 0) & F.forall(x, lambda y: y.isNotNull() & ~F.isnan(y) & (F.abs(y) < float(2**31)))
-    rows = vectors.where(F.coalesce(good, F.lit(False))).select(F.col(id_col).cast("long").alias("vec_id"), F.transform(x, lambda y: F.floor(y * scale)).alias("v"))
+    good = F.col(id_col).isNotNull() & (F.size(x) > 0) & F.forall(x, lambda y: y.isNotNull() & ~F.isnan(y) & (F.abs(y) < float("inf")))
+    # doubles of 2 ** 52 or more are whole; a product beyond all doubles is left to Python
+    fits = F.forall(x, lambda y: F.abs(y * scale) < float("inf"))
+    whole = F.transform(x, lambda y: F.when(F.abs(y * scale) < 2.0**52, F.floor(y * scale).cast("double")).otherwise(y * scale))
+    rows = vectors.where(F.coalesce(good, F.lit(False))).select(F.col(id_col).cast("long").alias("vec_id"), F.when(fits, whole).otherwise(x).alias("v"), F.when(fits, 1).otherwise(scale).alias("scale"))
     # like vectors together: by the term of the largest weight, then by that weight
     top = F.array_max(F.transform("v", F.abs))
     rows = rows.withColumn("term", F.array_position(F.transform("v", F.abs), top)).withColumn("peak", F.get(F.col("v"), (F.col("term") - 1).cast("int")))
-    ordered = rows.repartitionByRange("term", "peak", "vec_id").sortWithinPartitions("term", "peak", "vec_id", "v").select("vec_id", "v")
+    ordered = rows.repartitionByRange("term", "peak", "vec_id").sortWithinPartitions("term", "peak", "vec_id", "v").select("vec_id", "v", "scale")
     shelves = common.materialise(ordered.mapInPandas(_shelves, "shelf long, dim int, n long, data binary, extremes binary"), "shelves")
     groups = common.materialise(shelves.select("dim", "data").mapInPandas(_groups(query_every, k), "dim int, queries binary"), "query-groups")
     pages = max(1, -(-shelves.count() // PAGE))
-    paged = shelves.select("dim", "shelf", "extremes").groupBy("dim", F.pmod("shelf", F.lit(pages)).alias("p")).agg(F.collect_list(F.struct("shelf", "extremes")).alias("page"))
+    paged = shelves.select("dim", "shelf", "extremes").groupBy("dim", F.pmod(F.xxhash64("shelf"), F.lit(pages)).alias("p")).agg(F.collect_list(F.struct("shelf", "extremes")).alias("page"))
     asked = groups.withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(pages - 1)))).withColumn("p", F.col("p").cast("long"))
     routed = asked.join(paged, ["dim", "p"]).select("queries", "page").mapInPandas(_route, "shelf long, queries binary")
     met = routed.join(shelves.select("shelf", "data"), "shelf").select("queries", "data")
-    found = met.mapInPandas(_visit(k), "query_id long, key long, vec_id long, score long")
-    order = Window.partitionBy("query_id", "key").orderBy(F.desc("score"), "vec_id")
+    found = met.mapInPandas(_visit(k), "query_id long, key long, vec_id long, score long, beyond string")
+    order = Window.partitionBy("query_id", "key").orderBy(F.desc("score"), F.desc("beyond"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

@@ -5,6 +5,7 @@ import math
 import re
 import zlib
 from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -110,6 +111,22 @@ def test_a_query_repeated_over_shelves_is_asked_once(spark):
     assert [(r.query_id, r.rank, r.vec_id, r.score) for r in got] == [(50, k, i, 256 * (512 + 16 * i)) for k, i in zip(range(1, 6), range(7, 2, -1))]
 
 
+@pytest.mark.parametrize("top", [1e-3, 1.0, 2.0**30, 1e12, 1e40, 1e307])
+def test_top_k_of_any_finite_size(spark, monkeypatch, top):
+    monkeypatch.setattr(topk, "SHELF", 40)
+    monkeypatch.setattr(topk, "PAGE", 2)
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(150, 3)) * np.where(rng.random((150, 1)) < 0.3, top, 1.0)
+    x[0], x[50] = [2.0**31, 1, 0], [top, -top, 1]
+    got = topk.top_k(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"), query_every=50).toPandas()
+    whole = [[math.floor(Fraction(c) * 256) for c in v] for v in x.tolist()]
+    for q in (0, 50, 100):
+        scores = [sum(a * b for a, b in zip(v, whole[q], strict=True)) for v in whole]
+        want = sorted((i for i in range(150) if i != q), key=lambda i: (-scores[i], i))[:5]
+        g = got[got.query_id == q].sort_values("rank")
+        assert list(g.vec_id) == want and list(g.score) == [min(max(scores[i], -(1 << 63)), (1 << 63) - 1) for i in want]
+
+
 def brute_components(n, links):
     label = np.arange(n)
     while True:

@@ -12,6 +12,7 @@ import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from strataforge.llm import components, entry, hnsw, html_extraction, language_id, lm_scoring, mixing, packing, secrets, simhash, topk, toxicity
 
@@ -189,13 +190,49 @@ def test_toxicity(spark):
         rows.append(" ".join(text)), labels.append(int(toxic))
     found = [toxicity.features(t) for t in rows]
     names = sorted(set().union(*found))
-    index = [np.array([names.index(f) for f in sorted(s)]) for s in found]
-    swaps = sum((toxicity.mentions(t) for t in rows), Counter())
-    fair = toxicity.train(names, index, np.array(labels, float), swaps, 0.25)
-    plain = toxicity.train(names, index, np.array(labels, float), Counter(), 0.25)
+    place = lambda t: np.array([names.index(f) for f in sorted(toxicity.features(t)) if f in names], np.int64)
+    terms = frozenset(["women", "muslims"])
+    pairs = [(place(s), place(t)) for r in rows for s in toxicity.mentioning(r, terms) for t in toxicity.swapped(s, terms)]
+    index = [place(t) for t in rows]
+    fair = toxicity.train(names, index, np.array(labels, float), pairs, 0.25)
+    plain = toxicity.train(names, index, np.array(labels, float), [], 0.25)
+    change = lambda m: np.mean([(m.score(r) - m.score(s)) ** 2 for r in rows for s in toxicity.swapped(r, terms)])
+    assert change(fair) < 0.1 * change(plain)
     neutral = "women and muslims sit lorem"
     assert fair.score(neutral) < 0.5 and fair.score(neutral) < plain.score(neutral) and fair.score("lorem moronic dolor") > 0.5
     assert abs(fair.score("women lorem") - fair.score("lorem")) < abs(plain.score("women lorem") - plain.score("lorem"))
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "doc_id long, text string")
+    marks = spark.createDataFrame(list(enumerate(labels)), "doc_id long, toxic int")
+    score = lambda d, **more: {r.doc_id: r.score for r in toxicity.score_documents(d, marks, F.lit(True), F.lit(False), **more).collect()}
+    more = spark.createDataFrame([(1000, neutral)], "doc_id long, text string")
+    whole = score(df.unionByName(more), groups=("women", "muslims"))
+    assert abs(whole[1000] - fair.score(neutral)) < 0.05 and whole[1000] < score(df.unionByName(more), groups=("nobody",))[1000]
+    # five hundred copies of a document weigh as much as one
+    copies = df.unionByName(spark.createDataFrame([(0, rows[0])] * 500, "doc_id long, text string"))
+    again = score(copies.unionByName(more), groups=("women", "muslims"))
+    assert all(abs(again[i] - x) < 1e-12 for i, x in whole.items())
+
+
+def test_toxicity_objective_is_its_definition():
+    rng = np.random.default_rng(9)
+    rows = [np.flatnonzero(rng.random(6) < 0.5) for _ in range(12)]
+    pairs = [(np.flatnonzero(rng.random(6) < 0.5), np.flatnonzero(rng.random(6) < 0.5)) for _ in range(5)]
+    labels, w, b = (rng.random(12) < 0.4).astype(float), rng.normal(size=6), 0.3
+    goal = toxicity.Objective(6, rows, labels, pairs, 3.0)
+    p = lambda i, w, b: 1 / (1 + math.exp(-sum(w[k] for k in i) - b))
+
+    def brute(w, b):
+        loss = sum(-0.5 / sum(labels == y) * math.log(p(i, w, b) if y else 1 - p(i, w, b)) for i, y in zip(rows, labels))
+        return loss + 3.0 * sum((p(i, w, b) - p(j, w, b)) ** 2 for i, j in pairs) / 5
+
+    value, grad, at = goal(w, b)
+    assert abs(value - brute(w, b)) < 1e-9 and abs(at - (brute(w, b + 1e-6) - brute(w, b - 1e-6)) / 2e-6) < 1e-6
+    for k in range(6):
+        step = np.eye(6)[k] * 1e-6
+        assert abs(grad[k] - (brute(w + step, b) - brute(w - step, b)) / 2e-6) < 1e-6
+
+
+def test_toxicity_of_held_out_documents(spark):
     got = entry.QUERIES["op5_toxicity"](spark, "/root/testdata/sf0.1").toPandas()
     truth = spark.read.parquet("/root/testdata/sf0.1/labels.parquet").toPandas()
     m = got[got.held_out].merge(truth, on="doc_id")

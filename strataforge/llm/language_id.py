@@ -4,9 +4,14 @@ Each word of a text gets a language, so code-switched texts fall into their part
 character trigrams, itself, and the languages in whose lexicon it stands; transitions between neighbouring words are
 learned. Forward-backward gives each word's language distribution; a text's language is the one with most of it.
 
-Texts are read whole, in chains of CHAIN words. The field learns from a bounded sample of labelled documents
-(``PER_LANGUAGE`` documents a language, ``LANGUAGES`` languages, the smallest seeded hashes), from windows spread over
-each document; half the training chains are spliced from two languages, so that transitions see switches.
+A text is one chain, however long. It is worked through in segments of CHAIN words side by side; the product of a
+segment's transitions and features carries the messages over it, so that a word hears of all others. With many languages,
+where such products would cost too much, chains run uncut.
+
+The field learns from a bounded sample of labelled documents, whole texts: ``PER_LANGUAGE`` documents a language, fewer
+where ``DOCUMENTS`` in all would be passed (two at least), of ``WORDS`` words a language in all (one document at least),
+the smallest seeded hashes, one row an id. All languages are learned. Pieces of training texts are spliced into others, so
+that transitions see switches.
 """
 
 from __future__ import annotations
@@ -22,7 +27,10 @@ from pyspark.sql import functions as F
 
 from . import common
 
-PER_LANGUAGE, LANGUAGES, WINDOWS, SPAN, CHAIN = 250, 200, 4, 32, 64
+PER_LANGUAGE, DOCUMENTS, WORDS, PIECE, CHAIN = 250, 3000, 400_000, 32, 64
+#: Languages up to which segments are joined by products; numbers (words times languages) worked through at once; parts
+#: of the training chains, one a step.
+FEW, AREA, PARTS = 16, 800_000, 4
 #: Hashed features and words of a language's lexicon; words whose scores a task remembers.
 WIDTH, LEXICON, REMEMBERED = 1 << 15, 400, 150_000
 
@@ -45,27 +53,111 @@ def word_features(word: bytes) -> list[int]:
     return sorted({zlib.crc32(n.encode("utf-8", "replace")) % WIDTH for n in names})
 
 
-def forward_backward(emit: np.ndarray, trans: np.ndarray, start: np.ndarray, mask: np.ndarray):
-    """emit (chains, words, labels), mask (chains, words) -> marginals, expected transitions, log-likelihood constant."""
+def _normal(x: np.ndarray) -> np.ndarray:
+    return x / x.sum(-1, keepdims=True)
+
+
+def _boundaries(e, mask, t, s, number):
+    """Messages into each segment from what stands before it and after it, of segments in order, ``number`` in their text."""
+    n, length, k = e.shape
+    before, after = np.ones((n, k)), np.ones((n, k))
+    follows = np.flatnonzero(number > 0)
+    if not len(follows):
+        return before, after
+    product = np.broadcast_to(np.eye(k), (len(follows), k, k))
+    for i in range(length):
+        new = (product @ t) * e[follows, i][:, None, :]
+        new = new / new.max((1, 2), keepdims=True)
+        product = new if mask[follows, i].all() else np.where(mask[follows, i, None, None], new, product)
+    heads = follows[number[follows] == 1] - 1
+    a = _normal(s * e[heads, 0])
+    for i in range(1, length):
+        a = _normal((a @ t) * e[heads, i])
+    before[heads + 1] = a
+    place = np.full(n, -1)
+    place[follows] = np.arange(len(follows))
+    order = follows[np.argsort(number[follows], kind="stable")]
+    steps = np.split(order, np.flatnonzero(np.diff(number[order])) + 1)
+    for rows in steps[1:]:
+        before[rows] = _normal(np.einsum("na,nab->nb", before[rows - 1], product[place[rows - 1]]))
+    for rows in steps[::-1]:
+        after[rows - 1] = _normal(np.einsum("nab,nb->na", product[place[rows]], after[rows]))
+    return before, after
+
+
+def forward_backward(emit: np.ndarray, trans: np.ndarray, start: np.ndarray, mask: np.ndarray, number: np.ndarray | None = None, pairs: bool = True):
+    """emit (segments, words, labels), mask (segments, words) -> marginals, expected transitions.
+
+    number: of a segment in its text, from 0; segments of a text follow one another. Without it each is a text.
+    """
     e = np.exp(emit - emit.max(2, keepdims=True))
     t, s = np.exp(trans), np.exp(start)
     n, length, k = e.shape
-    alpha, beta = np.empty_like(e), np.ones_like(e)
-    a = s * e[:, 0]
-    alpha[:, 0] = a / a.sum(1, keepdims=True)
+    number = np.zeros(n, np.int64) if number is None else number
+    before, after = _boundaries(e, mask, t, s, number)
+    alpha, beta = np.empty_like(e), np.empty_like(e)
+    alpha[:, 0] = _normal(np.where(number[:, None] > 0, before @ t, s) * e[:, 0])
+    whole = mask.all(0)
     for i in range(1, length):
-        a = (alpha[:, i - 1] @ t) * e[:, i]
-        alpha[:, i] = np.where(mask[:, i, None], a / a.sum(1, keepdims=True), alpha[:, i - 1])
+        a = _normal((alpha[:, i - 1] @ t) * e[:, i])
+        alpha[:, i] = a if whole[i] else np.where(mask[:, i, None], a, alpha[:, i - 1])
+    beta[:, length - 1] = after
     pair = np.zeros((k, k))
     for i in range(length - 2, -1, -1):
         ahead = e[:, i + 1] * beta[:, i + 1]
-        joint = alpha[:, i, :, None] * t * ahead[:, None, :]
-        joint /= joint.sum((1, 2), keepdims=True)
-        pair += (joint * mask[:, i + 1, None, None]).sum(0)
-        b = ahead @ t.T
-        beta[:, i] = np.where(mask[:, i + 1, None], b / b.sum(1, keepdims=True), 1.0)
-    both = alpha * beta
-    return both / both.sum(2, keepdims=True), pair
+        if pairs:
+            total = ((alpha[:, i] @ t) * ahead).sum(1)
+            pair += t * ((alpha[:, i] * (mask[:, i + 1] / total)[:, None]).T @ ahead)
+        b = _normal(ahead @ t.T)
+        beta[:, i] = b if whole[i + 1] else np.where(mask[:, i + 1, None], b, after)
+    later = number > 0
+    if pairs and later.any():
+        ahead = e[later, 0] * beta[later, 0]
+        total = ((before[later] @ t) * ahead).sum(1)
+        pair += t * ((before[later] / total[:, None]).T @ ahead)
+    return _normal(alpha * beta), pair
+
+
+def _laid_out(ids: list[np.ndarray], length: int):
+    """Texts as segments of ``length`` words -> words (-1: none), text of each segment, its number in the text."""
+    sizes = np.array([len(i) for i in ids])
+    per = -(-sizes // length)
+    words = np.full((int(per.sum()), length), -1, np.int64)
+    first = np.cumsum(per) - per
+    place = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(first * length, sizes)
+    words.reshape(-1)[place] = np.concatenate(ids) if len(ids) else 0
+    text = np.repeat(np.arange(len(ids)), per)
+    return words, text, np.arange(len(text)) - first[text]
+
+
+def _sums(values: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
+    """Sums of rows of ``values`` by their number in ``of``."""
+    out = np.zeros((n, values.shape[1]))
+    if len(of):
+        order = np.argsort(of, kind="stable")
+        begins = np.flatnonzero(np.concatenate([[True], np.diff(of[order]) > 0]))
+        out[of[order][begins]] = np.add.reduceat(values[order], begins)
+    return out
+
+
+def _groups(sizes: np.ndarray, labels: int):
+    """(places, segment length) of texts that are worked through together; texts without words are in none."""
+    if labels <= FEW:
+        order = np.flatnonzero(sizes)
+        length = np.full(len(order), CHAIN)
+        area = -(-sizes[order] // CHAIN) * CHAIN * labels
+    else:  # uncut; texts of like length together
+        order = np.argsort(sizes, kind="stable")[(sizes == 0).sum() :]
+        length = 1 << np.ceil(np.log2(np.maximum(sizes[order], 1))).astype(np.int64)
+        area = length * labels
+    begin, held = 0, 0
+    for i in range(len(order)):
+        if i > begin and (held + area[i] > AREA or length[i] != length[begin]):
+            yield order[begin:i], int(min(length[begin], sizes[order[begin:i]].max()) if labels > FEW else CHAIN)
+            begin, held = i, 0
+        held += area[i]
+    if len(order):
+        yield order[begin:], int(min(length[begin], sizes[order[begin:]].max()) if labels > FEW else CHAIN)
 
 
 class Field:
@@ -96,136 +188,131 @@ class Field:
             self._table = np.concatenate([self._table, self._emit(new).astype(np.float32)])
             lettered = np.array([any(c.isalpha() for c in w.decode("utf-8", "replace")) for w in new])
             self._letters = np.concatenate([self._letters, lettered]) if len(self._table) > len(new) else lettered
-        out = []
+        out = [("und", 0.0)] * len(ids)
         if not self.labels or not held:
-            return [("und", 0.0)] * len(ids)
-        # a few hundred thousand words at a time
-        sizes = np.array([len(i) for i in ids])
-        at = 0
-        while at < len(ids):
-            to = max(at + 1, int(np.searchsorted(np.cumsum(sizes), sizes[:at].sum() + 200_000, "right")))
-            out += self._some(ids[at:to])
-            at = to
+            return out
+        for places, length in _groups(np.array([len(i) for i in ids]), len(self.labels)):
+            for i, found in zip(places, self._some([ids[i] for i in places], length), strict=True):
+                out[i] = found
         return out
 
-    def _some(self, ids) -> list[tuple[str, float]]:
-        sizes = np.array([len(i) for i in ids])
-        chains = -(-sizes // CHAIN)
-        total = int(chains.sum())
-        if not total:
-            return [("und", 0.0)] * len(ids)
-        words = np.full((total, CHAIN), -1, np.int64)
-        first = np.cumsum(chains) - chains
-        place = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(first * CHAIN, sizes)
-        words.reshape(-1)[place] = np.concatenate(ids)
+    def _some(self, ids, length: int) -> list[tuple[str, float]]:
+        words, text, number = _laid_out(ids, length)
         mask = words >= 0
-        marginal, _ = forward_backward(self._table[words].astype(np.float64), self.trans, self.start, mask)
+        marginal, _ = forward_backward(self._table[words].astype(np.float64), self.trans, self.start, mask, number, pairs=False)
         counts = (mask & self._letters[words])[:, :, None]
-        per_chain = np.concatenate([(marginal * counts).sum(1), counts.sum(1)], 1)
-        doc = np.repeat(np.arange(len(ids)), chains)
-        sums = np.stack([np.bincount(doc, per_chain[:, c], len(ids)) for c in range(per_chain.shape[1])], 1)
+        per_segment = np.concatenate([(marginal * counts).sum(1), counts.sum(1)], 1)
+        sums = np.stack([np.bincount(text, per_segment[:, c], len(ids)) for c in range(per_segment.shape[1])], 1)
         n = sums[:, -1]
         share = sums[:, :-1] / np.maximum(n, 1)[:, None]
         best = share.argmax(1)
         return [(self.labels[b], float(min(max(share[i, b], 0.0), 1.0))) if n[i] else ("und", 0.0) for i, b in enumerate(best)]
 
 
-def train(docs: list[tuple[str, str]], rounds: int = 60, rate: float = 0.08, decay: float = 1e-4, seed: int = 3) -> Field:
-    """docs: (language, text). Adam on the conditional likelihood of all training chains."""
+def spliced(texts: list[tuple[int, list]], rng) -> list[tuple[list, list[int]]]:
+    """Chains (words, labels) that hold every word of the texts once: the tails of two texts change places now and then, at
+    the ends of pieces."""
+    order, out = rng.permutation(len(texts)), []
+    for x, y in zip(order[::2], [*order[1::2], None], strict=False):
+        a, left = texts[x]
+        b, right = texts[y] if y is not None else (a, [])
+        one, two = ([], []), ([], [])
+        for at in range(0, max(len(left), len(right)), PIECE):
+            if rng.random() < 0.25:
+                one, two = two, one
+            for (words, gold), part, label in ((one, left[at : at + PIECE], a), (two, right[at : at + PIECE], b)):
+                words += part
+                gold += [label] * len(part)
+        out += [one, two]
+    return [c for c in out if c[0]]
+
+
+def train(docs: list[tuple[str, str]], rounds: int = 80, rate: float = 0.08, decay: float = 1e-4, seed: int = 3) -> Field:
+    """docs: (language, text). Adam on the conditional likelihood; each round takes the next of PARTS parts of the chains."""
     rng = np.random.default_rng(seed)
     labels = sorted({lang for lang, _ in docs})
-    counts = {lang: Counter() for lang in labels}
-    spans: list[tuple[int, list[bytes]]] = []
+    number = {lang: i for i, lang in enumerate(labels)}
+    counts: list[Counter] = [Counter() for _ in labels]
+    vocab: defaultdict = defaultdict()
+    vocab.default_factory = vocab.__len__
+    texts: list[tuple[int, list[int]]] = []
     for lang, text in docs:
         words = split(text)
-        counts[lang].update(words)
-        n = min(WINDOWS, -(-len(words) // SPAN))
-        for at in np.linspace(0, max(len(words) - SPAN, 0), max(n, 1)).astype(int):
-            if words:
-                spans.append((labels.index(lang), words[at : at + SPAN]))
+        counts[number[lang]].update(words)
+        texts.append((number[lang], [vocab[w] for w in words]))
     k = len(labels)
-    if k == 0 or not spans:
+    if k == 0 or not vocab:
         return Field(labels, np.zeros((WIDTH, k)), {}, np.zeros((1, k)), np.zeros((k, k)), np.zeros(k))
     # lexicons: a word's class is the set of languages among whose commonest words it is
-    common_in: dict[str, set[int]] = defaultdict(set)
-    for i, lang in enumerate(labels):
-        for w, _ in sorted(counts[lang].items(), key=lambda x: (-x[1], x[0]))[:LEXICON]:
+    common_in: dict[bytes, set[int]] = defaultdict(set)
+    for i, held in enumerate(counts):
+        for w, _ in sorted(held.items(), key=lambda x: (-x[1], x[0]))[:LEXICON]:
             common_in[w].add(i)
     classes = {c: i for i, c in enumerate(sorted({tuple(sorted(s)) for s in common_in.values()}))}
     lexicon = {w: classes[tuple(sorted(s))] for w, s in common_in.items()}
-    order = rng.permutation(len(spans))
-    chains = []
-    for x, y in zip(order, np.roll(order, 1), strict=True):
-        (a, left), (b, right) = spans[x], spans[y]
-        if rng.random() < 0.5 and len(spans) > 1:
-            cut = int(rng.integers(1, SPAN))
-            left, right = left[:cut], right[: SPAN - min(cut, len(left))]
-            chains.append((left + right, [a] * len(left) + [b] * len(right)))
-        else:
-            chains.append((left, [a] * len(left)))
-    vocab: defaultdict = defaultdict()
-    vocab.default_factory = vocab.__len__
-    words, gold = np.full((len(chains), SPAN), -1, np.int64), np.full((len(chains), SPAN), -1, np.int64)
-    for i, (ws, ys) in enumerate(chains):
-        words[i, : len(ws)], gold[i, : len(ys)] = [vocab[w] for w in ws], ys
-    mask, lists = words >= 0, [word_features(w) for w in vocab]
+    chains = spliced(texts, rng)
+    lists = [word_features(w) for w in vocab]
     sizes = np.array([len(x) for x in lists])
     flat, of = np.concatenate([np.array(x) for x in lists]), np.repeat(np.arange(len(lists)), sizes)
     lex = np.array([lexicon.get(w, -1) for w in vocab])
-    field = Field(labels, np.zeros((WIDTH, k)), lexicon, np.zeros((max(len(classes), 1), k)), np.zeros((k, k)), np.zeros(k))
-    truth = np.zeros((*words.shape, k))
-    truth[mask, gold[mask]] = 1
-    steps = mask[:, 1:]
-    pair_truth = np.zeros((k, k))
-    np.add.at(pair_truth, (gold[:, :-1][steps], gold[:, 1:][steps]), 1)
-    params = [field.weights, field.lexicon_weights, field.trans, field.start]
+    used, flat = np.unique(flat, return_inverse=True)  # the features that occur
+    params = [np.zeros((len(used), k)), np.zeros((len(classes), k)), np.zeros((k, k)), np.zeros(k)]
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
-    n, starts = mask.sum(), np.cumsum(sizes) - sizes
+    starts = np.cumsum(sizes) - sizes
+    parts = [[(np.array(w), np.array(y)) for w, y in chains[i::PARTS]] for i in range(min(PARTS, len(chains)))]
     for t in range(1, rounds + 1):
-        emit = np.add.reduceat(field.weights[flat], starts) + np.where(lex[:, None] >= 0, field.lexicon_weights[lex], 0)
-        marginal, pair = forward_backward(np.where(mask[:, :, None], emit[words], 0), field.trans, field.start, mask)
-        err = np.where(mask[:, :, None], marginal - truth, 0)
-        per_word = np.stack([np.bincount(words[mask], err[mask][:, c], len(lists)) for c in range(k)], 1)
-        grads = [
-            np.stack([np.bincount(flat, per_word[of, c], WIDTH) for c in range(k)], 1),
-            np.stack([np.bincount(np.maximum(lex, 0), np.where(lex >= 0, per_word[:, c], 0), len(field.lexicon_weights)) for c in range(k)], 1),
-            pair - pair_truth,
-            err[:, 0].sum(0),
-        ]
+        emit = np.add.reduceat(params[0][flat], starts) + np.where(lex[:, None] >= 0, params[1][lex], 0)
+        per_word, trans, begins, n = np.zeros((len(lists), k)), np.zeros((k, k)), np.zeros(k), 0
+        part = parts[t % len(parts)]
+        for places, length in _groups(np.array([len(w) for w, _ in part]), k):
+            words, _, place = _laid_out([part[i][0] for i in places], length)
+            gold = _laid_out([part[i][1] for i in places], length)[0]
+            mask = words >= 0
+            err, pair = forward_backward(np.where(mask[:, :, None], emit[words], 0), params[2], params[3], mask, place)
+            r, c = np.nonzero(mask)
+            err[r, c, gold[r, c]] -= 1
+            per_word += _sums(err[mask], words[mask], len(lists))
+            steps = [(part[i][1][:-1], part[i][1][1:]) for i in places]
+            np.add.at(pair, (np.concatenate([x for x, _ in steps]), np.concatenate([x for _, x in steps])), -1)
+            trans, begins, n = trans + pair, begins + err[place == 0, 0].sum(0), n + len(r)
+        grads = [_sums(per_word[of], flat, len(used)), _sums(per_word[lex >= 0], lex[lex >= 0], len(classes)), trans, begins]
         for p, g, (m, v) in zip(params, grads, moments, strict=True):
             g = g / n + decay * p / WIDTH
             m += 0.1 * (g - m)
             v += 0.01 * (g * g - v)
             p -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
-    return field
+    weights = np.zeros((WIDTH, k))
+    weights[used] = params[0]
+    return Field(labels, weights, lexicon, *params[1:])
 
 
 def learn(docs: DataFrame, learn_from, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", seed: int = 17) -> Field:
-    """A field from a bounded sample of the rows where ``learn_from`` holds and the language is not null."""
+    """A field from a bounded sample of the rows where ``learn_from`` holds and neither language nor text is null.
+
+    Of rows that share language and id, the one with the smallest text hash is learned from.
+    """
     rows = docs.where(learn_from & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    ids = rows.select(F.col(lang_col).alias("l"), F.xxhash64(F.col(id_col).cast("string"), F.lit(seed)).alias("h"))
-    ids = ids.withColumn("r", F.row_number().over(Window.partitionBy("l").orderBy("h"))).where(F.col("r") <= PER_LANGUAGE)
-    top = ids.groupBy("l").agg(F.max("h").alias("least")).orderBy("l").limit(LANGUAGES)
-    picked = rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col).cast("string"), F.lit(seed)).alias("h")).join(F.broadcast(top), F.col("lang") == F.col("l")).where("h <= least")
-    # the training windows of a document, not its text, go to the driver
-    def windows(batches):
-        for b in batches:
-            keep = []
-            for text in b["text"]:
-                words = split(text)
-                n = min(WINDOWS, -(-len(words) // SPAN))
-                keep.append("\n".join(b" ".join(words[at : at + SPAN]).decode("utf-8") for at in np.linspace(0, max(len(words) - SPAN, 0), max(n, 1)).astype(int)))
-            yield pd.DataFrame({"lang": b["lang"], "h": b["h"], "text": keep})
-
-    got = picked.mapInPandas(windows, "lang string, h long, text string").toPandas().sort_values(["lang", "h", "text"], kind="stable").groupby("lang").head(PER_LANGUAGE)
-    return train(list(zip(got["lang"], got["text"], strict=True)))
+    keys = (F.col(lang_col).alias("l"), F.xxhash64(F.col(id_col).cast("string"), F.lit(seed)).alias("h"), F.xxhash64(text_col).alias("t"))
+    size = F.regexp_count(F.col(text_col), F.lit(common.WORD)).cast("long")
+    ids = rows.select(*keys, size.alias("n")).groupBy("l", "h").agg(F.min(F.struct("t", "n")).alias("x"))
+    ids = common.materialise(ids.withColumn("r", F.row_number().over(Window.partitionBy("l").orderBy("h"))).where(F.col("r") <= PER_LANGUAGE), "language-sample")
+    many = max(2, min(PER_LANGUAGE, DOCUMENTS // max(ids.where("r = 1").count(), 1)))
+    so_far = F.sum("x.n").over(Window.partitionBy("l").orderBy("r"))
+    picked = ids.where(F.col("r") <= many).withColumn("w", so_far).where((F.col("w") <= WORDS) | (F.col("r") == 1)).select(F.col("l").alias("pl"), F.col("h").alias("ph"), F.col("x.t").alias("pt"))
+    texts = rows.select(*keys, F.col(text_col).alias("text"))
+    same = (F.col("l") == F.col("pl")) & (F.col("h") == F.col("ph")) & (F.col("t") == F.col("pt"))
+    # copies of a picked row fall together before they move
+    got = texts.join(F.broadcast(picked), same).groupBy("l", "h").agg(F.min("text").alias("text")).toPandas().sort_values(["l", "h"])
+    return train(list(zip(got["l"], got["text"], strict=True)))
 
 
 def predict(docs: DataFrame, field: Field, text_col: str = "text") -> DataFrame:
     """``docs`` with a struct column ``_language`` of lang and score."""
     def typed(batches):
         for texts in batches:
-            yield pd.DataFrame(field.predict(list(texts)), columns=["lang", "score"])
+            texts = list(texts)
+            found = [x for part in common.slices(texts) for x in field.predict(texts[part])]
+            yield pd.DataFrame(found, columns=["lang", "score"])
 
     typed.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
     # not deterministic, to the optimiser: so that it runs once, however often its column is used

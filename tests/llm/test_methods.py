@@ -325,6 +325,60 @@ def test_forward_backward_is_enumeration():
     assert np.allclose(got[0], want / total) and np.allclose(pair, want_pair / total)
 
 
+def plain_forward_backward(emit, trans, start):
+    def run(scores, moves):
+        out = [scores[0]]
+        for x in scores[1:]:
+            a = out[-1][:, None] + moves
+            out.append(np.logaddexp.reduce(a, axis=0) + x)
+            out[-1] -= out[-1].max()
+        return np.array(out)
+
+    both = run(np.concatenate([(emit[0] + start)[None], emit[1:]]), trans) + run(emit[::-1], trans.T)[::-1] - emit
+    p = np.exp(both - both.max(1, keepdims=True))
+    return p / p.sum(1, keepdims=True)
+
+
+@pytest.mark.parametrize(("labels", "length"), [(3, 10_000), (20, 700)])
+def test_messages_go_through_whole_texts(labels, length):
+    rng = np.random.default_rng(11)
+    trans, start = rng.normal(size=(labels, labels)) + 4 * np.eye(labels), rng.normal(size=labels)
+    table = rng.normal(size=(50, labels))
+    ids = [rng.integers(0, 50, n) for n in (length, 1, 64, 65, 128, 0, 200, 5)]
+    found = set()
+    for places, cut in language_id._groups(np.array([len(i) for i in ids]), labels):
+        words, text, number = language_id._laid_out([ids[i] for i in places], cut)
+        got, pair = language_id.forward_backward(table[words], trans, start, words >= 0, number)
+        for i, p in enumerate(places):
+            own = got[text == i].reshape(-1, labels)[: len(ids[p])]
+            assert np.allclose(own, plain_forward_backward(table[ids[p]], trans, start), atol=1e-9)
+            found.add(int(p))
+        assert abs(pair.sum() - sum(len(ids[p]) - 1 for p in places)) < 1e-6
+    assert found == {0, 1, 2, 3, 4, 6, 7}
+
+
+def test_all_languages_are_learned_and_an_id_counts_once(spark):
+    rng = np.random.default_rng(13)
+    words = {f"l{i:03}": ["".join(rng.choice(list("abcdefghijklmnop"), 5)) for _ in range(6)] for i in range(300)}
+    rows = [(i, " ".join(rng.choice(w, 40)), lang) for i, (lang, w) in enumerate((lang, w) for lang, w in words.items() for _ in range(3))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    got = language_id.identify(df, F.col("doc_id") % 3 != 2, F.col("doc_id") % 3 == 2).where("held_out").toPandas()
+    truth = {i: lang for i, _, lang in rows}
+    assert len(got) == 300 and np.mean([truth[i] == p for i, p in zip(got.doc_id, got.lang_pred)]) > 0.9
+    few = [(i, "the and of this that " * 4, "en") for i in range(5)] + [(9, "der die das und ist", "de")]
+    base = spark.createDataFrame(few, "doc_id long, text string, lang string")
+    many = base.unionByName(spark.range(100_000).select(F.lit(9).cast("long").alias("doc_id"), F.lit("der die das und ist").alias("text"), F.lit("de").alias("lang")))
+    one, two = (language_id.learn(d, F.lit(True)) for d in (base, many))
+    assert np.array_equal(one.weights, two.weights) and np.array_equal(one.trans, two.trans)
+
+
+def test_spliced_chains_hold_all_words():
+    texts = [(i % 2, list(range(100 * i, 100 * i + n))) for i, n in enumerate((90, 5, 64, 0, 33))]
+    chains = language_id.spliced(texts, np.random.default_rng(1))
+    assert sorted(w for c, _ in chains for w in c) == sorted(w for _, t in texts for w in t)
+    assert all(texts[w // 100][0] == y for c, g in chains for w, y in zip(c, g, strict=True))
+
+
 def test_language_accuracy(spark):
     got = entry.QUERIES["op8_language_id"](spark, "/root/testdata/sf0.01").toPandas()
     truth = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").toPandas()

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_right
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,22 +16,37 @@ from ..config import DEFAULTS, Settings
 BREAKS = ("\n\n", "\n", ". ", "? ", "! ")
 
 
+class _Breaks:
+    """Places where a text may be cut: for each kind of break, the ends of all its occurrences, looked up by bisection."""
+
+    def __init__(self, text: str):
+        self.kinds = [(len(b), [m.start() + len(b) for m in re.finditer(f"(?={re.escape(b)})", text)]) for b in BREAKS]
+
+    def last_end(self, low: int, high: int) -> int | None:
+        """End of the last break that lies within low and high, of the first kind that has one there."""
+        for width, ends in self.kinds:
+            found = bisect_right(ends, high)
+            if found and ends[found - 1] >= low + width:
+                return ends[found - 1]
+        return None
+
+
+def spans(text: str, size: int, overlap: int) -> Iterator[tuple[int, int]]:
+    """(begin, end) of the windows over a text; each but the last ends after the last break of its second half, if any."""
+    breaks = _Breaks(text) if len(text) > size else None
+    window = (0, len(text)) if breaks is None else (0, breaks.last_end(size // 2, size) or size)
+    yield window
+    while window[1] < len(text):
+        low = window[1] - overlap
+        high = low + size
+        window = (low, len(text)) if high >= len(text) else (low, breaks.last_end(low + size // 2, high) or high)
+        yield window
+
+
 def chunk_text(text: str | None, size: int = DEFAULTS.chunk_size, overlap: int = DEFAULTS.chunk_overlap) -> list[str]:
-    """Chunks of at most ``size`` characters. A chunk ends after the last break in its second half, if it has one."""
-    out: list[str] = []
-    total, begin = len(text or ""), 0
-    if not total or text.isspace():
-        return out
-    while True:
-        stop = min(begin + size, total)
-        if begin + size < total:
-            ends = (at + len(b) for b in BREAKS if (at := text.rfind(b, begin + size // 2, stop)) >= 0)
-            stop = next(ends, stop)
-        if piece := text[begin:stop].strip():
-            out.append(piece)
-        if stop >= total:
-            return out
-        begin = stop - overlap
+    """Chunks of at most ``size`` characters that share ``overlap`` of them; chunks of white space are left out."""
+    windows = spans(text, size, overlap) if text and not text.isspace() else ()
+    return [chunk for low, high in windows if (chunk := text[low:high].strip())]
 
 
 def with_chunks(docs: DataFrame, text: str = "text", settings: Settings = DEFAULTS) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -18,18 +18,24 @@ def join_pages(pages: DataFrame, key: str = "doc_id", number: str = "page_number
     return pages.groupBy(key).agg(F.count("*").alias("pages"), F.array_join(F.transform(ordered, lambda s: s["t"]), "\n\n").alias("text"))
 
 
+def without_repeats(text: Column, pages: Column, keep_page_markers: bool = False) -> Column:
+    """A text of ``pages`` pages without its noise lines; nothing but its own row is needed.
+
+    In the sorted fingerprints of the lines, one that occurs n times stands n - 1 places after itself.
+    """
+    lines = F.split(text, "\n", -1)
+    prints = F.filter(F.transform(lines, T.line_fingerprint), lambda p: F.length(p) > SHORT)
+    if keep_page_markers:
+        prints = F.filter(prints, lambda p: p != "[Page #]")
+    least = F.ceil(F.lit(SHARE) * pages).cast("int")
+    noise = F.transform(F.array(F.array_sort(prints)), lambda s: F.array_distinct(F.filter(s, lambda p, i: F.get(s, i + least - 1) == p)))
+    kept = F.transform(noise, lambda n: F.when(F.size(n) > 0, F.array_join(F.filter(lines, lambda x: ~F.array_contains(n, T.line_fingerprint(x))), "\n")).otherwise(text))
+    return F.when(pages >= PAGES, F.get(kept, F.lit(0))).otherwise(text)
+
+
 def remove_repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", pages: str = "pages", keep_page_markers: bool = False) -> DataFrame:
     """(key, text) without noise lines. Counts are per line, so a line that repeats on one page counts each time.
 
     Page markers repeat too and go with the rest, unless ``keep_page_markers``. Documents without noise stay as they are.
     """
-    lines = docs.select(key, pages, F.posexplode(F.split(text, "\n", -1)).alias("pos", "line")).withColumn("print", T.line_fingerprint(F.col("line")))
-    enough = lines.where((F.col(pages) >= PAGES) & (F.length("print") > SHORT))
-    if keep_page_markers:
-        enough = enough.where(F.col("print") != "[Page #]")
-    noise = enough.groupBy(key, "print").agg(F.count("*").alias("n"), F.first(pages).alias("p")).where(F.col("n") >= SHARE * F.col("p"))
-    kept = lines.join(noise.select(key, "print"), [key, "print"], "left_anti")
-    joined = kept.groupBy(key).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "line"))), lambda s: s["line"]), "\n").alias("new"))
-    touched = noise.select(key).distinct().withColumn("touched", F.lit(True))
-    out = docs.select(key, F.col(text).alias("old")).join(touched, key, "left").join(joined, key, "left")
-    return out.select(key, F.when(F.col("touched"), F.coalesce("new", F.lit(""))).otherwise(F.col("old")).alias("text"))
+    return docs.select(key, without_repeats(F.col(text), F.col(pages), keep_page_markers).alias("text"))

@@ -6,10 +6,11 @@ import csv
 import io
 import xml.etree.ElementTree as ET
 import zipfile
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
+from itertools import chain
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import DEFAULTS, Settings
@@ -23,27 +24,40 @@ def decode(data: bytes) -> str:
     return data.decode("utf-8", "replace")
 
 
-def csv_text(data: bytes) -> str:
-    """A line ``header: value; ...`` per row; a file of fewer than two rows stays as it is."""
-    raw = decode(data)
-    rows = list(csv.reader(io.StringIO(raw)))
-    if len(rows) < 2:
-        return raw
-    lines = ("; ".join(f"{name}: {value}" for name, value in zip(rows[0], row, strict=False) if value.strip()) for row in rows[1:])
-    return "\n".join(line for line in lines if line)
+class Records:
+    """Rows under a header row, told as one line a row: its non-blank values, each after its column's name."""
+
+    def __init__(self, rows: Iterable[Sequence[str]], unnamed: str):
+        self.rows, self.unnamed = iter(rows), unnamed
+        self.names, self.first = next(self.rows, None), next(self.rows, None)
+
+    @property
+    def headed(self) -> bool:
+        """There is a row under the header."""
+        return self.first is not None
 
+    def told(self) -> str:
+        forms = [f"{name}: {{}}" if name else self.unnamed for name in (n.replace("{", "{{").replace("}", "}}") for n in self.names)]
+        told = ("; ".join(form.format(value) for form, value in zip(forms, row, strict=False) if not is_blank(value)) for row in chain([self.first], self.rows))
+        return "\n".join(filter(None, told))
 
-def _cell(node: ET.Element) -> str:
-    return "".join(t.text or "" for t in node.iter(f"{_W}t")).strip()
+
+def is_blank(value: str) -> bool:
+    return not value or value.isspace()
+
+
+def csv_text(data: bytes) -> str:
+    """The records of a CSV file; a file without a row under its header stays as it is."""
+    text = decode(data)
+    records = Records(csv.reader(io.StringIO(text)), ": {}")
+    return records.told() if records.headed else text
 
 
 def _table(node: ET.Element) -> str:
-    rows = [[_cell(c) for c in r.findall(f"{_W}tc")] for r in node.findall(f"{_W}tr")]
-    rows = [r for r in rows if any(r)]
-    if len(rows) < 2:
-        return " | ".join(c for r in rows for c in r if c)
-    lines = ("; ".join(f"{h}: {v}" if h else v for h, v in zip(rows[0], r, strict=False) if v) for r in rows[1:])
-    return "\n".join(line for line in lines if line)
+    """The records of a table's rows that are not blank; cells of a lone row side by side, blank ones too."""
+    cells = (["".join(t.text or "" for t in cell.iter(f"{_W}t")).strip() for cell in row.findall(f"{_W}tc")] for row in node.findall(f"{_W}tr"))
+    records = Records((row for row in cells if any(row)), "{}")
+    return records.told() if records.headed else " | ".join(records.names or ())
 
 
 def docx_text(data: bytes) -> str:
@@ -80,45 +94,45 @@ def read_files(spark: SparkSession, path: str, **options: str) -> DataFrame:
     return spark.read.format("binaryFile").options(**options).load(path).select(F.element_at(F.split("path", "/"), -1).alias("filename"), F.col("length").alias("size"), "content")
 
 
-def _rows(f: Callable[[bytes], list[str]]):
+def _read(readers: dict[str, Callable[[bytes], list[str]]]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             got, errors = [], []
-            for data in b["content"]:
+            for kind, data in zip(b["kind"], b["content"], strict=True):
                 try:
-                    got.append(f(bytes(data)))
+                    got.append(readers[kind](bytes(data)))
                     errors.append(None)
                 except Exception as e:  # a bad file is a row with an error, never a failed job
                     got.append(None)
                     errors.append(str(e)[:1000] or type(e).__name__)
-            yield pd.DataFrame({"document_id": b["document_id"], "filename": b["filename"], "pages": got, "error": errors})
+            yield pd.DataFrame({"document_id": b["document_id"], "filename": b["filename"], "kind": b["kind"], "pages": got, "error": pd.Series(errors, dtype=object)})
 
     return run
 
 
+def page_texts(pages: Column, keep_page_markers: bool = False) -> Column:
+    """Text of a document of pages: each cleaned and under its marker, blank ones left out, repeated lines removed."""
+    cleaned = F.transform(pages, lambda p, i: F.struct(i.alias("i"), T.clean_page(p).alias("t")))
+    marked = F.transform(F.filter(cleaned, lambda p: T.strip(p["t"]) != ""), lambda p: T.page_text(p["i"] + 1, p["t"]))
+    return headers.without_repeats(F.array_join(marked, "\n\n"), F.size(pages), keep_page_markers)
+
+
 def parse_files(files: DataFrame, settings: Settings = DEFAULTS, keep_page_markers: bool = False, pdf: Callable[[bytes], list[str]] = pdf_pages) -> DataFrame:
     """(document_id, filename, text, error) of files (document_id, filename, size, content), by extension.
 
-    Unknown extensions and files above the size limit get an error. Text files never leave the JVM.
+    Unknown extensions and files above the size limit get an error. Text files never leave the JVM. CSV, DOCX and PDF files
+    are read once, by one function; pages are cleaned in the row that they came in.
     """
     kinds = ", ".join("." + t for t in T.FILE_TYPES)
-    files = files.withColumn("_type", T.file_type(F.col("filename")))
+    files = files.select("document_id", "filename", "size", "content", T.file_type(F.col("filename")).alias("kind"))
     fits = F.col("size") <= settings.max_file_bytes
-    known = F.col("_type").isin(*T.FILE_TYPES)
+    known = F.col("kind").isin(*T.FILE_TYPES)
     none = F.lit(None).cast("string")
-    bad = files.where(~known | ~fits).select("document_id", "filename", none.alias("text"), F.when(~known, F.lit(f"unsupported file type; supported: {kinds}")).otherwise("file too large").alias("error"))
-    good = files.where(known & fits)
-    plain = good.where(F.col("_type").isin("txt", "md")).select("document_id", "filename", T.decode_text(F.col("content")).alias("text"), none.alias("error"))
-    shape = "document_id string, filename string, pages array<string>, error string"
-    out = bad.unionByName(plain)
-    for kind, f in (("csv", csv_text), ("docx", docx_text)):
-        rows = good.where(F.col("_type") == kind).select("document_id", "filename", "content").mapInPandas(_rows(lambda d, f=f: [f(d)]), shape)
-        out = out.unionByName(rows.select("document_id", "filename", F.get("pages", F.lit(0)).alias("text"), "error"))
-    # as with the others, page texts come from one pass; cleaning them is left to expressions
-    read = good.where(F.col("_type") == "pdf").select("document_id", "filename", "content").mapInPandas(_rows(pdf), shape)
-    failed = read.where(F.col("error").isNotNull()).select("document_id", "filename", none.alias("text"), "error")
-    pages = read.where(F.col("error").isNull()).select("document_id", F.posexplode("pages").alias("i", "page"))
-    pages = pages.select("document_id", (F.col("i") + 1).alias("page_number"), T.clean_page(F.col("page")).alias("text"))
-    joined = headers.remove_repeated_lines(headers.join_pages(pages, "document_id"), "document_id", keep_page_markers=keep_page_markers)
-    texts = read.where(F.col("error").isNull()).select("document_id", "filename").join(joined, "document_id", "left")
-    return out.unionByName(failed).unionByName(texts.select("document_id", "filename", F.coalesce("text", F.lit("")).alias("text"), none.alias("error")))
+    inside = known & fits & F.col("kind").isin("txt", "md")
+    why = F.when(~known, F.lit(f"unsupported file type; supported: {kinds}")).when(~fits, F.lit("file too large"))
+    simple = files.where(~known | ~fits | F.col("kind").isin("txt", "md")).select("document_id", "filename", F.when(inside, T.decode_text(F.col("content"))).alias("text"), why.alias("error"))
+    readers = {"csv": lambda d: [csv_text(d)], "docx": lambda d: [docx_text(d)], "pdf": pdf}
+    asked = files.where(known & fits & F.col("kind").isin(*readers)).select("document_id", "filename", "kind", "content")
+    read = asked.mapInPandas(_read(readers), "document_id string, filename string, kind string, pages array<string>, error string")
+    text = F.when(F.col("error").isNotNull(), none).when(F.col("kind") == "pdf", page_texts(F.col("pages"), keep_page_markers)).otherwise(F.get("pages", F.lit(0)))
+    return simple.unionByName(read.select("document_id", "filename", text.alias("text"), "error"))

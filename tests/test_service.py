@@ -31,6 +31,8 @@ def test_file_texts():
     assert files.csv_text(b'a,,c\n1,2,"x\ny"\n , ,\n3') == "a: 1; : 2; c: x\ny\na: 3"
     assert files.csv_text(b"only,one row") == "only,one row"
     assert files.docx_text(docx()) == "First line\n\nCode: E-1; Fuse"
+    assert files._table(files.ET.fromstring(f"<w:tbl {_W}>" + "<w:tr>" + "".join(f"<w:tc><w:p><w:r><w:t>{t}</w:t></w:r></w:p></w:tc>" for t in ("a", "", "b")) + "</w:tr></w:tbl>")) == "a |  | b"
+    assert files.csv_text(b"{x},b\n1,{2}") == "{x}: 1; b: {2}" and files.csv_text(b"a,b\n\n") == ""
 
 
 def test_parse_files(spark):

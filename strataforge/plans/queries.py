@@ -12,7 +12,7 @@ from ..config import DEFAULTS
 from ..functions import text as T
 from ..operators import catalog, chunking, export, headers, search
 
-KEYWORD, MULTI, DUPLICATE, BLANK, WILD = "threat", "the and threat tion zzz", "the the zzz", " ", "100%_a"
+KEYWORD, MULTI, DUPLICATE, BLANK, WILD = "threat", "the and threat tion zzz", "the the zzz", " ", "e%%% _a"
 BATCH = ("threat", "the and that", "de la que", "und der die das", "a", "% of", "tion ing zzz qqq")
 PHRASES = (("of", "the"), ("and",))
 STAMP = "2024-01-02 03:04 UTC"
@@ -127,8 +127,7 @@ def document_status(spark, sf):
 
 
 def keyword_phrase_benchmark(spark, sf):
-    items = [r.text for r in _t(spark, sf, "benchmark").select("text").where("text IS NOT NULL").distinct().limit(search.BATCH + 1).collect()]
-    if len(items) > search.BATCH:
+    if _t(spark, sf, "benchmark").limit(search.BATCH + 1).count() > search.BATCH:
         raise ValueError("too many benchmark passages for one batch")
     phrases = _t(spark, sf, "benchmark").select("item_id", F.lower(T.strip(F.col("text"))).alias("phrase"))
     return _docs(spark, sf).join(F.broadcast(phrases), F.lower("text").contains(F.col("phrase"))).select("item_id", "doc_id", F.lit(1.0).alias("score"))
@@ -163,7 +162,7 @@ def _semantic(where: str | None, k: int):
 
 def semantic_batch_topk(spark, sf):
     rows = _t(spark, sf, "embeddings")
-    queries = rows.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    queries = rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
     return search.semantic_batch(rows, queries, 5, "vec_id").select("query_id", "rank", "vec_id", "score")
 
 
@@ -414,7 +413,7 @@ ORACLES = {k: sql for k, (_, sql) in _PAIRED.items()} | {
     "document_status": f"SELECT doc_id, CASE WHEN doc_id % 5 = 0 OR trim(text, {_WHITE_SQL}) = '' THEN 'failed' ELSE 'ready' END AS status FROM documents",
     "keyword_phrase_benchmark": f"SELECT item_id, doc_id, CAST(1.0 AS DOUBLE) AS score FROM benchmark b JOIN documents d ON contains(lower(d.text), lower(trim(b.text, {_WHITE_SQL})))",
     "keyword_batch_topk": _batch_sql(),
-    "semantic_batch_topk": f"WITH d AS (SELECT q.vec_id AS query_id, e.vec_id, 1 - {_COS} AS distance FROM embeddings e, embeddings q WHERE q.vec_id < 20), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS INTEGER) AS rank FROM d) SELECT query_id, rank, vec_id, round(1 - distance, 4) AS score FROM r WHERE rank <= 5",
+    "semantic_batch_topk": f"WITH d AS (SELECT q.vec_id AS query_id, e.vec_id, 1 - {_COS} AS distance FROM embeddings e, embeddings q WHERE q.vec_id % 100 = 0), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS INTEGER) AS rank FROM d) SELECT query_id, rank, vec_id, round(1 - distance, 4) AS score FROM r WHERE rank <= 5",
     "semantic_skip_null": f"SELECT vec_id, round(c, 4) AS score FROM (SELECT e.vec_id, {_COS} AS c FROM embeddings e, embeddings q WHERE q.vec_id = 0 AND e.vec_id % 3 <> 1) ORDER BY 1 - c, vec_id LIMIT 10",
     "fts_tokens": f"SELECT doc_id, len(w) AS n_tokens, len(list_distinct(w)) AS n_distinct FROM ({_WORDS_SQL})",
     "fts_postings": f"SELECT token, count(*) AS occurrences, count(DISTINCT doc_id) AS documents, CAST(min(pos) AS BIGINT) AS first_pos FROM (SELECT doc_id, unnest(w) AS token, unnest(range(0, len(w))) AS pos FROM ({_WORDS_SQL})) GROUP BY token",

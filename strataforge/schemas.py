@@ -14,7 +14,7 @@ def _of(columns: str) -> P.StructType:
 
 TENANTS = _of("id string, name string, slug string, is_active boolean, created_at timestamp")
 API_KEYS = _of("id string, tenant_id string, key_hash string, label string, scope string, is_active boolean, created_at timestamp")
-DOCUMENTS = _of("id string, tenant_id string, filename string, file_type string, file_size_bytes long, status string, output_formats strings, chunk_count int, error_message string, created_at timestamp")
+DOCUMENTS = _of("id string, tenant_id string, filename string, file_type string, file_size_bytes long, status string, output_formats strings, chunk_count int, error_message string, created_at timestamp, upload string, revision int")
 CHUNKS = _of("id string, tenant_id string, document_id string, chunk_index int, content string, embedding floats, created_at timestamp")
 ARTIFACTS = _of("id string, tenant_id string, document_id string, format string, filename string, content binary, size_bytes int, created_at timestamp")
 TABLES = {"tenants": TENANTS, "api_keys": API_KEYS, "documents": DOCUMENTS, "chunks": CHUNKS, "artifacts": ARTIFACTS}

@@ -2,6 +2,10 @@
 
 Tables are Parquet folders under ``root``, partitioned by tenant where rows belong to one, so that a tenant's calls read
 its partitions only. Each method that acts for a tenant takes the caller's key.
+
+A document's row is written when work on it begins (``processing``) and again, with a higher revision, when it ends; the
+highest revision counts. Deletion writes a tenant's partition anew and puts it in place by renaming; what a crash leaves
+behind is put right when an engine starts, so start none while another one deletes.
 """
 
 from __future__ import annotations
@@ -28,7 +32,58 @@ class Engine:
     def __init__(self, spark: SparkSession, root: str, settings: Settings = DEFAULTS, embed: Embedder | None = None, now: Callable[[], datetime] = lambda: datetime.now(UTC).replace(tzinfo=None)):
         self.spark, self.root, self.settings, self.embed, self.now = spark, root.rstrip("/"), settings, embed, now
         for name in schemas.TABLES:
-            self._append(name, spark.createDataFrame([], schemas.TABLES[name]))
+            if self._exists(f"{self.root}/{name}"):
+                self._recover(name)
+            else:
+                self._append(name, spark.createDataFrame([], schemas.TABLES[name]))
+
+    # files of the store
+
+    def _files(self, path: str):
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()), at
+
+    def _exists(self, path: str) -> bool:
+        files, at = self._files(path)
+        return files.exists(at)
+
+    def _delete(self, path: str) -> None:
+        files, at = self._files(path)
+        files.delete(at, True)
+
+    def _rename(self, old: str, new: str) -> None:
+        files, at = self._files(old)
+        if not files.rename(at, self._files(new)[1]):
+            raise OSError(f"cannot rename {old}")
+
+    def _recover(self, name: str) -> None:
+        """Finish replacements that a crash cut short: an old partition without a new one comes back."""
+        files, at = self._files(f"{self.root}/{name}")
+        for left in [x.getPath().getName() for x in files.listStatus(at)]:
+            if left.startswith("_old-") and not self._exists(f"{self.root}/{name}/tenant_id={left[5:]}"):
+                self._rename(f"{self.root}/{name}/{left}", f"{self.root}/{name}/tenant_id={left[5:]}")
+            elif left.startswith(("_old-", "_new-")):
+                self._delete(f"{self.root}/{name}/{left}")
+
+    def _replace(self, name: str, tenant: str, rows: DataFrame) -> None:
+        """A tenant's partition becomes ``rows``; they may be read from it."""
+        place, new, old = (f"{self.root}/{name}/{x}{tenant}" for x in ("tenant_id=", "_new-", "_old-"))
+        rows.drop("tenant_id").write.mode("overwrite").parquet(new)
+        if self._exists(place):
+            self._rename(place, old)
+        self._rename(new, place)
+        self._delete(old)
+
+    def health(self) -> dict:
+        """``ok`` if every table can be read, else ``degraded``, and what each says."""
+        checks = {}
+        for name in schemas.TABLES:
+            try:
+                self.table(name).limit(1).count()
+                checks[name] = "ok"
+            except Exception as e:  # whatever it is, the call reports it
+                checks[name] = f"error: {type(e).__name__}"
+        return {"status": "ok" if set(checks.values()) == {"ok"} else "degraded", "checks": checks}
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.schema(schemas.TABLES[name]).parquet(f"{self.root}/{name}")
@@ -44,7 +99,11 @@ class Engine:
         return catalog.authenticate(self.table("api_keys"), self.table("tenants"), key, call)
 
     def _own(self, name: str, tenant: str) -> DataFrame:
-        return self.table(name).where(F.col("tenant_id") == tenant)
+        rows = self.table(name).where(F.col("tenant_id") == tenant)
+        if name != "documents":
+            return rows
+        last = rows.groupBy("id").agg(F.max_by(F.struct(*rows.columns), "revision").alias("last"))
+        return last.select("last.*")
 
     # tenants and keys
 
@@ -55,6 +114,9 @@ class Engine:
             raise ValueError(f"slug {slug} is taken")
         tenant = str(uuid.uuid4())
         self._append("tenants", self._rows("tenants", [(tenant, name, slug, True, self.now())]))
+        # of two callers at once, one has the slug; the other's row has no key
+        if self.table("tenants").where(F.col("slug") == slug).orderBy("created_at", "id").first().id != tenant:
+            raise ValueError(f"slug {slug} is taken")
         return {"id": tenant, "name": name, "slug": slug, "key": self._new_key(tenant, "default admin key", "admin")}
 
     def _new_key(self, tenant: str, label: str, scope: str) -> str:
@@ -92,24 +154,51 @@ class Engine:
             raise ValueError(f"unsupported or too large: {bad[0].filename}")
         return self._ingest(caller.tenant_id, uploads, formats)
 
-    def upload_batch(self, key: str, uploads: DataFrame, output: str = "vector") -> DataFrame:
-        """Ingest files; unsupported and too large ones are skipped."""
+    def upload_batch(self, key: str, uploads: DataFrame, output: str = "vector", upload: str | None = None) -> DataFrame:
+        """Ingest files; unsupported and too large ones are skipped. An ``upload`` with a name happens once, however often called."""
         caller, formats = self._caller(key, "upload_batch"), self._formats(output)
-        return self._ingest(caller.tenant_id, uploads.where(T.is_accepted(F.col("filename"), F.col("size"), self.settings.max_file_bytes)), formats)
-
-    def _ingest(self, tenant: str, uploads: DataFrame, formats: list[str]) -> DataFrame:
-        # names are given once and stored; everything below reads them from there
+        if upload is not None:
+            before = self._own("documents", caller.tenant_id).where(F.col("upload") == upload).select("id", "status")
+            if before.count():
+                if before.where("status = 'processing'").isEmpty():
+                    return self._uploaded(caller.tenant_id, upload)
+                self._drop(caller.tenant_id, before.select("id"))  # it was cut short: once more from the start
+        return self._ingest(caller.tenant_id, uploads.where(T.is_accepted(F.col("filename"), F.col("size"), self.settings.max_file_bytes)), formats, upload)
+
+    def _uploaded(self, tenant: str, upload: str) -> DataFrame:
+        return self._own("documents", tenant).where(F.col("upload") == upload)
+
+    def _ingest(self, tenant: str, uploads: DataFrame, formats: list[str], upload: str | None = None) -> DataFrame:
+        upload = upload or uuid.uuid4().hex
         stage = f"{self.root}/_staging/{uuid.uuid4().hex}"
+        try:
+            self._work(tenant, uploads, formats, upload, stage)
+        except Exception as e:
+            begun = self._uploaded(tenant, upload).where("status = 'processing'")
+            self._append("documents", begun.withColumns({"status": F.lit("failed"), "error_message": F.lit(str(e)[:1000]), "revision": F.lit(2)}))
+            raise
+        finally:
+            self._delete(stage)
+        return self._uploaded(tenant, upload)
+
+    def _work(self, tenant: str, uploads: DataFrame, formats: list[str], upload: str, stage: str) -> None:
+        # names are given once and stored; everything below reads them from there
         uploads.select("filename", "size", "content").withColumn("document_id", F.expr("uuid()")).write.parquet(f"{stage}/files")
         raw = self.spark.read.parquet(f"{stage}/files")
+        kind, given = T.file_type(F.col("filename")), F.array(*map(F.lit, formats))
+        begun = F.lit(self.now())
+        self._append("documents", raw.select(
+            F.col("document_id").alias("id"), F.lit(tenant).alias("tenant_id"), "filename", kind.alias("file_type"), F.col("size").cast("long").alias("file_size_bytes"), F.lit("processing").alias("status"),
+            given.alias("output_formats"), F.lit(0).alias("chunk_count"), F.lit(None).cast("string").alias("error_message"), begun.alias("created_at"), F.lit(upload).alias("upload"), F.lit(0).alias("revision"),
+        ))
         parsed = chunking.with_chunks(files.parse_files(raw, self.settings), settings=self.settings)
         parsed.write.parquet(f"{stage}/parsed")
-        parsed, now = self.spark.read.parquet(f"{stage}/parsed"), F.lit(self.now())
+        parsed, now = self.spark.read.parquet(f"{stage}/parsed"), begun
         state = catalog.status(F.col("text"), F.col("chunks"))
         why = F.when(F.col("error").isNotNull(), T.error_message(F.col("error"))).when(T.is_blank(F.coalesce("text", F.lit(""))), "the file holds no text").when(F.size("chunks") == 0, "no chunks")
         docs = parsed.join(raw.select("document_id", "size"), "document_id").select(
-            F.col("document_id").alias("id"), F.lit(tenant).alias("tenant_id"), "filename", T.file_type(F.col("filename")).alias("file_type"), F.col("size").cast("long").alias("file_size_bytes"),
-            state.alias("status"), F.array(*map(F.lit, formats)).alias("output_formats"), F.when(state == "ready", F.size("chunks")).otherwise(0).alias("chunk_count"), why.alias("error_message"), now.alias("created_at"),
+            F.col("document_id").alias("id"), F.lit(tenant).alias("tenant_id"), "filename", kind.alias("file_type"), F.col("size").cast("long").alias("file_size_bytes"),
+            state.alias("status"), given.alias("output_formats"), F.when(state == "ready", F.size("chunks")).otherwise(0).alias("chunk_count"), why.alias("error_message"), now.alias("created_at"), F.lit(upload).alias("upload"), F.lit(1).alias("revision"),
         )
         ready = parsed.where(state == "ready")
         parts = ready.select("document_id", F.posexplode("chunks").alias("chunk_index", "content"))
@@ -138,7 +227,6 @@ class Engine:
         for a in artifacts:
             self._append("artifacts", a.select(F.expr("uuid()").alias("id"), F.lit(tenant).alias("tenant_id"), "document_id", "format", "filename", "content", F.octet_length("content").alias("size_bytes"), now.alias("created_at")))
         self._append("documents", docs)
-        return self.table("documents").join(raw.select(F.col("document_id").alias("id")), "id", "left_semi")
 
     def list_documents(self, key: str) -> DataFrame:
         """Newest first."""
@@ -149,11 +237,12 @@ class Engine:
         tenant = self._caller(key, "delete").tenant_id
         if catalog.at_most_one(self._own("documents", tenant).where(F.col("id") == document_id)) is None:
             raise KeyError(document_id)
+        self._drop(tenant, self._rows("tenants", [(document_id, None, None, None, None)]).select("id"))
+
+    def _drop(self, tenant: str, gone: DataFrame) -> None:
+        """Without the documents ``gone`` (id); their own rows go last, so that a deletion cut short can be repeated."""
         for name, column in (("artifacts", "document_id"), ("chunks", "document_id"), ("documents", "id")):
-            stage = f"{self.root}/_staging/{uuid.uuid4().hex}"
-            self._own(name, tenant).where(F.col(column) != document_id).write.parquet(stage)
-            left = self.spark.read.schema(schemas.TABLES[name]).parquet(stage)
-            left.drop("tenant_id").write.mode("overwrite").parquet(f"{self.root}/{name}/tenant_id={tenant}")
+            self._replace(name, tenant, catalog.without(self.table(name).where(F.col("tenant_id") == tenant), gone, column, "id"))
 
     # search
 

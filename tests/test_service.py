@@ -2,6 +2,7 @@ import io
 import sqlite3
 import zipfile
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -76,13 +77,45 @@ def test_life_of_a_tenant(spark, tmp_path):
     name, data = engine.export_sqlite(a["key"])
     (tmp_path / name).write_bytes(data)
     assert sqlite3.connect(tmp_path / name).execute("SELECT count(*), min(id), max(id) FROM chunks").fetchone() == (2, 1, 2)
+    assert engine.health()["status"] == "ok" and Engine(spark, str(tmp_path / "store"), embed=embed).table("tenants").count() == 2
     engine.delete_document(a["key"], doc)
+    held = "".join(str(pq.read_table(p).to_pylist()) for p in (tmp_path / "store").rglob("*.parquet"))
+    assert "servo fuse" not in held and "elsewhere" in held and not list((tmp_path / "store" / "_staging").iterdir())
     assert engine.retrieve(reader, "e-042", "keyword").count() == 0 and engine.list_documents(reader).count() == 2
     assert engine.retrieve(b["key"], "e-042", "keyword").count() == 1
     with pytest.raises(KeyError):
         engine.export(a["key"], doc, "markdown")
 
 
+def test_states_and_crashes(spark, tmp_path):
+    seen = []
+
+    def embed(texts):
+        seen.append(len(texts))
+        raise RuntimeError("no embedder today")
+
+    engine = Engine(spark, str(tmp_path / "store"), embed=embed)
+    key = engine.create_tenant("Acme", "acme")["key"]
+    with pytest.raises(Exception, match="no embedder today"):
+        engine.upload(key, uploads(spark, ("a.txt", b"some words")), "vector")
+    rows = engine.table("documents").orderBy("revision").collect()
+    assert [(r.status, r.revision) for r in rows] == [("processing", 0), ("failed", 2)] and "no embedder" in rows[1].error_message
+    assert [r.status for r in engine.list_documents(key).collect()] == ["failed"]
+    batch = uploads(spark, ("b.txt", b"other words"))
+    for _ in range(2):
+        engine.upload_batch(key, batch, "markdown", "batch 1").count()
+    assert engine.list_documents(key).count() == 2 and engine.table("chunks").count() == 1
+    # an upload that was cut short runs again from the start
+    tenant, stuck = rows[0].tenant_id, engine.table("documents").where("filename = 'b.txt' AND revision = 0")
+    engine._replace("documents", tenant, stuck)
+    assert [r.status for r in engine.upload_batch(key, batch, "markdown", "batch 1").collect()] == ["ready"] and engine.table("chunks").count() == 1
+    # a crash between two renames
+    place = tmp_path / "store" / "documents"
+    (place / f"tenant_id={tenant}").rename(place / f"_old-{tenant}")
+    assert engine.list_documents(key).count() == 0
+    assert Engine(spark, str(tmp_path / "store")).list_documents(key).count() == 1
+
+
 def test_watching_a_folder(spark, tmp_path):
     engine = Engine(spark, str(tmp_path / "store"))
     key = engine.create_tenant("Acme", "acme")["key"]

@@ -52,6 +52,17 @@ def slices(texts, chars: int = 4_000_000) -> Iterator[slice]:
         yield slice(begin, len(texts))
 
 
+def unused(columns, *names: str) -> list[str]:
+    """Names for helper columns that no column bears, whatever its case."""
+    held, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in held:
+            name += "_"
+        held.add(name.lower())
+        out.append(name)
+    return out
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -306,8 +306,8 @@ def learn(docs: DataFrame, learn_from, id_col: str = "doc_id", text_col: str = "
     return train(list(zip(got["l"], got["text"], strict=True)))
 
 
-def predict(docs: DataFrame, field: Field, text_col: str = "text") -> DataFrame:
-    """``docs`` with a struct column ``_language`` of lang and score."""
+def predict(docs: DataFrame, field: Field, text_col: str = "text", name: str = "_language") -> DataFrame:
+    """``docs`` with a struct column, called ``name``, of lang and score."""
     def typed(batches):
         for texts in batches:
             texts = list(texts)
@@ -316,7 +316,7 @@ def predict(docs: DataFrame, field: Field, text_col: str = "text") -> DataFrame:
 
     typed.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
     # not deterministic, to the optimiser: so that it runs once, however often its column is used
-    return docs.withColumn("_language", F.pandas_udf(typed, "lang string, score double").asNondeterministic()(F.col(text_col)))
+    return docs.withColumn(name, F.pandas_udf(typed, "lang string, score double").asNondeterministic()(F.col(text_col)))
 
 
 def identify(docs: DataFrame, learn_from, held_out, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

@@ -102,21 +102,23 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     return take
 
 
-def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.0, ceiling: int = 3, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """doc_id, size, source_size, target, taken: what a mix of ``share`` of all words takes of every document.
+def choose(docs: DataFrame, key, weights: Sequence[float] = (5, 2, 1), share: float = 1.0, ceiling: int = 3, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """key, doc_id, size, source_size, target, n, passes, extra: what a mix takes of the ``n`` rows that share a ``key``.
 
-    Sources by code point, null last, have ``weights`` in turn. ``taken`` is the document's words times the passes over
-    it. Defined cases: a null or empty text has size 0 and is taken with 0 words; null sources form one source; a null id
-    is an id; repeated rows are documents of their own; an empty table gives an empty result; other columns are ignored.
+    key: a column of longs; rows that share it must share id, source and size. Each of them is taken ``passes`` times, and
+    ``extra`` of them once more.
     """
     spark = docs.sparkSession
-    slim = docs.select(
+    rows = docs.select(
+        key.alias("key"),
         F.col(id_col).alias("doc_id"),
         F.col(source_col).cast("string").alias("source"),
         F.coalesce(F.regexp_count(F.col(text_col), F.lit(common.WORD)).cast("long"), F.lit(0).cast("long")).alias("size"),
-    ).withColumn("h", F.xxhash64(F.lit(seed), F.col("doc_id").cast("string"), "size"))
+    )
+    # rows that are equal are one row with a count, so that no bucket below holds very many of them
+    slim = rows.groupBy("key", "doc_id", "source", "size").agg(F.count(F.lit(1)).alias("n")).withColumn("h", F.xxhash64(F.lit(seed), "key", F.col("doc_id").cast("string"), "size"))
     slim = common.materialise(slim, "mix-sizes")
-    by_length = slim.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n"))
+    by_length = slim.groupBy("source", "size").agg(F.sum("n").alias("n"))
     rows = by_length.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("words")).limit(MAX_SOURCES + 1).collect()
     if len(rows) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
@@ -145,19 +147,47 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: fl
         lengths.join(plan.select(F.col("source").alias("s"), "rest"), F.col("source").eqNullSafe(F.col("s")))
         .select("source", F.inline(chosen("lengths", "rest")))
     )
-    # the k smallest hashes of a length: whole buckets, then a rank inside the bucket where k is reached
+    # the k smallest hashes of a length: whole buckets, then the places inside the bucket where k is reached
     cell = ["source", "size", "b"]
     ranked = slim.withColumn("b", F.shiftrightunsigned("h", 54).cast("int"))
-    counts = ranked.groupBy(*cell).agg(F.count(F.lit(1)).alias("n"))
-    before = F.sum("n").over(Window.partitionBy("source", "size").orderBy("b")) - F.col("n")
-    cells = counts.withColumn("before", before)
+    counts = ranked.groupBy(*cell).agg(F.sum("n").alias("c"))
+    cells = counts.withColumn("before", F.sum("c").over(Window.partitionBy("source", "size").orderBy("b")) - F.col("c"))
     q = quota.select(F.col("source").alias("s"), F.col("size").alias("z"), "k")
     cells = cells.join(q, F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z"))).where("before < k").select(F.col("source").alias("s"), F.col("size").alias("z"), F.col("b").alias("c"), "k", "before")
-    ranked = ranked.withColumn("r", F.row_number().over(Window.partitionBy(*cell).orderBy("h", "doc_id")))
+    inside = Window.partitionBy(*cell).orderBy("h", "doc_id", "key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = ranked.withColumn("r", F.sum("n").over(inside) - F.col("n"))
     hit = ranked.join(cells, F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z")) & (F.col("b") == F.col("c")), "left")
-    extra = F.when(F.col("before") + F.col("r") <= F.col("k"), 1).otherwise(0).cast("long")
-    out = hit.select("doc_id", F.col("source").alias("of"), "size", extra.alias("extra"))
-    return out.join(plan, F.col("of").eqNullSafe(F.col("source"))).select("doc_id", "size", "source_size", "target", (F.col("size") * (F.col("passes") + F.col("extra"))).alias("taken"))
+    extra = F.when(F.col("k").isNull(), 0).otherwise(F.greatest(F.lit(0), F.least(F.col("n"), F.col("k") - F.col("before") - F.col("r")))).cast("long")
+    out = hit.select("key", "doc_id", F.col("source").alias("of"), "size", "n", extra.alias("extra"))
+    return out.join(plan, F.col("of").eqNullSafe(F.col("source"))).select("key", "doc_id", "size", "source_size", "target", "n", "passes", "extra")
+
+
+def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.0, ceiling: int = 3, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """doc_id, size, source_size, target, taken: what a mix of ``share`` of all words takes of every document.
+
+    Sources by code point, null last, have ``weights`` in turn. ``taken`` is the document's words times the passes over
+    it. Defined cases: a null or empty text has size 0 and is taken with 0 words; null sources form one source; a null id
+    is an id; repeated rows are documents of their own; an empty table gives an empty result; other columns are ignored.
+    """
+    key = F.xxhash64(F.col(id_col), F.col(source_col), F.col(text_col))
+    groups = choose(docs, key, weights, share, ceiling, seed, id_col, text_col, source_col)
+    each = groups.withColumn("i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
+    times = F.col("passes") + F.when(F.col("i") <= F.col("extra"), 1).otherwise(0)
+    return each.select("doc_id", "size", "source_size", "target", (F.col("size") * times).cast("long").alias("taken"))
+
+
+def repeat_rows(docs: DataFrame, **settings) -> DataFrame:
+    """``docs`` with every row as often as the mix takes it; rows that are equal in all columns stand in for one another.
+
+    Defined cases: as for ``mix_sources``; a document without words stays out; columns are kept, whatever their names.
+    """
+    key, other, place, times = common.unused(docs.columns, "key", "other", "place", "times")
+    keyed = docs.withColumn(key, F.xxhash64(*docs.columns))
+    groups = choose(docs, F.xxhash64(*docs.columns), **settings).where("size > 0 AND passes + extra > 0").select(F.col("key").alias(other), "passes", "extra")
+    order = Window.partitionBy(key).orderBy(key)
+    met = keyed.select(F.struct(*docs.columns).alias(place), key).join(groups, F.col(key) == F.col(other)).withColumn(times, F.row_number().over(order))
+    met = met.withColumn(times, (F.col("passes") + F.when(F.col(times) <= F.col("extra"), 1).otherwise(0)).cast("int"))
+    return met.select(place, F.explode(F.array_repeat(F.lit(0), F.col(times)))).select(f"{place}.*")
 
 
 def op1_mixing(spark, sf_dir):

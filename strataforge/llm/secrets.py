@@ -193,24 +193,29 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id
     """``docs`` with a column ``_spans``: structs of start, rank (of the kind), end, kind, sorted by start and kind.
 
     Defined cases: a null text is empty and has no spans; repeated rows are scanned each; null ids are ids; an empty table
-    gives an empty result; other columns are kept, whatever their names, unless they start with an underscore.
+    gives an empty result; other columns are kept, whatever their names but ``_spans``.
     """
     queries = {r.kind: trigram_query(r.pattern) for r in rules}
     indexed = {k: q for k, q in queries.items() if q is not True}
     wanted = sorted(set().union(*map(trigrams, indexed.values()))) if indexed else []
     text = F.coalesce(F.col(text_col), F.lit(""))
     # two documents with one key would both be candidates: more to verify, nothing missed
-    keyed = docs.withColumn("_key", F.xxhash64(F.col(id_col), F.col(text_col)))
+    key, held, spans = common.unused(docs.columns, "key", "held", "spans")
+    # the user's columns travel in a struct, so that none of their names meets one of ours
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(held), F.xxhash64(F.col(id_col), F.col(text_col)).alias(key), text.alias("_text"))
     if wanted:
-        index = postings(keyed.select("_key", text.alias("_text")), wanted, "_key", "_text")
-        found = candidates(index, indexed, wanted, "_key").hint("shuffle_hash")
-        keyed = keyed.join(found, "_key", "left")
+        index = postings(keyed.select(key, "_text"), wanted, key, "_text")
+        found = candidates(index, indexed, wanted, key).hint("shuffle_hash")
+        keyed = keyed.drop("_text").join(found, key, "left")
+        text = F.coalesce(F.col(f"{held}.`{text_col}`"), F.lit(""))
+    else:
+        text = F.col("_text")
     parts = []
     for rank, r in enumerate(rules):
-        spans = _spans(text, r, rank)
-        parts.append(spans if queries[r.kind] is True else F.when(F.coalesce(F.col(f"_c_{r.kind}"), F.lit(False)), spans).otherwise(F.array().cast(_SPAN)))
-    out = keyed.withColumn("_spans", F.array_sort(F.concat(*parts)))
-    return out.select(*docs.columns, "_spans")
+        found = _spans(text, r, rank)
+        parts.append(found if queries[r.kind] is True else F.when(F.coalesce(F.col(f"_c_{r.kind}"), F.lit(False)), found).otherwise(F.array().cast(_SPAN)))
+    out = keyed.withColumn(spans, F.array_sort(F.concat(*parts)))
+    return out.select(f"{held}.*", F.col(spans).alias("_spans"))
 
 
 def _listed(spans: Column) -> Column:

@@ -502,3 +502,23 @@ def test_pipeline_near_copies_go_by_row(spark):
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], schema)
     got = corpus_pipeline.drop_near_copies(spark, docs, SF).collect()
     assert sorted((str(r.doc_id), r.text.strip()) for r in got) == sorted([("5", one), ("5", two), ("None", three)])
+
+
+def test_stages_of_odd_tables(spark):
+    import corpus_pipeline
+
+    names = "key other place times found held spans _text _c_assign _k _r _size _id h n size".split()
+    rows = [(i % 7 or None, t, "en" if i % 3 else None, "s" if i % 2 else None, None) for i, t in enumerate([None, "", " ", "the and of that", "the and of that", "token=abcdefghijklmnop the of"] * 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for n in names:
+        docs = docs.withColumn(n, F.lit(n))
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), SF).count() == 0
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, SF)
+        assert got.columns == docs.columns and all(r[n] == n for r in got.collect() for n in names), name
+    assert corpus_pipeline.pack(spark, docs, SF).where("start = 0").count() == len(rows)
+    assert mixing.repeat_rows(docs).groupBy("doc_id", "text").count().collect()
+    bulk = spark.range(3000).select(F.lit(None).cast("long").alias("doc_id"), F.when(F.col("id") % 3 == 0, "one two three").otherwise(F.concat(F.lit("a b w"), F.col("id").cast("string"))).alias("text"), F.lit("x").alias("source"))
+    taken = mixing.mix_sources(bulk.unionByName(spark.createDataFrame([(1, "p q r s", "a")], bulk.schema)), weights=(1, 1)).groupBy("source_size").agg(F.sum("taken").alias("t"), F.count("*").alias("n"), F.first("target").alias("g")).collect()
+    assert {(r.source_size, r.n) for r in taken} == {(4, 1), (9000, 3000)} and all(abs(r.t - r.g) <= 3 for r in taken)

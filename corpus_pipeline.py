@@ -16,46 +16,56 @@ LEAST_SCORE = 0.3
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, and those in which no language has its share, go; a missing lang is filled in."""
+    """Documents without a letter, and those in which no language has its share, go; a missing lang is filled in.
+
+    Null and empty texts have no letter and go; repeated rows are judged alike; without anything to learn from all stay;
+    an empty table stays empty; columns are kept, whatever their names.
+    """
     field = language_id.learn(docs, common.crc_mod("doc_id", 4) != 2)
-    found = language_id.predict(docs, field)
-    lang = F.when(F.col("lang").isNull(), F.col("_language.lang")).otherwise(F.col("lang"))
-    kept = (F.col("_language.lang") != "und") & (F.col("_language.score") >= LEAST_SCORE)
-    # without anything to learn from, nothing can be told apart
-    return (found.where(kept).withColumn("lang", lang) if field.labels else found).select(*docs.columns)
+    if not field.labels:  # nothing can be told apart
+        return docs
+    (found,) = common.unused(docs.columns, "found")
+    lang = F.coalesce("lang", F.col(f"{found}.lang")).alias("lang")
+    kept = (F.col(f"{found}.lang") != "und") & (F.col(f"{found}.score") >= LEAST_SCORE)
+    return language_id.predict(docs, field, name=found).where(kept).select(*[lang if c == "lang" else F.col(f"`{c}`") for c in docs.columns])
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each SimHash component one row stays: that with the least doc_id, or any if none has one.
 
-    Rows go by their text, whatever their ids: those that share an id and are not linked stay. Hashes of id and text (64
-    bits) are taken as unequal.
+    Rows go by their text, whatever their ids: those that share an id and are not linked stay. Null, empty and white texts
+    are copies of one another; an empty table stays empty; columns are kept, whatever their names. Hashes of id and text
+    (64 bits) are taken as unequal.
     """
-    first = simhash.first_rows(docs)
-    kept = first.select(F.xxhash64("text_hash", "doc_id").alias("_k"))
-    rows = docs.withColumn("_k", F.xxhash64(F.xxhash64("text"), "doc_id")).join(kept, "_k", "left_semi")
-    return rows.withColumn("_r", F.row_number().over(Window.partitionBy("_k").orderBy("source"))).where("_r = 1").select(*docs.columns)
+    key, place = common.unused(docs.columns, "key", "place")
+    kept = simhash.first_rows(docs).select(F.xxhash64("text_hash", "doc_id").alias(key))
+    rows = docs.withColumn(key, F.xxhash64(F.xxhash64("text"), "doc_id")).join(kept, key, "left_semi")
+    first = Window.partitionBy(key).orderBy("source", "lang", "n_chars")
+    return rows.withColumn(place, F.row_number().over(first)).where(F.col(place) == 1).select(*docs.columns)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets in texts are replaced by a mark; every document stays."""
+    """Secrets in texts are replaced by a mark, n_chars follows; every row stays.
+
+    Null texts stay null, with the n_chars they have; repeated rows are redacted alike; an empty table stays empty;
+    columns are kept, whatever their names.
+    """
     out = secrets.redact(secrets.scan(docs))
     return out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it: not at all, or up to three times."""
-    size = F.coalesce(F.regexp_count("text", F.lit(common.WORD)).cast("long"), F.lit(0).cast("long"))
-    order = Window.partitionBy("doc_id", "size").orderBy("times")
-    taken = mixing.mix_sources(docs).where("taken > 0").select("doc_id", "size", (F.col("taken") / F.col("size")).cast("int").alias("times"))
-    taken = taken.withColumn("r", F.row_number().over(order)).select(F.col("doc_id").alias("_id"), F.col("size").alias("_z"), F.col("r").alias("_n"), F.col("times").alias("_times"))
-    rows = docs.withColumn("_size", size).withColumn("_r", F.row_number().over(Window.partitionBy("doc_id", "_size").orderBy(F.lit(1))))
-    met = rows.join(taken, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_size") == F.col("_z")) & (F.col("_r") == F.col("_n")))
-    return met.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    """Each row as often as the mix takes it: not at all, or up to three times.
+
+    Null, empty and white texts have no words and go; null sources are one source; rows that are equal in all columns
+    stand in for one another, so a task that runs again changes nothing; an empty table stays empty; columns are kept.
+    """
+    return mixing.repeat_rows(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of 2048 tokens along the curve."""
+    """Sequences of 2048 tokens along the curve. Null texts are empty; repeated rows and null ids are documents of their
+    own; an empty table gives no piece; other columns are ignored."""
     return packing.pack_documents(docs)
 
 

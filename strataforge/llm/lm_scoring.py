@@ -1,15 +1,19 @@
 """Language-model scores by deleted interpolation.
 
-A bigram model whose maximum-likelihood estimates (bigram, unigram, uniform) are mixed with weights that depend on how
-often the context was seen. The weights come from expectation-maximisation on held-out counts: a tenth of the training
-documents is kept out of the counts while the weights are learned, and counted in when texts are scored.
-
-How it runs. Documents are packed into blocks of a few million tokens; a block knows its distinct words and bigrams. It
-sends each of them once, as a 64-bit hash with its count, to the hash range that owns it. A hash range adds up the counts
-of all blocks and answers every block with the corpus counts of what it asked for. A block then scores its documents.
-So an n-gram that is in a third of all documents is one row entry per block, no task sees more than one hash range or
-one block, nothing is broadcast but the few mixture weights, and the driver gets only totals and a bounded histogram.
-The hashes are 63 bits wide and are taken as unequal.
+A trigram model whose maximum-likelihood estimates (trigram, bigram, unigram, uniform) are mixed with weights that depend on
+how often the two contexts were seen. The weights come from expectation-maximisation on held-out counts: a tenth of the
+training documents is kept out of the counts while the weights are learned, and counted in when texts are scored.
+
+How it runs. Documents are packed into blocks of a few hundred thousand tokens; a block knows its distinct words, bigrams
+and trigrams and asks for the corpus count of each of them once, as a hash with its own count. Questions are routed by the
+leading bits of the hash in levels: each level splits a question into ``2 ** FAN_BITS`` parts and merges the parts that as
+many askers sent, so a node holds about as many entries as a block, and the rows sent at a level are in proportion to the
+blocks; the levels grow with the logarithm of the corpus. The last level adds up and answers go back the same way. So an
+n-gram that is in a third of all documents is one entry per block, and no task sees more than one block or node; nothing
+is broadcast but the mixture weights, and the driver gets only totals and sums per bucket.
+
+Hashes are as wide as the corpus asks for: ``SPARE_BITS`` bits more than it takes to number its tokens, so that an n-gram
+shares its hash with another one with a probability of some ``2 ** -(SPARE_BITS - 2)``. Such pairs are taken as equal.
 """
 
 from __future__ import annotations
@@ -26,11 +30,14 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Tokens of a block, at least, when it is closed; distinct hashes of a hash range, about.
-BLOCK_TOKENS, RANGE_ENTRIES = 1_000_000, 1_000_000
+#: Tokens of a block, at least, when it is closed; bits of a level; bits of a hash beyond those that number the tokens.
+BLOCK_TOKENS, FAN_BITS, SPARE_BITS = 600_000, 8, 24
+#: Rounds of expectation-maximisation, at most; the largest change of a weight at which they end.
+ROUNDS, STILL = 20, 1e-3
 MAIN, DEV, NONE = 0, 1, 2
 _END = b""  # no word is empty
-_MIX = np.uint64(0x9E3779B97F4A7C15)
+_MIX, _MIX3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+_BUCKETS = 64
 
 
 def pack(*arrays: np.ndarray) -> bytes:
@@ -55,22 +62,47 @@ def _word_hashes(words) -> np.ndarray:
     return np.fromiter((xxhash.xxh64_intdigest(w) for w in words), np.uint64, len(words))
 
 
-def _distinct(stream: np.ndarray, hashes: np.ndarray):
-    """Entries of a block's token stream (it starts and each document ends with the end token): sorted hashes, their
-    counts, and for words and bigrams the place of each in that order; then each bigram's place in the stream."""
-    prev, cur = stream[:-1].astype(np.int64), stream[1:].astype(np.int64)
-    keys, inverse, n2 = np.unique(prev * len(hashes) + cur, return_inverse=True, return_counts=True)
-    h2 = _scramble(hashes[keys // len(hashes)] * _MIX + (hashes[keys % len(hashes)] ^ (hashes[keys % len(hashes)] >> np.uint64(17)))) | np.uint64(1)
-    h1 = _scramble(hashes) & ~np.uint64(1)
-    n1 = np.bincount(cur, minlength=len(hashes))
-    entries = np.concatenate([h1, h2])
-    order = np.argsort(entries, kind="stable")
-    place = np.empty(len(order), np.int64)
-    place[order] = np.arange(len(order))
-    return entries[order], np.concatenate([n1, n2])[order], place[: len(hashes)], place[len(hashes) :], inverse.reshape(-1)
+class Entries:
+    """Words, bigrams and trigrams of a block's token stream, which starts with the end token, as each document ends with it.
 
+    hashes, counts: of the distinct entries, in order of their hashes; the last two bits tell the kind. ``of(...)`` gives
+    each token its corpus counts. A trigram needs three tokens of one document: the first token of a document, after an
+    end token, is left to its bigram.
+    """
 
-def _blocks(batches):
+    def __init__(self, stream: np.ndarray, words: np.ndarray, bits: int):
+        self.prev, self.cur = stream[:-1].astype(np.int64), stream[1:].astype(np.int64)
+        n, low = len(words), lambda h: h ^ (h >> np.uint64(17))
+        keys2, self.two, n2 = np.unique(self.prev * n + self.cur, return_inverse=True, return_counts=True)
+        h2 = _scramble(words[keys2 // n] * _MIX + low(words[keys2 % n]))
+        self.inside = np.flatnonzero(self.prev)
+        keys3, self.three, n3 = np.unique(self.two[self.inside - 1] * n + self.cur[self.inside], return_inverse=True, return_counts=True)
+        h3 = _scramble(h2[keys3 // n] * _MIX3 + low(words[keys3 % n]))
+        kinds = [_scramble(words), h2, h3]
+        every = np.concatenate([(h >> np.uint64(64 - bits)) & ~np.uint64(3) | np.uint64(i) for i, h in enumerate(kinds)])
+        order = np.argsort(every, kind="stable")
+        self.hashes, self.counts = every[order], np.concatenate([np.bincount(self.cur, minlength=n), n2, n3])[order]
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        self.places = np.split(place, [n, n + len(keys2)])
+
+    def of(self, counts: np.ndarray):
+        """Per token: counts of the word, its context, the bigram, its context and the trigram."""
+        one, two, three = (counts[p] for p in self.places)
+        word, before, pair = one[self.cur], one[self.prev], two[self.two]
+        before2, triple = before.copy(), pair.copy()
+        before2[self.inside], triple[self.inside] = pair[self.inside - 1], three[self.three]
+        return word, before, pair, before2, triple
+
+
+def _blocks(block_tokens: int):
+    def run(batches):
+        return _block_stream(batches, block_tokens)
+
+    return run
+
+
+def _block_stream(batches, block_tokens: int):
     """Documents (doc_id, text, role) -> blocks (role, tokens, payload), each of documents of one role."""
     open_: dict[int, tuple] = {}
     tokens: dict[int, int] = {}
@@ -96,7 +128,7 @@ def _blocks(batches):
             sizes.append(len(words) + 1)
             helds.append(bool(held))
             tokens[role] += len(words) + 1
-            if tokens[role] >= BLOCK_TOKENS or len(vocab) >= BLOCK_TOKENS // 4:
+            if tokens[role] >= block_tokens or len(vocab) >= block_tokens // 4:
                 out.append((role, *close(role)))
         if out:
             yield _block_rows(out)
@@ -108,141 +140,218 @@ def _block_rows(rows) -> pd.DataFrame:
     return pd.DataFrame([{"block": common.next_name(), "role": int(role), "tokens": n, "data": data, "meta": meta} for role, data, meta, n in rows])
 
 
-def _asker(ranges: int):
-    bounds = np.array([(i << 64) // ranges for i in range(1, ranges)], dtype=object)
-    bounds = np.array([int(x) for x in bounds], np.uint64) if ranges > 1 else np.zeros(0, np.uint64)
+def _parts(path: int, level: int, hashes: np.ndarray, bits: int, fan: int):
+    """Sorted hashes under a path of ``level`` digits -> (path of one digit more, from, to) of those that are not empty."""
+    shift = bits - fan * (level + 1)
+    bounds = np.array([(((path << fan) + d) << shift) for d in range(1, 1 << fan)], np.uint64)
+    at = [0, *np.searchsorted(hashes, bounds).tolist(), len(hashes)]
+    return [((path << fan) + d, at[d], at[d + 1]) for d in range(1 << fan) if at[d] < at[d + 1]]
+
+
+def _question(path: int, level: int, asker: int, hashes, main, dev, bits: int, fan: int):
+    rows = []
+    for under, a, b in _parts(path, level, hashes, bits, fan):
+        base = np.uint64(under << (bits - fan * (level + 1)))
+        rows.append((under, asker, pack(np.diff(hashes[a:b], prepend=base), main[a:b], dev[a:b])))
+    return pd.DataFrame(rows, columns=["path", "asker", "asked"])
+
 
-    def ask(batches):
+def _ask(bits: int, fan: int):
+    def run(batches):
         for b in batches:
             for block, role, data in zip(b["block"], b["role"], b["data"], strict=True):
-                hashes, stream = unpack(data)
-                entries, counts, *_ = _distinct(stream, hashes)
-                at = [0, *np.searchsorted(entries, bounds).tolist(), len(entries)]
-                rows = []
-                for r in range(ranges):
-                    e = entries[at[r] : at[r + 1]]
-                    if len(e):
-                        counted = counts[at[r] : at[r + 1]] if role != NONE else np.zeros(len(e), np.uint64)
-                        rows.append((r, block, role, pack(np.diff(e, prepend=np.uint64(0)), counted)))
-                yield pd.DataFrame(rows, columns=["range", "block", "role", "asked"])
-
-    return ask
-
-
-def _answer(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-    """One hash range: corpus counts for every block that asked, and the number of distinct training words."""
-    parts, counts = [], []
-    for asked in frame["asked"]:
-        deltas, n = unpack(asked)
-        parts.append(np.cumsum(deltas, dtype=np.uint64))
-        counts.append(n)
-    sizes = [len(p) for p in parts]
-    entries, inverse = np.unique(np.concatenate(parts), return_inverse=True)
-    of = np.repeat(frame["role"].to_numpy(), sizes)
-    n = np.concatenate(counts).astype(np.float64)  # exact to 2 ** 53
-    main = np.bincount(inverse, np.where(of == MAIN, n, 0), len(entries)).astype(np.uint64)
-    dev = np.bincount(inverse, np.where(of == DEV, n, 0), len(entries)).astype(np.uint64)
-    words = int(((entries & np.uint64(1) == 0) & (main + dev > 0)).sum())
-    rows, at = [], 0
-    for i, (block, size) in enumerate(zip(frame["block"], sizes, strict=True)):
-        own = inverse[at : at + size]
-        rows.append((key[0], block, frame["role"].iloc[i], pack(main[own], dev[own]), words if i == 0 else 0))
-        at += size
-    return pd.DataFrame(rows, columns=["range", "block", "role", "counts", "words"])
-
-
-def _counted(blocks: pd.DataFrame, answers: pd.DataFrame):
-    """A block with its corpus counts: of the word, the context and the bigram of each token, as (main, dev) pairs."""
-    hashes, stream = unpack(blocks["data"].iloc[0])
-    _, _, place1, place2, inverse = _distinct(stream, hashes)
-    got = [unpack(x) for x in answers.sort_values("range")["counts"]]
-    both = [np.concatenate([g[i] for g in got]) for i in range(2)]
-    word = [x[place1] for x in both]
-    return [x[stream[1:]] for x in word], [x[stream[:-1]] for x in word], [x[place2][inverse] for x in both]
+                words, stream = unpack(data)
+                own = Entries(stream, words, bits)
+                none = np.zeros(len(own.hashes), np.uint64)
+                yield _question(0, 0, block, own.hashes, own.counts if role == MAIN else none, own.counts if role == DEV else none, bits, fan)
 
+    return run
 
-def context_bucket(counts: np.ndarray) -> np.ndarray:
-    """0 for unseen contexts, then one bucket for each doubling of the count."""
-    return np.frexp(counts.astype(np.float64))[1].astype(np.int64)
 
+def _pass_on(level: int, bits: int, fan: int):
+    def run(batches):
+        for b in batches:
+            for node, path, data in zip(b["node"], b["path"], b["data"], strict=True):
+                deltas, main, dev = unpack(data)
+                yield _question(path, level, node, np.cumsum(deltas, dtype=np.uint64), main, dev, bits, fan)
+
+    return run
 
-_STEP, _ZERO = 4, 511  # cells a doubling; the cell of an estimate that is zero
 
+def _merged(path: int, level: int, frame: pd.DataFrame, bits: int, fan: int):
+    """Questions under one path -> distinct hashes, their main and held-out counts, and where each asker's lie among them."""
+    base = np.uint64(path << (bits - fan * (level + 1)))
+    asked = [unpack(x) for x in frame["asked"]]
+    ends = np.cumsum([len(q[0]) for q in asked])
+    hashes, inverse = np.unique(np.concatenate([np.cumsum(q[0], dtype=np.uint64) + base for q in asked]), return_inverse=True)
+    main, dev = (np.bincount(inverse, np.concatenate([q[i] for q in asked]).astype(np.float64), len(hashes)).astype(np.uint64) for i in (1, 2))  # exact to 2 ** 53
+    return hashes, main, dev, np.split(inverse, ends[:-1])
 
-def _cells(f: np.ndarray) -> np.ndarray:
-    with np.errstate(divide="ignore"):
-        return np.where(f > 0, np.minimum(np.rint(-_STEP * np.log2(np.where(f > 0, f, 1))), _ZERO - 1), _ZERO).astype(np.int64)
 
+def _answer(level: int, bits: int, fan: int):
+    """The corpus counts of all that is under one path, for every asker; and the number of distinct training words."""
 
-def _histogram(n_main: int):
-    """Held-out events by context bucket and by the sizes of their two estimates: a table of bounded size."""
+    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        hashes, main, dev, places = _merged(int(key[0]), level, frame, bits, fan)
+        words = int(((hashes & np.uint64(3) == 0) & (main + dev > 0)).sum())
+        rows = [(key[0], asker, pack(main[p], dev[p]), words if i == 0 else 0) for i, (asker, p) in enumerate(zip(frame["asker"], places, strict=True))]
+        return pd.DataFrame(rows, columns=["path", "asker", "counts", "words"])
 
-    def make(blocks: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        if not len(blocks):
-            return pd.DataFrame({"cell": np.zeros(0, np.int64), "n": np.zeros(0, np.int64)})
-        (w, _), (v, _), (vw, _) = _counted(blocks, answers)
-        f2 = vw / np.maximum(v, 1)
-        f1 = w / max(n_main, 1)
-        cell, n = np.unique((context_bucket(v) * 512 + _cells(f2)) * 512 + _cells(f1), return_counts=True)
-        return pd.DataFrame({"cell": cell, "n": n})
+    return run
 
-    return make
 
+def _merge(level: int, bits: int, fan: int):
+    """What some of the askers ask under one path, as one question; and where each asker's entries lie in it."""
 
-def learn_weights(cells: np.ndarray, counts: np.ndarray, uniform: float, rounds: int = 60) -> dict[int, tuple[float, float, float]]:
-    """Expectation-maximisation: per context bucket the weights of bigram, unigram and uniform estimate.
+    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        path, above = int(key[0]), int(key[1])
+        hashes, main, dev, places = _merged(path, level, frame, bits, fan)
+        askers = pickle.dumps((frame["asker"].tolist(), pack(*[np.diff(p, prepend=0).astype(np.uint64) for p in places])))
+        return pd.DataFrame([{"node": (above << (fan * (level + 1))) + path, "path": path, "data": pack(np.diff(hashes, prepend=np.uint64(0)), main, dev), "askers": askers}])
+
+    return run
+
+
+def _send_back(node: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+    if not len(node):
+        return pd.DataFrame(columns=["path", "asker", "counts", "words"])
+    main, dev = _assembled(answers)
+    askers, places = pickle.loads(node["askers"].iloc[0])
+    words, rows = int(answers["words"].sum()), []
+    for i, (asker, p) in enumerate(zip(askers, unpack(places), strict=True)):
+        at = np.cumsum(p.astype(np.int64))
+        rows.append((node["path"].iloc[0], asker, pack(main[at], dev[at]), words if i == 0 else 0))
+    return pd.DataFrame(rows, columns=["path", "asker", "counts", "words"])
 
-    The weights of all buckets together are learned first and count as ten events in each bucket. Without held-out events
-    all three weigh alike.
-    """
-    bucket, f2, f1 = cells >> 18, cells >> 9 & 511, cells & 511
-    value = lambda c: np.where(c == _ZERO, 0.0, 2.0 ** (-c / _STEP))
-    f = np.stack([value(f2), value(f1), np.full(len(cells), uniform)], 1)
-
-    def em(f, n, prior, strength):
-        w = prior
-        for _ in range(rounds):
-            p = f * w
-            expected = (p / p.sum(1, keepdims=True) * n[:, None]).sum(0) + strength * prior
-            w = np.maximum(expected / expected.sum(), 1e-9)
-        return w / w.sum()
-
-    even = np.full(3, 1 / 3)
-    whole = em(f, counts, even, 1.0) if len(cells) else even
-    out = {-1: tuple(whole)}
-    for b in np.unique(bucket):
-        own = bucket == b
-        out[int(b)] = tuple(em(f[own], counts[own], whole, 10.0))
-    return out
 
+def _assembled(answers: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    got = [unpack(x) for x in answers.sort_values("path")["counts"]]
+    return tuple(np.concatenate([g[i] for g in got]) for i in range(2))
 
-def _scorer(weights: dict[int, tuple[float, float, float]], n_train: int, vocab: int):
-    table = np.array([weights.get(b, weights[-1]) for b in range(66)])
-    table[0, 0] = 0.0  # an unseen context has no bigram estimate
-    table /= table.sum(1, keepdims=True)
 
+_QUESTIONS, _ANSWERS = "path long, asker long, asked binary", "path long, asker long, counts binary, words long"
+
+
+def corpus_counts(questions: DataFrame, askers: int, bits: int, fan: int = FAN_BITS, level: int = 0) -> DataFrame:
+    """Questions (path, asker, asked) of ``askers`` askers -> answers (path, asker, counts, words), level by level."""
+    if askers <= 1 << fan or fan * (level + 2) > bits - 2:
+        return common.materialise(questions.groupBy("path").applyInPandas(_answer(level, bits, fan), _ANSWERS), "lm-counts", compression="none")
+    above = -(-askers // (1 << fan))
+    dealt = questions.withColumn("above", F.pmod(F.xxhash64("asker"), F.lit(above)))
+    nodes = common.materialise(dealt.groupBy("path", "above").applyInPandas(_merge(level, bits, fan), "node long, path long, data binary, askers binary"), "lm-nodes", compression="none")
+    more = corpus_counts(nodes.select("node", "path", "data").mapInPandas(_pass_on(level + 1, bits, fan), _QUESTIONS), above, bits, fan, level + 1)
+    back = nodes.select("node", "path", "askers").groupBy("node").cogroup(more.groupBy("asker")).applyInPandas(_send_back, _ANSWERS)
+    return common.materialise(back, "lm-counts", compression="none")
+
+
+def context_bucket(counts: np.ndarray) -> np.ndarray:
+    """0 for unseen contexts, then one bucket for each doubling of the count."""
+    return np.minimum(np.frexp(counts.astype(np.float64))[1].astype(np.int64), _BUCKETS - 1)
+
+
+def _estimates(word, before, pair, before2, triple, n: int):
+    """Per token: the bucket of its two contexts and the three estimates."""
+    bucket = context_bucket(before2) * _BUCKETS + context_bucket(before)
+    return bucket, np.stack([triple / np.maximum(before2, 1), pair / np.maximum(before, 1), word / max(n, 1)], 1)
+
+
+def _block(blocks: pd.DataFrame, bits: int) -> Entries:
+    words, stream = unpack(blocks["data"].iloc[0])
+    return Entries(stream, words, bits)
+
+
+def _events(n_main: int, bits: int):
+    """Held-out tokens of a block: bucket and estimates of each, from the counts without held-out documents."""
+
+    def run(blocks: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        if not len(blocks):
+            return pd.DataFrame({"data": []})
+        bucket, f = _estimates(*_block(blocks, bits).of(_assembled(answers)[0].astype(np.int64)), n_main)
+        order = np.lexsort((f[:, 2], f[:, 1], bucket))  # like ones together: smaller files
+        return pd.DataFrame({"data": [pack(bucket[order], *(np.ascontiguousarray(f[order, i]).view(np.uint64) for i in range(3)))]})
+
+    return run
+
+
+def expected(bucket: np.ndarray, f: np.ndarray, weights: np.ndarray, uniform: float) -> np.ndarray:
+    """(buckets, 4): how many of the events come from each estimate, as the weights have it."""
+    p = np.concatenate([f, np.full((len(f), 1), uniform)], 1) * weights[bucket]
+    p /= p.sum(1, keepdims=True)
+    return np.stack([np.bincount(bucket, p[:, i], len(weights)) for i in range(4)], 1)
+
+
+def improved(counts: np.ndarray, strength: float = 10.0) -> np.ndarray:
+    """Weights from expected counts. Those of all buckets together count as ``strength`` events in each bucket; without
+    events all four weigh alike."""
+    total = counts.sum()
+    whole = (counts.sum(0) + strength / 4) / (total + strength)
+    w = np.maximum((counts + strength * whole) / (counts.sum(1, keepdims=True) + strength), 1e-9)
+    return w / w.sum(1, keepdims=True)
+
+
+def learn_weights(expect, rounds: int = ROUNDS, still: float = STILL) -> np.ndarray:
+    """Expectation-maximisation; expect: weights -> expected counts."""
+    weights = np.full((_BUCKETS * _BUCKETS, 4), 0.25)
+    for _ in range(rounds):
+        new = np.round(improved(expect(weights)), 9)  # so that the order of sums does not show
+        change, weights = np.abs(new - weights).max(), new
+        if change < still:
+            break
+    return weights
+
+
+def _expect(events: DataFrame, uniform: float):
+    def of(weights: np.ndarray) -> np.ndarray:
+        def run(batches):
+            total = np.zeros_like(weights)
+            for b in batches:
+                for data in b["data"]:
+                    bucket, *f = unpack(data)
+                    total += expected(bucket.astype(np.int64), np.stack([x.view(np.float64) for x in f], 1), weights, uniform)
+            rows = np.flatnonzero(total.any(1))
+            yield pd.DataFrame({"bucket": rows, **{f"e{i}": total[rows, i] for i in range(4)}})
+
+        sums = events.mapInPandas(run, "bucket long, e0 double, e1 double, e2 double, e3 double").groupBy("bucket").agg(*[F.sum(f"e{i}").alias(f"e{i}") for i in range(4)])
+        out = np.zeros_like(weights)
+        for r in sums.collect():  # a row a bucket
+            out[r.bucket] = r[1:]
+        return out
+
+    return of
+
+
+def mixture(bucket: np.ndarray, weights: np.ndarray, before: np.ndarray, before2: np.ndarray) -> np.ndarray:
+    """Weights of each token's four estimates; a context that was not seen gives none."""
+    lam = weights[bucket].copy()
+    lam[before2 == 0, 0] = 0
+    lam[before == 0, 1] = 0
+    return lam / lam.sum(1, keepdims=True)
+
+
+def _scorer(weights: np.ndarray, n_train: int, vocab: int, bits: int):
     def score(blocks: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         ids, sizes, held = pickle.loads(blocks["meta"].iloc[0]) if len(blocks) else ([], [], [])
         if not ids:
             return pd.DataFrame(columns=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
-        w, v, vw = (main + dev for main, dev in _counted(blocks, answers))
-        lam = table[context_bucket(v)]
-        if n_train == 0:
-            lam = np.array([[0.0, 0.0, 1.0]])
-        p = lam[:, 0] * (vw / np.maximum(v, 1)) + lam[:, 1] * (w / max(n_train, 1)) + lam[:, 2] / (vocab + 1)
-        base = np.log10((w + 0.1) / (n_train + 0.1 * (vocab + 1)))
+        main, dev = _assembled(answers)
+        counts = _block(blocks, bits).of((main + dev).astype(np.int64))
+        word, before, _, before2, _ = counts
+        bucket, f = _estimates(*counts, n_train)
+        lam = mixture(bucket, weights, before, before2) if n_train else np.array([[0.0, 0.0, 0.0, 1.0]])
+        p = (lam[:, :3] * f).sum(1) + lam[:, 3] / (vocab + 1)
+        base = np.log10((word + 0.1) / (n_train + 0.1 * (vocab + 1)))
         ends = np.cumsum(sizes)
         starts = ends - np.array(sizes)
         per = lambda x: np.add.reduceat(x, starts)
         return pd.DataFrame({
-            "doc_id": pd.array(ids, "Int64"), "held_out": held, "n_tokens": np.array(sizes, np.int64), "n_known": per((w > 0).astype(np.int64)),
+            "doc_id": pd.array(ids, "Int64"), "held_out": held, "n_tokens": np.array(sizes, np.int64), "n_known": per((word > 0).astype(np.int64)),
             "train_tokens": np.int64(n_train), "base_score": per(base), "score": per(np.log10(p)),
         })
 
     return score
 
 
-def score_documents(docs: DataFrame, learn_from, held_out, held_in, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_documents(docs: DataFrame, learn_from, held_out, held_in, id_col: str = "doc_id", text_col: str = "text", block_tokens: int = BLOCK_TOKENS, fan: int = FAN_BITS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document.
 
     learn_from, held_out, held_in: Boolean columns: documents that are learned from, that are reported as held out, and
@@ -250,25 +359,27 @@ def score_documents(docs: DataFrame, learn_from, held_out, held_in, id_col: str
     and consists of its end token; a null condition is false; repeated rows count each time; with nothing to learn from
     every token has probability 1 / (V + 1) = 1; an empty table gives an empty result; other columns are ignored.
     """
-    spark = docs.sparkSession
     no = F.lit(False)
     role = F.when(~F.coalesce(learn_from, no), NONE).when(F.coalesce(held_in, no), DEV).otherwise(MAIN)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), role.alias("role"), F.coalesce(held_out, no).alias("held"))
-    blocks = common.materialise(rows.mapInPandas(_blocks, "block long, role int, tokens long, data binary, meta binary"), "lm-blocks", compression="none")
+    blocks = common.materialise(rows.mapInPandas(_blocks(block_tokens), "block long, role int, tokens long, data binary, meta binary"), "lm-blocks", compression="none")
     totals = {r.role: (r.t, r.n) for r in blocks.groupBy("role").agg(F.sum("tokens").alias("t"), F.count("*").alias("n")).collect()}
     n_main, n_dev = totals.get(MAIN, (0, 0))[0], totals.get(DEV, (0, 0))[0]
-    ranges = max(1, -(-sum(t for t, _ in totals.values()) // RANGE_ENTRIES))
-    asked = blocks.select("block", "role", "data").mapInPandas(_asker(ranges), "range int, block long, role int, asked binary")
-    answers = common.materialise(asked.groupBy("range").applyInPandas(_answer, "range int, block long, role int, counts binary, words long"), "lm-counts", compression="none")
+    bits = min(62, max(fan * 2 + 4, SPARE_BITS + 2 + sum(t for t, _ in totals.values()).bit_length()))
+    asked = blocks.select("block", "role", "data").mapInPandas(_ask(bits, fan), _QUESTIONS)
+    answers = corpus_counts(asked, sum(n for _, n in totals.values()), bits, fan)
     vocab = answers.agg(F.sum("words")).first()[0] or 0
 
-    def joined(wanted, f, schema: str) -> DataFrame:
-        of = answers.where(wanted).select("range", "block", "counts")
-        return blocks.where(wanted).groupBy("block").cogroup(of.groupBy("block")).applyInPandas(f, schema)
+    def joined(wanted: DataFrame, f, schema: str, only: bool = False) -> DataFrame:
+        of = answers.select("path", "asker", "counts")
+        of = of.join(wanted.select("block"), F.col("asker") == F.col("block"), "left_semi") if only else of
+        return wanted.groupBy("block").cogroup(of.groupBy("asker")).applyInPandas(f, schema)
 
-    cells = joined(F.col("role") == DEV, _histogram(n_main), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
-    weights = learn_weights(cells["cell"].to_numpy(np.int64), cells["n"].to_numpy(np.float64), 1 / (vocab + 1))
-    return joined(F.lit(True), _scorer(weights, n_main + n_dev, vocab), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    weights = learn_weights(lambda w: np.zeros_like(w), 1)
+    if n_dev:
+        events = common.materialise(joined(blocks.where(F.col("role") == DEV), _events(n_main, bits), "data binary", True), "lm-events", compression="none")
+        weights = learn_weights(_expect(events, 1 / (vocab + 1)))
+    return joined(blocks, _scorer(weights, n_main + n_dev, vocab, bits), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def op2_lm_scoring(spark, sf_dir):

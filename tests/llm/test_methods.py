@@ -14,7 +14,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from strataforge.llm import components, entry, hnsw, html_extraction, language_id, lm_scoring, mixing, packing, secrets, simhash, topk, toxicity
+from strataforge.llm import common, components, entry, hnsw, html_extraction, language_id, lm_scoring, mixing, packing, secrets, simhash, topk, toxicity
 
 SF = "/root/testdata/sf0.001"
 
@@ -52,44 +52,77 @@ def test_mix(spark):
     assert dict(zip(got.doc_id, got.taken)) == dict(zip(again.doc_id, again.taken))
 
 
-def test_lm_scores(spark):
-    got = entry.QUERIES["op2_lm_scoring"](spark, SF).toPandas().set_index("doc_id")
+@pytest.mark.parametrize(("block", "fan"), [(600_000, 8), (8000, 2)])
+def test_lm_scores(spark, block, fan):
+    table_ = spark.read.parquet(f"{SF}/documents.parquet")
+    mod = common.crc_mod("doc_id", 10)
+    got = lm_scoring.score_documents(table_, mod != 0, mod == 0, mod == 1, block_tokens=block, fan=fan).toPandas().set_index("doc_id")
     docs = table(spark, "documents")
     rest = {d: zlib.crc32(str(d).encode()) % 10 for d in docs.doc_id}
     tokens = {d: [*t.encode().lower().split(), b""] for d, t in zip(docs.doc_id, docs.text)}
-    uni, bi, main1, main2, dev = Counter(), Counter(), Counter(), Counter(), Counter()
+    whole, main = ([Counter(), Counter(), Counter()] for _ in range(2))
+
+    def grams(ts):
+        for i, w in enumerate(ts):
+            v = ts[i - 1] if i else b""
+            yield w, (v, w), (ts[i - 2] if i > 1 else b"", v, w) if i else None
+
     for d, ts in tokens.items():
-        pairs = list(zip([b"", *ts], ts))
-        if rest[d]:
-            uni.update(ts), bi.update(pairs)
-            (main2 if rest[d] != 1 else dev).update(pairs)
-            main1.update(ts if rest[d] != 1 else ())
-    n, v = sum(uni.values()), len(uni)
-    ctx = lambda c, w: c[w]  # noqa: E731  each token but the last is a context once, the end token starts each text
-    events = Counter()
-    for (a, w), k in dev.items():
-        f2, f1 = main2[a, w] / max(ctx(main1, a), 1), main1[w] / sum(main1.values())
-        events[(int(lm_scoring.context_bucket(np.array([main1[a]]))[0]) * 512 + int(lm_scoring._cells(np.array([f2]))[0])) * 512 + int(lm_scoring._cells(np.array([f1]))[0])] += k
-    cells = np.array(sorted(events))
-    lam = lm_scoring.learn_weights(cells, np.array([events[c] for c in cells], float), 1 / (v + 1))
+        for held in [whole] * (rest[d] != 0) + [main] * (rest[d] > 1):
+            for w, vw, uvw in grams(ts):
+                held[0][w] += 1
+                held[1][vw] += 1
+                held[2][uvw] += uvw is not None
+
+    def estimates(held, w, vw, uvw):
+        c1, c2, c3 = held
+        before, pair = c1[vw[0]], c2[vw]
+        before2, triple = (c2[uvw[:2]], c3[uvw]) if uvw else (before, pair)
+        return before, before2, [triple / max(before2, 1), pair / max(before, 1), c1[w] / sum(c1.values())]
+
+    n, v = sum(whole[0].values()), len(whole[0])
+    doubling = lambda c: c.bit_length()
+    events = [estimates(main, *g) for d, ts in tokens.items() if rest[d] == 1 for g in grams(ts)]
+    bucket = np.array([doubling(b2) * 64 + doubling(b1) for b1, b2, _ in events])
+    f = np.array([x for *_, x in events])
+    lam = np.full((4096, 4), 0.25)
+    for _ in range(lm_scoring.ROUNDS):  # as the method is defined
+        p = np.concatenate([f, np.full((len(f), 1), 1 / (v + 1))], 1) * lam[bucket]
+        p /= p.sum(1, keepdims=True)
+        every = (p.sum(0) + 2.5) / (len(p) + 10)
+        new = np.array([(p[bucket == b].sum(0) + 10 * every) / ((bucket == b).sum() + 10) for b in range(4096)])
+        new = np.maximum(new, 1e-9)
+        change, lam = np.abs(new - lam).max(), new / new.sum(1, keepdims=True)
+        if change < lm_scoring.STILL:
+            break
     for d, ts in tokens.items():
-        base = sum(math.log10((uni[w] + 0.1) / (n + 0.1 * (v + 1))) for w in ts)
+        base = sum(math.log10((whole[0][w] + 0.1) / (n + 0.1 * (v + 1))) for w in ts)
         score = 0.0
-        for a, w in zip([b"", *ts], ts):
-            l2, l1, l0 = lam.get(int(lm_scoring.context_bucket(np.array([uni[a]]))[0]), lam[-1])
-            if not uni[a]:
-                l2, l1, l0 = 0, l1 / (l1 + l0), l0 / (l1 + l0)
-            score += math.log10(l2 * bi[a, w] / max(uni[a], 1) + l1 * uni[w] / n + l0 / (v + 1))
+        for g in grams(ts):
+            b1, b2, x = estimates(whole, *g)
+            own = lam[doubling(b2) * 64 + doubling(b1)] * [b2 > 0, b1 > 0, 1, 1]
+            score += math.log10((own / own.sum() * [*x, 1 / (v + 1)]).sum())
         r = got.loc[d]
-        assert (r.n_tokens, r.n_known, r.train_tokens, r.held_out) == (len(ts), sum(uni[w] > 0 for w in ts), n, rest[d] == 0)
-        assert abs(r.base_score - base) < 1e-6 and abs(r.score - score) < 1e-6
+        assert (r.n_tokens, r.n_known, r.train_tokens, r.held_out) == (len(ts), sum(whole[0][w] > 0 for w in ts), n, rest[d] == 0)
+        assert abs(r.base_score - base) < 1e-6 and abs(r.score - score) < 1e-4
     held = got[got.held_out]
     assert held.score.sum() > held.base_score.sum()
 
 
 def test_mixture_weights_follow_the_events():
-    sure = learned = lm_scoring.learn_weights(np.array([(7 << 18) | (0 << 9) | 40]), np.array([1000.0]), 1e-6)[7]
-    assert learned[0] > 0.9 and abs(sum(sure) - 1) < 1e-9
+    bucket, f = np.full(1000, 7 * 64 + 9), np.tile([0.001, 0.9, 0.01], (1000, 1))
+    learned = lm_scoring.learn_weights(lambda w: lm_scoring.expected(bucket, f, w, 1e-6))
+    assert learned[7 * 64 + 9, 1] > 0.9 and np.allclose(learned.sum(1), 1)
+
+
+def test_lm_rows_sent_are_in_proportion():
+    rng = np.random.default_rng(3)
+    for level, fan in ((0, 8), (1, 2)):
+        hashes = np.unique(rng.integers(0, 1 << (40 - fan * level), 5000).astype(np.uint64))
+        rows = lm_scoring._question(0, level, 1, hashes, hashes, hashes, 40, fan)
+        assert len(rows) <= 1 << fan
+        back = np.concatenate([np.cumsum(lm_scoring.unpack(r.asked)[0], dtype=np.uint64) + np.uint64(r.path << (40 - fan * (level + 1))) for r in rows.itertuples()])
+        assert (back == hashes).all()
 
 
 def test_top_k_is_exact(spark):

@@ -6,10 +6,11 @@ vectors of the other, and each shard with its own vectors; recall is audited in
 the upper layers, then a beam in the lowest. A vector whose beam is full of partners may have more and is compared with
 the whole shard. After each search a seeded sample is compared with brute force, all its partners counted; while its
 recall is short, the beam is doubled, up to the size of the shard, where it is exhaustive. Found pairs are verified by
-cosine in double precision and united to components, inside which links are counted by blocks.
+cosine in double precision, counted where they are found, and united to components.
 
 Searches run in lockstep: all queries of a shard advance together on numpy arrays. Equal vectors are one vector with a
-multiplicity. Searches return spanning forests, so a group of copies costs rows in proportion to its size.
+multiplicity. A search returns a spanning forest and a count a vector, so a group of near copies costs rows in proportion
+to its size, though its pairs are all looked at.
 """
 
 from __future__ import annotations
@@ -27,9 +28,7 @@ from .components import components
 from .simhash import forest
 
 #: Vectors of a shard, links of a vector (twice that in the lowest layer), beams, audited vectors and least recall.
-SHARD, LINKS, BUILD_BEAM, BEAM, AUDIT, RECALL = 4096, 12, 32, 32, 96, 0.95
-#: Vectors of a part of a component in which links are counted.
-PART = 1024
+SHARD, LINKS, BUILD_BEAM, BEAM, AUDIT, RECALL = 4096, 12, 32, 32, 96, 0.98
 _SPARE = 1e-5
 
 
@@ -242,42 +241,39 @@ def _matrix(frame: pd.DataFrame) -> np.ndarray:
 
 def _build(frame: pd.DataFrame) -> pd.DataFrame:
     frame = frame.sort_values("least", kind="stable")
-    x, ids = _matrix(frame), frame["least"].to_numpy(np.int64)
+    x, ids, copies = _matrix(frame), frame["least"].to_numpy(np.int64), frame["copies"].to_numpy(np.int64)
     graph = Graph(x)
-    return pd.DataFrame([{"grp": frame["grp"].iloc[0], "shard": frame["shard"].iloc[0], "shards": frame["shards"].iloc[0], "vectors": _pack(ids, x), "graph": _pack(graph.layers)}])
+    return pd.DataFrame([{"grp": frame["grp"].iloc[0], "shard": frame["shard"].iloc[0], "shards": frame["shards"].iloc[0], "vectors": _pack(ids, x, copies), "graph": _pack(graph.layers)}])
+
+
+def linked(found, n: int, copies: np.ndarray, both_ways: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Blocks of pairs -> the least place that each of n reaches, and the copies of its partners.
+
+    both_ways: a pair may be found from either side, and counts once.
+    """
+    pairs = [np.minimum(i, j) * n + np.maximum(i, j) for i, j in found]
+    codes = np.concatenate([*pairs, np.zeros(0, np.int64)])
+    codes = np.unique(codes) if both_ways else codes
+    i, j = codes // n, codes % n
+    i, j = i[i != j], j[i != j]
+    return forest(n, [(i, j)]), (np.bincount(i, copies[j], n) + np.bincount(j, copies[i], n)).astype(np.int64)
 
 
 def _search(least: float):
     def make(batches):
         for b in batches:
             for shard, vectors, graph, other, queries in zip(b["shard"], b["vectors"], b["graph"], b["other"], b["queries"], strict=True):
-                ids, x = _unpack(vectors)
+                ids, x, copies = _unpack(vectors)
                 g = Graph.__new__(Graph)
                 g.vectors, (g.layers,) = x.astype(np.float32), _unpack(graph)
                 if shard == other:
-                    root = forest(len(x), near_pairs(g, x, x, least, np.arange(len(x))))
-                    all_ids = ids
+                    root, n = linked(near_pairs(g, x, x, least, np.arange(len(x))), len(x), copies, True)
                 else:
-                    qids, qx = _unpack(queries)
-                    root = forest(len(x) + len(qx), ((q + len(x), m) for q, m in near_pairs(g, x, qx, least)))
-                    all_ids = np.concatenate([ids, qids])
-                linked = np.flatnonzero(root != np.arange(len(root)))
-                yield pd.DataFrame({"a": all_ids[linked], "b": all_ids[root[linked]]})
-
-    return make
-
-
-def _count(least: float):
-    def make(frame: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for _, f in frame.groupby(["root", "i", "j"], sort=False):
-            left, right = f[f["side"] == 0], f[f["side"] == 1]
-            if not len(left) or not len(right):
-                continue
-            near = _matrix(left) @ _matrix(right).T >= least
-            near[left["least"].to_numpy()[:, None] == right["least"].to_numpy()[None, :]] = False
-            out.append(pd.DataFrame({"least": left["least"].to_numpy(), "n": near @ right["copies"].to_numpy(np.int64)}))
-        return pd.concat(out) if out else pd.DataFrame({"least": np.zeros(0, np.int64), "n": np.zeros(0, np.int64)})
+                    qids, qx, more = _unpack(queries)
+                    ids, copies = np.concatenate([ids, qids]), np.concatenate([copies, more])
+                    root, n = linked(((q + len(x), m) for q, m in near_pairs(g, x, qx, least)), len(ids), copies, False)
+                met = np.flatnonzero(n)
+                yield pd.DataFrame({"a": ids[met], "b": ids[root[met]], "n": n[met]})
 
     return make
 
@@ -305,24 +301,15 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, id_col: str = "vec_
     classes = common.materialise(classes, "vectors")
     shards = classes.groupBy("grp").agg(F.ceil(F.count("*") / SHARD).cast("int").alias("shards"))
     dealt = classes.join(shards, "grp").withColumn("shard", F.pmod(F.shiftright("h", 7), F.col("shards")).cast("int"))
-    built = dealt.select("grp", "shards", "shard", "least", "v").groupBy("grp", "shard").applyInPandas(_build, "grp long, shard int, shards int, vectors binary, graph binary")
+    built = dealt.select("grp", "shards", "shard", "least", "copies", "v").groupBy("grp", "shard").applyInPandas(_build, "grp long, shard int, shards int, vectors binary, graph binary")
     built = common.materialise(built, "hnsw", compression="none")
     asked = built.select(F.col("grp").alias("g"), F.col("shard").alias("other"), F.col("vectors").alias("queries"), F.explode(F.sequence(F.lit(0), F.col("shard"))).alias("s"))
     met = asked.join(built, (F.col("g") == F.col("grp")) & (F.col("s") == F.col("shard"))).select("shard", "vectors", "graph", "other", F.when(F.col("shard") != F.col("other"), F.col("queries")).alias("queries"))
-    edges = met.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))).mapInPandas(_search(least), "a long, b long")
-    found = components(edges)
-    roots = found.select("root").distinct().select(F.col("root").alias("node"), "root").unionByName(found)
-    members = classes.join(roots, classes["least"] == roots["node"])
-    sizes = members.groupBy("root").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts")).withColumnRenamed("root", "r")
-    members = members.join(sizes, F.col("root") == F.col("r")).withColumn("part", F.pmod(F.col("h"), F.col("parts")).cast("int"))
-    sides = F.explode(F.flatten(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: F.array(
-        F.struct(F.lit(0).alias("side"), F.col("part").alias("i"), p.alias("j")), F.struct(F.lit(1).alias("side"), p.alias("i"), F.col("part").alias("j"))))))
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions")) * 4
-    cells = members.select("root", "least", "copies", "v", sides.alias("s")).select("root", "least", "copies", "v", "s.side", "s.i", "s.j")
-    cells = cells.withColumn("task", F.pmod(F.xxhash64("root", "i", "j"), F.lit(tasks)).cast("int"))
-    counted = cells.groupBy("task").applyInPandas(_count(least), "least long, n long").groupBy("least").agg(F.sum("n").alias("n"))
+    pairs = common.materialise(met.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))).mapInPandas(_search(least), "a long, b long, n long"), "hnsw-pairs")
+    found = components(pairs.select("a", "b"))
+    counted = pairs.groupBy("a").agg(F.sum("n").alias("n"))
     named = classes.join(found, classes["least"] == found["node"], "left").select("grp", "h", "least", "copies", F.coalesce("root", "least").alias("root"))
-    named = named.join(counted, "least", "left").select("grp", "h", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.col("root").alias("component_id"))
+    named = named.join(counted, named["least"] == counted["a"], "left").select("grp", "h", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.col("root").alias("component_id"))
     out = rows.select("vec_id", "grp", "h").join(named, ["grp", "h"], "left")
     component = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))

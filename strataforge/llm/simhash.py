@@ -25,8 +25,8 @@ from .components import components
 FANOUT = 16
 #: Pairs of nodes opened at once, at most.
 OPEN = 1 << 21
-#: A band value with more fingerprints than this is dealt out again by the remaining bits.
-DENSE = 20_000
+#: A band value with more fingerprints than this is dealt out again by the remaining bits, so often; rows of a task, about.
+DENSE, DEALS, TASK = 20_000, 3, 50_000
 
 
 def fingerprint(text: str | None, width: int = 4, seed: int = 42) -> int:
@@ -153,24 +153,37 @@ def _index_groups(distance: int):
     return search
 
 
-def links(prints: DataFrame, distance: int = 4) -> DataFrame:
-    """Distinct fingerprints (fp) -> edges (a, b) that connect all fingerprints within ``distance`` bits of each other."""
-    bands = _bands(list(range(64)), distance + 1)
-    keyed = prints.select("fp", F.explode(F.array(*[F.struct(F.lit(i).alias("band"), _band_key(F.col("fp"), b).alias("value")) for i, b in enumerate(bands)])).alias("k")).select("fp", "k.band", "k.value")
-    sizes = keyed.groupBy("band", "value").agg(F.count("*").alias("n"))
-    dense = sizes.where(F.col("n") > DENSE).select(F.col("band").alias("db"), F.col("value").alias("dv"))
-    # at most bands * fingerprints / DENSE rows
-    marked = keyed.join(dense, (F.col("band") == F.col("db")) & (F.col("value") == F.col("dv")), "left")
-    again = F.array()
-    for i, b in enumerate(bands):
-        rest = _bands([x for x in range(64) if x not in b], distance + 1)
-        again = F.when(F.col("band") == i, F.array(*[F.xxhash64("band", "value", F.lit(j), _band_key(F.col("fp"), r)) for j, r in enumerate(rest)])).otherwise(again)
-    once = F.array(F.xxhash64("band", "value"))
-    dealt = marked.select("fp", F.explode(F.when(F.col("db").isNull(), once).otherwise(again)).alias("key"))
-    spark = prints.sparkSession
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions")) * 4
-    dealt = dealt.withColumn("task", F.pmod(F.xxhash64("key"), F.lit(tasks)).cast("int"))
-    return dealt.groupBy("task").applyInPandas(_index_groups(distance), "a long, b long")
+def links(prints: DataFrame, distance: int = 4, dense: int | None = None) -> DataFrame:
+    """Distinct fingerprints (fp) -> edges (a, b) that connect all fingerprints within ``distance`` bits of each other.
+
+    Keys that more than ``dense`` fingerprints share are dealt again by bands of the bits not yet used, up to DEALS times;
+    a key that is crowded even then (its fingerprints agree in half their bits) is one index. Keys meet in tasks of about
+    TASK rows, so tasks grow in number with the table, not in size.
+    """
+    dense = DENSE if dense is None else dense
+    rows = prints.select("fp", F.lit(0).alias("case"), F.lit(0).cast("long").alias("key"))
+    cases: list[list[int]] = [[]]  # the bits that a case has used
+    done = None
+    for deal in range(DEALS):
+        bands = [_bands([x for x in range(64) if x not in used], distance + 1) for used in cases]
+        each = F.array()
+        for i, of in enumerate(bands):
+            keys = [F.struct(F.lit(i * (distance + 1) + j).alias("case"), F.xxhash64("key", F.lit(j), _band_key(F.col("fp"), bits)).alias("key")) for j, bits in enumerate(of)]
+            each = F.when(F.col("case") == i, F.array(*keys)).otherwise(each) if len(bands) > 1 else F.array(*keys)
+        cases = [used + bits for used, of in zip(cases, bands, strict=True) for bits in of]
+        dealt = rows.select("fp", F.explode(each).alias("k")).select("fp", "k.case", "k.key")
+        if deal == DEALS - 1:
+            done = dealt.select("fp", "key") if done is None else done.unionByName(dealt.select("fp", "key"))
+            break
+        crowded = common.materialise(dealt.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > dense).select(F.col("key").alias("crowd")), "simhash-crowds")
+        calm = dealt.join(crowded, F.col("key") == F.col("crowd"), "left_anti").select("fp", "key")
+        done = calm if done is None else done.unionByName(calm)
+        if crowded.isEmpty():
+            break
+        rows = dealt.join(crowded, F.col("key") == F.col("crowd"), "left_semi")
+    done = common.materialise(done, "simhash-dealt")
+    tasks = max(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-done.count() // TASK))
+    return done.withColumn("task", F.pmod(F.xxhash64("key"), F.lit(tasks)).cast("int")).groupBy("task").applyInPandas(_index_groups(distance), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, distance: int = 4, width: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

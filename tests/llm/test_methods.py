@@ -203,6 +203,30 @@ def test_simhash(spark, monkeypatch, dense):
         assert got.loc[d].fingerprint == f"{prints[i]:016x}" and got.loc[d].component_id == least[label[i]]
 
 
+def test_crowded_fingerprints(spark):
+    # all within one band value, whatever the band: dealt again and again, and no link is lost
+    prints = sorted({(1 << a | 1 << b) for a in range(64) for b in range(a, 64)} | {0xFFFF << 20, 0x7FFF << 20, 0xFFFFFFFF << 30})
+    df = spark.createDataFrame([(p - (1 << 64) if p >> 63 else p,) for p in prints], "fp long")
+    got = {r.node: r.root for r in components.components(simhash.links(df, 2, dense=50)).collect()}
+    label = brute_components(len(prints), [(i, j) for i in range(len(prints)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= 2])
+    whole = lambda x: x % (1 << 64)
+    roots = [whole(got.get(p - (1 << 64) if p >> 63 else p, p)) for p in prints]
+    assert len(set(zip(label.tolist(), roots, strict=True))) == len(set(label.tolist())) == len(set(roots))
+
+
+def test_hnsw_many_shards_and_a_large_component(spark, monkeypatch):
+    monkeypatch.setattr(hnsw, "SHARD", 500)
+    rng, basis = np.random.default_rng(14), np.eye(16)
+    x = np.concatenate([np.stack([basis[0]] * 1200) + rng.normal(size=(1200, 16)) * 0.02, rng.normal(size=(600, 16))])
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.98
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = hnsw.near_duplicates(df).toPandas().set_index("vec_id").sort_index()
+    label = brute_components(1800, list(zip(*np.nonzero(near))))
+    assert (near.sum(1) - 1 - got.n_links).abs().sum() <= 0.02 * near.sum() and (got.n_links <= near.sum(1) - 1).all()
+    assert (got.component_id.to_numpy() == label).all()
+
+
 def test_components_of_chains_stars_and_loops(spark):
     edges = [(i, i + 1) for i in range(100)] + [(500, i) for i in range(501, 600)] + [(7, 7), (900, 800), (800, 900), (900, 850)]
     got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}

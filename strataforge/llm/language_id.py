@@ -28,9 +28,9 @@ from pyspark.sql import functions as F
 from . import common
 
 PER_LANGUAGE, DOCUMENTS, WORDS, PIECE, CHAIN = 250, 3000, 400_000, 32, 64
-#: Languages up to which segments are joined by products; numbers (words times languages) worked through at once; parts
-#: of the training chains, one a step.
-FEW, AREA, PARTS = 16, 800_000, 4
+#: Languages up to which segments are joined by products; numbers (words times languages) worked through at once; words of
+#: a training step; training steps, at least (each word is seen twice, or more).
+FEW, AREA, STEP, STEPS = 16, 800_000, 32_000, 40
 #: Hashed features and words of a language's lexicon; words whose scores a task remembers.
 WIDTH, LEXICON, REMEMBERED = 1 << 15, 400, 150_000
 
@@ -227,8 +227,8 @@ def spliced(texts: list[tuple[int, list]], rng) -> list[tuple[list, list[int]]]:
     return [c for c in out if c[0]]
 
 
-def train(docs: list[tuple[str, str]], rounds: int = 80, rate: float = 0.08, decay: float = 1e-4, seed: int = 3) -> Field:
-    """docs: (language, text). Adam on the conditional likelihood; each round takes the next of PARTS parts of the chains."""
+def train(docs: list[tuple[str, str]], rate: float = 0.08, decay: float = 1e-4, seed: int = 3) -> Field:
+    """docs: (language, text). Adam on the conditional likelihood; each step takes the next part of the chains."""
     rng = np.random.default_rng(seed)
     labels = sorted({lang for lang, _ in docs})
     number = {lang: i for i, lang in enumerate(labels)}
@@ -259,8 +259,9 @@ def train(docs: list[tuple[str, str]], rounds: int = 80, rate: float = 0.08, dec
     params = [np.zeros((len(used), k)), np.zeros((len(classes), k)), np.zeros((k, k)), np.zeros(k)]
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
     starts = np.cumsum(sizes) - sizes
-    parts = [[(np.array(w), np.array(y)) for w, y in chains[i::PARTS]] for i in range(min(PARTS, len(chains)))]
-    for t in range(1, rounds + 1):
+    many = max(1, min(len(chains), sum(len(w) for w, _ in chains) // STEP))
+    parts = [[(np.array(w), np.array(y)) for w, y in chains[i::many]] for i in range(many)]
+    for t in range(1, max(STEPS, 2 * many) + 1):
         emit = np.add.reduceat(params[0][flat], starts) + np.where(lex[:, None] >= 0, params[1][lex], 0)
         per_word, trans, begins, n = np.zeros((len(lists), k)), np.zeros((k, k)), np.zeros(k), 0
         part = parts[t % len(parts)]
@@ -295,7 +296,10 @@ def learn(docs: DataFrame, learn_from, id_col: str = "doc_id", text_col: str = "
     keys = (F.col(lang_col).alias("l"), F.xxhash64(F.col(id_col).cast("string"), F.lit(seed)).alias("h"), F.xxhash64(text_col).alias("t"))
     size = F.regexp_count(F.col(text_col), F.lit(common.WORD)).cast("long")
     ids = rows.select(*keys, size.alias("n")).groupBy("l", "h").agg(F.min(F.struct("t", "n")).alias("x"))
-    ids = common.materialise(ids.withColumn("r", F.row_number().over(Window.partitionBy("l").orderBy("h"))).where(F.col("r") <= PER_LANGUAGE), "language-sample")
+    # first inside sixty-four parts of a language, so that no task gets one with very many rows
+    first = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy("h"))
+    ids = ids.withColumn("part", F.shiftrightunsigned("h", 58)).withColumn("r", first("l", "part")).where(F.col("r") <= PER_LANGUAGE).drop("part", "r")
+    ids = common.materialise(ids.withColumn("r", first("l")).where(F.col("r") <= PER_LANGUAGE), "language-sample")
     many = max(2, min(PER_LANGUAGE, DOCUMENTS // max(ids.where("r = 1").count(), 1)))
     so_far = F.sum("x.n").over(Window.partitionBy("l").orderBy("r"))
     picked = ids.where(F.col("r") <= many).withColumn("w", so_far).where((F.col("w") <= WORDS) | (F.col("r") == 1)).select(F.col("l").alias("pl"), F.col("h").alias("ph"), F.col("x.t").alias("pt"))

@@ -166,8 +166,8 @@ def _paired(names: list[str], terms: frozenset[str]):
 
     def run(batches):
         for b in batches:
-            pairs = [(of(s), of(t)) for s in b["s"] for t in swapped(s, terms)]
-            yield pd.DataFrame({"i": [x for x, y in pairs if x != y], "j": [y for x, y in pairs if x != y]})
+            pairs = [(x, y) for s in b["s"] for t in swapped(s, terms) if (x := of(s)) != (y := of(t))]
+            yield pd.DataFrame({c: pd.Series([p[i] for p in pairs], dtype=object) for i, c in enumerate("ij")})
 
     return run
 

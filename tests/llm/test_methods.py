@@ -264,6 +264,10 @@ def test_toxicity(spark):
     more = spark.createDataFrame([(1000, neutral)], "doc_id long, text string")
     whole = score(df.unionByName(more), groups=("women", "muslims"))
     assert abs(whole[1000] - fair.score(neutral)) < 0.05 and whole[1000] < score(df.unionByName(more), groups=("nobody",))[1000]
+    # terms that are no features of the classifier: no swap changes a score
+    few = df.unionByName(spark.createDataFrame([(2000, "lorem zebra dolor")], "doc_id long, text string"))
+    odd = toxicity.score_documents(few, marks.unionByName(spark.createDataFrame([(2000, 0)], marks.schema)), F.lit(True), F.lit(False), groups=("zebra", "gnu"))
+    assert odd.where("doc_id = 2000 AND predicted = 0").count() == 1
     # five hundred copies of a document weigh as much as one
     copies = df.unionByName(spark.createDataFrame([(0, rows[0])] * 500, "doc_id long, text string"))
     again = score(copies.unionByName(more), groups=("women", "muslims"))

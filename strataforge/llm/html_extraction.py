@@ -12,6 +12,7 @@ tables. The weights, some hundred kilobytes whatever the data, go to the tasks.
 from __future__ import annotations
 
 import html
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -199,14 +200,15 @@ def vectors(page: list) -> np.ndarray:
     for i, ((path, tokens, last, inside), text, links, _) in enumerate(page):
         row = x[i]
         row[:PATH] = path
-        words = text.lower().split()
+        words, bag = text.lower().split(), [0.0] * WORDS
         for w, k in Counter(words).items():
             at, sign = _word_slot(w) if len(w) < 40 else _slot(w, WORDS)
-            row[PATH + at] += sign * k
-        row[PATH : PATH + WORDS] /= 2 + np.linalg.norm(row[PATH : PATH + WORDS])
+            bag[at] += sign * k
+        scale = 2 + math.sqrt(sum(x * x for x in bag))
+        row[PATH : PATH + WORDS] = [x / scale for x in bag]
         size = len(text)
         row[PATH + WORDS :] = (
-            np.log1p(size) / 5, min(links / size, 1.0), text.count(".") / max(len(words), 1), text.count(",") / max(len(words), 1),
+            math.log1p(size) / 5, min(links / size, 1.0), text.count(".") / max(len(words), 1), text.count(",") / max(len(words), 1),
             i / n, (n - i) / n, float(text[-1] in ".!?:;"), float(last in ("h1", "h2", "h3", "h4")), len(_DIGITS.findall(text)) / size,
             float(inside), float(size > 200), min(tokens, 100) / 10,
         )

@@ -4,7 +4,7 @@ A trigram model whose maximum-likelihood estimates (trigram, bigram, unigram, un
 how often the two contexts were seen. The weights come from expectation-maximisation on held-out counts: a tenth of the
 training documents is kept out of the counts while the weights are learned, and counted in when texts are scored.
 
-How it runs. Documents are packed into blocks of a few hundred thousand tokens; a block knows its distinct words, bigrams
+How it runs. Documents are packed into blocks of about a million tokens; a block knows its distinct words, bigrams
 and trigrams and asks for the corpus count of each of them once, as a hash with its own count. Questions are routed by the
 leading bits of the hash in levels: each level splits a question into ``2 ** FAN_BITS`` parts and merges the parts that as
 many askers sent, so a node holds about as many entries as a block, and the rows sent at a level are in proportion to the
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Tokens of a block, at least, when it is closed; bits of a level; bits of a hash beyond those that number the tokens.
-BLOCK_TOKENS, FAN_BITS, SPARE_BITS = 600_000, 8, 24
+BLOCK_TOKENS, FAN_BITS, SPARE_BITS = 1_200_000, 8, 24
 #: Rounds of expectation-maximisation, at most; the largest change of a weight at which they end.
 ROUNDS, STILL = 20, 1e-3
 MAIN, DEV, NONE = 0, 1, 2

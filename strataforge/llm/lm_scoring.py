@@ -32,6 +32,8 @@ from . import common
 
 #: Tokens of a block, at least, when it is closed; bits of a level; bits of a hash beyond those that number the tokens.
 BLOCK_TOKENS, FAN_BITS, SPARE_BITS = 1_200_000, 8, 24
+#: Tokens of a block that are scored at a time.
+SLICE = 200_000
 #: Rounds of expectation-maximisation, at most; the largest change of a weight at which they end.
 ROUNDS, STILL = 20, 1e-3
 MAIN, DEV, NONE = 0, 1, 2
@@ -71,30 +73,45 @@ class Entries:
     """
 
     def __init__(self, stream: np.ndarray, words: np.ndarray, bits: int):
-        self.prev, self.cur = stream[:-1].astype(np.int64), stream[1:].astype(np.int64)
+        self.prev, self.cur = stream[:-1].astype(np.uint32), stream[1:].astype(np.uint32)
         n, low = len(words), lambda h: h ^ (h >> np.uint64(17))
-        keys2, self.two, n2 = np.unique(self.prev * n + self.cur, return_inverse=True, return_counts=True)
+        keys2, self.two, n2 = _distinct(self.prev.astype(np.int64) * n + self.cur)
         h2 = _scramble(words[keys2 // n] * _MIX + low(words[keys2 % n]))
-        self.inside = np.flatnonzero(self.prev)
-        keys3, self.three, n3 = np.unique(self.two[self.inside - 1] * n + self.cur[self.inside], return_inverse=True, return_counts=True)
+        inside = np.flatnonzero(self.prev)
+        keys3, three, n3 = _distinct(self.two[inside - 1].astype(np.int64) * n + self.cur[inside])
+        self.three = np.zeros(len(self.cur), np.uint32)
+        self.three[inside] = three
         h3 = _scramble(h2[keys3 // n] * _MIX3 + low(words[keys3 % n]))
-        kinds = [_scramble(words), h2, h3]
-        every = np.concatenate([(h >> np.uint64(64 - bits)) & ~np.uint64(3) | np.uint64(i) for i, h in enumerate(kinds)])
+        every = np.concatenate([(h >> np.uint64(64 - bits)) & ~np.uint64(3) | np.uint64(i) for i, h in enumerate((_scramble(words), h2, h3))])
+        del keys3, h2, h3, three, inside
         order = np.argsort(every, kind="stable")
         self.hashes, self.counts = every[order], np.concatenate([np.bincount(self.cur, minlength=n), n2, n3])[order]
-        place = np.empty(len(order), np.int64)
-        place[order] = np.arange(len(order))
+        place = np.empty(len(order), np.uint32)
+        place[order] = np.arange(len(order), dtype=np.uint32)
         self.places = np.split(place, [n, n + len(keys2)])
 
-    def of(self, counts: np.ndarray):
-        """Per token: counts of the word, its context, the bigram, its context and the trigram."""
+    def of(self, counts: np.ndarray, begin: int = 0, end: int | None = None):
+        """Per token from ``begin`` to ``end``: counts of the word, its context, the bigram, its context and the trigram."""
         one, two, three = (counts[p] for p in self.places)
-        word, before, pair = one[self.cur], one[self.prev], two[self.two]
+        end = len(self.cur) if end is None else end
+        word, before, pair = one[self.cur[begin:end]], one[self.prev[begin:end]], two[self.two[begin:end]]
         before2, triple = before.copy(), pair.copy()
-        before2[self.inside], triple[self.inside] = pair[self.inside - 1], three[self.three]
+        inside = np.flatnonzero(self.prev[begin:end])
+        before2[inside], triple[inside] = two[self.two[inside + begin - 1]], three[self.three[inside + begin]]
         return word, before, pair, before2, triple
 
 
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys in order, which of them each key is, and how often each occurs; in little memory."""
+    order = np.argsort(keys, kind="stable")
+    sorted_ = keys[order]
+    new = np.ones(len(keys), bool)
+    np.not_equal(sorted_[1:], sorted_[:-1], out=new[1:])
+    at, inverse = np.flatnonzero(new), np.empty(len(keys), np.uint32)
+    inverse[order] = np.cumsum(new, dtype=np.uint32) - np.uint32(1)
+    return sorted_[at], inverse, np.diff(at, append=len(keys))
+
+
 def _blocks(block_tokens: int):
     def run(batches):
         return _block_stream(batches, block_tokens)
@@ -334,17 +351,20 @@ def _scorer(weights: np.ndarray, n_train: int, vocab: int, bits: int):
         if not ids:
             return pd.DataFrame(columns=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
         main, dev = _assembled(answers)
-        counts = _block(blocks, bits).of((main + dev).astype(np.int64))
-        word, before, _, before2, _ = counts
-        bucket, f = _estimates(*counts, n_train)
-        lam = mixture(bucket, weights, before, before2) if n_train else np.array([[0.0, 0.0, 0.0, 1.0]])
-        p = (lam[:, :3] * f).sum(1) + lam[:, 3] / (vocab + 1)
-        base = np.log10((word + 0.1) / (n_train + 0.1 * (vocab + 1)))
-        ends = np.cumsum(sizes)
+        counts, own, ends = (main + dev).astype(np.int64), _block(blocks, bits), np.cumsum(sizes)
+        del main, dev
+        known, base, p = np.empty(ends[-1], np.int64), np.empty(ends[-1]), np.empty(ends[-1])
+        for a in range(0, len(p), SLICE):
+            b = min(a + SLICE, len(p))
+            word, before, pair, before2, triple = own.of(counts, a, b)
+            bucket, f = _estimates(word, before, pair, before2, triple, n_train)
+            lam = mixture(bucket, weights, before, before2) if n_train else np.array([[0.0, 0.0, 0.0, 1.0]])
+            p[a:b] = (lam[:, :3] * f).sum(1) + lam[:, 3] / (vocab + 1)
+            known[a:b], base[a:b] = word > 0, np.log10((word + 0.1) / (n_train + 0.1 * (vocab + 1)))
         starts = ends - np.array(sizes)
         per = lambda x: np.add.reduceat(x, starts)
         return pd.DataFrame({
-            "doc_id": pd.array(ids, "Int64"), "held_out": held, "n_tokens": np.array(sizes, np.int64), "n_known": per((word > 0).astype(np.int64)),
+            "doc_id": pd.array(ids, "Int64"), "held_out": held, "n_tokens": np.array(sizes, np.int64), "n_known": per(known),
             "train_tokens": np.int64(n_train), "base_score": per(base), "score": per(np.log10(p)),
         })
 

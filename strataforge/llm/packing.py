@@ -2,9 +2,11 @@
 
 Each document becomes token ids and a point: its hashed bag of tokens, projected to three dimensions. Points get a place
 on a Hilbert curve, documents are range-sorted by it, and pieces are cut along the curve, so a sequence holds documents
-that are alike. Ranges of the curve are cut where they hold about ``RANGE_TOKENS`` tokens, from a histogram of the curve
-of fixed size; a place of the curve that holds more is dealt out by document hash. So ranges are of one size, whatever
-the number of copies, and depend on the documents only, not on the cluster: packing again packs alike.
+that are alike. Ranges of the curve are cut where they hold about ``RANGE_TOKENS`` tokens, from a histogram of
+``2 ** FINE`` cells of the curve, whose prefix sums are taken in groups; a cell that holds more than a range by itself (one
+text a million times, or a corpus beyond a trillion tokens) is dealt out by a hash of id, content and row. So ranges are
+of about one size, whatever the number of copies, and follow the table as it is read, not the cluster's partitions of a
+shuffle. What is broadcast is where a new range begins, ``2 ** FINE`` entries at most, whatever the number of documents.
 
 In a range all sequences are full but the last ones: what is left is cut into powers of two, which need no padding.
 """
@@ -21,14 +23,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
 
 LENGTH, END, VOCABULARY = 2048, 1, "word_bpe_49k.json"
-#: Tokens of a range, about; buckets of the hashed vector; bits of each of the three dimensions; histogram cells.
-RANGE_TOKENS, HASHED, BITS, CELLS = 1_500_000, 256, 10, 1 << 14
+#: Tokens of a range, about; buckets of the hashed vector; bits of each of the three dimensions.
+RANGE_TOKENS, HASHED, BITS = 1_500_000, 256, 10
+#: Leading bits of a place on the curve that number a cell of the histogram, a row of the broadcast, a group of prefix sums.
+FINE, COARSE, GROUP = 20, 14, 10
 #: Words whose ids a task remembers.
 REMEMBERED = 400_000
 _ENCODERS: dict[str, Encoder] = {}
@@ -38,6 +42,11 @@ _ENCODERS: dict[str, Encoder] = {}
 _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _AS_CHARACTERS = {b: b for b in _PRINTABLE} | {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
 _STOPS = re.compile(rb"([.,])(?=[ \n])(?<=[a-z].)")
+#: Texts on which words apart and whole texts must give the same ids, or else whole texts are encoded.
+_PROBES = (
+    "The valve. the Valve, THE valve.\nthe", "a b  c\td", " x", "x ", "1,000.5 12 a1b. 3", "don't 'S we'll I'D", "ÉTUDE\xa0İx\u2028ΣΣ e\u0301 \x1cy Ǆ 漢字 ไทย",
+    "word." * 9 + " hyphen-ated (and) [so] on... ??", "<|x|> Ab.b", "unbelievably " * 5 + "internationalisation", "a,b ,c . d", "Straße straße naïve 🙂 🙂🙂",
+)
 
 
 def _units(text: str) -> list[bytes]:
@@ -50,7 +59,10 @@ def _units(text: str) -> list[bytes]:
 
 
 class Encoder:
-    """Ids of whole texts. No token of this vocabulary crosses white space, so words are encoded once and remembered."""
+    """Ids of whole texts. Where no token of a vocabulary crosses white space, words are encoded once and remembered.
+
+    Another vocabulary, one that gives other ids for the probes so, encodes whole texts.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -63,9 +75,19 @@ class Encoder:
         rng = np.random.default_rng(29)
         self.axes = rng.normal(0, 1, (HASHED, 3)).astype(np.float32)
         self.slot = rng.integers(0, HASHED, 1 << 17)
+        probes = [*_PROBES, " ".join(_PROBES), *(f"A{t.content} b{t.content}." for t in self.tokenizer.get_added_tokens_decoder().values())]
+        self.whole = any(not np.array_equal(a, b) for a, b in zip(self._by_words(probes), self._by_texts(probes), strict=True))
+        self._forget()
 
     def encode(self, texts) -> list[np.ndarray]:
         """Ids of each text and the end id."""
+        return self._by_texts(texts) if self.whole else self._by_words(texts)
+
+    def _by_texts(self, texts) -> list[np.ndarray]:
+        clean = [(t or "").encode("utf-8", "replace").decode("utf-8") for t in texts]
+        return [np.array([*e.ids, END], np.uint32) for e in self.tokenizer.encode_batch(clean, add_special_tokens=False)]
+
+    def _by_words(self, texts) -> list[np.ndarray]:
         if len(self.place) > REMEMBERED:
             self._forget_rare()
         words = [np.fromiter(map(self.place.__getitem__, _units(t) if t else ()), np.int64) for t in texts]
@@ -119,7 +141,7 @@ class Encoder:
 
     def point(self, ids: np.ndarray) -> np.ndarray:
         """Three numbers in 0 .. 2 ** BITS - 1: the projected hashed vector of a document."""
-        bag = np.bincount(self.slot[ids], minlength=HASHED).astype(np.float32)
+        bag = np.bincount(self.slot[ids & (len(self.slot) - 1)], minlength=HASHED).astype(np.float32)
         bag = np.sqrt(bag)
         x = bag @ self.axes / max(float(np.linalg.norm(bag)), 1e-9)
         # the projections of a unit vector on normal axes lie about 0 with deviation 1
@@ -190,14 +212,14 @@ def _tokenise(path: str | None):
             for part in common.slices(b["text"]):
                 ids = enc.encode(b["text"].iloc[part])
                 keys = hilbert(np.array([enc.point(i) for i in ids]).reshape(-1, 3))
-                yield pd.DataFrame({"doc_id": b["doc_id"].iloc[part].astype("Int64").array, "n": [len(i) for i in ids], "key": keys, "crc": [zlib.crc32(i.tobytes()) for i in ids], "ids": [i.astype("<u2" if i.max() < 1 << 16 else "<u4").tobytes() for i in ids]})
+                yield pd.DataFrame({"doc_id": b["doc_id"].iloc[part].astype("Int64").array, "n": [len(i) for i in ids], "key": keys, "crc": [zlib.crc32(i.tobytes()) for i in ids], "row": [common.next_name() for _ in ids], "ids": [i.astype("<u2" if i.max() < 1 << 16 else "<u4").tobytes() for i in ids]})
 
     return run
 
 
 def _pack(size: int):
     def pack(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["key", "doc_id", "crc"], kind="stable", na_position="last")
+        frame = frame.sort_values(["key", "doc_id", "crc", "row"], kind="stable", na_position="last")
         counts, rng = frame["n"].tolist(), int(frame["range"].iloc[0])
         ids = [np.frombuffer(x, "<u2" if len(x) == 2 * n else "<u4") for x, n in zip(frame["ids"], counts, strict=True)]
         pieces = cuts(counts, size)
@@ -212,6 +234,26 @@ def _pack(size: int):
     return pack
 
 
+def _ranges(table: DataFrame) -> DataFrame:
+    """(coarse, steps): for each coarse cell the fine cells at which another range begins, its number, and over how many
+    ranges from there on the cell is dealt. Tokens are counted along the curve; a range begins at each multiple of
+    ``RANGE_TOKENS``, and a fine cell lies in the range in which it begins."""
+    spark, up = table.sparkSession, lambda c, bits: F.shiftright(c, FINE - bits)
+    held = common.materialise(table.groupBy(F.shiftright("key", 3 * BITS - FINE).alias("cell")).agg(F.sum("n").alias("t")), "packing-cells")
+    groups = sorted(held.groupBy(up("cell", GROUP).alias("g")).agg(F.sum("t").alias("t")).collect())  # 2 ** GROUP rows at most
+    above = itertools.accumulate((r.t for r in groups), initial=0)
+    before = spark.createDataFrame([(r.g, a) for r, a in zip(groups, above)], "g long, above long")
+    along = Window.partitionBy("g").orderBy("cell")
+    at = F.col("above") + F.sum("t").over(along.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("t")
+    cells = held.withColumn("g", up("cell", GROUP)).join(F.broadcast(before), "g").select(
+        "g", "cell", up("cell", COARSE).alias("coarse"), F.floor(at / RANGE_TOKENS).alias("first"), F.ceil(F.col("t") / RANGE_TOKENS).alias("many")
+    )
+    last = lambda c: F.lag(c).over(along)
+    same = (last("coarse") == F.col("coarse")) & (last("first") == F.col("first")) & (last("many") == 1) & (F.col("many") == 1)
+    steps = cells.withColumn("same", F.coalesce(same, F.lit(False))).where(~F.col("same"))
+    return steps.groupBy("coarse").agg(F.array_sort(F.collect_list(F.struct("cell", "first", "many"))).alias("steps"))
+
+
 def pack_documents(docs: DataFrame, size: int = LENGTH, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset of every piece.
 
@@ -221,28 +263,12 @@ def pack_documents(docs: DataFrame, size: int = LENGTH, tokenizer: str | None =
     """
     if size < 1 or size & (size - 1):
         raise ValueError("size must be a power of two")
-    spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    table = common.materialise(rows.mapInPandas(_tokenise(tokenizer), "doc_id long, n long, key long, crc long, ids binary"), "packing", compression="zstd")
-    # the curve in CELLS cells: at most CELLS rows, whatever the number of documents
-    cell = F.shiftright("key", 3 * BITS - (CELLS.bit_length() - 1))
-    held = table.groupBy(cell.alias("cell")).agg(F.sum("n").alias("t")).collect()
-    ranges, at, filled = [], 0, 0
-    for c, t in sorted((r.cell, r.t) for r in held):
-        if t > RANGE_TOKENS:  # ranges of its own, by document hash
-            at += filled > 0
-            many = -(-t // RANGE_TOKENS)
-            ranges.append((c, at, many))
-            at, filled = at + many, 0
-        else:
-            if filled and filled + t > RANGE_TOKENS:
-                at, filled = at + 1, 0
-            ranges.append((c, at, 1))
-            filled += t
-    plan = spark.createDataFrame(ranges, "c long, first long, many int")
-    dealt = table.join(F.broadcast(plan), cell == F.col("c")).select(
-        "doc_id", "n", "key", "crc", "ids", (F.col("first") + F.pmod(F.xxhash64("doc_id", "crc"), F.col("many"))).alias("range")
-    )
+    table = common.materialise(rows.mapInPandas(_tokenise(tokenizer), "doc_id long, n long, key long, crc long, row long, ids binary"), "packing", compression="zstd")
+    cell = F.shiftright("key", 3 * BITS - FINE)
+    step = F.element_at(F.filter("steps", lambda s: s["cell"] <= cell), -1)
+    dealt = table.join(F.broadcast(_ranges(table)), F.shiftright("key", 3 * BITS - COARSE) == F.col("coarse")).withColumn("step", step)
+    dealt = dealt.select("doc_id", "n", "key", "crc", "row", "ids", (F.col("step.first") + F.pmod(F.xxhash64("doc_id", "crc", "row"), F.col("step.many"))).alias("range"))
     return dealt.groupBy("range").applyInPandas(_pack(size), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
 

@@ -473,8 +473,8 @@ def test_cuts(counts):
     assert all(k & (k - 1) == 0 and k <= 16 for k in sums.values())
 
 
-@pytest.mark.parametrize("tokens", [1_500_000, 4_000])
-def test_packing_round_trip(spark, monkeypatch, tokens):
+@pytest.mark.parametrize(("tokens", "vocabulary"), [(1_500_000, "word_bpe_49k.json"), (4_000, "word_bpe_49k.json"), (20_000, "byte_bpe_50k.json")])
+def test_packing_round_trip(spark, monkeypatch, tokens, vocabulary):
     import public_tokenizers
     from tokenizers import Tokenizer
 
@@ -482,8 +482,10 @@ def test_packing_round_trip(spark, monkeypatch, tokens):
     docs = table(spark, "documents")
     texts = [*docs.text, "<|endoftext|> A<|startoftext|>b", "<|ENDOFTEXT|>", "ÉTUDE İx don't... 'S a.,b. C, d", None, "ΣΣ ᾈ Ǆ \xa0 x\x1cy"]
     ids = list(range(len(texts)))
-    got = packing.pack_documents(spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string")).toPandas()
-    tokenizer = Tokenizer.from_file(public_tokenizers.path(packing.VOCABULARY))
+    path = public_tokenizers.path(vocabulary)
+    got = packing.pack_documents(spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string"), tokenizer=path).toPandas()
+    tokenizer = Tokenizer.from_file(path)
+    assert packing.encoder(path).whole == (vocabulary != packing.VOCABULARY)
     for d, t in zip(ids, texts):
         want = np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 1], "<u4")
         own = got[got.doc_id == d].sort_values("start")
@@ -496,6 +498,18 @@ def test_packing_round_trip(spark, monkeypatch, tokens):
     assert (ordered.groupby("sequence_id").length.cumsum() - ordered.length == ordered.offset).all()
 
 
+def test_packing_ranges_are_of_about_one_size(spark, monkeypatch):
+    monkeypatch.setattr(packing, "RANGE_TOKENS", 3_000)
+    texts = [*table(spark, "documents").text, *["the same text over and over again"] * 2_000]
+    got = packing.pack_documents(spark.createDataFrame([(None, t) for t in texts], "doc_id long, text string")).toPandas()
+    longest = got.doc_tokens.max()
+    assert got[got.start == 0].shape[0] == len(texts) and got.length.sum() == got[got.start == 0].doc_tokens.sum()
+    sizes = got.groupby(got.sequence_id // 2**32).length.sum()
+    assert sizes.max() <= 3 * 3_000 + 2 * longest and len(sizes) > 6
+    ranges = {k for k, g in got.groupby(got.sequence_id // 2**32) if (g.doc_tokens == got.doc_tokens.mode()[0]).any()}
+    assert len(ranges) >= 5  # copies without an id are dealt over several ranges
+
+
 def test_html(spark):
     net = html_extraction.labeller()
     test = html_extraction.training_set(60, 4711)

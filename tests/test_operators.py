@@ -1,3 +1,4 @@
+import random
 import sqlite3
 
 from hypothesis import given, settings
@@ -96,3 +97,16 @@ def test_keys():
             raise AssertionError(bad)
         except ValueError:
             pass
+
+
+def test_semantic_batch_equals_single_queries(spark):
+    rng = random.Random(4)
+    rows = [(i, [rng.choice([-1.0, 0.0, 0.5, 1.0]) for _ in range(3 if i % 9 else 2)]) for i in range(300)]
+    rows += [(300, None), (301, [0.0, 0.0, 0.0]), (302, [1.0, None, 0.0]), (303, [1e-3, 0.0, 0.0]), (304, [1e200, 1e200, 0.0])]
+    vectors = spark.createDataFrame(rows, "id long, embedding array<double>")
+    asked = [(7, [1.0, 0.5, 0.0]), (8, [0.0, 0.0, 0.0]), (9, [0.5, -1.0]), (10, None)]
+    got = search.semantic_batch(vectors, spark.createDataFrame(asked, "query_id long, query array<double>"), 6, "id").collect()
+    assert {r.query_id for r in got} == {7, 9}
+    for q, v in (asked[0], asked[2]):
+        want = search.semantic_search(vectors.where(F.size("embedding") == len(v)), v, 6, "id").collect()
+        assert [r.id for r in sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)] == [r.id for r in want]

@@ -253,18 +253,27 @@ def train(docs: list[tuple[str, str]], rate: float = 0.08, decay: float = 1e-4,
     chains = spliced(texts, rng)
     lists = [word_features(w) for w in vocab]
     sizes = np.array([len(x) for x in lists])
-    flat, of = np.concatenate([np.array(x) for x in lists]), np.repeat(np.arange(len(lists)), sizes)
+    flat = np.concatenate([np.array(x, np.int32) for x in lists])
+    del lists, texts, counts
     lex = np.array([lexicon.get(w, -1) for w in vocab])
     used, flat = np.unique(flat, return_inverse=True)  # the features that occur
+    flat = flat.astype(np.int32)
     params = [np.zeros((len(used), k)), np.zeros((len(classes), k)), np.zeros((k, k)), np.zeros(k)]
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
     starts = np.cumsum(sizes) - sizes
     many = max(1, min(len(chains), sum(len(w) for w, _ in chains) // STEP))
-    parts = [[(np.array(w), np.array(y)) for w, y in chains[i::many]] for i in range(many)]
+    parts = []
+    for i in range(many):  # the words of a part are numbered in it; only they are worked on in its steps
+        here = np.unique(np.concatenate([np.array(w, np.int32) for w, _ in chains[i::many]]))
+        parts.append((here, [(np.searchsorted(here, w).astype(np.int32), np.array(y, np.int32)) for w, y in chains[i::many]]))
+    del chains
     for t in range(1, max(STEPS, 2 * many) + 1):
-        emit = np.add.reduceat(params[0][flat], starts) + np.where(lex[:, None] >= 0, params[1][lex], 0)
-        per_word, trans, begins, n = np.zeros((len(lists), k)), np.zeros((k, k)), np.zeros(k), 0
-        part = parts[t % len(parts)]
+        here, part = parts[t % len(parts)]
+        ends, known = np.cumsum(sizes[here]), lex[here]
+        of = np.repeat(np.arange(len(here)), sizes[here])
+        features = flat[np.arange(ends[-1]) + (starts[here] - ends + sizes[here])[of]]
+        emit = np.add.reduceat(params[0][features], ends - sizes[here]) + np.where(known[:, None] >= 0, params[1][known], 0)
+        per_word, trans, begins, n = np.zeros((len(here), k)), np.zeros((k, k)), np.zeros(k), 0
         for places, length in _groups(np.array([len(w) for w, _ in part]), k):
             words, _, place = _laid_out([part[i][0] for i in places], length)
             gold = _laid_out([part[i][1] for i in places], length)[0]
@@ -272,11 +281,11 @@ def train(docs: list[tuple[str, str]], rate: float = 0.08, decay: float = 1e-4,
             err, pair = forward_backward(np.where(mask[:, :, None], emit[words], 0), params[2], params[3], mask, place)
             r, c = np.nonzero(mask)
             err[r, c, gold[r, c]] -= 1
-            per_word += _sums(err[mask], words[mask], len(lists))
+            per_word += _sums(err[mask], words[mask], len(here))
             steps = [(part[i][1][:-1], part[i][1][1:]) for i in places]
             np.add.at(pair, (np.concatenate([x for x, _ in steps]), np.concatenate([x for _, x in steps])), -1)
             trans, begins, n = trans + pair, begins + err[place == 0, 0].sum(0), n + len(r)
-        grads = [_sums(per_word[of], flat, len(used)), _sums(per_word[lex >= 0], lex[lex >= 0], len(classes)), trans, begins]
+        grads = [_sums(per_word[of], features, len(used)), _sums(per_word[known >= 0], known[known >= 0], len(classes)), trans, begins]
         for p, g, (m, v) in zip(params, grads, moments, strict=True):
             g = g / n + decay * p / WIDTH
             m += 0.1 * (g - m)

@@ -90,9 +90,13 @@ class Entries:
         place[order] = np.arange(len(order), dtype=np.uint32)
         self.places = np.split(place, [n, n + len(keys2)])
 
-    def of(self, counts: np.ndarray, begin: int = 0, end: int | None = None):
+    def by_kind(self, counts: np.ndarray) -> list[np.ndarray]:
+        """Counts of the words, of the bigrams and of the trigrams, from those of all entries."""
+        return [counts[p] for p in self.places]
+
+    def of(self, counts: list[np.ndarray], begin: int = 0, end: int | None = None):
         """Per token from ``begin`` to ``end``: counts of the word, its context, the bigram, its context and the trigram."""
-        one, two, three = (counts[p] for p in self.places)
+        one, two, three = counts
         end = len(self.cur) if end is None else end
         word, before, pair = one[self.cur[begin:end]], one[self.prev[begin:end]], two[self.two[begin:end]]
         before2, triple = before.copy(), pair.copy()
@@ -103,7 +107,7 @@ class Entries:
 
 def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct keys in order, which of them each key is, and how often each occurs; in little memory."""
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     sorted_ = keys[order]
     new = np.ones(len(keys), bool)
     np.not_equal(sorted_[1:], sorted_[:-1], out=new[1:])
@@ -283,7 +287,8 @@ def _events(n_main: int, bits: int):
     def run(blocks: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         if not len(blocks):
             return pd.DataFrame({"data": []})
-        bucket, f = _estimates(*_block(blocks, bits).of(_assembled(answers)[0].astype(np.int64)), n_main)
+        own = _block(blocks, bits)
+        bucket, f = _estimates(*own.of(own.by_kind(_assembled(answers)[0].astype(np.int64))), n_main)
         order = np.lexsort((f[:, 2], f[:, 1], bucket))  # like ones together: smaller files
         return pd.DataFrame({"data": [pack(bucket[order], *(np.ascontiguousarray(f[order, i]).view(np.uint64) for i in range(3)))]})
 
@@ -351,7 +356,8 @@ def _scorer(weights: np.ndarray, n_train: int, vocab: int, bits: int):
         if not ids:
             return pd.DataFrame(columns=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
         main, dev = _assembled(answers)
-        counts, own, ends = (main + dev).astype(np.int64), _block(blocks, bits), np.cumsum(sizes)
+        own, ends = _block(blocks, bits), np.cumsum(sizes)
+        counts = own.by_kind((main + dev).astype(np.int64))
         del main, dev
         known, base, p = np.empty(ends[-1], np.int64), np.empty(ends[-1]), np.empty(ends[-1])
         for a in range(0, len(p), SLICE):

@@ -4,9 +4,10 @@ Vectors of one label are dealt out to shards by hash. Each shard builds a graph
 near and diverse neighbours. Each pair of shards of a label is searched once, the graph of the smaller number with the
 vectors of the other, and each shard with its own vectors; recall is audited in each search. Greedy descent goes through
 the upper layers, then a beam in the lowest. A vector whose beam is full of partners may have more and is compared with
-the whole shard. After each search a seeded sample is compared with brute force, all its partners counted; while its
-recall is short, the beam is doubled, up to the size of the shard, where it is exhaustive. Found pairs are verified by
-cosine in double precision, counted where they are found, and united to components.
+the whole shard. In each search probes, turned from vectors of the shard to the least cosine, and a seeded sample of the
+queries are compared with brute force, all their partners counted; while the recall of either is short, the beam is
+doubled, up to the size of the shard, where it is exhaustive. Found pairs are verified by cosine in double precision,
+counted where they are found, and united to components.
 
 Searches run in lockstep: all queries of a shard advance together on numpy arrays. Equal vectors are one vector with a
 multiplicity. A search returns a spanning forest and a count a vector, so a group of near copies costs rows in proportion
@@ -181,38 +182,61 @@ def _scan(exact: np.ndarray, queries: np.ndarray, rows: np.ndarray, least: float
         yield rows[at : at + 512][q], m
 
 
+def _probes(exact: np.ndarray, least: float) -> np.ndarray:
+    """A seeded sample of the vectors, each turned in a direction of chance until its cosine is just ``least``."""
+    rng = np.random.default_rng(len(exact))
+    x = exact[rng.permutation(len(exact))[:AUDIT]]
+    side = rng.normal(size=x.shape)
+    side -= np.einsum("kd,kd->k", side, x)[:, None] * x
+    side /= np.maximum(np.linalg.norm(side, axis=1, keepdims=True), 1e-300)
+    cosine = min(1.0, least + _SPARE)
+    return x * cosine + side * np.sqrt(1 - cosine**2)
+
+
+def _met(wanted: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Which of the wanted vectors (queries, vectors) the beams hold."""
+    held = np.zeros_like(wanted)
+    r, c = np.nonzero(ids >= 0)
+    held[r, ids[r, c]] = True
+    return wanted & held
+
+
 def near_pairs(graph: Graph, exact: np.ndarray, queries: np.ndarray, least: float, own: np.ndarray | None = None):
     """Blocks of pairs (query, member) with cosine >= least.
 
     A beam that is full of partners says that there are more: its query is compared with all vectors. The beam of the
-    other queries is widened until it holds RECALL of the audited ones' partners, and of the nearest vectors of those
-    without a partner.
+    other queries is widened until it holds RECALL of the audited ones' partners. Most vectors have no partner, so that a
+    sample may say little; probes with a partner of the least cosine are audited first, in each search. How near a vector
+    without partners is to others is not asked: in many dimensions its nearest ones are no nearer than the rest, and no
+    beam finds them.
     """
     n, count = len(exact), len(queries)
     sample = np.random.default_rng(count).permutation(count)[:AUDIT]
-    truth = queries[sample] @ exact.T
+    wanted = queries[sample] @ exact.T >= least
     if own is not None:
-        truth[np.arange(len(sample)), own[sample]] = -np.inf
-    wanted = truth >= least
-    lone = ~wanted.any(1)
-    wanted[lone, truth[lone].argmax(1)] = n > (own is not None)
+        wanted[np.arange(len(sample)), own[sample]] = False
+    probes = _probes(exact, least)
+    planted = probes @ exact.T >= least
     width = BEAM
-    while True:
-        if width >= n:
-            yield from _scan(exact, queries, np.arange(count), least)
-            return
+    while width < n:
+        ids, sims = graph.search(probes.astype(np.float32), width)
+        open_ = ~(sims >= least - _SPARE).all(1)
+        # a probe each counts alike, so that a crowd does not make up for the lone
+        share = _met(planted, ids).sum(1)[open_] / np.maximum(planted.sum(1)[open_], 1)
+        if share.sum() < RECALL * len(share):
+            width *= 2
+            continue
         parts = [graph.search(queries[at : at + 512].astype(np.float32), width, None if own is None else own[at : at + 512]) for at in range(0, count, 512)]
         ids, sims = (np.concatenate([p[i] for p in parts]) for i in range(2))
         near = (sims >= least - _SPARE) & (ids >= 0)
         full = near.all(1)
-        hit = np.zeros_like(wanted)
-        r, c = np.nonzero(ids[sample] >= 0)
-        hit[r, ids[sample][r, c]] = True
-        # queries with partners and lone ones are audited apart, so that neither makes up for the other
-        audited = [(wanted[x], hit[x]) for x in (~lone & ~full[sample], lone)]
-        if all((w & h).sum() >= RECALL * w.sum() for w, h in audited):
+        asked = wanted & ~full[sample, None]
+        if _met(asked, ids[sample]).sum() >= RECALL * asked.sum():
             break
         width *= 2
+    else:
+        yield from _scan(exact, queries, np.arange(count), least)
+        return
     q, c = np.nonzero(near & ~full[:, None])
     m = ids[q, c]
     keep = np.einsum("kd,kd->k", queries[q], exact[m]) >= least

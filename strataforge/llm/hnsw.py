@@ -316,8 +316,9 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, id_col: str = "vec_
     top = F.array_max(F.transform(x, F.abs))
     good = F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & (F.size(x) > 0) & F.forall(x, lambda y: y.isNotNull() & ~F.isnan(y) & (F.abs(y) < inf)) & (top > 0)
     good = F.coalesce(good, F.lit(False))
-    # scaled by the largest component, so that no square overflows or vanishes
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.when(good, F.xxhash64(F.col(label_col).cast("string"), F.size(x))).alias("grp"), F.when(good, F.transform(x, lambda y: y / top)).alias("v"))
+    # scaled by the largest component, so that no square overflows or vanishes; bound first, or it is sought for each component
+    scaled = F.transform(F.array(top), lambda t: F.transform(x, lambda y: y / t))[0]
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.when(good, F.xxhash64(F.col(label_col).cast("string"), F.size(x))).alias("grp"), F.when(good, scaled).alias("v"))
     rows = rows.withColumn("h", F.when(F.col("v").isNotNull(), F.xxhash64("v")))
     live = rows.where("v IS NOT NULL")
     # h names a vector within its label; 64 bits are taken as unequal

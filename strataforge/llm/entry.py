@@ -1,6 +1,6 @@
 """The queries of this subpackage, and their SQL where there is one."""
 
-from . import hnsw, html_extraction, language_id, lm_scoring, merkle, mixing, packing, repair, secrets, simhash, topk, toxicity
+from . import hnsw, html_extraction, language_id, lm_scoring, merkle, mixing, packing, repair, secrets, simhash, suffix_dedup, topk, toxicity
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_language_id": language_id.op8_language_id,
     "op9_packing": packing.op9_packing,
     "op10_html_extraction": html_extraction.op10_html_extraction,
+    "op11_suffix_dedup": suffix_dedup.op11_suffix_dedup,
     "op12_repair": repair.op12_repair,
     "op13_merkle": merkle.op13_merkle,
 }

@@ -527,3 +527,19 @@ def digests(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
 def op11_suffix_dedup(spark, sf_dir):
     return digests(common.table(spark, sf_dir, "documents"))
+
+
+#: Every window of every text; what lies between the runs of repeated ones is kept.
+OP11_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+w AS (SELECT rid, i, b[i:i + {LENGTH - 1}] AS s FROM (SELECT rid, b, unnest(range(1, octet_length(b) - {LENGTH - 2})) AS i FROM d)),
+twice AS (SELECT s FROM w GROUP BY s HAVING count(*) > 1),
+starts AS (SELECT rid, i, CASE WHEN i - lag(i) OVER (PARTITION BY rid ORDER BY i) <= {LENGTH} THEN 0 ELSE 1 END AS fresh FROM w SEMI JOIN twice USING (s)),
+numbered AS (SELECT rid, i, sum(fresh) OVER (PARTITION BY rid ORDER BY i) AS run FROM starts),
+runs AS (SELECT rid, run, min(i) AS first, max(i) + {LENGTH - 1} AS last FROM numbered GROUP BY rid, run),
+ends AS (SELECT rid, run, first, last, coalesce(lag(last) OVER (PARTITION BY rid ORDER BY run), 0) AS before FROM runs UNION ALL SELECT d.rid, 1000000000000, octet_length(b) + 1, NULL, coalesce(max(last), 0) FROM d LEFT JOIN runs USING (rid) GROUP BY d.rid, b),
+kept AS (SELECT rid, string_agg(hex(b[before + 1:first - 1]), '' ORDER BY run) AS bytes FROM ends JOIN d USING (rid) GROUP BY rid),
+gone AS (SELECT rid, sum(last - first + 1) AS n, count(*) AS spans FROM runs GROUP BY rid)
+SELECT doc_id, octet_length(b) AS n_bytes, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(bytes)) AS kept_sha256
+FROM d JOIN kept USING (rid) LEFT JOIN gone USING (rid)
+"""

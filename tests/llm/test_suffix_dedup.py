@@ -2,6 +2,7 @@ import hashlib
 import random
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 
@@ -114,3 +115,11 @@ def test_long_text(spark):
     df = spark.createDataFrame([(1, long, *"aaaa", 1, "b", 2), (2, f"before {passage} after", *"aaaa", 1, "b", 2)], DOCS)
     got = {r.doc_id: (r.n_removed, r.n_spans) for r in sd.digests(df).collect()}
     assert got == {1: (500, 1), 2: (500, 1)}
+
+
+def test_sql_says_the_same(spark):
+    db, sf = duckdb.connect(), "/root/testdata/sf0.001"
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    columns = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    want = sorted(map(str, db.execute(sd.OP11_SQL).df()[columns].itertuples(index=False, name=None)))
+    assert sorted(str(tuple(r)) for r in sd.op11_suffix_dedup(spark, sf).select(*columns).collect()) == want

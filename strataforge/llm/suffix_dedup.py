@@ -36,7 +36,7 @@ from . import common
 
 LENGTH = 200
 #: Bytes of text of one partition of anchors; bytes of contexts of one shard, and of one anchor at most.
-PART_BYTES, SHARD_BYTES, ANCHOR_BYTES = 64 << 20, 2 << 20, 8 << 20
+PART_BYTES, SHARD_BYTES, ANCHOR_BYTES = 64 << 20, 1 << 20, 8 << 20
 #: Windows of a long document that are hashed at once.
 _BLOCK = 1 << 19
 _PLACE = 20  # low bits of a hash that are given to the place in a block
@@ -152,16 +152,17 @@ class Collection:
         self.last = base[self.string] + phase + width * (self.count - 1)
         self.base = base
 
-    def _files(self, j: int) -> tuple[str, str]:
-        return f"{self.folder}/bwt-{j % 2}", f"{self.folder}/lcp-{j % 2}"
+    def _file(self, j: int, name: str, mode: str):
+        return open(f"{self.folder}/{name}-{j % 2}", mode)
 
-    def _write(self, j: int, bwt: np.ndarray, lcp: np.ndarray) -> None:
-        for array, path in zip((bwt, lcp), self._files(j), strict=True):
-            array.tofile(path)
+    def _write(self, j: int, **arrays: np.ndarray) -> None:
+        for name, array in arrays.items():
+            with self._file(j, name, "r+b" if j > 1 else "wb") as f:  # a file grows, its pages are written again
+                f.write(array.data)
 
     def _read(self, j: int) -> tuple[np.ndarray, np.ndarray]:
-        bwt, lcp = self._files(j)
-        return np.fromfile(bwt, np.uint16), np.fromfile(lcp, np.uint16 if self.cap > 255 else np.uint8)
+        with self._file(j, "bwt", "rb") as bwt, self._file(j, "lcp", "rb") as lcp:
+            return np.fromfile(bwt, np.uint16), np.fromfile(lcp, np.uint16 if self.cap > 255 else np.uint8)
 
     def _common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Equal first bytes of two different symbols."""
@@ -183,7 +184,7 @@ class Collection:
         n = len(self.last)
         doc = pos = np.arange(n)
         small = np.uint16 if self.cap > 255 else np.uint8
-        self._write(0, self.codes[self.last], np.zeros(n, small))
+        self._write(0, bwt=self.codes[self.last], lcp=np.zeros(n, small))
         for j in range(int(self.count.max(initial=0))):
             bwt, lcp = self._read(j)
             order = np.argsort(bwt, kind="stable")
@@ -207,7 +208,7 @@ class Collection:
                 out[:n] = old[:n]
                 out[n:][~new], out[n:][place] = old[n:], fresh
             merged[1][n + at] = value
-            self._write(j + 1, *merged)
+            self._write(j + 1, bwt=merged[0], lcp=merged[1])
             on = self.count[doc] > j + 1
             doc, pos = doc[on], n + place[on]
         return self._read(int(self.count.max(initial=0)))

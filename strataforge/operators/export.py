@@ -7,9 +7,11 @@ import tempfile
 from pathlib import Path
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import numbering
+
 GENERATOR = "strataforge"
 
 _SCHEMA = """
@@ -43,7 +45,7 @@ def build_sqlite(documents: list[tuple], chunks: list[tuple], generated_at: str)
 
 def numbered_chunks(chunks: DataFrame, tenant: str, *order: str) -> DataFrame:
     """``chunks`` with the row id that they have in their tenant's export: 1, 2, ... in ``order``."""
-    return chunks.withColumn("row_id", F.row_number().over(Window.partitionBy(tenant).orderBy(*order)).cast("long"))
+    return numbering.numbered(chunks, [tenant], order, "row_id")
 
 
 def sqlite_files(documents: DataFrame, chunks: DataFrame, tenant: str, generated_at: str) -> DataFrame:

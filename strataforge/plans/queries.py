@@ -5,12 +5,12 @@ Documents stand for uploads: source is the tenant, ``source-doc_id.txt`` the fil
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import DEFAULTS
 from ..functions import text as T
-from ..operators import catalog, chunking, export, headers, search
+from ..operators import ann, catalog, chunking, export, fulltext, headers, numbering, search
 
 KEYWORD, MULTI, DUPLICATE, BLANK, WILD = "threat", "the and threat tion zzz", "the the zzz", " ", "e%%% _a"
 BATCH = ("threat", "the and that", "de la que", "und der die das", "a", "% of", "tion ing zzz qqq")
@@ -112,9 +112,7 @@ def tenant_dashboard(spark, sf):
 
 
 def document_list_desc(spark, sf):
-    rows = _docs(spark, sf)
-    rank = F.row_number().over(Window.partitionBy("source").orderBy(F.desc("doc_id")))
-    return rows.select("source", "doc_id", "filename", rank.cast("long").alias("position"), F.count("*").over(Window.partitionBy("source")).alias("total"))
+    return numbering.numbered(_docs(spark, sf).select("source", "doc_id", "filename"), ["source"], [F.desc("doc_id")], "position", "total")
 
 
 def document_status(spark, sf):
@@ -127,10 +125,8 @@ def document_status(spark, sf):
 
 
 def keyword_phrase_benchmark(spark, sf):
-    if _t(spark, sf, "benchmark").limit(search.BATCH + 1).count() > search.BATCH:
-        raise ValueError("too many benchmark passages for one batch")
     phrases = _t(spark, sf, "benchmark").select("item_id", F.lower(T.strip(F.col("text"))).alias("phrase"))
-    return _docs(spark, sf).join(F.broadcast(phrases), F.lower("text").contains(F.col("phrase"))).select("item_id", "doc_id", F.lit(1.0).alias("score"))
+    return search.phrase_hits(_docs(spark, sf).select("doc_id", "text"), phrases, "item_id", "phrase", "text").select("item_id", "doc_id", F.lit(1.0).alias("score"))
 
 
 def keyword_batch_topk(spark, sf):
@@ -166,6 +162,13 @@ def semantic_batch_topk(spark, sf):
     return search.semantic_batch(rows, queries, 5, "vec_id").select("query_id", "rank", "vec_id", "score")
 
 
+def semantic_ann_topk(spark, sf):
+    """Approximate: an index of all rows, asked by every hundredth; recall is that of the audit."""
+    rows = _t(spark, sf, "embeddings")
+    queries = rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    return ann.nearest(ann.build(rows, "vec_id"), queries, 5).withColumnRenamed("key", "vec_id")
+
+
 def semantic_skip_null(spark, sf):
     rows = _t(spark, sf, "embeddings").withColumn("embedding", F.when(F.col("vec_id") % 3 != 1, F.col("embedding")))
     found = search.semantic_search(rows, _query_vector(spark, sf), 10, "vec_id")
@@ -173,28 +176,34 @@ def semantic_skip_null(spark, sf):
 
 
 def fts_tokens(spark, sf):
-    words = search.tokens(F.col("text"))
+    words = fulltext.tokens(F.col("text"))
     return _docs(spark, sf).select("doc_id", F.size(words).cast("long").alias("n_tokens"), F.size(F.array_distinct(words)).cast("long").alias("n_distinct"))
 
 
 def fts_postings(spark, sf):
-    index = search.postings(_docs(spark, sf), "doc_id", content="text")
+    index = _docs(spark, sf).select("doc_id", F.posexplode(fulltext.tokens(F.col("text"))).alias("pos", "token"))
     return index.groupBy("token").agg(F.count("*").alias("occurrences"), F.countDistinct("doc_id").alias("documents"), F.min("pos").cast("long").alias("first_pos"))
 
 
 def fts_phrase(spark, sf):
-    words = search.tokens(F.col("text"))
-    found = _docs(spark, sf).select("doc_id", search.phrase_frequency(words, PHRASES[0]).cast("long").alias("frequency"))
-    return found.where("frequency > 0")
+    return fulltext.build(_docs(spark, sf), ["doc_id"], "text").holding(PHRASES[0])
 
 
 def fts_bm25_topk(spark, sf):
-    found = search.bm25(_docs(spark, sf).select("doc_id", "text"), PHRASES, 20, "doc_id", content="text")
-    return found.select("doc_id", F.round("rank", 6).alias("rank"))
+    return fulltext.build(_docs(spark, sf), ["doc_id"], "text").bm25(PHRASES, 20).select("doc_id", F.round("rank", 6).alias("rank"))
+
+
+def fts_bm25_deleted(spark, sf):
+    """The same after every third document has been deleted from the index."""
+    docs = _docs(spark, sf)
+    index = fulltext.build(docs, ["doc_id"], "text")
+    index.delete(docs.where("doc_id % 3 = 1"))
+    return index.bm25(PHRASES, 20).select("doc_id", F.round("rank", 6).alias("rank"))
 
 
-_ACCENT_SQL = f"translate(lower(text), {_q(search._ACCENTS[0])}, {_q(search._ACCENTS[1])})"
-_WORDS_SQL = f"SELECT doc_id, list_filter(string_split_regex({_ACCENT_SQL}, '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '') AS w FROM documents"
+#: DuckDB's own folding, which shares no table with ours.
+_FOLD_SQL = "strip_accents(lower(text))"
+_WORDS_SQL = f"SELECT doc_id, list_filter(string_split_regex({_FOLD_SQL}, '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '') AS w FROM documents"
 
 
 def _freq_sql(phrase) -> str:
@@ -203,12 +212,12 @@ def _freq_sql(phrase) -> str:
     return f"len(list_filter(range(1, len(w) + 1), lambda i: w[i:i + {n - 1}] = {want}))"
 
 
-def _bm25_sql() -> str:
+def _bm25_sql(where_docs: str = "true") -> str:
     f = ", ".join(f"CAST({_freq_sql(p)} AS DOUBLE) AS f{i}" for i, p in enumerate(PHRASES))
     d = ", ".join(f"count(*) FILTER (f{i} > 0) AS d{i}" for i in range(len(PHRASES)))
     term = " + ".join(f"(CASE WHEN 2 * d{i} < n THEN ln((n - d{i} + 0.5) / (d{i} + 0.5)) ELSE 1e-6 END) * f{i} * 2.2 / (f{i} + 1.2 * (0.25 + 0.75 * size / a))" for i in range(len(PHRASES)))
     where = " AND ".join(f"f{i} > 0" for i in range(len(PHRASES)))
-    return f"WITH t AS ({_WORDS_SQL}), f AS (SELECT doc_id, len(w) AS size, {f} FROM t), g AS (SELECT count(*) AS n, avg(size) AS a, {d} FROM f), r AS (SELECT doc_id, -({term}) AS v FROM f, g WHERE {where}) SELECT doc_id, round(v, 6) AS rank FROM r ORDER BY v, doc_id LIMIT 20"
+    return f"WITH t AS ({_WORDS_SQL} WHERE {where_docs}), f AS (SELECT doc_id, len(w) AS size, {f} FROM t), g AS (SELECT count(*) AS n, avg(size) AS a, {d} FROM f), r AS (SELECT doc_id, -({term}) AS v FROM f, g WHERE {where}) SELECT doc_id, round(v, 6) AS rank FROM r ORDER BY v, doc_id LIMIT 20"
 
 
 # ------------------------------------------------------------ text
@@ -339,8 +348,7 @@ def sqlite_export_bytes(spark, sf):
 
 def fts_export_join(spark, sf):
     """What a user's lookup in the exported file gives: index, chunks and documents joined."""
-    words = search.tokens(F.col("content"))
-    hits = _chunks(spark, sf).where(search.phrase_frequency(words, PHRASES[0]) > 0).select("doc_id", "chunk_index")
+    hits = fulltext.build(_chunks(spark, sf), ["doc_id", "chunk_index"]).holding(PHRASES[0])
     return hits.join(_docs(spark, sf).select("doc_id", "filename"), "doc_id").select("filename", "doc_id", "chunk_index")
 
 
@@ -397,8 +405,8 @@ _PAIRED = _KEYWORDS | _SEMANTICS | _LINES
 QUERIES = {k: run for k, (run, _) in _PAIRED.items()} | {
     f.__name__: f
     for f in (
-        chunk_documents, chunk_counts_by_doc, tenant_dashboard, document_list_desc, document_status, keyword_phrase_benchmark, keyword_batch_topk, semantic_batch_topk, semantic_skip_null,
-        fts_tokens, fts_postings, fts_phrase, fts_bm25_topk, fts_export_join, text_dehyphenate, text_table_rows, text_blank_collapse, text_line_fingerprints, page_markers, header_footer_removed,
+        chunk_documents, chunk_counts_by_doc, tenant_dashboard, document_list_desc, document_status, keyword_phrase_benchmark, keyword_batch_topk, semantic_batch_topk, semantic_ann_topk, semantic_skip_null,
+        fts_tokens, fts_postings, fts_phrase, fts_bm25_topk, fts_bm25_deleted, fts_export_join, text_dehyphenate, text_table_rows, text_blank_collapse, text_line_fingerprints, page_markers, header_footer_removed,
         file_type_gate, output_formats_canonical, export_stems, markdown_render, markdown_bundle, markdown_missing, sqlite_export_rows, sqlite_export_bytes, delete_cascade, api_key_hashes, auth_lookup, slug_conflicts,
     )
 }
@@ -419,7 +427,8 @@ ORACLES = {k: sql for k, (_, sql) in _PAIRED.items()} | {
     "fts_postings": f"SELECT token, count(*) AS occurrences, count(DISTINCT doc_id) AS documents, CAST(min(pos) AS BIGINT) AS first_pos FROM (SELECT doc_id, unnest(w) AS token, unnest(range(0, len(w))) AS pos FROM ({_WORDS_SQL})) GROUP BY token",
     "fts_phrase": f"SELECT doc_id, frequency FROM (SELECT doc_id, {_freq_sql(PHRASES[0])} AS frequency FROM ({_WORDS_SQL})) WHERE frequency > 0",
     "fts_bm25_topk": _bm25_sql(),
-    "fts_export_join": f"{_CHUNKS_SQL}, t AS (SELECT doc_id, chunk_index, list_filter(string_split_regex({_ACCENT_SQL.replace('text', 'content')}, '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '') AS w FROM chunks) SELECT filename, t.doc_id, chunk_index FROM t JOIN ({_DOCS_SQL}) d ON t.doc_id = d.doc_id WHERE {_freq_sql(PHRASES[0])} > 0",
+    "fts_bm25_deleted": _bm25_sql("doc_id % 3 <> 1"),
+    "fts_export_join": f"{_CHUNKS_SQL}, t AS (SELECT doc_id, chunk_index, list_filter(string_split_regex({_FOLD_SQL.replace('text', 'content')}, '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '') AS w FROM chunks) SELECT filename, t.doc_id, chunk_index FROM t JOIN ({_DOCS_SQL}) d ON t.doc_id = d.doc_id WHERE {_freq_sql(PHRASES[0])} > 0",
     "text_dehyphenate": "SELECT doc_id, regexp_replace(replace(text, 'ti', 't-' || chr(10) || 'i'), '([\\p{L}\\p{N}_])-\\n([\\p{L}\\p{N}_])', '\\1\\2', 'g') AS text FROM documents",
     "text_table_rows": f"SELECT doc_id, array_to_string(list_transform(string_split(replace(replace(text, ', ', ',      '), '. ', '.  '), chr(10)), lambda l: CASE WHEN regexp_matches(l, '\\S\\s{{4,}}\\S') THEN regexp_replace(trim(l, {_WHITE_SQL}), '\\s{{3,}}', ' | ', 'g') ELSE regexp_replace(l, ' {{2,}}', ' ', 'g') END), chr(10)) AS text FROM documents",
     "text_blank_collapse": f"SELECT doc_id, trim(regexp_replace(' ' || chr(10) || replace(text, chr(10), repeat(chr(10), 5)) || chr(10) || ' ', '\\n{{4,}}', chr(10) || chr(10) || chr(10), 'g'), {_WHITE_SQL}) AS text FROM documents",

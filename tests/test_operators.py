@@ -5,7 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from strataforge.operators import catalog, chunking, export, headers, search
+from strataforge.operators import catalog, chunking, export, headers, numbering, search
 
 
 @settings(max_examples=300, deadline=None)
@@ -46,22 +46,56 @@ def test_keyword_search_ranks_all_candidates(spark):
     assert [(r.query_id, r.id, r.score) for r in got] == [(0, 900, 1.0), (0, 0, 0.495), (1, 0, 1.0), (1, 1, 1.0)]
 
 
+def test_many_queries_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(search, "BATCH", 7)
+    rng = random.Random(6)
+    words = ["pump", "pumps", "um", "a", "the valve", "valve", "É", "x.y", "", "p_1", "%"]
+    rows = [(i, " ".join(rng.choices([*words, "PUMP", "seal", "é"], k=rng.randint(0, 6))), "l", "h", 1) for i in range(80)] + [(80, None, "l", "h", 1)]
+    df = spark.createDataFrame(rows, "id long, content string, low string, hit string, terms int")
+    queries = [" ".join(rng.choices(words, k=rng.randint(1, 3))) for _ in range(25)] + [" ", "pump pump zz"]
+    got = {}
+    for r in search.keyword_batch(df, queries, 4, "id").collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.id, r.score))
+    for i, q in enumerate(queries):
+        want = search.keyword_search(df.where("content IS NOT NULL"), q, 4, "id").collect()
+        assert sorted(got.get(i, [])) == [(n, r.id, r.score) for n, r in enumerate(want, 1)], q
+    phrases = spark.createDataFrame([(i, q.strip().lower()) for i, q in enumerate(queries)] + [(99, None), (None, "pump")], "item long, phrase string")
+    hits = sorted((str(r.item), r.id) for r in search.phrase_hits(df, phrases, "item", "phrase", "content").collect())
+    assert hits == sorted((str(p.item), i) for p in phrases.collect() if p.phrase is not None for i, t, *_ in rows if t is not None and p.phrase in t.lower())
+    assert search.phrase_hits(df, phrases.limit(0), "item", "phrase", "content").count() == 0
+
+
+def test_vector_queries_in_blocks(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, [float(i % 7 + 1), float(i % 5), 1.0], 0, 0) for i in range(90)], "id long, embedding array<double>, distance int, place int").drop("distance")
+    asked = rows.where("id % 3 = 0").selectExpr("id AS query_id", "embedding AS query")
+    one = sorted(map(str, search.semantic_batch(rows, asked, 4, "id").select("query_id", "rank", "id").collect()))
+    monkeypatch.setattr(search, "BATCH", 8)
+    assert sorted(map(str, search.semantic_batch(rows, asked, 4, "id").select("query_id", "rank", "id").collect())) == one and len(one) == 120
+
+
+def test_numbers_within_groups(spark, monkeypatch):
+    monkeypatch.setattr(numbering, "ROWS", 50)
+    rng = random.Random(2)
+    rows = [(rng.choice(["a", "b", None]) if i % 3 else "hot", rng.choice([None, *range(20)]), i, 1, 2) for i in range(700)]
+    df = spark.createDataFrame(rows, "g string, o long, id long, at int, part int").repartition(5)
+    got = numbering.numbered(df, ["g"], ["o", "id"], "number", "total").collect()
+    by = {}
+    for r in sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, r[2])):
+        by.setdefault(r[0], []).append(r[2])
+    assert {(r.g, r.id): (r.number, r.total) for r in got} == {(g, i): (n, len(own)) for g, own in by.items() for n, i in enumerate(own, 1)}
+    assert numbering.numbered(df.limit(0), ["g"], ["o"], "number").count() == 0
+    # equal rows are numbered too, in any order, and lie in several ranges
+    same = spark.range(0, 400, 1, 4).selectExpr("1 AS g", "1 AS o")
+    assert sorted(r.n for r in numbering.numbered(same, ["g"], ["o"], "n").collect()) == list(range(1, 401))
+    assert numbering.ranged(same, "g", "o", name="k").selectExpr("shiftright(k, 33) AS p").groupBy("p").count().selectExpr("max(count)").first()[0] < 200
+    assert [r.n for r in numbering.numbered(df, [], [F.desc("id")], "n").orderBy("n").limit(2).collect()] == [1, 2]
+
+
 def test_semantic_search(spark):
     rows = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, None), (4, [2.0, 0.0]), (5, [-1.0, 0.0])], "id long, embedding array<float>")
     assert [(r.id, r.score) for r in search.semantic_search(rows, [1.0, 0.0], 9, "id").collect()] == [(1, 1.0), (4, 1.0), (5, -1.0)]
 
 
-def test_bm25_is_that_of_sqlite(spark):
-    texts = ["Replace the servo fuse E-042, servo", "servo E 042 and e-042", "pressure valve", "E-043 042", "señal e-042 réplica", ""] + ["filler words here"] * 9
-    db = sqlite3.connect(":memory:")
-    db.execute("CREATE VIRTUAL TABLE t USING fts5(content)")
-    db.executemany("INSERT INTO t(rowid, content) VALUES (?, ?)", list(enumerate(texts)))
-    wanted = db.execute("SELECT rowid, rank FROM t WHERE t MATCH '\"E-042\"' ORDER BY rank, rowid").fetchall()
-    rows = spark.createDataFrame(list(enumerate(texts)), "id long, content string")
-    got = search.bm25(rows, [search.fold_phrase("E-042")], 10, "id").collect()
-    assert [r.id for r in got] == [i for i, _ in wanted] and all(abs(r.rank - w) < 1e-9 for r, (_, w) in zip(got, wanted, strict=True))
-
-
 def test_repeated_lines(spark):
     pages = spark.createDataFrame([("d", i, f"ACME manual page {i}\nbody {'abcde'[i]}") for i in range(1, 5)] + [("e", 1, "ACME manual page 1\nx"), ("e", 2, " ")], "doc_id string, page_number int, text string")
     joined = headers.join_pages(pages)

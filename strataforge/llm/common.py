@@ -2,37 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A word: a run of anything but ASCII white space. ``bytes.split()`` splits at the same six bytes.
-WORD = r"[^\x20\x09-\x0D]+"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``; on a local master without it, one of our own."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if path:
-        return path.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    own = getattr(spark, "_strataforge_dir", None)
-    if own is None:
-        own = spark._strataforge_dir = tempfile.mkdtemp(prefix="strataforge-")
-    return own
+from ..work import materialise, shared_dir, unused
 
+__all__ = ["WORD", "crc_mod", "materialise", "next_name", "perhaps", "shared_dir", "slices", "table", "unused", "words_of"]
 
-def materialise(df: DataFrame, label: str, **options: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back: lineage ends here, and a lost executor loses nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: A word: a run of anything but ASCII white space. ``bytes.split()`` splits at the same six bytes.
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def slices(texts, chars: int = 4_000_000) -> Iterator[slice]:
@@ -52,17 +33,6 @@ def slices(texts, chars: int = 4_000_000) -> Iterator[slice]:
         yield slice(begin, len(texts))
 
 
-def unused(columns, *names: str) -> list[str]:
-    """Names for helper columns that no column bears, whatever its case."""
-    held, out = {c.lower() for c in columns}, []
-    for name in names:
-        while name.lower() in held:
-            name += "_"
-        held.add(name.lower())
-        out.append(name)
-    return out
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -88,3 +58,22 @@ def next_name() -> int:
         _named.clear()
     _named[task] = _named.get(task, -1) + 1
     return context.partitionId() << 32 | _named[task]
+
+
+#: Bits of the filter of ``perhaps``, and bits of each of its rows.
+_FILTER, _ROW = 1 << 25, 1 << 15
+
+
+def perhaps(rows: DataFrame, keys: DataFrame, key: str, flag: str) -> DataFrame:
+    """``rows`` with ``flag``: false where their key is surely not among ``keys``.
+
+    What is broadcast is a bit map of fixed size (4 MB); with very many keys it tells less, never anything wrong. A null key
+    is a key.
+    """
+    bit, row, bits = unused([*rows.columns, flag], "bit", "row", "bits")
+    place = F.pmod(F.xxhash64(key), F.lit(_FILTER))
+    held = keys.select(place.alias(bit)).groupBy(F.floor(F.col(bit) / _ROW).cast("int").alias(row)).agg(F.bitmap_construct_agg(F.col(bit) % _ROW).alias(bits))
+    placed = rows.withColumn(bit, place).withColumn(row, F.floor(F.col(bit) / _ROW).cast("int")).join(F.broadcast(held), row, "left")
+    byte = F.conv(F.hex(F.expr(f"substring({bits}, cast(({bit} % {_ROW}) div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    told = F.col(bits).isNotNull() & (byte.bitwiseAND(F.expr(f"shiftleft(1, cast({bit} % 8 as int))")) != 0)
+    return placed.withColumn(flag, told).drop(row, bits, bit)

@@ -26,6 +26,10 @@ CAPACITY = 1 << 16
 BUCKETS = 1024
 #: Sources are settings of a mix, not data: more than this many is an error.
 MAX_SOURCES = 1_000_000
+#: Copies of one row that one task makes, at most.
+COPIES = 1000
+#: Rows that one task makes, about.
+TASK_ROWS = 200_000
 
 
 def water_fill(sizes: Sequence[int], weights: Sequence[float], budget: float, ceiling: float) -> list[float]:
@@ -181,13 +185,20 @@ def repeat_rows(docs: DataFrame, **settings) -> DataFrame:
 
     Defined cases: as for ``mix_sources``; a document without words stays out; columns are kept, whatever their names.
     """
-    key, other, place, times = common.unused(docs.columns, "key", "other", "place", "times")
-    keyed = docs.withColumn(key, F.xxhash64(*docs.columns))
-    groups = choose(docs, F.xxhash64(*docs.columns), **settings).where("size > 0 AND passes + extra > 0").select(F.col("key").alias(other), "passes", "extra")
-    order = Window.partitionBy(key).orderBy(key)
-    met = keyed.select(F.struct(*docs.columns).alias(place), key).join(groups, F.col(key) == F.col(other)).withColumn(times, F.row_number().over(order))
-    met = met.withColumn(times, (F.col("passes") + F.when(F.col(times) <= F.col("extra"), 1).otherwise(0)).cast("int"))
-    return met.select(place, F.explode(F.array_repeat(F.lit(0), F.col(times)))).select(f"{place}.*")
+    key, other, row, times, slot = common.unused(docs.columns, "key", "other", "row", "times", "slot")
+    # equal rows become one with a number before any text moves
+    firsts = docs.select(F.xxhash64(*docs.columns).alias(key), F.struct(*docs.columns).alias(row)).groupBy(key).agg(F.first(row).alias(row))
+    total = F.col("n") * F.col("passes") + F.least("n", "extra")
+    groups = choose(docs, F.xxhash64(*docs.columns), **settings).where("size > 0").select(F.col("key").alias(other), total.alias(times)).where(F.col(times) > 0)
+    groups = common.materialise(groups, "times")
+    met = firsts.join(groups, F.col(key) == F.col(other)).select(row, times)
+    most, every = groups.agg(F.max(times), F.sum(times)).first()
+    if (most or 0) > COPIES:
+        # copies of one row are made by many tasks, whose number goes by the rows that they make
+        tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-every // TASK_ROWS))
+        met = met.withColumn(slot, F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(times) - 1) / COPIES)))).repartition(tasks, slot, times)
+        met = met.withColumn(times, F.least(F.lit(COPIES), F.col(times) - F.col(slot) * COPIES))
+    return met.select(row, F.explode(F.array_repeat(F.lit(0), F.col(times).cast("int")))).select(f"{row}.*")
 
 
 def op1_mixing(spark, sf_dir):

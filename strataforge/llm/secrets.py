@@ -1,19 +1,21 @@
 """Secret scans by a trigram inverted index; DataFrame functions only.
 
 From each rule's regular expression a Boolean query over trigrams is derived: strings that every match must hold are
-joined along the expression, alternatives are joined by OR, and each string stands for all of its trigrams. The index has
-a row for each of these trigrams and each document that holds it (case folded). A rule's postings are intersected per
-document; documents that satisfy the query are candidates and are verified by the expression itself. A rule without a
-mandatory trigram scans all documents.
-
-Index rows meet by document key, so a trigram that is in every document is no hot key; its rows collapse into one small
-row per document before they are shuffled.
+joined along the expression, alternatives are joined by OR, and each string stands for all of its trigrams. The index is a
+written table of postings (trigram, document), a folder a trigram; no trigram that no query needs is in it.
+
+A search looks up as few and as short postings as it can. Of trigrams that must all stand in a match the rarest one is
+enough to find every candidate, of alternatives each one's; only these folders are read whole. The other postings are
+read for these documents alone, and the postings of a document are intersected by each rule's query. What satisfies it is
+verified by the expression itself. A rule without a mandatory trigram scans all documents, where they lie; texts move only
+if they are candidates of another rule.
 """
 
 from __future__ import annotations
 
 import re._constants as sre
 import re._parser as parser
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -154,12 +156,33 @@ def postings(docs: DataFrame, wanted: list[str], key: str, text: str) -> DataFra
     return low.select(F.explode(found).alias("trigram"), key)
 
 
+def stored(index: DataFrame) -> DataFrame:
+    """The index as a table with a folder for each trigram, so that a look-up reads that trigram's postings."""
+    path = f"{common.shared_dir(index.sparkSession)}/trigrams-{uuid.uuid4().hex}"
+    index.write.partitionBy("trigram").parquet(path)
+    return index.sparkSession.read.schema(index.schema).parquet(path)
+
+
+def leads(query: Query, rows: dict[str, int]) -> set[str]:
+    """Trigrams of which each match holds one, with few postings in all. rows: how many each has."""
+    if isinstance(query, str):
+        return {query}
+    each = [leads(q, rows) for q in query[1]]
+    return min(each, key=lambda own: (sum(rows.get(t, 0) for t in own), sorted(own))) if query[0] == "and" else set().union(*each)
+
+
 def candidates(index: DataFrame, queries: dict[str, Query], wanted: list[str], key: str) -> DataFrame:
-    """Intersect postings per document: (key, one Boolean per rule)."""
+    """Look up and intersect postings: (key, one Boolean per rule) of the documents that satisfy any rule's query."""
+    place = {t: i for i, t in enumerate(wanted)}
+    held = {r[0]: r[1] for r in index.groupBy("trigram").count().collect()}  # a row a trigram
+    rows = {t: held.get(i, 0) for t, i in place.items()}
+    first = sorted(place[t] for t in set().union(*(leads(q, rows) for q in queries.values())))
+    found = index.where(F.col("trigram").isin(*first))
+    others = index.where(~F.col("trigram").isin(*first)).join(found.select(key).distinct(), key, "left_semi")
     words = -(-len(wanted) // _WORD_BITS)
     bit = F.expr(f"shiftleft(1L, cast(trigram % {_WORD_BITS} AS int))")
-    held = index.groupBy(key).agg(*[F.bit_or(F.when(F.floor(F.col("trigram") / _WORD_BITS) == w, bit).otherwise(0)).alias(f"_w{w}") for w in range(words)])
-    place = {t: i for i, t in enumerate(wanted)}
+    bits = [F.bit_or(F.when(F.floor(F.col("trigram") / _WORD_BITS) == w, bit).otherwise(0)).alias(f"_w{w}") for w in range(words)]
+    held = found.select("trigram", key).unionByName(others.select("trigram", key)).groupBy(key).agg(*bits)
     has = lambda t: F.col(f"_w{place[t] // _WORD_BITS}").bitwiseAND(F.lit(1 << place[t] % _WORD_BITS)) != 0
     out = held.select(key, *[_holds(q, has).alias(f"_c_{kind}") for kind, q in queries.items()])
     anything = F.lit(False)
@@ -169,53 +192,75 @@ def candidates(index: DataFrame, queries: dict[str, Query], wanted: list[str], k
 
 
 _SPAN = "array<struct<start:int,rank:int,end:int,kind:string>>"
+_SHIFTS = [1 << k for k in range(31)]
+
+
+def _let(value: Column, use) -> Column:
+    """``use`` of a value that is worked out once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _so_far(numbers: Column, join) -> Column:
+    """Of each place of an array of ints, the sum (or another associative join) of all up to it, in steps that double."""
+    steps = F.filter(F.array(*map(F.lit, _SHIFTS)), lambda d: d < F.size(numbers))
+
+    def step(held, d):
+        before = F.concat(F.array_repeat(F.lit(None).cast("int"), d), F.slice(held, 1, F.size(held) - d))
+        return F.zip_with(held, before, lambda x, y: F.when(y.isNull(), x).otherwise(join(x, y))).cast("array<int>")
+
+    return F.aggregate(steps, numbers.cast("array<int>"), step)
 
 
 def _spans(text: Column, rule: Rule, rank: int) -> Column:
-    """Spans of a rule's matches, in code points: text between matches and matches, added up."""
+    """Spans of a rule's matches, in code points: a match ends where the gaps and matches up to it add up to."""
     gaps = F.transform(F.split(text, rule.pattern, -1), F.length)
     sizes = F.transform(F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0)), F.length)
     counted = F.transform(F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)), F.length) if rule.group else sizes
-    both = F.arrays_zip(gaps.alias("g"), sizes.alias("m"), counted.alias("n"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out"))
 
-    def step(acc, x):
-        begin = acc["at"] + x["g"]
-        end = begin + F.coalesce(x["m"], F.lit(0))
-        span = F.struct(begin.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(rule.kind).alias("kind"))
-        keep = x["m"].isNotNull() & (x["n"] >= rule.least)
-        return F.struct(end.alias("at"), F.when(keep, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).cast(_SPAN).alias("out"))
+    def listed(m):
+        ends = _so_far(F.zip_with(F.slice(gaps, 1, F.size(m)), m, lambda g, n: g + n), lambda x, y: x + y)
+        rows = F.arrays_zip(ends.alias("e"), m.alias("m"), counted.alias("n"))
+        span = lambda x: F.struct((x["e"] - x["m"]).alias("start"), F.lit(rank).alias("rank"), x["e"].alias("end"), F.lit(rule.kind).alias("kind"))
+        return F.transform(F.filter(rows, lambda x: x["n"] >= rule.least), span).cast(_SPAN)
 
-    return F.when(text.rlike(rule.pattern), F.aggregate(both, start, step, lambda acc: acc["out"])).otherwise(F.array().cast(_SPAN))
+    return F.when(text.rlike(rule.pattern), _let(sizes, listed)).otherwise(F.array().cast(_SPAN))
 
 
-def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with a column ``_spans``: structs of start, rank (of the kind), end, kind, sorted by start and kind.
+def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text", spans: str = "_spans") -> DataFrame:
+    """``docs`` with a column ``spans``: structs of start, rank (of the kind), end, kind, sorted by start and kind.
 
     Defined cases: a null text is empty and has no spans; repeated rows are scanned each; null ids are ids; an empty table
-    gives an empty result; other columns are kept, whatever their names but ``_spans``.
+    gives an empty result; other columns are kept, whatever their names but that of ``spans``, which is refused.
     """
+    if spans.lower() in {c.lower() for c in docs.columns}:
+        raise ValueError(f"the table has a column {spans}; name another one for the spans")
     queries = {r.kind: trigram_query(r.pattern) for r in rules}
     indexed = {k: q for k, q in queries.items() if q is not True}
     wanted = sorted(set().union(*map(trigrams, indexed.values()))) if indexed else []
-    text = F.coalesce(F.col(text_col), F.lit(""))
     # two documents with one key would both be candidates: more to verify, nothing missed
-    key, held, spans = common.unused(docs.columns, "key", "held", "spans")
+    key, held, near, text = "_key", "_held", "_near", "_text"
     # the user's columns travel in a struct, so that none of their names meets one of ours
-    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(held), F.xxhash64(F.col(id_col), F.col(text_col)).alias(key), text.alias("_text"))
+    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    keyed = docs.select(own.alias(held), F.xxhash64(F.col(id_col), F.col(text_col)).alias(key), F.coalesce(F.col(text_col), F.lit("")).alias(text))
+
+    def told(rows: DataFrame, looked_up: bool) -> DataFrame:
+        parts = []
+        for rank, r in enumerate(rules):
+            if queries[r.kind] is True:
+                parts.append(_spans(F.col(text), r, rank))
+            elif looked_up:
+                parts.append(F.when(F.coalesce(F.col(f"_c_{r.kind}"), F.lit(False)), _spans(F.col(text), r, rank)).otherwise(F.array().cast(_SPAN)))
+        found = F.array_sort(F.concat(*parts)) if parts else F.array().cast(_SPAN)
+        return rows.select(held, found.alias(spans))
+
     if wanted:
-        index = postings(keyed.select(key, "_text"), wanted, key, "_text")
-        found = candidates(index, indexed, wanted, key).hint("shuffle_hash")
-        keyed = keyed.drop("_text").join(found, key, "left")
-        text = F.coalesce(F.col(f"{held}.`{text_col}`"), F.lit(""))
+        index = stored(postings(keyed.select(key, text), wanted, key, text))
+        found = common.materialise(candidates(index, indexed, wanted, key), "candidates")
+        flagged = common.perhaps(keyed, found, key, near)
+        out = told(flagged.where(~F.col(near)), False).unionByName(told(flagged.where(near).join(found, key, "left"), True))
     else:
-        text = F.col("_text")
-    parts = []
-    for rank, r in enumerate(rules):
-        found = _spans(text, r, rank)
-        parts.append(found if queries[r.kind] is True else F.when(F.coalesce(F.col(f"_c_{r.kind}"), F.lit(False)), found).otherwise(F.array().cast(_SPAN)))
-    out = keyed.withColumn(spans, F.array_sort(F.concat(*parts)))
-    return out.select(f"{held}.*", F.col(spans).alias("_spans"))
+        out = told(keyed, False)
+    return out.select(f"{held}.*", spans)
 
 
 def _listed(spans: Column) -> Column:
@@ -231,19 +276,29 @@ def digests(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc
     return found.select("doc_id", *counts, F.sha2(_listed(F.filter("_spans", lambda s: s["kind"].isin(*base))), 256).alias("base_sha256"), _listed(F.col("_spans")).alias("spans"))
 
 
-def redact(docs: DataFrame, mark: str = "[secret]", text_col: str = "text") -> DataFrame:
-    """``docs`` with each span of ``_spans`` replaced by ``mark`` (overlapping spans by one), without ``_spans``."""
-    text, kind = F.col(text_col), "struct<at:int,out:array<string>>"
+#: Code points of the blocks that a text is cut into to be redacted.
+_CUT = 1024
+
+
+def redact(docs: DataFrame, mark: str = "[secret]", text_col: str = "text", spans: str = "_spans") -> DataFrame:
+    """``docs`` with each span of ``spans`` replaced by ``mark`` (overlapping spans by one), without ``spans``."""
+    text = F.col(text_col)
+
+    def without(blocks):
+        def part(a, b):  # from the blocks that hold it
+            first, last = (a / _CUT).cast("int"), ((b - 1) / _CUT).cast("int")
+            joined = F.array_join(F.slice(blocks, first + 1, last - first + 1), "")
+            return F.when(b > a, joined.substr(a - first * _CUT + 1, b - a)).otherwise("")
 
-    def step(acc, s):
-        piece = F.when(s["start"] > acc["at"], text.substr(acc["at"] + 1, s["start"] - acc["at"])).otherwise("")
-        more = F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.array(piece, F.lit(mark)))).otherwise(acc["out"]).alias("out"))
-        return more.cast(kind)
+        ends = F.transform(spans, lambda s: s["end"])
+        before = _let(_so_far(ends, F.greatest), lambda e: F.concat(F.array(F.lit(0)), F.slice(e, 1, F.size(e) - 1)))
+        pieces = F.zip_with(spans, before, lambda s, b: F.when(s["start"] >= b, F.concat(part(b, s["start"]), F.lit(mark))).otherwise(""))
+        rest = part(F.array_max(ends), F.length(text))
+        return F.concat(F.array_join(pieces, ""), rest)
 
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")).cast(kind)
-    rest = lambda acc: F.concat(F.array_join(acc["out"], ""), text.substr(acc["at"] + 1, F.length(text)))
-    new = F.when(F.size("_spans") > 0, F.aggregate("_spans", start, step, rest)).otherwise(text)
-    return docs.withColumn(text_col, new).drop("_spans")
+    blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{_CUT}}}"), F.lit(0))
+    new = F.when(F.size(spans) > 0, _let(blocks, without)).otherwise(text)
+    return docs.withColumn(text_col, new).drop(spans)
 
 
 def op7_secrets(spark, sf_dir):

@@ -40,8 +40,6 @@ PART_BYTES, SHARD_BYTES, ANCHOR_BYTES = 64 << 20, 1 << 20, 8 << 20
 #: Windows of a long document that are hashed at once.
 _BLOCK = 1 << 19
 _PLACE = 20  # low bits of a hash that are given to the place in a block
-#: Bits of the filter, and bits of each of its rows.
-_FILTER, _ROW = 1 << 25, 1 << 15
 
 _SLICES = "kind int, slice long, part int, hashes binary, many binary, keys binary, counts binary, sizes binary, runs binary, index binary"
 _FLAGS = "slice long, part int, flags binary"
@@ -437,16 +435,6 @@ def _spans(length: int):
 # ------------------------------------------------------------ the operator
 
 
-def _perhaps(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """``docs`` with ``_perhaps``: false where the key is surely not in ``keys``. The filter that is broadcast has a fixed size."""
-    bit = F.pmod(F.xxhash64("key"), F.lit(_FILTER))
-    rows = keys.select(bit.alias("bit")).groupBy(F.floor(F.col("bit") / _ROW).cast("int").alias("row")).agg(F.bitmap_construct_agg(F.col("bit") % _ROW).alias("bits"))
-    placed = docs.withColumn("_bit", bit).withColumn("row", F.floor(F.col("_bit") / _ROW).cast("int")).join(F.broadcast(rows), "row", "left")
-    byte = F.conv(F.hex(F.expr(f"substring(bits, cast((_bit % {_ROW}) div 8 as int) + 1, 1)")), 16, 10).cast("int")
-    held = F.shiftright(byte, 0).bitwiseAND(F.expr("shiftleft(1, cast(_bit % 8 as int))")) != 0
-    return placed.withColumn("_perhaps", F.col("bits").isNotNull() & held).drop("row", "bits", "_bit")
-
-
 def _found(contexts: DataFrame, length: int) -> list[DataFrame]:
     """What the shards find, for each level of halving."""
     out, rows = [], contexts
@@ -481,7 +469,7 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH) ->
     flags = flags.groupBy("slice").agg(F.collect_list(F.struct("part", "flags")).alias("flags"))
     chosen = slices.where("kind = 1").select("slice", "keys", "counts", "sizes", "runs", "index").join(flags, "slice").mapInArrow(_chosen, _CANDIDATES)
     candidates = common.materialise(chosen.groupBy("key").agg(F.max("runs").alias("runs")), "candidates")
-    near = _perhaps(named, candidates).where("_perhaps").drop("_perhaps").join(candidates, "key").select("key", "text", "runs")
+    near = common.perhaps(named, candidates, "key", "near").where("near").drop("near").join(candidates, "key").select("key", "text", "runs")
     contexts = common.materialise(near.mapInArrow(_cut(length), _CONTEXTS), "contexts")
     found = None
     for some in _found(contexts.where("kind = 0"), length):
@@ -511,9 +499,9 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH) ->
     found = repeated_spans(docs, text, length)
     own = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own")
     rows = docs.select(own, F.coalesce(F.col(text), F.lit("")).cast("binary").alias("data"))
-    rows = _perhaps(rows.withColumn("key", F.unhex(F.md5("data"))), found)
-    clean = rows.where("NOT _perhaps").select("own", F.col("data").alias("kept"), F.lit(None).cast("binary").alias("spans"))
-    met = rows.where("_perhaps").join(found, "key", "left")
+    rows = common.perhaps(rows.withColumn("key", F.unhex(F.md5("data"))), found, "key", "near")
+    clean = rows.where("NOT near").select("own", F.col("data").alias("kept"), F.lit(None).cast("binary").alias("spans"))
+    met = rows.where("near").join(found, "key", "left")
     touched = met.where("spans IS NOT NULL").select("own", _kept("data", "spans").alias("kept"), "spans")
     clean = clean.unionByName(met.where("spans IS NULL").select("own", F.col("data").alias("kept"), "spans"))
     return clean.unionByName(touched).select("own.*", "kept", "spans")

@@ -370,7 +370,7 @@ def test_hnsw_cost_of_wide_vectors(spark):
     # seeking the largest component once for each component took minutes here
     x = np.random.default_rng(17).normal(size=(20, 12000))
     x[19] = x[3] * 7 + 0.01
-    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int").coalesce(1).localCheckpoint()
+    df = common.materialise(spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int").coalesce(1), "wide")
     begin = time.monotonic()
     got = hnsw.near_duplicates(df).toPandas().set_index("vec_id").sort_index()
     assert time.monotonic() - begin < 90

@@ -6,7 +6,7 @@ next one's docs. All but the last return the columns of documents.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataforge.llm import common, language_id, mixing, packing, secrets, simhash
@@ -37,11 +37,12 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     are copies of one another; an empty table stays empty; columns are kept, whatever their names. Hashes of id and text
     (64 bits) are taken as unequal.
     """
-    key, place = common.unused(docs.columns, "key", "place")
+    key, row = common.unused(docs.columns, "key", "row")
     kept = simhash.first_rows(docs).select(F.xxhash64("text_hash", "doc_id").alias(key))
-    rows = docs.withColumn(key, F.xxhash64(F.xxhash64("text"), "doc_id")).join(kept, key, "left_semi")
-    first = Window.partitionBy(key).orderBy("source", "lang", "n_chars")
-    return rows.withColumn(place, F.row_number().over(first)).where(F.col(place) == 1).select(*docs.columns)
+    # rows with one id and text become one before they move, so a row that stands very often is no task's burden
+    rows = docs.select(F.xxhash64(F.xxhash64("text"), "doc_id").alias(key), F.struct(*docs.columns).alias(row), "source", "lang", "n_chars")
+    firsts = rows.groupBy(key).agg(F.min_by(row, F.struct("source", "lang", "n_chars")).alias(row))
+    return firsts.join(kept, key, "left_semi").select(f"{row}.*")
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +51,8 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     Null texts stay null, with the n_chars they have; repeated rows are redacted alike; an empty table stays empty;
     columns are kept, whatever their names.
     """
-    out = secrets.redact(secrets.scan(docs))
+    (spans,) = common.unused(docs.columns, "spans")
+    out = secrets.redact(secrets.scan(docs, spans=spans), spans=spans)
     return out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 

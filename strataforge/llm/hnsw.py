@@ -3,11 +3,14 @@
 Vectors of one label are dealt out to shards by hash. Each shard builds a graph of layers; a layer links every vector to
 near and diverse neighbours. Each pair of shards of a label is searched once, the graph of the smaller number with the
 vectors of the other, and each shard with its own vectors; recall is audited in each search. Greedy descent goes through
-the upper layers, then a beam in the lowest. A vector whose beam is full of partners may have more and is compared with
-the whole shard. In each search probes, turned from vectors of the shard to the least cosine, and a seeded sample of the
-queries are compared with brute force, all their partners counted; while the recall of either is short, the beam is
-doubled, up to the size of the shard, where it is exhaustive. Found pairs are verified by cosine in double precision,
-counted where they are found, and united to components.
+the upper layers, then a beam in the lowest. A vector whose beam is full of partners may have more: its own beam is doubled
+until it is not. In each search probes, turned from vectors of the shard to the least cosine, and a seeded sample of the
+queries are compared with brute force, all their partners counted; while the recall of either is short, all beams are
+doubled. A beam as wide as the shard is a comparison with all of it. Found pairs are verified by cosine in double
+precision, counted where they are found, and united to components.
+
+A task keeps the graph of one shard and takes the other shards' vectors one after another, so a graph is moved and read
+once; shards of a label ask each other in a ring, each about half of the others.
 
 Searches run in lockstep: all queries of a shard advance together on numpy arrays. Equal vectors are one vector with a
 multiplicity. A search returns a spanning forest and a count a vector, so a group of near copies costs rows in proportion
@@ -204,7 +207,7 @@ def _met(wanted: np.ndarray, ids: np.ndarray) -> np.ndarray:
 def near_pairs(graph: Graph, exact: np.ndarray, queries: np.ndarray, least: float, own: np.ndarray | None = None):
     """Blocks of pairs (query, member) with cosine >= least.
 
-    A beam that is full of partners says that there are more: its query is compared with all vectors. The beam of the
+    A beam that is full of partners says that there may be more: it is doubled until it holds others too. The beam of the
     other queries is widened until it holds RECALL of the audited ones' partners. Most vectors have no partner, so that a
     sample may say little; probes with a partner of the least cosine are audited first, in each search. How near a vector
     without partners is to others is not asked: in many dimensions its nearest ones are no nearer than the rest, and no
@@ -237,11 +240,23 @@ def near_pairs(graph: Graph, exact: np.ndarray, queries: np.ndarray, least: floa
     else:
         yield from _scan(exact, queries, np.arange(count), least)
         return
-    q, c = np.nonzero(near & ~full[:, None])
-    m = ids[q, c]
-    keep = np.einsum("kd,kd->k", queries[q], exact[m]) >= least
-    yield q[keep], m[keep]
-    yield from _scan(exact, queries, np.flatnonzero(full), least)
+    rows = np.arange(count)
+    while True:
+        q, c = np.nonzero(near & ~full[:, None])
+        m, q = ids[q, c], rows[q]
+        keep = np.einsum("kd,kd->k", queries[q], exact[m]) >= least
+        yield q[keep], m[keep]
+        rows, width = rows[full], 2 * width
+        if not len(rows):
+            return
+        if width >= n:  # a beam of all vectors
+            yield from _scan(exact, queries, rows, least)
+            return
+        step = max(1, 512 * BEAM // width)  # wide beams take fewer at a time
+        parts = [graph.search(queries[r].astype(np.float32), width, None if own is None else own[r]) for r in np.split(rows, range(step, len(rows), step))]
+        ids, sims = (np.concatenate([p[i] for p in parts]) for i in range(2))
+        near = (sims >= least - _SPARE) & (ids >= 0)
+        full = near.all(1)
 
 
 def search_shard(graph: Graph, exact: np.ndarray, queries: np.ndarray, least: float, own: np.ndarray | None = None):
@@ -284,18 +299,24 @@ def linked(found, n: int, copies: np.ndarray, both_ways: bool) -> tuple[np.ndarr
 
 
 def _search(least: float):
+    """Rows of shards, each followed by those of the shards that ask it -> links."""
+
     def make(batches):
+        shard, g, x, own, copies = None, None, None, None, None
         for b in batches:
-            for shard, vectors, graph, other, queries in zip(b["shard"], b["vectors"], b["graph"], b["other"], b["queries"], strict=True):
-                ids, x, copies = _unpack(vectors)
-                g = Graph.__new__(Graph)
-                g.vectors, (g.layers,) = x.astype(np.float32), _unpack(graph)
-                if shard == other:
+            for grp, s, vectors, graph in zip(b["grp"], b["shard"], b["vectors"], b["graph"], strict=True):
+                if graph is not None:
+                    shard, (own, x, copies) = (grp, s), _unpack(vectors)
+                    g = Graph.__new__(Graph)
+                    g.vectors, (g.layers,) = x.astype(np.float32), _unpack(graph)
+                    ids = own
                     root, n = linked(near_pairs(g, x, x, least, np.arange(len(x))), len(x), copies, True)
                 else:
-                    qids, qx, more = _unpack(queries)
-                    ids, copies = np.concatenate([ids, qids]), np.concatenate([copies, more])
-                    root, n = linked(((q + len(x), m) for q, m in near_pairs(g, x, qx, least)), len(ids), copies, False)
+                    if shard != (grp, s):
+                        raise RuntimeError("a shard's vectors came without its graph")
+                    qids, qx, more = _unpack(vectors)
+                    ids, every = np.concatenate([own, qids]), np.concatenate([copies, more])
+                    root, n = linked(((q + len(x), m) for q, m in near_pairs(g, x, qx, least)), len(ids), every, False)
                 met = np.flatnonzero(n)
                 yield pd.DataFrame({"a": ids[met], "b": ids[root[met]], "n": n[met]})
 
@@ -328,9 +349,16 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, id_col: str = "vec_
     dealt = classes.join(shards, "grp").withColumn("shard", F.pmod(F.shiftright("h", 7), F.col("shards")).cast("int"))
     built = dealt.select("grp", "shards", "shard", "least", "copies", "v").groupBy("grp", "shard").applyInPandas(_build, "grp long, shard int, shards int, vectors binary, graph binary")
     built = common.materialise(built, "hnsw", compression="none")
-    asked = built.select(F.col("grp").alias("g"), F.col("shard").alias("other"), F.col("vectors").alias("queries"), F.explode(F.sequence(F.lit(0), F.col("shard"))).alias("s"))
-    met = asked.join(built, (F.col("g") == F.col("grp")) & (F.col("s") == F.col("shard"))).select("shard", "vectors", "graph", "other", F.when(F.col("shard") != F.col("other"), F.col("queries")).alias("queries"))
-    pairs = common.materialise(met.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))).mapInPandas(_search(least), "a long, b long, n long"), "hnsw-pairs")
+    # in the ring of a label's shards each asks those up to half way round before it; of two that face each other, the first asks
+    half = F.floor(F.col("shards") / 2)
+    last = F.when((F.col("shards") % 2 == 0) & (F.col("shard") >= half), half - 1).otherwise(half)
+    steps = F.when(last > 0, F.sequence(F.lit(1).cast("long"), last)).otherwise(F.array().cast("array<long>"))
+    asking = built.select("grp", "shards", F.col("shard").alias("other"), "vectors", F.explode(steps).alias("step"))
+    asking = asking.select("grp", F.pmod(F.col("other") - F.col("step"), F.col("shards")).cast("int").alias("shard"), F.col("other"), "vectors", F.lit(None).cast("binary").alias("graph"))
+    own = built.select("grp", "shard", F.lit(-1).alias("other"), "vectors", "graph")
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), built.count())
+    met = own.unionByName(asking).repartition(tasks, "grp", "shard").sortWithinPartitions("grp", "shard", "other")
+    pairs = common.materialise(met.mapInPandas(_search(least), "a long, b long, n long"), "hnsw-pairs")
     found = components(pairs.select("a", "b"))
     counted = pairs.groupBy("a").agg(F.sum("n").alias("n"))
     named = classes.join(found, classes["least"] == found["node"], "left").select("grp", "h", "least", "copies", F.coalesce("root", "least").alias("root"))

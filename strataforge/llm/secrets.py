@@ -158,8 +158,12 @@ def postings(docs: DataFrame, wanted: list[str], key: str, text: str) -> DataFra
 
 def stored(index: DataFrame) -> DataFrame:
     """The index as a table with a folder for each trigram, so that a look-up reads that trigram's postings."""
-    path = f"{common.shared_dir(index.sparkSession)}/trigrams-{uuid.uuid4().hex}"
-    index.write.partitionBy("trigram").parquet(path)
+    spark = index.sparkSession
+    path = f"{common.shared_dir(spark)}/trigrams-{uuid.uuid4().hex}"
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # a long list of postings is several files, a short one few
+    dealt = index.repartition(tasks, "trigram", F.pmod(F.xxhash64(*[c for c in index.columns if c != "trigram"]), F.lit(-(-tasks // 16))))
+    dealt.write.partitionBy("trigram").parquet(path)
     return index.sparkSession.read.schema(index.schema).parquet(path)
 
 

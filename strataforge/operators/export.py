@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import sqlite3
 import tempfile
+from collections.abc import Iterator
 from pathlib import Path
 
 import pandas as pd
@@ -14,6 +15,7 @@ from . import numbering
 
 GENERATOR = "strataforge"
 
+# Tables that users of the files read.
 _SCHEMA = """
 CREATE TABLE documents (id TEXT PRIMARY KEY, filename TEXT NOT NULL, file_type TEXT NOT NULL, chunk_count INTEGER NOT NULL);
 CREATE TABLE chunks (id INTEGER PRIMARY KEY, document_id TEXT NOT NULL REFERENCES documents (id), chunk_index INTEGER NOT NULL, content TEXT NOT NULL);
@@ -68,6 +70,84 @@ def sqlite_files(documents: DataFrame, chunks: DataFrame, tenant: str, generated
     return documents.groupBy(tenant).cogroup(chunks.groupBy(tenant)).applyInPandas(build, schema)
 
 
+def sqlite_contents(files: DataFrame, tenant: str, phrase: str | None = None) -> DataFrame:
+    """(tenant, row_id, document_id, filename, chunk_index, content, found): the chunks that database files hold, read back.
+
+    found: whether the file's own full-text index finds ``phrase`` (a query of SQLite's) in the chunk; null without one.
+    """
+    schema = f"{tenant} string, row_id long, document_id string, filename string, chunk_index int, content string, found boolean"
+    ask = "SELECT c.id, c.document_id, d.filename, c.chunk_index, c.content FROM chunks c JOIN documents d ON d.id = c.document_id ORDER BY c.id"
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for owner, data in zip(batch[tenant], batch["content"], strict=True):
+                db = sqlite3.connect(":memory:")
+                db.deserialize(bytes(data))
+                hits = {r[0] for r in db.execute("SELECT rowid FROM chunks_fts WHERE chunks_fts MATCH ?", (phrase,))} if phrase else None
+                rows = db.execute(ask)
+                while some := rows.fetchmany(10_000):
+                    yield pd.DataFrame([(owner, *r, r[0] in hits if hits is not None else None) for r in some], columns=[f.split()[0] for f in schema.split(", ")])
+                db.close()
+
+    return files.select(tenant, "content").mapInPandas(read, schema)
+
+
+#: Bytes of a part of a bundle, about.
+PART = 4 << 20
+
+
+def bundle_pieces(sections: DataFrame, tenant: str, title: Column, position: str, filename: str, content: str) -> DataFrame:
+    """(tenant, piece, pieces, offset, text): what ``markdown_bundle`` joins, one row a piece, with its first byte's place.
+
+    A heading, the names of documents without content, the others' content, by position and name; each piece holds what
+    parts it from the one before. Pieces are numbered and their sizes added up over ranges: no task has a tenant's all.
+    """
+    none = F.col(content).isNull()
+    named = sections.select(F.col(tenant).alias("tenant"), title.alias("title"), F.col(position).alias("position"), F.col(filename).alias("name"), F.col(content).alias("content"), F.when(none, 1).otherwise(2).alias("kind"))
+    counts = named.groupBy("tenant").agg(F.count("content").alias("have"), F.count_if(F.col("kind") == 1).alias("lack"), F.first("title").alias("title")).where("have > 0")
+    heads = counts.select("tenant", F.lit(None).cast(sections.schema[position].dataType).alias("position"), F.lit(None).cast("string").alias("name"), F.concat(F.lit("# "), F.coalesce("title", F.lit("")), F.lit(" — Document Library\n")).alias("content"), F.lit(0).alias("kind"))
+    every = heads.unionByName(named.join(counts.select(F.col("tenant").alias("t")), F.col("tenant").eqNullSafe(F.col("t")), "left_semi").drop("title"))
+    placed = numbering.numbered(every.where("kind = 1").drop("content"), ["tenant"], ["position", "name"], "n", "of")
+    first, last = F.col("n") == 1, F.col("n") == F.col("of")
+    note = F.concat(F.when(first, F.lit("\n\n> Not included (uploaded without the markdown output): ")).otherwise(", "), F.lit("`"), "name", F.lit("`"), F.when(last, F.lit("\n")).otherwise(""))
+    told = placed.select("tenant", "position", "name", note.alias("content"), "kind")
+    body = every.where("kind <> 1").withColumn("content", F.when(F.col("kind") == 2, F.concat(F.lit("\n\n"), "content")).otherwise(F.col("content")))
+    sized = body.unionByName(told).withColumn("size", F.octet_length("content"))
+    out = numbering.numbered(sized, ["tenant"], ["kind", "position", "name"], "piece", "pieces", {"offset": "size"})
+    return out.select(F.col("tenant").alias(tenant), "piece", "pieces", "offset", F.col("content").alias("text"))
+
+
+def bundle_parts(pieces: DataFrame, tenant: str) -> DataFrame:
+    """(tenant, offset, size, content): bundles as parts of some ``PART`` bytes (or one piece), made by many tasks.
+
+    A tenant's parts, in order of their offsets, are its bundle; each part may be written at its offset.
+    """
+    kind = pieces.schema[tenant].dataType.simpleString()
+    schema = f"{tenant} {kind}, offset long, size long, content binary"
+
+    def joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        owner, begin, held, size = None, 0, [], 0
+
+        def part() -> pd.DataFrame:
+            return pd.DataFrame([{tenant: owner, "offset": begin, "size": size, "content": b"".join(held)}])
+
+        for batch in batches:
+            for t, offset, text in zip(batch[tenant], batch["offset"], batch["text"], strict=True):
+                data = text.encode()
+                if held and (t != owner or offset != begin + size or size + len(data) > PART):
+                    yield part()
+                    held, size = [], 0
+                if not held:
+                    owner, begin = t, int(offset)
+                held.append(data)
+                size += len(data)
+        if held:
+            yield part()
+
+    # pieces that lie together are joined; where they do not, there are more parts
+    return pieces.repartitionByRange(tenant, "piece").sortWithinPartitions(tenant, "piece").select(tenant, "offset", "text").mapInPandas(joined, schema)
+
+
 def markdown_bundle(sections: DataFrame, tenant: str, title: Column, position: str, filename: str, content: str) -> DataFrame:
     """(tenant, markdown): one bundle per tenant, sections in order; documents without content are named as missing.
 

@@ -27,23 +27,28 @@ def ranged(rows: DataFrame, *order: Column | str, name: str, tasks: int | None =
     return work.materialise(spread.withColumn(name, F.monotonically_increasing_id()), "ranged")
 
 
-def numbered(rows: DataFrame, groups: Sequence[str], order: Sequence[Column | str], name: str, total: str | None = None) -> DataFrame:
+def numbered(rows: DataFrame, groups: Sequence[str], order: Sequence[Column | str], name: str, total: str | None = None, sums: dict[str, str] | None = None) -> DataFrame:
     """``rows`` with ``name``, their place (1, 2, ...) in their group by ``order``, and ``total``, their group's rows.
 
+    sums: name -> a column of numbers; the name's column holds the sum of it over the rows before, in the same order.
     Rows are sorted over ranges and written; the rows of each range and group are counted, and sums of the counts of the
     ranges before give each range its first number. A group takes as many ranges as it needs: its rows never meet in one
     task, its counts (one a range) do. Nulls come first and null groups are groups. Rows that are equal in groups and order
     are numbered in any order. An empty table gives none.
     """
-    at, part, first, n, before, size = work.unused(rows.columns, "at", "part", "first", "n", "before", "size")
+    sums = sums or {}
+    at, part, first, n, before, size = work.unused([*rows.columns, *sums], "at", "part", "first", "n", "before", "size")
     table = ranged(rows, *groups, *order, name=at).withColumn(part, F.shiftright(at, _BITS))
-    counts = table.groupBy(part, *groups).agg(F.min(at).alias(first), F.count("*").alias(n))
+    counts = table.groupBy(part, *groups).agg(F.min(at).alias(first), F.count("*").alias(n), *[F.sum(c).cast("long").alias(s) for s, c in sums.items()])
     own = Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(0))
-    so_far = F.coalesce(F.sum(n).over(own.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    firsts = counts.select(part, *groups, first, so_far.alias(before), F.sum(n).over(own).alias(size)).alias("f")
+    earlier = own.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    so_far = lambda c: F.coalesce(F.sum(c).over(earlier), F.lit(0))
+    firsts = counts.select(part, *groups, first, so_far(n).alias(before), F.sum(n).over(own).alias(size), *[so_far(s).alias(s) for s in sums]).alias("f")
     same = F.col(f"t.{part}") == F.col(f"f.{part}")
     for g in groups:
         same = same & F.col(f"t.`{g}`").eqNullSafe(F.col(f"f.`{g}`"))
     met = table.alias("t").join(firsts, same)
     number = (F.col(before) + F.col(at) - F.col(first) + 1).cast("long").alias(name)
-    return met.select(*[F.col(f"t.`{c}`") for c in rows.columns], number, *([F.col(size).cast("long").alias(total)] if total else []))
+    inside = Window.partitionBy(F.col(f"t.{part}"), *[F.col(f"t.`{g}`") for g in groups]).orderBy(F.col(f"t.{at}")).rowsBetween(Window.unboundedPreceding, -1)  # what a range has of a group
+    running = [(F.col(f"f.{s}") + F.coalesce(F.sum(F.col(f"t.`{c}`")).over(inside), F.lit(0))).cast("long").alias(s) for s, c in sums.items()]
+    return met.select(*[F.col(f"t.`{c}`") for c in rows.columns], number, *([F.col(size).cast("long").alias(total)] if total else []), *running)

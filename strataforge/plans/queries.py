@@ -327,6 +327,12 @@ def markdown_bundle(spark, sf):
     return export.markdown_bundle(_sections(spark, sf), "source", F.col("source"), "doc_id", "filename", "md")
 
 
+def markdown_bundle_pieces(spark, sf):
+    """The bundles piece by piece, with each piece's place in bytes."""
+    pieces = export.bundle_pieces(_sections(spark, sf), "source", F.col("source"), "doc_id", "filename", "md")
+    return pieces.select("source", "piece", "pieces", "offset", F.octet_length("text").cast("long").alias("size_bytes"), F.sha2("text", 256).alias("sha256"))
+
+
 def markdown_missing(spark, sf):
     return _sections(spark, sf).where("md IS NULL").select("source", "doc_id", "filename")
 
@@ -335,6 +341,15 @@ _BUNDLE_SQL = f"""WITH d AS ({_DOCS_SQL}), s AS (SELECT source, doc_id, filename
 SELECT source, '# ' || source || ' — Document Library' || chr(10) || coalesce(chr(10) || chr(10) || '> Not included (uploaded without the markdown output): ' || string_agg('`' || filename || '`', ', ' ORDER BY doc_id) FILTER (md IS NULL) || chr(10), '') || chr(10) || chr(10) || string_agg(md, chr(10) || chr(10) ORDER BY doc_id) AS markdown
 FROM s GROUP BY source HAVING count(md) > 0"""
 
+_PIECES_SQL = f"""WITH d AS ({_DOCS_SQL}), s AS (SELECT source, doc_id, filename, CASE WHEN doc_id % 4 <> 1 THEN {_MARKDOWN_SQL} END AS md FROM d),
+h AS (SELECT source FROM s GROUP BY source HAVING count(md) > 0),
+m AS (SELECT source, doc_id, filename, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n, count(*) OVER (PARTITION BY source) AS of FROM s WHERE md IS NULL),
+p AS (SELECT source, 0 AS kind, NULL AS doc_id, '# ' || source || ' — Document Library' || chr(10) AS t FROM h
+  UNION ALL SELECT source, 1, doc_id, CASE WHEN n = 1 THEN chr(10) || chr(10) || '> Not included (uploaded without the markdown output): ' ELSE ', ' END || '`' || filename || '`' || CASE WHEN n = of THEN chr(10) ELSE '' END FROM m WHERE source IN (SELECT source FROM h)
+  UNION ALL SELECT source, 2, doc_id, chr(10) || chr(10) || md FROM s WHERE md IS NOT NULL)
+SELECT source, row_number() OVER w AS piece, count(*) OVER (PARTITION BY source) AS pieces, CAST(sum(strlen(t)) OVER w - strlen(t) AS BIGINT) AS offset, strlen(t) AS size_bytes, sha256(t) AS sha256
+FROM p WINDOW w AS (PARTITION BY source ORDER BY kind, doc_id ROWS UNBOUNDED PRECEDING)"""
+
 
 def sqlite_export_rows(spark, sf):
     return export.numbered_chunks(_chunks(spark, sf), "source", "doc_id", "chunk_index").select("source", "row_id", "doc_id", "chunk_index", "content")
@@ -346,6 +361,13 @@ def sqlite_export_bytes(spark, sf):
     return export.sqlite_files(docs, chunks, "source", STAMP).select("source", F.length("content").cast("long").alias("size_bytes"))
 
 
+def sqlite_export_contents(spark, sf):
+    """The exported files read back, with what their own full-text index finds."""
+    docs = _docs(spark, sf).select("source", F.col("doc_id").cast("string").alias("document_id"), "filename", F.lit("txt").alias("file_type"), F.col("doc_id").alias("position"))
+    chunks = _chunks(spark, sf).select("source", F.col("doc_id").cast("string").alias("document_id"), "chunk_index", "content")
+    return export.sqlite_contents(export.sqlite_files(docs, chunks, "source", STAMP), "source", '"' + " ".join(PHRASES[0]) + '"')
+
+
 def fts_export_join(spark, sf):
     """What a user's lookup in the exported file gives: index, chunks and documents joined."""
     hits = fulltext.build(_chunks(spark, sf), ["doc_id", "chunk_index"]).holding(PHRASES[0])
@@ -407,7 +429,7 @@ QUERIES = {k: run for k, (run, _) in _PAIRED.items()} | {
     for f in (
         chunk_documents, chunk_counts_by_doc, tenant_dashboard, document_list_desc, document_status, keyword_phrase_benchmark, keyword_batch_topk, semantic_batch_topk, semantic_ann_topk, semantic_skip_null,
         fts_tokens, fts_postings, fts_phrase, fts_bm25_topk, fts_bm25_deleted, fts_export_join, text_dehyphenate, text_table_rows, text_blank_collapse, text_line_fingerprints, page_markers, header_footer_removed,
-        file_type_gate, output_formats_canonical, export_stems, markdown_render, markdown_bundle, markdown_missing, sqlite_export_rows, sqlite_export_bytes, delete_cascade, api_key_hashes, auth_lookup, slug_conflicts,
+        file_type_gate, output_formats_canonical, export_stems, markdown_render, markdown_bundle, markdown_bundle_pieces, markdown_missing, sqlite_export_rows, sqlite_export_bytes, sqlite_export_contents, delete_cascade, api_key_hashes, auth_lookup, slug_conflicts,
     )
 }
 
@@ -440,6 +462,8 @@ ORACLES = {k: sql for k, (_, sql) in _PAIRED.items()} | {
     "export_stems": "SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'spec_v' || doc_id WHEN 1 THEN 'document' WHEN 2 THEN 'größe' || doc_id || '.x' WHEN 3 THEN '.hidden' ELSE source || '_' || doc_id END AS stem FROM documents",
     "markdown_render": f"SELECT doc_id, {_MARKDOWN_SQL} AS markdown FROM ({_DOCS_SQL})",
     "markdown_bundle": _BUNDLE_SQL,
+    "markdown_bundle_pieces": _PIECES_SQL,
+    "sqlite_export_contents": f"{_CHUNKS_SQL}, t AS (SELECT *, list_filter(string_split_regex({_FOLD_SQL.replace('text', 'content')}, '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '') AS w FROM chunks) SELECT t.source, row_number() OVER (PARTITION BY t.source ORDER BY t.doc_id, chunk_index) AS row_id, CAST(t.doc_id AS VARCHAR) AS document_id, filename, chunk_index, content, {_freq_sql(PHRASES[0])} > 0 AS found FROM t JOIN ({_DOCS_SQL}) d ON d.doc_id = t.doc_id",
     "markdown_missing": f"SELECT source, doc_id, filename FROM ({_DOCS_SQL}) WHERE doc_id % 4 = 1",
     "sqlite_export_rows": f"{_CHUNKS_SQL} SELECT source, row_number() OVER (PARTITION BY source ORDER BY doc_id, chunk_index) AS row_id, doc_id, chunk_index, content FROM chunks",
     "delete_cascade": f"{_CHUNKS_SQL} SELECT doc_id, count(*) AS chunks FROM chunks WHERE doc_id % 10 <> 4 GROUP BY doc_id",

@@ -17,4 +17,5 @@ API_KEYS = _of("id string, tenant_id string, key_hash string, label string, scop
 DOCUMENTS = _of("id string, tenant_id string, filename string, file_type string, file_size_bytes long, status string, output_formats strings, chunk_count int, error_message string, created_at timestamp, upload string, revision int")
 CHUNKS = _of("id string, tenant_id string, document_id string, chunk_index int, content string, embedding floats, created_at timestamp")
 ARTIFACTS = _of("id string, tenant_id string, document_id string, format string, filename string, content binary, size_bytes int, created_at timestamp")
-TABLES = {"tenants": TENANTS, "api_keys": API_KEYS, "documents": DOCUMENTS, "chunks": CHUNKS, "artifacts": ARTIFACTS}
+#: Keys are stored twice: by the first digits of their hash, to be looked up, and by tenant, to be listed.
+TABLES = {"tenants": TENANTS, "api_keys": API_KEYS, "tenant_keys": API_KEYS, "documents": DOCUMENTS, "chunks": CHUNKS, "artifacts": ARTIFACTS}

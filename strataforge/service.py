@@ -1,11 +1,12 @@
 """The engine's calls over stored tables: tenants, keys, uploads, search, exports, deletion.
 
-Tables are Parquet folders under ``root``, partitioned by tenant where rows belong to one, so that a tenant's calls read
-its partitions only. Each method that acts for a tenant takes the caller's key.
+Tables are those of ``store``: versions of Parquet folders, in parts. Documents, chunks and artifacts have a part a tenant,
+so a tenant's calls read its rows only; keys lie by the first digits of their hash, so that a caller is found by one part.
+Each method that acts for a tenant takes the caller's key.
 
 A document's row is written when work on it begins (``processing``) and again, with a higher revision, when it ends; the
-highest revision counts. Deletion writes a tenant's partition anew and puts it in place by renaming; what a crash leaves
-behind is put right when an engine starts, so start none while another one deletes.
+highest revision counts. Deletion writes a tenant's rows anew as the next version; an upload at the same time stays, and
+an engine may start at any time. What a crash leaves is never read (``Store.clean`` takes it away).
 """
 
 from __future__ import annotations
@@ -17,13 +18,16 @@ from datetime import UTC, datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import schemas
+from . import schemas, work
 from .config import DEFAULTS, Settings
 from .functions import text as T
 from .operators import catalog, chunking, export, search
 from .sources import files
+from .store import Conflict, Store
 
 Embedder = Callable[[Sequence[str]], Sequence[Sequence[float]]]
+#: Digits of a hash or an id that name a part.
+DIGITS = 2
 
 
 class Engine:
@@ -31,48 +35,34 @@ class Engine:
 
     def __init__(self, spark: SparkSession, root: str, settings: Settings = DEFAULTS, embed: Embedder | None = None, now: Callable[[], datetime] = lambda: datetime.now(UTC).replace(tzinfo=None)):
         self.spark, self.root, self.settings, self.embed, self.now = spark, root.rstrip("/"), settings, embed, now
-        for name in schemas.TABLES:
-            if self._exists(f"{self.root}/{name}"):
-                self._recover(name)
-            else:
-                self._append(name, spark.createDataFrame([], schemas.TABLES[name]))
-
-    # files of the store
-
-    def _files(self, path: str):
-        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()), at
-
-    def _exists(self, path: str) -> bool:
-        files, at = self._files(path)
-        return files.exists(at)
-
-    def _delete(self, path: str) -> None:
-        files, at = self._files(path)
-        files.delete(at, True)
-
-    def _rename(self, old: str, new: str) -> None:
-        files, at = self._files(old)
-        if not files.rename(at, self._files(new)[1]):
-            raise OSError(f"cannot rename {old}")
-
-    def _recover(self, name: str) -> None:
-        """Finish replacements that a crash cut short: an old partition without a new one comes back."""
-        files, at = self._files(f"{self.root}/{name}")
-        for left in [x.getPath().getName() for x in files.listStatus(at)]:
-            if left.startswith("_old-") and not self._exists(f"{self.root}/{name}/tenant_id={left[5:]}"):
-                self._rename(f"{self.root}/{name}/{left}", f"{self.root}/{name}/tenant_id={left[5:]}")
-            elif left.startswith(("_old-", "_new-")):
-                self._delete(f"{self.root}/{name}/{left}")
-
-    def _replace(self, name: str, tenant: str, rows: DataFrame) -> None:
-        """A tenant's partition becomes ``rows``; they may be read from it."""
-        place, new, old = (f"{self.root}/{name}/{x}{tenant}" for x in ("tenant_id=", "_new-", "_old-"))
-        rows.drop("tenant_id").write.mode("overwrite").parquet(new)
-        if self._exists(place):
-            self._rename(place, old)
-        self._rename(new, place)
-        self._delete(old)
+        # documents of earlier releases, which had no formats to choose from, were all for vector search
+        defaults = {"documents": {"output_formats": F.array(F.lit("vector")), "revision": F.lit(0)}}
+        bloom = {"parquet.bloom.filter.enabled#key_hash": "true"}
+        self.store = Store(spark, self.root, schemas.TABLES, defaults, {"api_keys": bloom})
+        self.store.upgraded(self._parts)
+
+    def _parts(self, name: str, rows: DataFrame) -> dict[str, DataFrame]:
+        """The parts of a store of an earlier layout, whose keys and tenants were tables of their own."""
+        if name == "api_keys":
+            for tenant, own in self._by(rows, F.col("tenant_id")).items():
+                if not self.store.version("tenant_keys", tenant)[0]:
+                    self.store.append("tenant_keys", tenant, own)
+        if name == "tenants":
+            for r in rows.select("slug", "id").collect():  # as many as tenants
+                self._claim(r.slug, r.id)
+        return self._by(rows, F.substring("id", 1, DIGITS) if name == "tenants" else F.substring("key_hash", 1, DIGITS) if name == "api_keys" else F.col("tenant_id"))
+
+    @staticmethod
+    def _by(rows: DataFrame, part) -> dict[str, DataFrame]:
+        return {r[0]: rows.where(part == r[0]) for r in rows.select(part.alias("part")).distinct().collect()}
+
+    def _claim(self, slug: str, tenant: str) -> bool:
+        """A slug belongs to the tenant whose file is created first."""
+        try:
+            self.store.create(f"{self.root}/slugs/{slug}", tenant)
+        except Conflict:
+            return False
+        return True
 
     def health(self) -> dict:
         """``ok`` if every table can be read, else ``degraded``, and what each says."""
@@ -86,20 +76,23 @@ class Engine:
         return {"status": "ok" if set(checks.values()) == {"ok"} else "degraded", "checks": checks}
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.schema(schemas.TABLES[name]).parquet(f"{self.root}/{name}")
+        return self.store.read(name)
 
-    def _append(self, name: str, rows: DataFrame) -> None:
-        writer = rows.select(*schemas.TABLES[name].names).write.mode("append")
-        (writer.partitionBy("tenant_id") if "tenant_id" in schemas.TABLES[name].names else writer).parquet(f"{self.root}/{name}")
+    def _append(self, name: str, part: str, rows: DataFrame) -> None:
+        self.store.append(name, part, rows)
 
     def _rows(self, name: str, rows: list[tuple]) -> DataFrame:
         return self.spark.createDataFrame(rows, schemas.TABLES[name])
 
     def _caller(self, key: str | None, call: str):
-        return catalog.authenticate(self.table("api_keys"), self.table("tenants"), key, call)
+        digest = catalog.key_hash(key or "")
+        keys = self.store.read("api_keys", digest[:DIGITS]).where(F.col("key_hash") == digest)
+        found = catalog.at_most_one(keys) if key else None
+        tenants = self.store.read("tenants", found.tenant_id[:DIGITS]) if found else self._rows("tenants", [])
+        return catalog.authenticate(keys, tenants, key, call)
 
     def _own(self, name: str, tenant: str) -> DataFrame:
-        rows = self.table(name).where(F.col("tenant_id") == tenant)
+        rows = self.store.read(name, tenant)
         if name != "documents":
             return rows
         last = rows.groupBy("id").agg(F.max_by(F.struct(*rows.columns), "revision").alias("last"))
@@ -110,25 +103,35 @@ class Engine:
     def create_tenant(self, name: str, slug: str) -> dict:
         """A tenant and its first admin key, which is shown only here."""
         catalog.check_name(name), catalog.check_slug(slug)
-        if catalog.at_most_one(self.table("tenants").where(F.col("slug") == slug)) is not None:
-            raise ValueError(f"slug {slug} is taken")
         tenant = str(uuid.uuid4())
-        self._append("tenants", self._rows("tenants", [(tenant, name, slug, True, self.now())]))
-        # of two callers at once, one has the slug; the other's row has no key
-        if self.table("tenants").where(F.col("slug") == slug).orderBy("created_at", "id").first().id != tenant:
+        if not self._claim(slug, tenant):
             raise ValueError(f"slug {slug} is taken")
+        self._append("tenants", tenant[:DIGITS], self._rows("tenants", [(tenant, name, slug, True, self.now())]))
         return {"id": tenant, "name": name, "slug": slug, "key": self._new_key(tenant, "default admin key", "admin")}
 
+    def seed(self, name: str, slug: str) -> str:
+        """A tenant to try things with, told as the statements that would make it and the keys that open it."""
+        made = self.create_tenant(name, slug)
+        reader, now = self._new_key(made["id"], "Test retrieval key", "retrieval"), self.now().isoformat()
+        quoted = lambda v: "'" + str(v).replace("'", "''") + "'"
+        rows = [(uuid.uuid4(), made["id"], catalog.key_hash(key), label, scope) for key, label, scope in ((made["key"], "Test admin key", "admin"), (reader, "Test retrieval key", "retrieval"))]
+        statements = [f"INSERT INTO tenants (id, name, slug, is_active, created_at)\nVALUES ({', '.join(map(quoted, (made['id'], name, slug)))}, true, {quoted(now)});"]
+        statements += [f"INSERT INTO api_keys (id, tenant_id, key_hash, label, scope, is_active, created_at)\nVALUES ({', '.join(map(quoted, r))}, true, {quoted(now)});" for r in rows]
+        return "\n\n".join([*statements, f"Tenant:        {name} ({slug})\nAdmin key:     {made['key']}\nRetrieval key: {reader}"])
+
     def _new_key(self, tenant: str, label: str, scope: str) -> str:
         key = catalog.new_key(scope)
-        self._append("api_keys", self._rows("api_keys", [(str(uuid.uuid4()), tenant, catalog.key_hash(key), label, scope, True, self.now())]))
+        digest = catalog.key_hash(key)
+        row = self._rows("api_keys", [(str(uuid.uuid4()), tenant, digest, label, scope, True, self.now())])
+        self._append("tenant_keys", tenant, row)
+        self._append("api_keys", digest[:DIGITS], row)
         return key
 
     def create_key(self, key: str, label: str, scope: str) -> str:
         return self._new_key(self._caller(key, "create_key").tenant_id, catalog.check_name(label), scope)
 
     def list_keys(self, key: str) -> DataFrame:
-        return self._own("api_keys", self._caller(key, "list_keys").tenant_id).where("is_active").select("id", "label", "scope", "created_at")
+        return self._own("tenant_keys", self._caller(key, "list_keys").tenant_id).where("is_active").select("id", "label", "scope", "created_at")
 
     def me(self, key: str) -> dict:
         caller = self._caller(key, "me")
@@ -175,10 +178,10 @@ class Engine:
             self._work(tenant, uploads, formats, upload, stage)
         except Exception as e:
             begun = self._uploaded(tenant, upload).where("status = 'processing'")
-            self._append("documents", begun.withColumns({"status": F.lit("failed"), "error_message": F.lit(str(e)[:1000]), "revision": F.lit(2)}))
+            self._append("documents", tenant, begun.withColumns({"status": F.lit("failed"), "error_message": F.lit(str(e)[:1000]), "revision": F.lit(2)}))
             raise
         finally:
-            self._delete(stage)
+            self.store.delete(stage)
         return self._uploaded(tenant, upload)
 
     def _work(self, tenant: str, uploads: DataFrame, formats: list[str], upload: str, stage: str) -> None:
@@ -187,7 +190,7 @@ class Engine:
         raw = self.spark.read.parquet(f"{stage}/files")
         kind, given = T.file_type(F.col("filename")), F.array(*map(F.lit, formats))
         begun = F.lit(self.now())
-        self._append("documents", raw.select(
+        self._append("documents", tenant, raw.select(
             F.col("document_id").alias("id"), F.lit(tenant).alias("tenant_id"), "filename", kind.alias("file_type"), F.col("size").cast("long").alias("file_size_bytes"), F.lit("processing").alias("status"),
             given.alias("output_formats"), F.lit(0).alias("chunk_count"), F.lit(None).cast("string").alias("error_message"), begun.alias("created_at"), F.lit(upload).alias("upload"), F.lit(0).alias("revision"),
         ))
@@ -214,7 +217,7 @@ class Engine:
 
             vector = embedded(F.col("content"))
         chunk_id = F.sha2(F.concat_ws(":", "document_id", F.col("chunk_index").cast("string")), 256)
-        self._append("chunks", parts.select(chunk_id.alias("id"), F.lit(tenant).alias("tenant_id"), "document_id", "chunk_index", "content", vector.alias("embedding"), now.alias("created_at")))
+        self._append("chunks", tenant, parts.select(chunk_id.alias("id"), F.lit(tenant).alias("tenant_id"), "document_id", "chunk_index", "content", vector.alias("embedding"), now.alias("created_at")))
         stem, made = T.export_stem(F.col("filename")), self.now()
         artifacts = []
         if "markdown" in formats:
@@ -225,15 +228,15 @@ class Engine:
             made_files = export.sqlite_files(one, parts.withColumn("one", F.col("document_id")), "one", made.isoformat())
             artifacts.append(made_files.join(ready.select("document_id", stem.alias("stem")), F.col("one") == F.col("document_id")).select("document_id", F.lit("sqlite").alias("format"), F.concat("stem", F.lit(".db")).alias("filename"), "content"))
         for a in artifacts:
-            self._append("artifacts", a.select(F.expr("uuid()").alias("id"), F.lit(tenant).alias("tenant_id"), "document_id", "format", "filename", "content", F.octet_length("content").alias("size_bytes"), now.alias("created_at")))
-        self._append("documents", docs)
+            self._append("artifacts", tenant, a.select(F.expr("uuid()").alias("id"), F.lit(tenant).alias("tenant_id"), "document_id", "format", "filename", "content", F.octet_length("content").alias("size_bytes"), now.alias("created_at")))
+        self._append("documents", tenant, docs)
 
     def list_documents(self, key: str) -> DataFrame:
         """Newest first."""
         return self._own("documents", self._caller(key, "list").tenant_id).orderBy(F.desc("created_at"), "id")
 
     def delete_document(self, key: str, document_id: str) -> None:
-        """The document, its chunks and its artifacts; rewrites the tenant's partitions."""
+        """The document, its chunks and its artifacts; rewrites the tenant's rows, and no text stays."""
         tenant = self._caller(key, "delete").tenant_id
         if catalog.at_most_one(self._own("documents", tenant).where(F.col("id") == document_id)) is None:
             raise KeyError(document_id)
@@ -242,7 +245,7 @@ class Engine:
     def _drop(self, tenant: str, gone: DataFrame) -> None:
         """Without the documents ``gone`` (id); their own rows go last, so that a deletion cut short can be repeated."""
         for name, column in (("artifacts", "document_id"), ("chunks", "document_id"), ("documents", "id")):
-            self._replace(name, tenant, catalog.without(self.table(name).where(F.col("tenant_id") == tenant), gone, column, "id"))
+            self.store.replace(name, tenant, lambda rows, column=column: catalog.without(rows, gone, column, "id"))
 
     # search
 
@@ -285,10 +288,18 @@ class Engine:
             raise KeyError("no documents")
         return f"{caller.slug}-documents.db", bytes(rows[0].content)
 
-    def export_markdown(self, key: str) -> tuple[str, str]:
+    def export_markdown_parts(self, key: str) -> tuple[str, DataFrame]:
+        """(name, parts): the bundle as parts (offset, size, content), made by many tasks; in order of their offsets they are the file."""
         caller = self._caller(key, "export_markdown")
         texts = self._own("artifacts", caller.tenant_id).where("format = 'markdown'").select("document_id", F.decode("content", "UTF-8").alias("md"))
-        rows = export.markdown_bundle(self._ready(caller.tenant_id).join(texts, "document_id", "left"), "tenant_id", F.lit(caller.tenant_name), "position", "filename", "md").collect()
-        if not rows:
+        sections = self._ready(caller.tenant_id).join(texts, "document_id", "left")
+        pieces = export.bundle_pieces(sections, "tenant_id", F.lit(caller.tenant_name), "position", "filename", "md")
+        return f"{caller.slug}-documents.md", export.bundle_parts(pieces, "tenant_id").drop("tenant_id")
+
+    def export_markdown(self, key: str) -> tuple[str, str]:
+        """The bundle as one value, for callers that want one; parts arrive one by one."""
+        name, parts = self.export_markdown_parts(key)
+        text = b"".join(bytes(r.content) for r in work.materialise(parts, "bundle").orderBy("offset").toLocalIterator()).decode()
+        if not text:
             raise KeyError("no documents with Markdown output")
-        return f"{caller.slug}-documents.md", rows[0].markdown
+        return name, text

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..config import DEFAULTS, Settings
 from ..functions import text as T
 from ..operators import headers
+from . import pdf
 
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
@@ -25,7 +26,7 @@ def decode(data: bytes) -> str:
 
 
 class Records:
-    """Rows under a header row, told as one line a row: its non-blank values, each after its column's name."""
+    """Rows under a header row, told as one line a row: its non-blank values, each after its column's name and a colon, or after ``unnamed``."""
 
     def __init__(self, rows: Iterable[Sequence[str]], unnamed: str):
         self.rows, self.unnamed = iter(rows), unnamed
@@ -37,8 +38,8 @@ class Records:
         return self.first is not None
 
     def told(self) -> str:
-        forms = [f"{name}: {{}}" if name else self.unnamed for name in (n.replace("{", "{{").replace("}", "}}") for n in self.names)]
-        told = ("; ".join(form.format(value) for form, value in zip(forms, row, strict=False) if not is_blank(value)) for row in chain([self.first], self.rows))
+        labels = [f"{name}: " if name else self.unnamed for name in self.names]
+        told = ("; ".join(label + value for label, value in zip(labels, row, strict=False) if not is_blank(value)) for row in chain([self.first], self.rows))
         return "\n".join(filter(None, told))
 
 
@@ -49,14 +50,14 @@ def is_blank(value: str) -> bool:
 def csv_text(data: bytes) -> str:
     """The records of a CSV file; a file without a row under its header stays as it is."""
     text = decode(data)
-    records = Records(csv.reader(io.StringIO(text)), ": {}")
+    records = Records(csv.reader(io.StringIO(text)), ": ")
     return records.told() if records.headed else text
 
 
 def _table(node: ET.Element) -> str:
     """The records of a table's rows that are not blank; cells of a lone row side by side, blank ones too."""
     cells = (["".join(t.text or "" for t in cell.iter(f"{_W}t")).strip() for cell in row.findall(f"{_W}tc")] for row in node.findall(f"{_W}tr"))
-    records = Records((row for row in cells if any(row)), "{}")
+    records = Records((row for row in cells if any(row)), "")
     return records.told() if records.headed else " | ".join(records.names or ())
 
 
@@ -67,28 +68,12 @@ def docx_text(data: bytes) -> str:
     parts = []
     for node in body if body is not None else ():
         if node.tag == f"{_W}p":
-            parts.append("".join("\t" if x.tag == f"{_W}tab" else "\n" if x.tag == f"{_W}br" else x.text or "" for x in node.iter() if x.tag in (f"{_W}t", f"{_W}tab", f"{_W}br")))
+            parts.append("".join("\t" if x.tag == f"{_W}tab" else "\n" if x.tag == f"{_W}br" else x.text or "" for x in node.iter() if x.tag in (f"{_W}t", f"{_W}tab", f"{_W}br")).strip())
         elif node.tag == f"{_W}tbl":
             parts.append(_table(node))
     return "\n\n".join(p for p in parts if p.strip())
 
 
-def pdf_pages(data: bytes) -> list[str]:
-    """Text of each page by layout, else plain; needs pypdf."""
-    try:
-        from pypdf import PdfReader
-    except ImportError as e:
-        raise ValueError("reading PDF files needs pypdf") from e
-    out = []
-    for page in PdfReader(io.BytesIO(data)).pages:
-        try:
-            text = page.extract_text(extraction_mode="layout")
-        except Exception:
-            text = page.extract_text()
-        out.append(text or "")
-    return out
-
-
 def read_files(spark: SparkSession, path: str, **options: str) -> DataFrame:
     """(filename, size, content) of the files under a path; columns that aren't used aren't read."""
     return spark.read.format("binaryFile").options(**options).load(path).select(F.element_at(F.split("path", "/"), -1).alias("filename"), F.col("length").alias("size"), "content")
@@ -117,7 +102,7 @@ def page_texts(pages: Column, keep_page_markers: bool = False) -> Column:
     return headers.without_repeats(F.array_join(marked, "\n\n"), F.size(pages), keep_page_markers)
 
 
-def parse_files(files: DataFrame, settings: Settings = DEFAULTS, keep_page_markers: bool = False, pdf: Callable[[bytes], list[str]] = pdf_pages) -> DataFrame:
+def parse_files(files: DataFrame, settings: Settings = DEFAULTS, keep_page_markers: bool = False, read_pdf: Callable[[bytes], list[str]] = pdf.pages) -> DataFrame:
     """(document_id, filename, text, error) of files (document_id, filename, size, content), by extension.
 
     Unknown extensions and files above the size limit get an error. Text files never leave the JVM. CSV, DOCX and PDF files
@@ -131,7 +116,7 @@ def parse_files(files: DataFrame, settings: Settings = DEFAULTS, keep_page_marke
     inside = known & fits & F.col("kind").isin("txt", "md")
     why = F.when(~known, F.lit(f"unsupported file type; supported: {kinds}")).when(~fits, F.lit("file too large"))
     simple = files.where(~known | ~fits | F.col("kind").isin("txt", "md")).select("document_id", "filename", F.when(inside, T.decode_text(F.col("content"))).alias("text"), why.alias("error"))
-    readers = {"csv": lambda d: [csv_text(d)], "docx": lambda d: [docx_text(d)], "pdf": pdf}
+    readers = {"csv": lambda d: [csv_text(d)], "docx": lambda d: [docx_text(d)], "pdf": read_pdf}
     asked = files.where(known & fits & F.col("kind").isin(*readers)).select("document_id", "filename", "kind", "content")
     read = asked.mapInPandas(_read(readers), "document_id string, filename string, kind string, pages array<string>, error string")
     text = F.when(F.col("error").isNotNull(), none).when(F.col("kind") == "pdf", page_texts(F.col("pages"), keep_page_markers)).otherwise(F.get("pages", F.lit(0)))

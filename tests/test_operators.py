@@ -122,6 +122,37 @@ def test_sqlite_file(tmp_path):
     assert sqlite3.connect(tmp_path / "y.db").execute("SELECT count(*) FROM documents").fetchone() == (0,)
 
 
+def test_bundles_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(export, "PART", 60)
+    monkeypatch.setattr(numbering, "ROWS", 9)
+    rows = [("a", i, f"f{i}.txt", f"Text {i} é" * (i % 3) if i % 4 else None, 0) for i in range(40)] + [("b", 1, "b.txt", None, 0), (None, 1, "n.txt", "of none", 0), ("c", 2, "c.txt", "", 0)]
+    sections = spark.createDataFrame(rows, "tenant string, p int, f string, md string, size int").repartition(4)
+    whole = {r.tenant: r.markdown for r in export.markdown_bundle(sections, "tenant", F.concat(F.lit("of "), "tenant"), "p", "f", "md").collect() if r.tenant}
+    pieces = export.bundle_pieces(sections, "tenant", F.concat(F.lit("of "), "tenant"), "p", "f", "md")
+    assert pieces.where("tenant = 'a'").count() == 41
+    parts = sorted((r for r in export.bundle_parts(pieces, "tenant").collect() if r.tenant), key=lambda r: (r.tenant, r.offset))
+    got = {}
+    for r in parts:
+        assert r.offset == len(got.setdefault(r.tenant, b"")) and r.size == len(r.content) and (r.size <= 60 or r.size < 120)
+        got[r.tenant] += bytes(r.content)
+    assert {t: b.decode() for t, b in got.items()} == whole and set(whole) == {"a", "c"} and sum(r.tenant == "a" for r in parts) > 8
+
+
+def test_files_read_back(spark):
+    docs = spark.createDataFrame([("t", "d1", "pump.txt", "txt", 1), ("t", "d2", "x.md", "md", 0), ("u", "d3", "y.md", "md", 0)], "owner string, document_id string, filename string, file_type string, position int")
+    chunks = spark.createDataFrame([("t", "d1", 0, "P-18 é"), ("t", "d1", 1, "p 18"), ("t", "d2", 0, "P18"), ("u", "d3", 0, "none")], "owner string, document_id string, chunk_index int, content string")
+    got = export.sqlite_contents(export.sqlite_files(docs, chunks, "owner", "now"), "owner", '"p 18"').collect()
+    assert sorted(map(tuple, got)) == [("t", 1, "d2", "x.md", 0, "P18", False), ("t", 2, "d1", "pump.txt", 0, "P-18 é", True), ("t", 3, "d1", "pump.txt", 1, "p 18", True), ("u", 1, "d3", "y.md", 0, "none", False)]
+
+
+def test_running_sums(spark, monkeypatch):
+    monkeypatch.setattr(numbering, "ROWS", 30)
+    rows = [("g" if i % 2 else None, i, i % 7, 0) for i in range(300)]
+    df = spark.createDataFrame(rows, "g string, o int, v int, before int").repartition(6)
+    got = {(r.g, r.o): r.s for r in numbering.numbered(df, ["g"], ["o"], "n", sums={"s": "v"}).collect()}
+    assert got == {(g, o): sum(v for h, p, v, _ in rows if h == g and p < o) for g, o, _, _ in rows}
+
+
 def test_keys():
     key = catalog.new_key("admin")
     assert len(catalog.key_hash(key)) == 64 and key != catalog.new_key("admin")

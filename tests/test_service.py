@@ -5,7 +5,10 @@ import zipfile
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from strataforge import store
+from strataforge.operators import catalog
 from strataforge.operators.catalog import Denied
 from strataforge.service import Engine
 from strataforge.sources import files
@@ -18,9 +21,13 @@ def docx():
     cell = lambda t: f"<w:tc><w:p><w:r><w:t>{t}</w:t></w:r></w:p></w:tc>"
     row = lambda *c: "<w:tr>" + "".join(map(cell, c)) + "</w:tr>"
     body = f"<w:p><w:r><w:t>First </w:t></w:r><w:r><w:t>line</w:t></w:r></w:p><w:tbl>{row('Code', '')}{row('E-1', 'Fuse')}{row('', '')}</w:tbl>"
+    return zipped(f"<w:document {_W}><w:body>{body}</w:body></w:document>")
+
+
+def zipped(document):
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w") as z:
-        z.writestr("word/document.xml", f"<w:document {_W}><w:body>{body}</w:body></w:document>")
+        z.writestr("word/document.xml", document)
     return out.getvalue()
 
 
@@ -33,13 +40,15 @@ def test_file_texts():
     assert files.csv_text(b"only,one row") == "only,one row"
     assert files.docx_text(docx()) == "First line\n\nCode: E-1; Fuse"
     assert files._table(files.ET.fromstring(f"<w:tbl {_W}>" + "<w:tr>" + "".join(f"<w:tc><w:p><w:r><w:t>{t}</w:t></w:r></w:p></w:tc>" for t in ("a", "", "b")) + "</w:tr></w:tbl>")) == "a |  | b"
+    spaced = f"<w:document {_W}><w:body><w:p><w:r><w:t>  lead and trail  </w:t></w:r></w:p><w:p><w:r><w:t> </w:t></w:r></w:p><w:p><w:r><w:t>b</w:t></w:r></w:p></w:body></w:document>"
+    assert files.docx_text(zipped(spaced)) == "lead and trail\n\nb"
     assert files.csv_text(b"{x},b\n1,{2}") == "{x}: 1; b: {2}" and files.csv_text(b"a,b\n\n") == ""
 
 
 def test_parse_files(spark):
     pages = lambda data: data.decode().split("|")
     rows = [("1", "a.txt", 4, bytearray(b"hi\xff")), ("2", "b.exe", 1, bytearray(b"x")), ("3", "c.docx", 9, bytearray(b"broken")), ("4", "d.pdf", 9, bytearray(b"one  two|| three-\nfour")), ("5", "e.md", 99 << 20, bytearray(b"x"))]
-    got = {r.document_id: r for r in files.parse_files(spark.createDataFrame(rows, "document_id string, filename string, size long, content binary"), pdf=pages).collect()}
+    got = {r.document_id: r for r in files.parse_files(spark.createDataFrame(rows, "document_id string, filename string, size long, content binary"), read_pdf=pages).collect()}
     assert got["1"].text == "hi�" and got["4"].text == "one two\n\nthreefour"  # markers of most pages count as repeated lines
     assert "unsupported" in got["2"].error and got["3"].error and got["5"].error == "file too large"
 
@@ -106,14 +115,103 @@ def test_states_and_crashes(spark, tmp_path):
         engine.upload_batch(key, batch, "markdown", "batch 1").count()
     assert engine.list_documents(key).count() == 2 and engine.table("chunks").count() == 1
     # an upload that was cut short runs again from the start
-    tenant, stuck = rows[0].tenant_id, engine.table("documents").where("filename = 'b.txt' AND revision = 0")
-    engine._replace("documents", tenant, stuck)
+    tenant = rows[0].tenant_id
+    engine.store.replace("documents", tenant, lambda held: held.where("filename = 'b.txt' AND revision = 0"))
     assert [r.status for r in engine.upload_batch(key, batch, "markdown", "batch 1").collect()] == ["ready"] and engine.table("chunks").count() == 1
-    # a crash between two renames
-    place = tmp_path / "store" / "documents"
-    (place / f"tenant_id={tenant}").rename(place / f"_old-{tenant}")
-    assert engine.list_documents(key).count() == 0
-    assert Engine(spark, str(tmp_path / "store")).list_documents(key).count() == 1
+    # rows of a writer that died before its version are not read, and go
+    engine.store._write("documents", tenant, engine.table("documents"))
+    assert engine.list_documents(key).count() == 1 and engine.store.clean("documents") == 1 and engine.list_documents(key).count() == 1
+
+
+def test_an_upload_inside_a_deletion(spark, tmp_path, monkeypatch):
+    engine = Engine(spark, str(tmp_path / "store"))
+    key = engine.create_tenant("Acme", "acme")["key"]
+    engine.upload(key, uploads(spark, ("a.txt", b"first words"), ("b.txt", b"second words")), "markdown")
+    doc = engine.list_documents(key).where("filename = 'a.txt'").first().id
+    write, others = engine.store._write, []
+
+    def meanwhile(name, part, rows):
+        """Between reading a tenant's rows and making the next version of them another engine starts and uploads."""
+        folder = write(name, part, rows)
+        if not others and name == "chunks":
+            others.append(Engine(spark, str(tmp_path / "store")))
+            others[0].upload(key, uploads(spark, ("c.txt", b"third words")), "markdown")
+        return folder
+
+    monkeypatch.setattr(engine.store, "_write", meanwhile)
+    engine.delete_document(key, doc)
+    assert others and sorted(r.filename for r in engine.list_documents(key).collect()) == ["b.txt", "c.txt"]
+    assert sorted(r.content for r in engine.table("chunks").collect()) == ["second words", "third words"] and engine.table("artifacts").count() == 2
+    assert engine.retrieve(key, "words", "keyword").count() == 2
+
+
+def test_two_deletions_at_once(spark, tmp_path, monkeypatch):
+    engine = Engine(spark, str(tmp_path / "store"))
+    key = engine.create_tenant("Acme", "acme")["key"]
+    engine.upload(key, uploads(spark, *[(f"{c}.txt", c.encode() * 9) for c in "abc"]), "markdown")
+    ids = {r.filename: r.id for r in engine.list_documents(key).collect()}
+    other, write, done = Engine(spark, str(tmp_path / "store")), engine.store._write, []
+
+    def meanwhile(name, part, rows):
+        folder = write(name, part, rows)
+        if not done:
+            done.append(other.delete_document(key, ids["b.txt"]))
+        return folder
+
+    monkeypatch.setattr(engine.store, "_write", meanwhile)
+    engine.delete_document(key, ids["a.txt"])
+    assert [r.filename for r in engine.list_documents(key).collect()] == ["c.txt"] and [r.content for r in engine.table("chunks").collect()] == ["c" * 9]
+
+
+def test_versions_of_a_part(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(store, "FOLDERS", 4)
+    held = store.Store(spark, str(tmp_path / "s"), {"t": T._parse_datatype_string("id int, v string")})
+    for i in range(9):
+        held.append("t", "p", spark.createDataFrame([(i, "x")], "id int, v string"))
+    version, folders = held.version("t", "p")
+    assert sorted(r.id for r in held.read("t").collect()) == list(range(9)) and len(folders) < 6 and version > 9
+    with pytest.raises(store.Conflict):
+        held._commit("t", "p", version, [])
+    assert held.read("t", "none").count() == 0 and held.clean("t") == 0
+
+
+def test_a_caller_is_found_by_one_part(spark, tmp_path):
+    engine = Engine(spark, str(tmp_path / "store"))
+    keys = [engine.create_tenant(f"T{i}", f"t-{i}")["key"] for i in range(6)]
+    read = []
+    whole = engine.store._rows
+    engine.store._rows = lambda name, folders: read.append((name, list(folders))) or whole(name, folders)
+    assert engine.me(keys[3])["slug"] == "t-3"
+    assert [(n, len({f.split("/")[1].split("-")[0] for f in folders})) for n, folders in read] == [("api_keys", 1), ("tenants", 1), ("documents", 0)]
+    with pytest.raises(ValueError, match="taken"):
+        engine.create_tenant("Again", "t-3")
+
+
+def test_a_store_of_an_earlier_release(spark, tmp_path):
+    """Folders by tenant, no versions, documents without a choice of formats."""
+    root = tmp_path / "store"
+    old = Engine(spark, str(tmp_path / "new"))
+    key = old.create_tenant("Acme", "acme")["key"]
+    old.upload(key, uploads(spark, ("a.txt", b"old words")), "markdown")
+    for name in ("tenants", "api_keys", "documents", "chunks", "artifacts"):
+        rows = old.table(name).drop("output_formats", "revision")
+        (rows.write.partitionBy("tenant_id") if "tenant_id" in rows.columns else rows.write).parquet(str(root / name))
+    for _ in range(2):
+        engine = Engine(spark, str(root))
+        assert engine.store.layout() == store.LAYOUT
+        # both rows of the document have revision 0 now; one of them counts
+        assert [r.output_formats for r in engine.list_documents(key).collect()] == [["vector"]]
+        assert engine.me(key)["document_count"] == 1 and engine.list_keys(key).count() == 1 and not list((root / "documents").glob("tenant_id=*"))
+    with pytest.raises(ValueError, match="taken"):
+        engine.create_tenant("Again", "acme")
+
+
+def test_seed_tells_what_it_made(spark, tmp_path):
+    engine = Engine(spark, str(tmp_path / "store"))
+    told = engine.seed("O'Neill", "oneill")
+    assert told.count("INSERT INTO api_keys") == 2 and "'O''Neill', 'oneill'" in told
+    admin, reader = (line.split()[-1] for line in told.splitlines()[-2:])
+    assert engine.list_keys(admin).count() == 2 and engine.me(reader)["slug"] == "oneill" and catalog.key_hash(admin) in told
 
 
 def test_watching_a_folder(spark, tmp_path):

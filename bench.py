@@ -10,8 +10,8 @@ from pyspark.sql import SparkSession
 
 HEADLINE = (
     "chunk_documents", "tenant_dashboard", "keyword_multi_term", "keyword_batch_topk", "semantic_topk", "semantic_batch_topk", "fts_postings", "fts_bm25_topk",
-    "header_footer_removed", "markdown_bundle", "sqlite_export_rows", "sqlite_export_bytes",
-    "op1_mixing", "op2_lm_scoring", "op3_topk", "op4_simhash", "op5_toxicity", "op6_hnsw", "op7_secrets", "op8_language_id", "op9_packing", "op10_html_extraction",
+    "header_footer_removed", "markdown_bundle", "sqlite_export_rows", "sqlite_export_bytes", "semantic_ann_topk", "markdown_bundle_pieces", "file_dispatch",
+    "op1_mixing", "op2_lm_scoring", "op3_topk", "op4_simhash", "op5_toxicity", "op6_hnsw", "op7_secrets", "op8_language_id", "op9_packing", "op10_html_extraction", "op11_suffix_dedup", "op12_repair", "op13_merkle",
 )
 
 

@@ -67,7 +67,7 @@ def authenticate(keys: DataFrame, tenants: DataFrame, key: str | None, call: str
     found = at_most_one(valid_keys(keys.where(F.col("key_hash") == key_hash(key)), tenants)) if key else None
     if found is None:
         raise Denied(401, "missing or invalid key")
-    if call in ADMIN_ONLY and found.scope != "admin":
+    if call in ADMIN_ONLY and found.scope != "admin":  # as ``permitted`` has it
         raise Denied(403, "this call needs an admin key")
     return found
 
@@ -82,6 +82,17 @@ def without(rows: DataFrame, gone: DataFrame, column: str, gone_column: str | No
     return rows.join(gone.select(F.col(gone_column or column).alias(column)), column, "left_anti")
 
 
+def latest(rows: DataFrame, key: str = "id", revision: str = "revision") -> DataFrame:
+    """Of each key the row with the highest revision."""
+    last = rows.groupBy(key).agg(F.max_by(F.struct(*[F.col(f"`{c}`") for c in rows.columns]), revision).alias("last"))
+    return last.select("last.*")
+
+
+def permitted(scope: Column, call: str) -> Column:
+    """Whether a key of a scope may make a call."""
+    return F.lit(call not in ADMIN_ONLY) | (scope == "admin")
+
+
 def dashboard(documents: DataFrame, tenant: str = "tenant_id") -> DataFrame:
     """(tenant, document_count, chunk_count): all documents, chunks of the ready ones."""
     ready = F.sum(F.when(F.col("status") == "ready", F.col("chunk_count").cast("long")))

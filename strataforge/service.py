@@ -93,10 +93,7 @@ class Engine:
 
     def _own(self, name: str, tenant: str) -> DataFrame:
         rows = self.store.read(name, tenant)
-        if name != "documents":
-            return rows
-        last = rows.groupBy("id").agg(F.max_by(F.struct(*rows.columns), "revision").alias("last"))
-        return last.select("last.*")
+        return catalog.latest(rows) if name == "documents" else rows
 
     # tenants and keys
 

@@ -3,7 +3,7 @@ import os
 import duckdb
 import pytest
 
-from strataforge.plans import queries
+from strataforge.plans import registry as queries
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

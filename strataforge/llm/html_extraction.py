@@ -42,6 +42,10 @@ _INLINE = frozenset(("a", "abbr", "b", "bdi", "bdo", "cite", "code", "data", "de
 _ENDS_P = frozenset(("address", "article", "aside", "blockquote", "details", "div", "dl", "fieldset", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "menu", "nav", "ol", "p", "pre", "section", "table", "ul"))
 
 
+#: Blocks of a page whose vectors are held at once.
+SLICE = 4096
+
+
 @lru_cache(1 << 16)
 def _slots(token: str) -> tuple[tuple[int, float], ...]:
     """A path token stands in three places of the path's vector, so that no two tokens look alike."""
@@ -60,6 +64,7 @@ class _Path:
         self.places: dict[str, list[int]] = defaultdict(list)
         self.held: Counter = Counter()
         self.size, self.vector = 0, np.zeros(PATH, np.float32)
+        self.known: dict[bytes, np.ndarray] = {}  # blocks of one path share its vector
 
     def open(self, name: str, tokens: tuple[str, ...]):
         self.places[name].append(len(self.names))
@@ -86,7 +91,10 @@ class _Path:
         return max((self.places[n][-1] for n in names if self.places[n]), default=-1)
 
     def look(self) -> tuple[np.ndarray, int, str, bool]:
-        return self.vector.copy(), self.size, self.names[-1] if self.names else "", self.last("p") >= 0
+        held = self.known.setdefault(self.vector.tobytes(), None)
+        if held is None:
+            held = self.known[self.vector.tobytes()] = self.vector.copy()
+        return held, self.size, self.names[-1] if self.names else "", self.last("p") >= 0
 
 
 def _tokens(source: str) -> Iterator[tuple[str | None, re.Match | None]]:
@@ -194,11 +202,13 @@ def _word_slot(word: str) -> tuple[int, float]:
     return _slot(word, WORDS)
 
 
-def vectors(page: list) -> np.ndarray:
-    x = np.zeros((len(page), WIDE), np.float32)
+def vectors(page: list, first: int = 0, until: int | None = None) -> np.ndarray:
+    """Vectors of a page's blocks, or of some of them."""
     n = len(page)
-    for i, ((path, tokens, last, inside), text, links, _) in enumerate(page):
-        row = x[i]
+    some = page[first:until]
+    x = np.zeros((len(some), WIDE), np.float32)
+    for i, ((path, tokens, last, inside), text, links, _) in enumerate(some, first):
+        row = x[i - first]
         row[:PATH] = path
         words, bag = text.lower().split(), [0.0] * WORDS
         for w, k in Counter(words).items():
@@ -423,6 +433,30 @@ class Labeller:
         return out
 
 
+    def of_long(self, page: list) -> np.ndarray:
+        """The same of one page of very many blocks: the states go on from slice to slice, one way and then the other, and
+        of a slice only its blocks' shares of the outcome are kept."""
+        p, n = self.params, len(page)
+        out = np.full(n, p[8][0])
+        cuts = [(a, min(a + SLICE, n)) for a in range(0, n, SLICE)]
+        for way, (w, u, b), share in ((1, p[0:3], p[6][:HIDDEN]), (-1, p[3:6], p[6][HIDDEN:])):
+            h, c = np.zeros(HIDDEN), np.zeros(HIDDEN)
+            for first, until in cuts[::way]:
+                x = vectors(page, first, until).astype(np.float64)
+                if way > 0:
+                    out[first:until] += x @ p[7]
+                xw = (x @ w + b)[::way]
+                told = np.empty(len(x))
+                for t in range(len(x)):
+                    z = xw[t] + h @ u
+                    s = _sigmoid(z[: 3 * HIDDEN])
+                    c = s[HIDDEN : 2 * HIDDEN] * c + s[:HIDDEN] * np.tanh(z[3 * HIDDEN :])
+                    h = s[2 * HIDDEN :] * np.tanh(c)
+                    told[t] = h @ share
+                out[first:until] += told[::way]
+        return _sigmoid(out)
+
+
 def _padded(pages):
     length = max(len(p) for p in pages)
     x, mask = np.zeros((len(pages), length, WIDE)), np.zeros((len(pages), length))
@@ -471,7 +505,9 @@ def extract_text(sources, net: Labeller) -> list[str]:
     out, sources = [], list(sources)
     for part in common.slices(sources):
         pages = [blocks(s) for s in sources[part]]
-        probs = net.probabilities([vectors(p) for p in pages])
+        long = {i for i, p in enumerate(pages) if len(p) > SLICE}
+        probs = net.probabilities([vectors([] if i in long else p) for i, p in enumerate(pages)])
+        probs = [net.of_long(p) if i in long else prob for i, (p, prob) in enumerate(zip(pages, probs, strict=True))]
         out += [" ".join(b[1] for b, y in zip(p, prob, strict=True) if y >= 0.5) for p, prob in zip(pages, probs, strict=True)]
     return out
 

@@ -5,7 +5,7 @@ copied with the identity term swapped for other ones and for none; the squared c
 its copy is penalised, so that a group's name alone moves no score and neutral mentions aren't false positives.
 
 The classifier learns from a bounded sample of the labelled rows (``POSITIVES`` and ``NEGATIVES`` documents, ``SENTENCES``
-sentences that mention a group, the smallest seeded hashes); everything else reads all rows. Weights go to the tasks: at
+sentences that mention a group, ``PAIRS`` pairs with a copy, the smallest seeded hashes); everything else reads all rows. Weights go to the tasks: at
 most ``FEATURES`` of them. Where no labelled sentence mentions a group, nothing is swapped, and what remains is logistic
 regression.
 """
@@ -25,6 +25,8 @@ from . import common
 
 #: Bounds of the labelled sample, of the weights, and documents that must hold a feature; swaps of a term, besides none.
 POSITIVES, NEGATIVES, SENTENCES, FEATURES, SUPPORT, SWAPS = 4000, 8000, 8192, 4096, 4, 4
+#: Pairs of a sentence and its copy that are learned from, by hash, and words of a sentence: a longer one is cut into some.
+PAIRS, SENTENCE_WORDS = 32_768, 128
 #: Groups that texts mention neutrally; swapped for one another.
 IDENTITY_TERMS = (
     "women", "men", "woman", "man", "girls", "boys", "female", "male", "transgender", "gay", "lesbian", "bisexual", "queer",
@@ -45,11 +47,16 @@ def features(text: str | None) -> set[str]:
 
 
 def mentioning(text: str | None, terms: frozenset[str]) -> list[str]:
-    """The sentences of a text in which an identity term stands, lower-case."""
+    """The sentences of a text in which an identity term stands, lower-case; of one of very many words the runs that hold one."""
     low = (text or "").lower()
     if not terms & set(_WORD.findall(low)):
         return []
-    return [s for s in _SENTENCE.split(low) if terms & set(_WORD.findall(s))]
+    out = []
+    for s in _SENTENCE.split(low):
+        words = s.split()
+        runs = [s] if len(words) <= SENTENCE_WORDS else [" ".join(words[i : i + SENTENCE_WORDS]) for i in range(0, len(words), SENTENCE_WORDS)]
+        out += [r for r in runs if terms & set(_WORD.findall(r))]
+    return out
 
 
 def swapped(sentence: str, terms: frozenset[str], swaps: int = SWAPS) -> list[str]:
@@ -198,7 +205,8 @@ def score_documents(docs: DataFrame, labels: DataFrame, learn_from, held_out, id
     names = [r.f for r in tally.select("f", F.round(evidence, 9).alias("e")).orderBy(F.desc("e"), "f").limit(FEATURES).collect()]
     held = seen.select("k", "y", "names").mapInPandas(_placed(names), "k long, y int, i array<int>").toPandas().sort_values("k")
     spoken = seen.select(F.explode("sentences").alias("s")).distinct().orderBy(F.xxhash64("s", F.lit(seed)), "s").limit(SENTENCES)
-    pairs = spoken.mapInPandas(_paired(names, terms), "i array<int>, j array<int>").toPandas().sort_values(["i", "j"], key=lambda c: c.map(tuple))
+    pairs = spoken.mapInPandas(_paired(names, terms), "i array<int>, j array<int>").orderBy(F.xxhash64("i", "j", F.lit(seed)), "i", "j").limit(PAIRS)
+    pairs = pairs.toPandas().sort_values(["i", "j"], key=lambda c: c.map(tuple))
     n = sum(totals.values())
     index = lambda c: [np.asarray(i, np.int64) for i in c]
     model = train(names, index(held["i"]), held["y"].to_numpy(np.float64), list(zip(index(pairs["i"]), index(pairs["j"]), strict=True)), totals.get(1, 0) / n if n else 0.25)

@@ -5,9 +5,10 @@ vectors together); each block has the largest and the smallest weight of every t
 query, the sum over terms of the larger of weight times maximum and weight times minimum bounds every score in the block.
 Blocks are scored in the order of their bounds until a bound falls below the k-th score found so far; ties are scored.
 
-Blocks are held in shelves. A query first searches the shelf it lies in, which gives a k-th score to begin with; the
-bounds of the shelves, a small table read in pages, then say which shelves it must visit. Queries travel in groups, so a
-task holds one shelf and one group, whatever the numbers of vectors and queries are.
+Blocks are held in shelves, shelves that follow one another in pages. A query first searches the shelf it lies in, which
+gives a k-th score to begin with; the bounds of the pages then say into which pages it must look, and there the bounds of
+the shelves say which of them it must visit. Queries travel in groups, so a task holds one shelf and one group, whatever
+the numbers of vectors and queries are.
 """
 
 from __future__ import annotations
@@ -23,9 +24,12 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators import numbering
 from . import common
 
 SHELF, BLOCK, GROUP, PAGE = 4096, 64, 512, 256
+#: Bytes of the upper bounds that may be broadcast.
+UPPER = 64 << 20
 #: Below the largest double; digits that hold every score of finite doubles, with room for sums.
 _HUGE, _DIGITS = 1 << 1023, 660
 
@@ -168,7 +172,7 @@ def _groups(every: int, k: int):
 
 
 def _route(batches):
-    """(queries, page of shelf bounds) -> one row per shelf with the queries that it may serve."""
+    """(queries, page of named bounds) -> one row per name with the queries that it may serve."""
     for b in batches:
         for queries, page in zip(b["queries"], b["page"], strict=True):
             ids, rows, floors = _unpack(queries)
@@ -178,8 +182,15 @@ def _route(batches):
             for i, x in enumerate(page):
                 go = np.flatnonzero(upper[:, i] >= least)
                 if len(go):
-                    out.append((x["shelf"], _pack(ids[go], rows[go], [floors[g] for g in go])))
-            yield pd.DataFrame(out, columns=["shelf", "queries"])
+                    out.append((x["name"], _pack(ids[go], rows[go], [floors[g] for g in go])))
+            yield pd.DataFrame(out, columns=["name", "queries"])
+
+
+def _bounded(batches):
+    """Pages -> the bounds of all that they hold."""
+    for b in batches:
+        both = [[_unpack(x["extremes"]) for x in page] for page in b["page"]]
+        yield pd.DataFrame({"dim": b["dim"], "page": b["id"], "extremes": [_pack(np.max([h for h, _ in e], 0), np.min([w for _, w in e], 0)) for e in both]})
 
 
 def _beyond(score: int) -> str:
@@ -229,10 +240,16 @@ def top_k(vectors: DataFrame, k: int = 5, query_every: int = 50, scale: int = 25
     ordered = rows.repartitionByRange("term", "peak", "vec_id").sortWithinPartitions("term", "peak", "vec_id", "v").select("vec_id", "v", "scale")
     shelves = common.materialise(ordered.mapInPandas(_shelves, "shelf long, dim int, n long, data binary, extremes binary"), "shelves")
     groups = common.materialise(shelves.select("dim", "data").mapInPandas(_groups(query_every, k), "dim int, queries binary"), "query-groups")
-    pages = max(1, -(-shelves.count() // PAGE))
-    paged = shelves.select("dim", "shelf", "extremes").groupBy("dim", F.pmod(F.xxhash64("shelf"), F.lit(pages)).alias("p")).agg(F.collect_list(F.struct("shelf", "extremes")).alias("page"))
-    asked = groups.withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(pages - 1)))).withColumn("p", F.col("p").cast("long"))
-    routed = asked.join(paged, ["dim", "p"]).select("queries", "page").mapInPandas(_route, "shelf long, queries binary")
+    # shelves that follow one another hold like vectors: PAGE of them make a page, PAGE pages a list of pages, each with its bounds
+    numbers = numbering.numbered(shelves.select("dim", "shelf"), ["dim"], ["shelf"], "at").select("shelf", F.expr(f"(at - 1) div {PAGE}").alias("p"))
+    paged = shelves.select("dim", "shelf", "extremes").join(numbers, "shelf").groupBy("dim", "p").agg(F.collect_list(F.struct(F.col("shelf").alias("name"), "extremes")).alias("page"))
+    paged = common.materialise(paged.withColumn("id", F.xxhash64("dim", "p")), "pages")
+    upper = paged.select("dim", "id", "page").mapInPandas(_bounded, "dim int, page long, extremes binary")
+    lists = common.materialise(upper.groupBy("dim", F.pmod("page", F.lit(max(1, -(-paged.count() // PAGE)))).alias("l")).agg(F.collect_list(F.struct(F.col("page").alias("name"), "extremes")).alias("page")), "lists")
+    size = lists.agg(F.sum(F.aggregate("page", F.lit(0).cast("long"), lambda n, x: n + F.octet_length(x["extremes"])))).first()[0] or 0
+    asked = groups.join(F.broadcast(lists) if size < UPPER else lists, "dim")
+    onward = asked.select("queries", "page").mapInPandas(_route, "name long, queries binary").withColumnRenamed("name", "id")
+    routed = onward.join(paged.select("id", "page"), "id").select("queries", "page").mapInPandas(_route, "name long, queries binary").withColumnRenamed("name", "shelf")
     met = routed.join(shelves.select("shelf", "data"), "shelf").select("queries", "data")
     found = met.mapInPandas(_visit(k), "query_id long, key long, vec_id long, score long, beyond string")
     order = Window.partitionBy("query_id", "key").orderBy(F.desc("score"), F.desc("beyond"), "vec_id")

@@ -18,4 +18,4 @@ QUERIES = {
     "op13_merkle": merkle.op13_merkle,
 }
 
-ORACLES = {"op3_topk": topk.OP3_SQL, "op7_secrets": secrets.OP7_SQL, "op11_suffix_dedup": suffix_dedup.OP11_SQL, "op13_merkle": merkle.OP13_SQL}
+ORACLES = {"op3_topk": topk.OP3_SQL, "op7_secrets": secrets.OP7_SQL, "op11_suffix_dedup": suffix_dedup.OP11_SQL, "op12_repair": repair.OP12_SQL, "op13_merkle": merkle.OP13_SQL}

@@ -375,3 +375,54 @@ def damaged(rows: DataFrame) -> DataFrame:
 def op12_repair(spark, sf_dir):
     rows = damaged(common.table(spark, sf_dir, "conversations"))
     return digests(repair(rows, present=F.col("present")))
+
+
+def _more(way: str, cost: int, edit: str) -> str:
+    """A way (ten digits of cost, then the audit) with one edit more; null stays null."""
+    return f"lpad(CAST(CAST(left({way}, 10) AS BIGINT) + {cost} AS VARCHAR), 10, '0') || substr({way}, 11) || '{edit}'"
+
+
+def _step_sql(cut: str) -> dict[str, str]:
+    """The states' best ways after a row, from those before it with insertions made (n, s, u, a)."""
+    keep = lambda way, initial: f"CASE WHEN free AND initial = '{initial}' THEN {_more(way, cut, KEEP)} END"
+    turn = lambda way: f"CASE WHEN free THEN {_more(way, f'2 + {cut}', RETYPE)} END"
+    gone = lambda way: _more(way, COST[DELETE], DELETE)
+    return {
+        "n": gone("n"), "s": f"least({gone('s')}, {keep('n', 's')})",
+        "u": f"least({', '.join([gone('u'), *[f(w) for w in 'nsa' for f in (lambda w: keep(w, 'u'), turn)]])})", "a": f"least({gone('a')}, {keep('u', 'a')}, {turn('u')})",
+    }
+
+
+_STEP = _step_sql("cut")
+_INSERTED = f"SELECT *, least(a0, {_more('u', 2, INSERT)}) AS a FROM (SELECT *, least(u0, {_more('n', 2, INSERT)}, {_more('s', 2, INSERT)}, {_more('a0', 2, INSERT)}) AS u FROM {{}})"
+_NEXT_SQL = "CASE WHEN state = 'u' THEN 'a' ELSE 'u' END"
+
+#: CRC-32 by its polynomial; the best way to each state by recursion over rows, then the rows that the audit leaves.
+OP12_SQL = f"""
+WITH RECURSIVE bits(b, k, v) AS (SELECT range, 0, range FROM range(256) UNION ALL SELECT b, k + 1, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END FROM bits WHERE k < 8),
+crc AS (SELECT list(v ORDER BY b) AS t FROM bits WHERE k = 8),
+named AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS id FROM conversations),
+kinds AS (SELECT named.*, xor(list_reduce(list_transform(range(1, length(id) + 1), lambda p: CAST(ascii(substr(id, p, 1)) AS BIGINT)), lambda a, c: xor(a >> 8, t[1 + xor(a & 255, c)]), 4294967295::BIGINT), 4294967295) % 20 AS kind FROM named, crc),
+broken AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) AS copy FROM kinds WHERE kind <> 0),
+placed AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i, count(*) OVER (PARTITION BY conv_id) AS size FROM broken),
+marked AS MATERIALIZED (SELECT *, left(role, 1) AS initial, NOT blank AND NOT duplicate AS free, CASE WHEN NOT blank AND NOT duplicate AND body NOT IN ('.', '!', '?') THEN 1 ELSE 0 END AS cut
+  FROM (SELECT *, body = '' AS blank, body <> '' AND row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS duplicate FROM (SELECT *, regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) AS body FROM placed))),
+ways(conv_id, i, n, s, u0, a0) AS (
+  SELECT DISTINCT conv_id, 0::BIGINT, '0000000000', NULL::VARCHAR, NULL::VARCHAR, NULL::VARCHAR FROM marked
+  UNION ALL
+  SELECT w.conv_id, m.i, {_STEP["n"]}, {_STEP["s"]}, {_STEP["u"]}, {_STEP["a"]}
+  FROM ({_INSERTED.format("ways")}) w JOIN marked m ON m.conv_id IS NOT DISTINCT FROM w.conv_id AND m.i = w.i + 1),
+best AS MATERIALIZED (SELECT w.conv_id, CAST(left(least(n, a), 10) AS BIGINT) AS cost, substr(least(n, a), 11) AS audit FROM ({_INSERTED.format("ways")}) w JOIN (SELECT DISTINCT conv_id, size FROM placed) p ON p.conv_id IS NOT DISTINCT FROM w.conv_id AND p.size = w.i),
+walk(conv_id, audit, k, i, state, line) AS (
+  SELECT conv_id, audit, 0, 0::BIGINT, '', NULL::VARCHAR FROM best
+  UNION ALL
+  SELECT w.conv_id, w.audit, w.k + 1, CASE WHEN edit = 'I' THEN w.i ELSE w.i + 1 END,
+         CASE edit WHEN 'D' THEN state WHEN 'K' THEN m.initial ELSE {_NEXT_SQL} END,
+         CASE edit WHEN 'D' THEN NULL WHEN 'K' THEN m.role || ':' || m.text ELSE CASE WHEN {_NEXT_SQL} = 'u' THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN edit = 'I' THEN '' ELSE m.text END END
+  FROM (SELECT *, substr(audit, k + 1, 1) AS edit FROM walk WHERE k < length(audit)) w LEFT JOIN marked m ON m.conv_id IS NOT DISTINCT FROM w.conv_id AND m.i = w.i + 1),
+texts AS (SELECT conv_id, string_agg(line, chr(10) ORDER BY k) AS text FROM walk GROUP BY conv_id),
+pairs AS (SELECT conv_id, coalesce(lag(initial) OVER (PARTITION BY conv_id ORDER BY i) || initial NOT IN ('su', 'ua', 'au'), false) AS bad, * EXCLUDE (conv_id) FROM marked),
+counts AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (duplicate) AS duplicate, CAST(sum(cut) AS BIGINT) AS truncated, count(*) FILTER (bad) AS illegal FROM pairs GROUP BY conv_id)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(t.text, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN best b ON b.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN texts t ON t.conv_id IS NOT DISTINCT FROM o.conv_id
+"""

@@ -4,6 +4,7 @@ import random
 import re
 import zlib
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -162,3 +163,11 @@ def test_query_equals_brute_force(spark):
     got = {r.conv_id: tuple(r)[1:] for r in repair.op12_repair(spark, sf).collect()}
     assert got == {c: expected(ordered(own)) for c, own in by.items()}
     assert any(v[5] for v in got.values())
+
+
+def test_sql_says_the_same(spark):
+    db, sf = duckdb.connect(), "/root/testdata/sf0.01"
+    db.execute(f"CREATE VIEW conversations AS SELECT * FROM '{sf}/conversations.parquet'")
+    got = repair.op12_repair(spark, sf)
+    want = sorted(map(str, db.execute(repair.OP12_SQL).df()[got.columns].itertuples(index=False, name=None)))
+    assert sorted(str(tuple(r)) for r in got.collect()) == want

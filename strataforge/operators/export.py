@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import work
 from . import numbering
 
 GENERATOR = "strataforge"
@@ -47,7 +48,8 @@ def build_sqlite(documents: list[tuple], chunks: list[tuple], generated_at: str)
 
 def numbered_chunks(chunks: DataFrame, tenant: str, *order: str) -> DataFrame:
     """``chunks`` with the row id that they have in their tenant's export: 1, 2, ... in ``order``."""
-    return numbering.numbered(chunks, [tenant], order, "row_id")
+    # chunks are cut once: numbering reads its rows several times
+    return numbering.numbered(work.materialise(chunks, "chunks"), [tenant], order, "row_id")
 
 
 def sqlite_files(documents: DataFrame, chunks: DataFrame, tenant: str, generated_at: str) -> DataFrame:

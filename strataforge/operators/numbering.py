@@ -17,13 +17,17 @@ _BITS = 33  # of monotonically_increasing_id that count the rows of a partition
 def ranged(rows: DataFrame, *order: Column | str, name: str, tasks: int | None = None) -> DataFrame:
     """``rows`` sorted over ranges, as a work table with a long ``name`` that grows along the order.
 
-    Rows that are equal in ``order`` may lie in several ranges, so a value that many rows share sets no task's size.
+    Rows that are equal in ``order`` may lie in several ranges, so a value that many rows share sets no task's size. Among
+    them a hash of the row decides, and only among copies their place in the input; copies had better come from files, which
+    a task that runs again reads in the same order.
     """
     spark = rows.sparkSession
-    (tie,) = work.unused([*rows.columns, name], "tie")
-    tied = rows.withColumn(tie, F.monotonically_increasing_id())
+    own, copy = work.unused([*rows.columns, name], "own", "copy")
+    tie = [own, copy]
+    hashed = [F.col(f"`{c}`") for c, kind in rows.dtypes if "map<" not in kind and kind != "variant"]
+    tied = rows.withColumns({own: F.xxhash64(*hashed) if hashed else F.lit(0), copy: F.monotonically_increasing_id()})
     tasks = tasks or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // ROWS))
-    spread = tied.repartitionByRange(tasks, *order, tie).sortWithinPartitions(*order, tie).drop(tie)
+    spread = tied.repartitionByRange(tasks, *order, *tie).sortWithinPartitions(*order, *tie).drop(*tie)
     return work.materialise(spread.withColumn(name, F.monotonically_increasing_id()), "ranged")
 
 

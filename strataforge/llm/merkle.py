@@ -17,6 +17,8 @@ from . import common
 
 #: What a leaf holds, in order.
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
+#: Levels that paths come down in one plan.
+PLANNED = 6
 _PATH = "array<struct<before:binary,after:binary>>"
 
 
@@ -82,6 +84,8 @@ def _down(levels: list[DataFrame], starts: DataFrame, *kept: str) -> DataFrame:
         own = starts.where(F.col("level") == k).select("g", F.lit(0).cast("long").alias("i"), "path", *kept)
         here = own if here is None else here.select("g", F.col("child.i").alias("i"), "path", *kept).unionByName(own)
         here = _handed(levels[k].join(here, ["g", "i"]))
+        if k > 1 and k % PLANNED == 1:  # high levels are small; a plan of all levels would be long
+            here = common.materialise(here, "merkle-paths")
     alone = levels[0].where("n = 1").drop("n").join(starts.where("level = 0").drop("level"), "g")
     child = F.struct("i", "hash", *[c for c in levels[0].columns if c not in ("g", "i", "n", "hash")])
     alone = alone.select("g", *kept, child.alias("child"), "path")

@@ -240,13 +240,17 @@ def near_pairs(graph: Graph, exact: np.ndarray, queries: np.ndarray, least: floa
     else:
         yield from _scan(exact, queries, np.arange(count), least)
         return
-    rows = np.arange(count)
+    rows, place, crowded = np.arange(count), dict(zip(sample.tolist(), range(len(sample)), strict=True)), False
     while True:
         q, c = np.nonzero(near & ~full[:, None])
         m, q = ids[q, c], rows[q]
         keep = np.einsum("kd,kd->k", queries[q], exact[m]) >= least
         yield q[keep], m[keep]
-        rows, width = rows[full], 2 * width
+        if crowded and own is not None:  # in a crowd a link may be found from one side only
+            back = np.full(n, -1)
+            back[own] = np.arange(count)
+            yield back[m[keep]], own[q[keep]]
+        rows, width, crowded = rows[full], 2 * width, True
         if not len(rows):
             return
         if width >= n:  # a beam of all vectors
@@ -257,6 +261,10 @@ def near_pairs(graph: Graph, exact: np.ndarray, queries: np.ndarray, least: floa
         ids, sims = (np.concatenate([p[i] for p in parts]) for i in range(2))
         near = (sims >= least - _SPARE) & (ids >= 0)
         full = near.all(1)
+        audited = [i for i, r in enumerate(rows.tolist()) if r in place and not full[i]]
+        asked = wanted[[place[int(rows[i])] for i in audited]]
+        if _met(asked, ids[audited]).sum() < RECALL * asked.sum():
+            full[:] = True  # the crowd's audit: wider, all of them
 
 
 def search_shard(graph: Graph, exact: np.ndarray, queries: np.ndarray, least: float, own: np.ndarray | None = None):

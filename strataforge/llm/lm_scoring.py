@@ -6,7 +6,7 @@ training documents is kept out of the counts while the weights are learned, and
 
 How it runs. Documents are packed into blocks of about a million tokens; a block knows its distinct words, bigrams
 and trigrams and asks for the corpus count of each of them once, as a hash with its own count. Questions are routed by the
-leading bits of the hash in levels: each level splits a question into ``2 ** FAN_BITS`` parts and merges the parts that as
+leading bits of the hash in levels: each level splits a question into as many parts as there are blocks (8192 at most) and merges the parts that as
 many askers sent, so a node holds about as many entries as a block, and the rows sent at a level are in proportion to the
 blocks; the levels grow with the logarithm of the corpus. The last level adds up and answers go back the same way. So an
 n-gram that is in a third of all documents is one entry per block, and no task sees more than one block or node; nothing
@@ -32,6 +32,8 @@ from . import common
 
 #: Tokens of a block, at least, when it is closed; bits of a level; bits of a hash beyond those that number the tokens.
 BLOCK_TOKENS, FAN_BITS, SPARE_BITS = 1_200_000, 8, 24
+#: A level has as many ways as there are blocks, from 2 ** FAN_BITS to 2 ** FAN_MOST: each level more moves all questions again.
+FAN_MOST = 13
 #: Tokens of a block that are scored at a time.
 SLICE = 200_000
 #: Rounds of expectation-maximisation, at most; the largest change of a weight at which they end.
@@ -377,7 +379,7 @@ def _scorer(weights: np.ndarray, n_train: int, vocab: int, bits: int):
     return score
 
 
-def score_documents(docs: DataFrame, learn_from, held_out, held_in, id_col: str = "doc_id", text_col: str = "text", block_tokens: int = BLOCK_TOKENS, fan: int = FAN_BITS) -> DataFrame:
+def score_documents(docs: DataFrame, learn_from, held_out, held_in, id_col: str = "doc_id", text_col: str = "text", block_tokens: int = BLOCK_TOKENS, fan: int | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document.
 
     learn_from, held_out, held_in: Boolean columns: documents that are learned from, that are reported as held out, and
@@ -391,9 +393,11 @@ def score_documents(docs: DataFrame, learn_from, held_out, held_in, id_col: str
     blocks = common.materialise(rows.mapInPandas(_blocks(block_tokens), "block long, role int, tokens long, data binary, meta binary"), "lm-blocks", compression="none")
     totals = {r.role: (r.t, r.n) for r in blocks.groupBy("role").agg(F.sum("tokens").alias("t"), F.count("*").alias("n")).collect()}
     n_main, n_dev = totals.get(MAIN, (0, 0))[0], totals.get(DEV, (0, 0))[0]
+    askers = sum(n for _, n in totals.values())
+    fan = min(FAN_MOST, max(FAN_BITS, max(askers - 1, 1).bit_length())) if fan is None else fan
     bits = min(62, max(fan * 2 + 4, SPARE_BITS + 2 + sum(t for t, _ in totals.values()).bit_length()))
     asked = blocks.select("block", "role", "data").mapInPandas(_ask(bits, fan), _QUESTIONS)
-    answers = corpus_counts(asked, sum(n for _, n in totals.values()), bits, fan)
+    answers = corpus_counts(asked, askers, bits, fan)
     vocab = answers.agg(F.sum("words")).first()[0] or 0
 
     def joined(wanted: DataFrame, f, schema: str, only: bool = False) -> DataFrame:

@@ -135,7 +135,8 @@ _BLANK_SQL = "SELECT doc_id, source, lang, CASE WHEN doc_id % 5 = 0 THEN '  ' ||
 
 def document_revisions(spark, sf):
     """Rows as uploads write them, the first in the middle of the work; the highest revision counts."""
-    docs = Q._stored(spark, sf).select("doc_id", "status", "chunk_count")
+    # documents are cut once: three sets of rows are made of them
+    docs = work.materialise(Q._stored(spark, sf).select("doc_id", "status", "chunk_count"), "stored")
     rows = docs.select("doc_id", F.lit("processing").alias("status"), F.lit(0).alias("chunk_count"), F.lit(0).alias("revision"))
     rows = rows.unionByName(docs.where("status <> 'processing'").withColumn("revision", F.lit(1)))
     return catalog.latest(rows.unionByName(docs.where("doc_id % 11 = 3").select("doc_id", F.lit("failed").alias("status"), F.lit(0).alias("chunk_count"), F.lit(2).alias("revision"))), "doc_id")

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import itertools
 import sqlite3
 import tempfile
 from collections.abc import Iterator
 from pathlib import Path
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +17,8 @@ from .. import work
 from . import numbering
 
 GENERATOR = "strataforge"
+#: Bytes of a part of a bundle or of a database file, about; rows that a task holds as objects of Python.
+PART, ROWS = 4 << 20, 2000
 
 # Tables that users of the files read.
 _SCHEMA = """
@@ -24,6 +28,18 @@ CREATE TABLE meta (key TEXT PRIMARY KEY, value TEXT);
 """
 
 
+def _index(db: sqlite3.Connection, generated_at: str) -> None:
+    """The full-text index of the chunks, where the library has it, and what the file says of itself."""
+    try:
+        db.execute("CREATE VIRTUAL TABLE chunks_fts USING fts5(content, content='chunks', content_rowid='id')")
+        db.execute("INSERT INTO chunks_fts(chunks_fts) VALUES ('rebuild')")
+        fts = "fts5"
+    except sqlite3.OperationalError:
+        fts = "none"
+    db.executemany("INSERT INTO meta VALUES (?, ?)", [("generated_at", generated_at), ("generator", GENERATOR), ("fts", fts)])
+    db.commit()
+
+
 def build_sqlite(documents: list[tuple], chunks: list[tuple], generated_at: str) -> bytes:
     """Bytes of a database file with documents, numbered chunks and, where the library has it, a full-text index."""
     with tempfile.TemporaryDirectory() as folder:
@@ -33,14 +49,7 @@ def build_sqlite(documents: list[tuple], chunks: list[tuple], generated_at: str)
             db.executescript(_SCHEMA)
             db.executemany("INSERT INTO documents VALUES (?, ?, ?, ?)", documents)
             db.executemany("INSERT INTO chunks VALUES (?, ?, ?, ?)", chunks)
-            try:
-                db.execute("CREATE VIRTUAL TABLE chunks_fts USING fts5(content, content='chunks', content_rowid='id')")
-                db.execute("INSERT INTO chunks_fts(chunks_fts) VALUES ('rebuild')")
-                fts = "fts5"
-            except sqlite3.OperationalError:
-                fts = "none"
-            db.executemany("INSERT INTO meta VALUES (?, ?)", [("generated_at", generated_at), ("generator", GENERATOR), ("fts", fts)])
-            db.commit()
+            _index(db, generated_at)
         finally:
             db.close()
         return path.read_bytes()
@@ -52,50 +61,138 @@ def numbered_chunks(chunks: DataFrame, tenant: str, *order: str) -> DataFrame:
     return numbering.numbered(work.materialise(chunks, "chunks"), [tenant], order, "row_id")
 
 
-def sqlite_files(documents: DataFrame, chunks: DataFrame, tenant: str, generated_at: str) -> DataFrame:
-    """(tenant, content): one database file per tenant.
+class _Export:
+    """A database file that is built from a stream of rows: they wait in a second file and are put in order by SQLite, on disk."""
+
+    def __init__(self):
+        self.folder = tempfile.TemporaryDirectory()
+        self.path = Path(self.folder.name, "export.db")
+        self.db = sqlite3.connect(self.path)
+        self.db.execute("ATTACH ? AS held", (str(Path(self.folder.name, "held.db")),))
+        self.db.executescript("PRAGMA main.journal_mode = OFF; PRAGMA held.journal_mode = OFF;" + _SCHEMA)
+        self.db.execute("CREATE TABLE held.d (place INTEGER PRIMARY KEY, id TEXT, filename TEXT, file_type TEXT)")
+        self.db.execute("CREATE TABLE held.c (n INTEGER PRIMARY KEY, id TEXT, chunk_index INTEGER, content TEXT)")
+        self.documents = 0
+
+    def add(self, rows: list[tuple]) -> None:
+        """Rows (kind, document, filename, file_type, chunk_index, content): documents (kind 0) in order, chunks in any."""
+        documents = [r[1:4] for r in rows if r[0] == 0]
+        self.db.executemany("INSERT INTO held.d (id, filename, file_type) VALUES (?, ?, ?)", documents)
+        self.db.executemany("INSERT INTO held.c (id, chunk_index, content) VALUES (?, ?, ?)", (r[1:2] + r[4:] for r in rows if r[0] == 1))
+        self.documents += len(documents)
+
+    def finish(self, generated_at: str) -> None:
+        self.db.execute("INSERT INTO documents SELECT d.id, filename, file_type, coalesce(n, 0) FROM held.d d LEFT JOIN (SELECT id, count(*) AS n FROM held.c GROUP BY id) c ON c.id = d.id ORDER BY place")
+        # chunks of no document are left out
+        self.db.execute("INSERT INTO chunks SELECT row_number() OVER (ORDER BY place, chunk_index, n), c.id, chunk_index, content FROM held.c c JOIN held.d d ON d.id = c.id ORDER BY 1")
+        _index(self.db, generated_at)
+
+    def close(self) -> None:
+        self.db.close()
+        self.folder.cleanup()
+
+
+def _sqlite_built(documents: DataFrame, chunks: DataFrame, tenant: str, generated_at: str, size: int | None) -> DataFrame:
+    """(tenant, offset, content): each tenant's file in parts of ``size`` bytes, or whole."""
+    kind, nothing = documents.schema[tenant].dataType.simpleString(), lambda t: F.lit(None).cast(t)
+    rows = documents.select(tenant, F.lit(0).alias("kind"), "document_id", "position", "filename", "file_type", nothing("int").alias("chunk_index"), nothing("string").alias("content"))
+    rows = rows.unionByName(chunks.select(tenant, F.lit(1).alias("kind"), "document_id", nothing(documents.schema["position"].dataType).alias("position"), nothing("string").alias("filename"), nothing("string").alias("file_type"), F.col("chunk_index").cast("int").alias("chunk_index"), "content"))
+    fields = ["kind", "document_id", "filename", "file_type", "chunk_index", "content"]
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        owner, made, typed = None, None, None
+
+        def sent() -> Iterator[pa.RecordBatch]:
+            try:
+                if not made.documents:
+                    return
+                made.finish(generated_at)
+                made.db.close()
+                with made.path.open("rb") as f:
+                    at = 0
+                    while data := f.read(size or -1):
+                        yield pa.RecordBatch.from_arrays([pa.array([owner], typed), pa.array([at], pa.int64()), pa.array([data], pa.binary())], names=[tenant, "offset", "content"])
+                        at += len(data)
+            finally:
+                made.close()
 
-    documents: tenant, document_id, filename, file_type, position; chunks: tenant, document_id, chunk_index, content. A
-    file is one value, so a tenant's rows meet in one task, as they must fit in one file.
+        for batch in batches:
+            typed = batch.schema.field(tenant).type
+            for at in range(0, batch.num_rows, ROWS):
+                some = batch.slice(at, ROWS)
+                owners = some.column(tenant).to_pylist()
+                held = list(zip(*[some.column(c).to_pylist() for c in fields], strict=True))
+                for own, group in itertools.groupby(range(len(held)), owners.__getitem__):
+                    if made is None or own != owner:
+                        if made is not None:
+                            yield from sent()
+                        owner, made = own, _Export()
+                    made.add([held[i] for i in group])
+        if made is not None:
+            yield from sent()
+
+    dealt = rows.repartition(tenant).sortWithinPartitions(tenant, "kind", "position", "document_id")
+    return dealt.select(tenant, *fields).mapInArrow(build, f"{tenant} {kind}, offset long, content binary")
+
+
+def sqlite_parts(documents: DataFrame, chunks: DataFrame, tenant: str, generated_at: str) -> DataFrame:
+    """(tenant, offset, content): one database file per tenant, in parts of some ``PART`` bytes with the places of their first bytes.
+
+    documents: tenant, document_id, filename, file_type, position; chunks: tenant, document_id, chunk_index, content. One
+    task builds a tenant's file, on disk, from a stream of rows: its memory does not grow with the tenant.
     """
-    schema = f"{tenant} string, content binary"
+    return _sqlite_built(documents, chunks, tenant, generated_at, PART)
 
-    def build(key: tuple, docs: pd.DataFrame, parts: pd.DataFrame) -> pd.DataFrame:
-        docs = docs.sort_values(["position", "document_id"], kind="stable")
-        place = {d: i for i, d in enumerate(docs["document_id"])}
-        parts = parts.assign(_p=parts["document_id"].map(place)).dropna(subset=["_p"]).sort_values(["_p", "chunk_index"], kind="stable")
-        counts = parts.groupby("document_id").size()
-        d = [(r.document_id, r.filename, r.file_type, int(counts.get(r.document_id, 0))) for r in docs.itertuples()]
-        c = [(i, r.document_id, int(r.chunk_index), r.content) for i, r in enumerate(parts.itertuples(), 1)]
-        return pd.DataFrame([{tenant: key[0], "content": build_sqlite(d, c, generated_at)}]) if len(docs) else pd.DataFrame(columns=[tenant, "content"])
 
-    return documents.groupBy(tenant).cogroup(chunks.groupBy(tenant)).applyInPandas(build, schema)
+def sqlite_files(documents: DataFrame, chunks: DataFrame, tenant: str, generated_at: str) -> DataFrame:
+    """(tenant, content): the files of ``sqlite_parts`` as one value each, which has to fit in a task's memory."""
+    return _sqlite_built(documents, chunks, tenant, generated_at, None).drop("offset")
 
 
 def sqlite_contents(files: DataFrame, tenant: str, phrase: str | None = None) -> DataFrame:
     """(tenant, row_id, document_id, filename, chunk_index, content, found): the chunks that database files hold, read back.
 
-    found: whether the file's own full-text index finds ``phrase`` (a query of SQLite's) in the chunk; null without one.
+    files: of ``sqlite_files`` or ``sqlite_parts``. found: whether the file's own full-text index finds ``phrase`` (a query of
+    SQLite's) in the chunk; null without one. Files are written to a task's disk and read from there.
     """
-    schema = f"{tenant} string, row_id long, document_id string, filename string, chunk_index int, content string, found boolean"
-    ask = "SELECT c.id, c.document_id, d.filename, c.chunk_index, c.content FROM chunks c JOIN documents d ON d.id = c.document_id ORDER BY c.id"
-
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for owner, data in zip(batch[tenant], batch["content"], strict=True):
-                db = sqlite3.connect(":memory:")
-                db.deserialize(bytes(data))
-                hits = {r[0] for r in db.execute("SELECT rowid FROM chunks_fts WHERE chunks_fts MATCH ?", (phrase,))} if phrase else None
-                rows = db.execute(ask)
-                while some := rows.fetchmany(10_000):
-                    yield pd.DataFrame([(owner, *r, r[0] in hits if hits is not None else None) for r in some], columns=[f.split()[0] for f in schema.split(", ")])
-                db.close()
-
-    return files.select(tenant, "content").mapInPandas(read, schema)
+    kind = files.schema[tenant].dataType.simpleString()
+    schema = f"{tenant} {kind}, row_id long, document_id string, filename string, chunk_index int, content string, found boolean"
+    types = [pa.int64(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.bool_()]
+    found = "c.id IN (SELECT rowid FROM chunks_fts WHERE chunks_fts MATCH ?)" if phrase else "NULL"
+    ask = f"SELECT c.id, c.document_id, d.filename, c.chunk_index, c.content, {found} FROM chunks c CROSS JOIN documents d ON d.id = c.document_id ORDER BY c.id"
 
+    def opened(path: Path, owner, typed) -> Iterator[pa.RecordBatch]:
+        db = sqlite3.connect(path)
+        try:
+            rows = db.execute(ask, (phrase,) if phrase else ())
+            while some := rows.fetchmany(ROWS):
+                columns = [pa.array([owner] * len(some), typed)]
+                for values, t in zip(zip(*some, strict=True), types, strict=True):
+                    columns.append(pa.array([None if v is None else bool(v) for v in values] if t == pa.bool_() else values, t))
+                yield pa.RecordBatch.from_arrays(columns, names=[f.split()[0] for f in schema.split(", ")])
+        finally:
+            db.close()
 
-#: Bytes of a part of a bundle, about.
-PART = 4 << 20
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with tempfile.TemporaryDirectory() as folder:
+            path, owner, typed, begun = Path(folder, "export.db"), None, None, False
+            for batch in batches:
+                typed = batch.schema.field(tenant).type
+                for own, offset, data in zip(batch.column(tenant), batch.column("offset"), batch.column("content"), strict=True):
+                    first = offset.as_py() == 0
+                    if first and begun:
+                        yield from opened(path, owner, typed)
+                    owner, begun = own.as_py(), True
+                    with path.open("wb" if first else "ab") as f:
+                        f.write(data.as_buffer())
+            if begun:
+                yield from opened(path, owner, typed)
+
+    if "offset" in files.columns:
+        placed = files.select(tenant, "offset", "content").repartition(tenant).sortWithinPartitions(tenant, "offset")
+    else:
+        placed = files.select(tenant, F.lit(0).cast("long").alias("offset"), "content")
+    return placed.mapInArrow(read, schema)
 
 
 def bundle_pieces(sections: DataFrame, tenant: str, title: Column, position: str, filename: str, content: str) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import types as P
 from .. import work
 from ..config import DEFAULTS
 from ..functions import text as T
-from ..operators import catalog
+from ..operators import catalog, chunking
 from ..service import Engine
 from ..sources import files, pdf
 from . import queries as Q
@@ -93,7 +93,8 @@ def _printed(words: pd.Series) -> pd.Series:
 def pdf_round_trip(spark, sf):
     """The words of documents printed as PDF pages and read again, a row a page."""
     words = F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda w: w != "")
-    return Q._docs(spark, sf).select("doc_id", F.posexplode(_printed(words)).alias("page", "text")).select("doc_id", (F.col("page") + 1).alias("page"), "text")
+    docs = Q._docs(spark, sf).select("doc_id", "text").repartition(chunking.spread_over(Q._docs(spark, sf)))  # one file may hold them all
+    return docs.select("doc_id", F.posexplode(_printed(words)).alias("page", "text")).select("doc_id", (F.col("page") + 1).alias("page"), "text")
 
 
 _PDF_SQL = f"""WITH w AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^a-z]+'), lambda x: x <> '') AS w FROM documents),

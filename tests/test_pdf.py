@@ -109,3 +109,9 @@ def test_bad_files():
             pdf.pages(with_table(objects([stream(PAGES[0])]))[:cut])
         except Exception as e:  # an error a row, not an endless loop
             assert str(e) or type(e)
+
+
+def test_documents_are_dealt_out_before_they_are_printed(spark):
+    from strataforge.plans import files
+
+    assert files.pdf_round_trip(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == 8

@@ -4,7 +4,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from strataforge import work
-from strataforge.operators import chunking
+from strataforge.operators import chunking, export, fulltext
 
 
 def peak(run) -> int:
@@ -36,3 +36,19 @@ def test_documents_are_cut_as_texts_are(spark):
     texts = ["a. b\n\n\n" * 300, None, " ", "x" * 2000]
     got = chunking.with_chunks(spark.createDataFrame(list(enumerate(texts)), "i int, text string").coalesce(1)).orderBy("i").select(F.col("chunks")).collect()
     assert [r.chunks for r in got] == [chunking.chunk_text(t) for t in texts]
+
+
+def test_tokens_of_a_segment_stay_in_arrow():
+    words = pa.array([[f"w{(i * j) % 997}" for j in range(300)] for i in range(1000)])
+    assert peak(lambda: sum(1 for _ in fulltext.inverted(words))) < 40_000_000
+    assert list(fulltext.inverted(words.slice(1, 50))) == list(fulltext.inverted(words.to_pylist()[1:51]))
+
+
+def test_database_files_in_parts_are_the_whole_files(spark):
+    docs = spark.createDataFrame([("a", "d1", "x.txt", "txt", 2), ("a", "d0", "y.txt", "txt", 1), (None, "d2", "z.txt", "txt", 1)], "owner string, document_id string, filename string, file_type string, position int")
+    chunks = spark.createDataFrame([("a", "d1", i, f"part {i} " * 40) for i in range(50)] + [("a", "d0", 0, "first"), ("a", "gone", 0, "no document"), ("b", "d9", 0, "no file")], "owner string, document_id string, chunk_index int, content string")
+    whole = {r.owner: bytes(r.content) for r in export.sqlite_files(docs, chunks, "owner", "now").collect()}
+    parts = export._sqlite_built(docs, chunks, "owner", "now", 4096).collect()
+    assert len(parts) > 3 and {o: b"".join(bytes(p.content) for p in sorted(parts, key=lambda p: p.offset) if p.owner == o) for o in whole} == whole and set(whole) == {"a", None}
+    rows = sorted((r.owner, r.row_id, r.document_id, r.chunk_index, r.found) for r in export.sqlite_contents(export.sqlite_parts(docs, chunks, "owner", "now"), "owner", '"part 7"').collect())
+    assert rows == [("a", 1, "d0", 0, False)] + [("a", i + 2, "d1", i, i == 7) for i in range(50)]
